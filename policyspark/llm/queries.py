@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, piece_bpe, token_files
 from ._store import table
 
+
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file on the machines that run the tasks."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -43,5 +50,17 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM doc d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_decontamination": op6_decontamination}
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece": op3_sentencepiece,
+    "op6_decontamination": op6_decontamination,
+    "op10_token_files": op10_token_files,
+}
 SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
