@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, piece_bpe, token_files
+from . import decontamination, near_duplicates, piece_bpe, token_files
 from ._store import table
 
 
@@ -50,6 +50,37 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM doc d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def near_duplicates_sql(documents: str) -> str:
+    """The contract's rows for a relation with doc_id and text."""
+    return rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM {documents}
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingle a JOIN shingle b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM common JOIN sized sx ON sx.doc_id = x JOIN sized sy ON sy.doc_id = y WHERE 100 * i >= 75 * (sx.n + sy.n - i)
+), beside AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sized UNION SELECT r.doc_id, b.y FROM reach r JOIN beside b ON b.x = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, w.doc_id)::BIGINT AS component_id,
+       coalesce(component_id, w.doc_id) = w.doc_id AS kept
+FROM words w LEFT JOIN sized USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -59,8 +90,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op10_token_files": op10_token_files,
 }
-SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
+SQL: dict[str, str] = {
+    "op2_near_duplicates": near_duplicates_sql("documents"),
+    "op6_decontamination": OP6_SQL,
+}
