@@ -27,7 +27,7 @@ RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     ("symbols", "10 * n_symbols > 3 * n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "n_dup_lines >= 4 and 100 * n_dup_lines > 30 * n_lines"),
     ("short_words", "10 * word_chars < 20 * n_words"),
     ("long_words", "10 * word_chars > 200 * n_words"),
 ]
