@@ -23,6 +23,7 @@ Defined results: null text is the empty text (only the end id); an empty table g
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,54 +37,82 @@ from ._store import shared_dir
 
 #: Values in a block, per cent of them that the packed width must hold, and ids after which a segment is closed.
 BLOCK, PERCENTILE, SEGMENT_IDS = 512, 95, 1 << 17
+#: Texts encoded together.
+ROWS = 256
 MAGIC = b"PFB1"
+#: Letters whose lower case is one letter too.
+LATIN = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha())
 #: Distinct chunks of text whose ids a worker remembers, some 150 bytes each.
-CACHE = 200_000
+CACHE = 1_600_000
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
 
 
-def pack_block(values: np.ndarray) -> bytes:
-    """One block of 1 to BLOCK values below 2**32."""
-    low = int(values.min())
-    rest = (values - low).astype(np.uint32)
-    at = np.partition(rest, k := (len(rest) * PERCENTILE + 99) // 100 - 1)[k]
-    width = int(at).bit_length()
-    high = rest >> np.uint32(width) if width < 32 else np.zeros_like(rest)
-    odd = np.flatnonzero(high).astype("<u2")
-    bits = ((rest[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-    return struct.pack("<HBHI", len(values), width, len(odd), low) + np.packbits(bits.ravel(), bitorder="little").tobytes() + odd.tobytes() + high[odd].astype("<u4").tobytes()
-
-
-def unpack_block(data: memoryview, at: int) -> tuple[np.ndarray, int]:
-    """The block's values and the offset behind it."""
-    n, width, n_odd, low = struct.unpack_from("<HBHI", data, at)
-    at += 9
-    size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    padded = np.zeros((n, 32), dtype=np.uint8)
-    padded[:, :width] = bits
-    out = np.packbits(padded, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
-    at += size
-    odd = np.frombuffer(data, "<u2", n_odd, at)
-    at += 2 * n_odd
-    out[odd] |= np.frombuffer(data, "<u4", n_odd, at).astype(np.uint32) << np.uint32(width)
-    return out + np.uint32(low), at + 4 * n_odd
+def _width_and_parts(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(packed width, high parts) of rows of one block each."""
+    k = (rest.shape[1] * PERCENTILE + 99) // 100 - 1
+    at = np.partition(rest, k, axis=1)[:, k]
+    width = np.frexp(at.astype(np.float64))[1].astype(np.uint32)  # bits of an integer below 2**32
+    return width, (rest.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype("<u4")
+
+
+def _pack_rows(values: np.ndarray) -> list[bytes]:
+    """Blocks of rows of equal length; rows of one width are packed together."""
+    low = values.min(axis=1)
+    rest = values - low[:, None]
+    width, high = _width_and_parts(rest)
+    odd = high != 0
+    out: list[bytes] = [b""] * len(values)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        bits = ((rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        for row, body in zip(rows.tolist(), packed, strict=True):
+            at = np.flatnonzero(odd[row])
+            out[row] = struct.pack("<HBHI", values.shape[1], w, len(at), int(low[row])) + body.tobytes() + at.astype("<u2").tobytes() + high[row][at].tobytes()
+    return out
 
 
 def pack_blocks(values: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(blocks, their byte offsets)"""
-    blocks = [pack_block(values[i : i + BLOCK]) for i in range(0, len(values), BLOCK)]
+    """(blocks of BLOCK values, the last perhaps shorter; their byte offsets) of values below 2**32."""
+    values = values.astype(np.uint32)
+    full = len(values) // BLOCK * BLOCK
+    blocks = _pack_rows(values[:full].reshape(-1, BLOCK)) if full else []
+    if full < len(values):
+        blocks += _pack_rows(values[full:].reshape(1, -1))
     return b"".join(blocks), np.cumsum([0] + [len(b) for b in blocks])[:-1].astype("<u4")
 
 
 def unpack_blocks(data: memoryview, at: int, count: int) -> np.ndarray:
-    out = []
+    """Values of ``count`` blocks from offset ``at`` on."""
+    heads = []
     for _ in range(count):
-        values, at = unpack_block(data, at)
-        out.append(values)
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+        n, width, n_odd, low = struct.unpack_from("<HBHI", data, at)
+        heads.append((n, width, n_odd, low, at + 9))
+        at += 9 + (n * width + 7) // 8 + 6 * n_odd
+    ends = np.cumsum([0] + [h[0] for h in heads])
+    out = np.zeros(ends[-1], dtype=np.uint32)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, (n, width, *_) in enumerate(heads):
+        alike.setdefault((n, width), []).append(i)
+    for (n, width), rows in alike.items():
+        size = (n * width + 7) // 8
+        packed = np.stack([np.frombuffer(data, np.uint8, size, heads[i][4]) for i in rows])
+        bits = np.unpackbits(packed, axis=1, count=n * width, bitorder="little").reshape(len(rows), n, width)
+        padded = np.zeros((len(rows), n, 32), dtype=np.uint8)
+        padded[:, :, :width] = bits
+        values = np.packbits(padded, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        for i, v in zip(rows, values, strict=True):
+            out[ends[i] : ends[i + 1]] = v
+    for i, (n, width, n_odd, low, body) in enumerate(heads):
+        own = out[ends[i] : ends[i + 1]]
+        if n_odd:
+            behind = body + (n * width + 7) // 8
+            odd = np.frombuffer(data, "<u2", n_odd, behind)
+            own[odd] |= np.frombuffer(data, "<u4", n_odd, behind + 2 * n_odd) << np.uint32(width)
+        own += np.uint32(low)
+    return out
 
 
 def write_segment(ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -123,10 +152,10 @@ def read_ids(data: bytes, start: int, stop: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which is asked once for each distinct blank-separated chunk.
+    """Ids of whole texts by the tokenizers library, which sees each distinct chunk between blanks once.
 
-    The tokenizer must treat what stands between blanks independently and give blanks themselves no ids, as one with
-    word ends does that drops white space; ``checked`` compares with the library on sample texts and raises otherwise.
+    The tokenizer must treat what stands between blanks independently and give blanks themselves no ids, as one with word
+    ends does that drops white space; sample texts are compared with the library, which raises where it isn't so.
     """
 
     _of: dict[str, Encoder] = {}
@@ -136,10 +165,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        for text in ("a b", "Ab  c\nd\te, f's 12 <|endoftext|> x", "é́ ß Ω", " lead and trail "):
+        self.old: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
+        self.apart: re.Pattern | None = None
+        for text in ("a b", "Ab  c\nd\te, f's 12 <|endoftext|> x", "é́ ß Ω", " lead and trail. ", "don't, it's. 's, ,. .,"):
             want = self.tokenizer.encode(text, add_special_tokens=False).ids
-            if np.frombuffer(b"".join(self.chunks([text])), "<u4").tolist() != want:
+            if np.frombuffer(b"".join(self.encode([text])), "<u4").tolist() != want:
                 raise ValueError(f"{path}: not a tokenizer of blank-separated words")
+        # a full stop or comma behind a Latin letter is a word of its own if it is so behind "a"
+        for end in ".,":
+            ids, letter = (np.frombuffer(self.encode([x])[0], "<u4").tolist() for x in ("a" + end, "a"))
+            if ids[: len(letter)] == letter and ids[len(letter) :] == self.tokenizer.encode(end, add_special_tokens=False).ids:
+                self.ends[end] = np.array(ids[len(letter) :], dtype="<u4").tobytes()
+
+        # texts in which such a mark before a blank always follows a Latin letter are split there too
+        if self.ends:
+            self.apart = re.compile(f"(?:^|[^{''.join(sorted(LATIN))}])[{re.escape(''.join(self.ends))}][ \\n]")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -147,19 +188,54 @@ class Encoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def chunks(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        split = [t.split(" ") if "\n" not in t else t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        missing = set().union(*split).difference(known)
+        split = [self._split(t) for t in texts]
+        chunks = set().union(*split)
+        missing = chunks.difference(self.known)
         if missing:
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                missing = set().union(*split)
-            todo = list(missing)
-            for chunk, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+            if len(self.known) + len(missing) > CACHE // 2:  # the older half goes, what is in use comes back from it
+                self.known, self.old = {c: self.known[c] for c in chunks - missing}, self.known
+            self._learn(missing)
+        get = self.known.__getitem__
+        return [b"".join(map(get, s)) for s in split]
+
+    def _split(self, text: str) -> list[str]:
+        if self.apart and not self.apart.search(text):
+            for end in self.ends:
+                text = text.replace(end + " ", f" {end} ").replace(end + "\n", f" {end} ")
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, missing: set[str]) -> None:
+        known, old, ends = self.known, self.old, self.ends
+        new, ended = set(), []
+        for c in missing:
+            ids = old.get(c)
+            if ids is not None:
+                known[c] = ids
+            elif c[-1:] in ends and len(c) > 1 and c[-2] in LATIN:
+                ended.append(c)
+            else:
+                new.add(c)
+        new.update(b for c in ended if (b := c[:-1]) not in known and b not in old)
+        new.discard("")
+        known[""] = b""
+        todo = list(new)
+        for at in range(0, len(todo), 500):
+            some = todo[at : at + 500]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            if not e.ids:
+                known.update(dict.fromkeys(some, b""))
+                continue
+            # ids belong to the chunk in which their text starts
+            starts = np.cumsum([0] + [len(c) + 1 for c in some])
+            cut = 4 * np.searchsorted(np.array(e.offsets)[:, 0], starts)
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            for c, a, b in zip(some, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                known[c] = raw[a:b]
+        for c in ended:
+            base = c[:-1]
+            known[c] = (known[base] if base in known else old[base]) + ends[c[-1]]
 
 
 def _segments(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +255,10 @@ def _segments(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iter
         return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            rows = batch.slice(at, 64)
+        for at in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(at, ROWS)
             texts = rows.column("text").to_pylist()
-            for doc, ids in zip(rows.column("doc_id").to_pylist(), encoder.chunks([t or "" for t in texts]), strict=True):
+            for doc, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode([t or "" for t in texts]), strict=True):
                 docs.append(doc)
                 encoded.append(ids + end)
                 size += len(ids) // 4 + 1

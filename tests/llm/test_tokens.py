@@ -70,8 +70,8 @@ def test_blocks_round_trip(values):
 
 
 def test_outliers_go_to_the_exceptions():
-    plain = token_files.pack_block(np.array([1] * 500, dtype=np.uint32))
-    patched = token_files.pack_block(np.array([1] * 499 + [10**6], dtype=np.uint32))
+    plain = token_files.pack_blocks(np.array([1] * 500, dtype=np.uint32))[0]
+    patched = token_files.pack_blocks(np.array([1] * 499 + [10**6], dtype=np.uint32))[0]
     assert len(patched) == len(plain) + 6
 
 
