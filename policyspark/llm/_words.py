@@ -82,36 +82,47 @@ def pieces(batch: pa.RecordBatch, column: str):
         start = stop
 
 
-def hash_words(column: pa.Array, alphabet: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, first word of each row and the total) of a string column."""
+def _hashed(column: pa.Array, alphabet: np.ndarray, heads: tuple[int, ...]):
     raw, offsets = bytes_of(column)
     n = len(raw)
+    none = np.zeros(0, dtype=np.uint64)
     if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+        return none, np.zeros(len(offsets), dtype=np.int64), [(none.astype(np.int64), none) for _ in heads]
     inside = alphabet[raw]
     edge = np.empty(n + 1, dtype=bool)
     edge[0], edge[-1] = inside[0], inside[-1]
     np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
+    starts = np.flatnonzero(edge[:-1] & inside)
+    ends = np.flatnonzero(edge[1:] & inside) + 1
     # a row's first and last bytes may touch the next row's words
     cuts = offsets[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < n)]
     both = cuts[inside[cuts] & inside[cuts - 1]]
-    starts = np.flatnonzero(edge[:-1] & inside)
-    ends = np.flatnonzero(edge[1:] & inside) + 1
     if len(both):
         both = np.unique(both)
         starts = np.union1d(starts, both)
         ends = np.union1d(ends, both)
     up, down = _power_tables(n)
-    codes = (_CODES if lower else _CODES_CASED)[raw]
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(codes * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    h = mix(h ^ (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, offsets, side="left")
+    np.cumsum(_CODES[raw] * up[:n], out=total[1:])
+    length = ends - starts
+    begun, scale = total[starts], down[starts]
+    h = mix(((total[ends] - begun) * scale) ^ length.astype(np.uint64))
+    found = []
+    for p in heads:
+        at = np.flatnonzero(length >= p)
+        found.append((at, mix((total[starts[at] + p] - begun[at]) * scale[at])))
+    return h, np.searchsorted(starts, offsets, side="left"), found
+
+
+def hash_words(column: pa.Array, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, A-Z as a-z; first word of each row and the total) of a string column."""
+    return _hashed(column, alphabet, ())[:2]
 
 
-_CODES_CASED = np.random.default_rng(SEED).integers(1, 2**63, 256, dtype=np.uint64)
+def hash_parts(column: pa.Array, alphabet: np.ndarray, heads: tuple[int, ...]):
+    """As :func:`hash_words`, and for each number of bytes in ``heads`` (words with so many, hash of their first bytes)."""
+    return _hashed(column, alphabet, heads)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

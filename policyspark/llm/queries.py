@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, license_scan, near_duplicates, piece_bpe, quality_rules, token_files, url_rules
+from . import chat_format, decontamination, license_scan, near_duplicates, piece_bpe, quality_rules, token_files, toxicity, url_rules
 from ._store import table
 
 
@@ -50,6 +50,10 @@ SELECT doc_id, coalesce(licenses, '') AS licenses, best_license, round(best_dice
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -201,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_license_scan": op4_license_scan,
+    "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_rules": op9_url_rules,
