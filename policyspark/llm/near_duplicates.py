@@ -1,17 +1,21 @@
 """Near-duplicate documents: HyperMinHash sketches find candidates, full shingle sets confirm them.
 
-A document's set holds its distinct shingles of SHINGLE words (the whole word sequence where there are fewer).  Hashes are
-dealt to BUCKETS buckets by their top bits; a bucket keeps its smallest hash as a compressed register: the count of leading
-zeros and the MANTISSA bits after the leading one.  BAND registers form a band; texts that agree in a whole band are
-candidates.  The share of equal registers, corrected for chance collisions, must reach the wanted similarity within six
-standard deviations; what remains is compared on the full sets.  A pair at a similarity of exactly 0.75 misses all 32
-bands with a probability of 5e-6, at 0.8 with 5e-8.
+A document's set holds its distinct shingles of SHINGLE words (the whole word sequence where there are fewer).  A sketch has
+REGISTERS registers; each keeps the smallest of the hashes dealt to it, compressed to the count of leading zeros and the
+MANTISSA bits after the leading one.  Sets of LARGE shingles or more are dealt to as many buckets by the hashes' top bits.
+Sets of SMALL or fewer would leave most buckets empty, so each of their registers sees every hash under a permutation of
+its own; sizes in between have both sketches, so any two sets of similarity 0.75 have one kind in common.
+
+BAND registers form a band; texts that agree in a whole band are candidates.  The share of equal registers, corrected for
+chance collisions, must reach the wanted similarity within six standard deviations; what remains is compared on the full
+sets.  A pair at a similarity of exactly 0.75 misses all 32 bands with a probability of 5e-6, at 0.8 with 5e-8.
 
 How groups of any size stay cheap.  Texts with equal sets form a class and one document stands for it.  A bucket of
-candidates isn't expanded into its pairs: all are compared with its first member, the found links are closed to components,
-and only members of different components need more comparisons, a block of FIRST_CENTERS, then CENTERS members a round
-against all later ones, until every pair of the bucket has been compared or joined.  So no link between different
-components is lost, and a group of copies costs one comparison a copy.
+candidates isn't expanded into its pairs: all are compared with its first member and the found links are closed to
+components.  A bucket whose members are then in one component is done.  The members of the others are gathered around the
+largest component they touch (or by bucket), dealt to blocks of BLOCK, and each pair of blocks is compared in one task,
+which emits a spanning forest of its links and no pairs.  So every pair of a bucket has been compared or joined, and a
+group of copies costs about one comparison a copy.
 
 Defined results: documents without words have an empty set, a component of their own and are kept; ``doc_id`` names a
 document, so rows of one ``doc_id`` are in one component; a row with a null ``doc_id`` is linked with nothing, has a null
@@ -22,19 +26,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._store import stored
 from ._words import NOT_BLANK, grams, hash_words, mix, pieces, row_of
 
 SHINGLE, PERCENT = 5, 75
-BUCKETS_LOG2, BAND, MANTISSA = 7, 4, 26
-BUCKETS = 1 << BUCKETS_LOG2
-#: Chance that two different minima of a bucket have equal registers: equal leading zeros, then equal mantissas.
+REGISTERS_LOG2, BAND, MANTISSA = 7, 4, 26
+REGISTERS = 1 << REGISTERS_LOG2
+#: Sets up to SMALL are sketched by permutations, sets from LARGE on by buckets; LARGE <= 0.75 * SMALL.
+SMALL, LARGE = 256, 192
+#: Chance that two different minima of a register are equal: equal leading zeros, then equal mantissas.
 CHANCE = 2.0**-MANTISSA / 3
-FIRST_CENTERS, CENTERS = 8, 64
-#: Up to so many rows (24 bytes each) a list of documents to fetch is broadcast; beyond it is joined by a merge.
+#: Documents in a block of a candidate group.
+BLOCK = 256
+#: Up to so many rows (40 bytes each) a list of documents to fetch is broadcast; beyond it is joined by a merge.
 BROADCAST_ROWS = 200_000
+_TURN = np.random.default_rng(11).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -47,20 +56,32 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """HyperMinHash registers, a row for each set; 0 is an empty bucket."""
-    out = np.zeros((len(sets), BUCKETS), dtype=np.uint32)
-    every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-    if not len(every):
-        return out
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bucket = (every >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
-    key = row * BUCKETS + bucket
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))  # sets are sorted: a bucket's first hash is its smallest
-    rest = (every[first] << np.uint64(BUCKETS_LOG2)) & np.uint64(0xFFFFFFFFFFFFF800)
+def compressed(rest: np.ndarray) -> np.ndarray:
+    """Registers of hashes: leading zeros and one, then the mantissa; never 0."""
+    rest = rest & np.uint64(0xFFFFFFFFFFFFF800)
     zeros = np.minimum(64 - np.frexp(rest.astype(np.float64))[1], 62).astype(np.uint64)
     mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-    out.ravel()[key[first]] = (((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint32)
+    return (((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint32)
+
+
+def bucket_registers(sets: list[np.ndarray]) -> np.ndarray:
+    """Registers by buckets, a row for each set; 0 is an empty bucket."""
+    out = np.zeros((len(sets), REGISTERS), dtype=np.uint32)
+    every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    if len(every):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        key = row * REGISTERS + (every >> np.uint64(64 - REGISTERS_LOG2)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))  # sets are sorted: a bucket's first hash is its smallest
+        out.ravel()[key[first]] = compressed(every[first] << np.uint64(REGISTERS_LOG2))
+    return out
+
+
+def permuted_registers(sets: list[np.ndarray]) -> np.ndarray:
+    """Registers by permutations, a row for each (small) set; 0s for an empty set."""
+    out = np.zeros((len(sets), REGISTERS), dtype=np.uint32)
+    for i, s in enumerate(sets):
+        if len(s):
+            out[i] = compressed((s[:, None] * _TURN).min(axis=0))
     return out
 
 
@@ -96,7 +117,9 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _register_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, BUCKETS)
+    """0s where there is no sketch of the kind."""
+    none = bytes(4 * REGISTERS)
+    return np.frombuffer(b"".join([x or none for x in column.to_pylist()]), dtype=np.uint32).reshape(-1, REGISTERS)
 
 
 def _sketched(batches):
@@ -108,60 +131,126 @@ def _sketched(batches):
             names = np.array([[np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5))), np.add.reduce(mix(s + np.uint64(0x5DEECE66D)))] for s in sets], dtype=np.uint64).reshape(-1, 2)
             names[:, 0] += mix(size.astype(np.uint64))
             names[:, 1] ^= size.astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size), _binary(names), _binary(registers(sets))], ["doc_id", "n_shingles", "class", "registers"])
+            small, large = (size > 0) & (size <= SMALL), size >= LARGE
+            a = permuted_registers([s for s, x in zip(sets, small, strict=True) if x])
+            b = bucket_registers([s for s, x in zip(sets, large, strict=True) if x])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size), _binary(names), _spread(a, small), _spread(b, large)], ["doc_id", "n_shingles", "class", "small", "large"])
+
+
+def _spread(rows: np.ndarray, where: np.ndarray) -> pa.Array:
+    """Binary column with the rows where ``where`` is true, else null."""
+    at = np.cumsum(where) - 1
+    return _binary(rows).take(pa.array(at, mask=~where)) if len(rows) else pa.nulls(len(where), pa.binary())
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (equal sets have equal classes), registers."""
+    """doc_id, n_shingles, class (equal sets have equal classes), small and large (registers of either kind, or null)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_sketched, "doc_id long, n_shingles long, class binary, registers binary")
+    return docs.mapInArrow(_sketched, "doc_id long, n_shingles long, class binary, small binary, large binary")
 
 
 def _banded(batches):
     for batch in batches:
-        if batch.num_rows:
-            row, key = band_keys(_register_rows(batch.column("registers")))
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("rep").take(pa.array(row))], ["key", "rep"])
+        for kind in ("small", "large"):
+            has = pc.is_valid(batch.column(kind))
+            own = batch.filter(has)
+            if own.num_rows:
+                row, key = band_keys(_register_rows(own.column(kind)))
+                yield pa.RecordBatch.from_arrays([pa.array(key ^ (kind == "large")), own.column("rep").take(pa.array(row))], ["key", "rep"])
 
 
 def _probable(percent, batches):
     for batch in batches:
         if batch.num_rows:
-            keep = plausible(_register_rows(batch.column("ra")), _register_rows(batch.column("rb")), percent)
+            regs = {c: _register_rows(batch.column(c)) for c in ("small_a", "small_b", "large_a", "large_b")}
+            both = (regs["small_a"].any(axis=1) & regs["small_b"].any(axis=1))[:, None]
+            keep = plausible(np.where(both, regs["small_a"], regs["large_a"]), np.where(both, regs["small_b"], regs["large_b"]), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _confirmed(percent, batches):
-    """Rows (a, b, of_b, text) come sorted by (a, b): links pairs of which some text of a and of b are similar enough."""
-    pair, sides = None, ([], [])
+def links(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different components, as pairs of indices."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    if n < 2 or (component == component[0]).all():
+        return []
+    every = np.concatenate(sets)
+    row = np.repeat(np.arange(n), size)
+    _, code, count = np.unique(every, return_inverse=True, return_counts=True)
+    row, code = row[count[code] > 1], code[count[code] > 1]
+    _, code = np.unique(code, return_inverse=True)
+    common, order = np.zeros((n, n), dtype=np.float32), np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        lo, hi = np.searchsorted(code, [start, start + 4096])
+        m = np.zeros((n, 4096), dtype=np.float32)
+        m[row[lo:hi], code[lo:hi] - start] = 1
+        m = m[:, : int(code[hi - 1]) - start + 1]
+        common += m @ m.T
+    common = common.astype(np.int64)
+    a, b = np.nonzero(np.triu((100 * common >= percent * (size[:, None] + size[None, :] - common)) & (size[:, None] > 0), 1))
+    root: dict[int, int] = {}
+
+    def top(x):
+        while x in root:
+            x = root[x]
+        return x
 
-    def linked():
-        return any(len(x) and len(y) and 100 * (n := len(np.intersect1d(x, y, assume_unique=True))) >= percent * (len(x) + len(y) - n) for x in sides[0] for y in sides[1])
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = top(int(component[i])), top(int(component[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def _linked(percent, batches):
+    """Rows (task, doc, component, text) come sorted by task: the links of each task's documents, a forest of them."""
+    task, docs, component, sets = None, [], [], []
+
+    def found():
+        return [(docs[i], docs[j]) for i, j in links(sets, np.array(component), percent)]
 
     for batch in batches:
-        found = []
+        out = []
         for piece in pieces(batch, "text"):
-            a, b, of_b = (piece.column(c).to_pylist() for c in ("a", "b", "of_b"))
-            for k, s in enumerate(shingle_sets(piece.column("text"))):
-                if (a[k], b[k]) != pair:
-                    if pair and linked():
-                        found.append(pair)
-                    pair, sides = (a[k], b[k]), ([], [])
-                sides[of_b[k]].append(s)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
-    if pair and linked():
-        yield pa.RecordBatch.from_arrays([pa.array([pair[0]], pa.int64()), pa.array([pair[1]], pa.int64())], ["a", "b"])
+            columns = [piece.column(c).to_pylist() for c in ("task", "doc", "component")]
+            for t, d, c, s in zip(*columns, shingle_sets(piece.column("text")), strict=True):
+                if t != task:
+                    out += found()
+                    task, docs, component, sets = t, [], [], []
+                docs.append(d)
+                component.append(c)
+                sets.append(s)
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+    last = found()
+    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in last], pa.int64()), pa.array([p[1] for p in last], pa.int64())], ["a", "b"])
+
+
+def compare(docs: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the documents of each task.  ``tasks``: task, doc, component; a bounded number of rows a task."""
+    needed = stored(tasks)
+    few = needed.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(needed) if few else needed.hint("merge"), "doc")
+    ordered = texts.select("task", "doc", "component", "text").repartition("task").sortWithinPartitions("task")
+    return ordered.mapInArrow(lambda x: _linked(percent, x), "a long, b long")
 
 
 def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose estimate is plausible and whose full sets are similar enough."""
-    side = lambda name: reps.select(F.col("rep").alias(name), F.col("registers").alias(f"r{name}")).hint("merge")
-    probable = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb").mapInArrow(lambda x: _probable(percent, x), "a long, b long")
-    needed = stored(probable.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("of_b")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("of_b")))).alias("x")).select("a", "b", "x.*"))
-    few = needed.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(needed) if few else needed.hint("merge"), "doc_id")
-    ordered = texts.select("a", "b", "of_b", "text").repartition("a", "b").sortWithinPartitions("a", "b")
-    return ordered.mapInArrow(lambda x: _confirmed(percent, x), "a long, b long")
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("small").alias(f"small_{x}"), F.col("large").alias(f"large_{x}")).hint("merge")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "small_a", "small_b", "large_a", "large_b")
+    probable = joined.mapInArrow(lambda x: _probable(percent, x), "a long, b long")
+    both = F.explode(F.array("a", "b")).alias("doc")
+    return compare(docs, probable.select(F.xxhash64("a", "b").alias("task"), both).select("task", "doc", F.col("doc").alias("component")), percent)
+
+
+def block_tasks(members: DataFrame) -> DataFrame:
+    """Tasks (task, doc, component) that bring each two of a group's members together.  ``members``: group, doc, component."""
+    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    dealt = members.join(blocks.hint("merge"), "group").withColumn("own", F.pmod(F.xxhash64("doc"), "n").cast("int"))
+    pairs = dealt.select("group", "doc", "component", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    return pairs.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "doc", "component")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,8 +279,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = sketches.where("n_shingles > 0 and doc_id is not null").select("doc_id", "class")
     classes = stored(members.groupBy("class").agg(F.min("doc_id").alias("rep")))
     reps = stored(
-        sketches.where("n_shingles > 0").select("doc_id", "class", "registers")
-        .join(classes.select(F.col("rep").alias("doc_id"), "class").hint("merge"), ["doc_id", "class"]).select(F.col("doc_id").alias("rep"), "registers")
+        sketches.where("n_shingles > 0").select("doc_id", "class", "small", "large")
+        .join(classes.select(F.col("rep").alias("doc_id"), "class").hint("merge"), ["doc_id", "class"]).select(F.col("doc_id").alias("rep"), "small", "large")
     )
     bands = reps.mapInArrow(_banded, "key long, rep long")
     shared = bands.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
@@ -201,26 +290,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     edges = stored(placed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"))
     pairs = buckets.where("rep > first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     edges = edges.unionAll(stored(confirm(docs, reps, pairs, percent)))
-    labels, done, todo = stored(components(edges)), 1, None
-    while True:
-        known = labels.select(F.col("node").alias("rep"), "component").hint("merge")
-        within = (buckets.select("key", "rep").distinct() if todo is None else todo).join(known, "rep", "left").select("key", "rep", *([] if todo is None else ["rank"]), F.coalesce("component", "rep").alias("component"))
-        open_keys = within.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where(f"x < y and n > {done}").select("key")
-        members_left = within.join(open_keys.hint("merge"), "key")
-        if todo is None:
-            members_left = members_left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep")))
-        members_left = stored(members_left)
-        if members_left.isEmpty():
-            break
-        todo = members_left.select("key", "rep", "rank")
-        upto = FIRST_CENTERS if done < FIRST_CENTERS else done + CENTERS
-        centers = members_left.where(f"rank > {done} and rank <= {upto}").select("key", F.col("rep").alias("a"), F.col("rank").alias("at"), F.col("component").alias("ca"))
-        pairs = members_left.join(centers.hint("merge"), "key").where("rank > at and component <> ca").select("a", F.col("rep").alias("b")).distinct()
-        found = stored(confirm(docs, reps, pairs, percent))
+    labels = stored(components(edges))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    known = labels.join(sizes.hint("merge"), "component").select(F.col("node").alias("rep"), "component", "size").hint("merge")
+    within = buckets.select("key", "rep").join(known, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    top = F.max(F.struct("size", "component"))
+    unresolved = within.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), top.alias("top")).where("x < y")
+    unresolved = unresolved.select("key", F.when(F.col("top.size") > 1, F.xxhash64("top.component")).otherwise(F.xxhash64("key", F.lit("bucket"))).alias("group"))
+    members = stored(within.join(unresolved.hint("merge"), "key").select("group", F.col("rep").alias("doc"), "component").distinct())
+    if not members.isEmpty():
+        found = stored(compare(docs, block_tasks(members), percent))
         if not found.isEmpty():
-            edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)
-            labels = stored(components(edges))
-        done = upto
+            labels = stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)))
     own = classes.join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     rows = sketches.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("class")).alias("class"))
     component = F.coalesce("component", "doc_id")

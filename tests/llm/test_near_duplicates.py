@@ -41,8 +41,7 @@ def corpus():
 
 
 def test_components_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(nd, "FIRST_CENTERS", 2)
-    monkeypatch.setattr(nd, "CENTERS", 3)
+    monkeypatch.setattr(nd, "BLOCK", 3)
     rows = corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(frame(spark, rows)).collect()}
     assert got == brute.near_duplicates(rows)
@@ -64,20 +63,19 @@ def test_estimate_follows_the_similarity():
     for share in (0.3, 0.75, 0.9):
         union = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
         cut = (1 - share) / 2
-        a, b = union[int(len(union) * cut) :], union[: int(len(union) * (1 - cut))]
-        a, b = np.sort(rng.permutation(union)[: len(union)]), b
         mask = rng.random(len(union))
         a, b = union[mask > cut], union[mask < 1 - cut]
-        regs = nd.registers([a, b])
-        j, n = nd.estimate(regs[:1], regs[1:])
-        assert n[0] == nd.BUCKETS and abs(j[0] - share) < 0.2
+        for regs in (nd.bucket_registers([a, b]), nd.permuted_registers([a, b])):
+            j, n = nd.estimate(regs[:1], regs[1:])
+            assert n[0] == nd.REGISTERS and abs(j[0] - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.2
 
 
 def test_registers_hold_zeros_and_mantissa():
     h = np.array([1 << 56, (3 << 57) | 5, 1 << 63], dtype=np.uint64)
-    regs = nd.registers([np.sort(h)])[0]
-    assert (regs > 0).sum() == len({int(x) >> (64 - nd.BUCKETS_LOG2) for x in h})
-    assert (nd.registers([h[:0]]) == 0).all()
+    regs = nd.bucket_registers([np.sort(h)])[0]
+    assert (regs > 0).sum() == len({int(x) >> (64 - nd.REGISTERS_LOG2) for x in h})
+    assert (nd.bucket_registers([h[:0]]) == 0).all() and (nd.permuted_registers([h[:0]]) == 0).all()
+    assert nd.compressed(np.array([1 << 63, 1 << 62], dtype=np.uint64)).tolist() == [1 << nd.MANTISSA, 2 << nd.MANTISSA]
 
 
 def test_components_of_a_long_path(spark):
