@@ -130,7 +130,7 @@ def label_model(patterns: dict[int, int]) -> dict[int, float]:
     v = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     one_hot = (v[:, :, None] == np.arange(3)).astype(float)
     # class 0 is the good documents; expected rates of bad, good and no votes in each class, and of the classes
-    expected = np.array([[[0.01, 0.89, 0.1]] * len(LABELLERS)] + [[[0.7, 0.2, 0.1] if name in kind else [0.1, 0.8, 0.1] for name in MEASURES] for kind in KINDS])
+    expected = np.array([[[0.003, 0.9, 0.097]] * len(LABELLERS)] + [[[0.7, 0.2, 0.1] if name in kind else [0.1, 0.8, 0.1] for name in MEASURES] for kind in KINDS])
     share = expected_share = np.array([0.9] + [0.1 / len(KINDS)] * len(KINDS))
     rate, weight = expected, PRIOR * count.sum() + 1
     for _ in range(ROUNDS):

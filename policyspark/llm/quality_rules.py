@@ -14,6 +14,7 @@ an empty table gives an empty result; every column of the input is kept, and the
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -51,8 +52,14 @@ POLICIES = {p.version: p for p in (BASE, Policy("web-1", ("few_words", "repeated
 PRODUCTION = "web-1"
 
 
+MEASUREMENTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def measured(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``__m`` of measurements; clashing columns named ``__*`` are replaced."""
+    """``docs`` with a column ``__q_<name>`` for each of MEASUREMENTS; clashing columns named ``__*`` are replaced.
+
+    Flat columns that are used more than once keep the optimiser from repeating their expressions.
+    """
     text = F.coalesce(F.col(column), F.lit(""))
     df = docs.withColumn("__text", text)
     df = df.withColumn("__words", F.expr(rf"filter(split(__text, r'{BLANKS}'), w -> w <> '')"))
@@ -66,15 +73,15 @@ def measured(docs: DataFrame, column: str = "text") -> DataFrame:
     df = df.withColumn("__s", F.expr("if(__twice, array_sort(transform(__g, (g, i) -> struct(g, i))), array())"))
     df = df.withColumn("__p", F.expr("array_sort(transform(filter(__s, (s, i) -> (i > 0 and __s[i - 1].g = s.g) or (i < size(__s) - 1 and __s[i + 1].g = s.g)), s -> s.i))"))
     repeat = F.expr(f"aggregate(transform(__p, (p, i) -> if(i < size(__p) - 1, least({k}, __p[i + 1] - p), {k})), 0L, (a, x) -> a + x)")
-    m = F.struct(
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.translate("__text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        repeat.alias("n_repeat_words"),
-    )
-    return df.withColumn("__m", m).drop("__text", "__words", "__lines", "__h", "__g", "__twice", "__s", "__p")
+    m = {
+        "n_words": F.size("__words").cast("long"),
+        "word_chars": F.length(F.translate("__text", " \t\n\x0b\x0c\r", "")).cast("long"),
+        "n_symbols": (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long"),
+        "n_lines": F.size("__lines").cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_repeat_words": repeat,
+    }
+    return df.withColumns({f"__q_{k}": v for k, v in m.items()}).drop("__text", "__words", "__lines", "__h", "__g", "__twice", "__s", "__p")
 
 
 def add_ledger(docs: DataFrame, name: str = "ledger", column: str = "text") -> DataFrame:
@@ -82,11 +89,10 @@ def add_ledger(docs: DataFrame, name: str = "ledger", column: str = "text") -> D
     df = measured(docs, column)
     bits: Column = F.lit(0).cast("long")
     for i, (_, rule) in enumerate(RULES):
-        fails = rule
-        for f in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"):
-            fails = fails.replace(f, f"__m.{f}")
-        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return df.withColumn(name, F.struct("__m.*", bits.alias("failures"))).drop("__m")
+        bits = bits.bitwiseOR(F.when(F.expr(re.sub(rf"\b({'|'.join(MEASUREMENTS)})\b", r"__q_\1", rule)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    df = df.withColumn("__q_failures", bits)
+    fields = (*MEASUREMENTS, "failures")
+    return df.withColumn(name, F.struct(*[F.col(f"__q_{f}").alias(f) for f in fields])).drop(*[f"__q_{f}" for f in fields])
 
 
 def rejected(failures: Column, policy: Policy) -> Column:
@@ -96,7 +102,11 @@ def rejected(failures: Column, policy: Policy) -> Column:
 def filtered(docs: DataFrame, version: str = PRODUCTION) -> DataFrame:
     """The documents that a policy keeps, with the columns they came with."""
     ledger = "__ledger"
-    return add_ledger(docs, ledger).where(~rejected(F.col(f"{ledger}.failures"), POLICIES[version])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # A filter is pushed below the projections that make its columns, each use of a column repeating all it is made of:
+    # here that is exponential.  Adding a row number's bits to the column, none of which remain, keeps the filter above.
+    fence = F.monotonically_increasing_id().bitwiseAND(F.lit(0).cast("long"))
+    marked = add_ledger(docs, ledger).withColumn("__failures", F.col(f"{ledger}.failures").bitwiseOR(fence))
+    return marked.where(~rejected(F.col("__failures"), POLICIES[version])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ablations(ledger: DataFrame, version: str = PRODUCTION, name: str = "ledger") -> DataFrame:

@@ -70,7 +70,7 @@ def corpus():
         elif kind == 2:
             w = [x.upper() + "!!" for x in w[:12]] * 6
         elif kind == 3:
-            w = [x for x in w[:15] for _ in range(5)]
+            w = [x for x in w[:15] for _ in range(8)]
         out.append(" ".join(w))
         good.append(kind not in (1, 2, 3))
     return out, good
