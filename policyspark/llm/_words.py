@@ -82,12 +82,9 @@ def pieces(batch: pa.RecordBatch, column: str):
         start = stop
 
 
-def _hashed(column: pa.Array, alphabet: np.ndarray, heads: tuple[int, ...]):
-    raw, offsets = bytes_of(column)
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte behind the last) of every word; words end where rows do."""
     n = len(raw)
-    none = np.zeros(0, dtype=np.uint64)
-    if not n:
-        return none, np.zeros(len(offsets), dtype=np.int64), [(none.astype(np.int64), none) for _ in heads]
     inside = alphabet[raw]
     edge = np.empty(n + 1, dtype=bool)
     edge[0], edge[-1] = inside[0], inside[-1]
@@ -102,6 +99,16 @@ def _hashed(column: pa.Array, alphabet: np.ndarray, heads: tuple[int, ...]):
         both = np.unique(both)
         starts = np.union1d(starts, both)
         ends = np.union1d(ends, both)
+    return starts, ends
+
+
+def _hashed(column: pa.Array, alphabet: np.ndarray, heads: tuple[int, ...]):
+    raw, offsets = bytes_of(column)
+    n = len(raw)
+    none = np.zeros(0, dtype=np.uint64)
+    if not n:
+        return none, np.zeros(len(offsets), dtype=np.int64), [(none.astype(np.int64), none) for _ in heads]
+    starts, ends = word_bounds(raw, offsets, alphabet)
     up, down = _power_tables(n)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_CODES[raw] * up[:n], out=total[1:])

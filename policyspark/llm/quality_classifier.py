@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._store import stored
-from ._words import NOT_BLANK, bytes_of, grams, hash_words, mix, pieces, row_of
+from ._words import NOT_BLANK, bytes_of, grams, hash_words, mix, pieces, row_of, word_bounds
 from .toxicity import BIAS, Model, ftrl, sigmoid
 
 #: Documents that the scorer learns from at most, EM rounds, weight of the prior as a share of all documents.
@@ -90,9 +90,7 @@ def measure(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n_grams = by_row(gram_row)
     stutter = by_row(row[1:][(words[1:] == words[:-1]) & (row[1:] == row[:-1])]) if len(words) else np.zeros(len(n))
     # shape of a word: kinds of its first and last bytes and whether it is long; shapes by their share of the words
-    inside = NOT_BLANK[raw]
-    edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, ends = word_bounds(raw, offsets, NOT_BLANK) if len(raw) else (np.zeros(0, dtype=np.int64),) * 2
     owner = np.searchsorted(offsets, starts, side="right") - 1
     first, last = (_KIND[raw[starts]], _KIND[raw[ends - 1]]) if len(starts) else (starts, starts)
     plain = by_row(owner[np.isin(first, (0, 1, 3)) & np.isin(last, (0, 1, 3, 4))])

@@ -101,7 +101,7 @@ def test_odd_rows(spark):
 
 
 def test_label_model_learns_rates():
-    all_good, bad = qc.pattern(qc.votes(qc.measure(__import__("pyarrow").array(["plain words here and more of them to be read by all of us today " * 2, "AB!! CD## " * 30]))[0])).tolist()
+    all_good, bad = qc.pattern(qc.votes(qc.measure(__import__("pyarrow").array(["plain words here and more of them to be read by all of us today", "AB!! CD## " * 30]))[0])).tolist()
     model = qc.label_model({all_good: 900, bad: 100})
     assert model[all_good] > 0.95 and model[bad] < 0.2
     assert qc.label_model({}) == {}
