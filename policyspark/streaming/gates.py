@@ -99,7 +99,7 @@ def _walk(gate: Gate, state, pdf: pd.DataFrame):
 def gated_batch(df: DataFrame, gate: Gate) -> DataFrame:
     """device, seq, outcome of a table."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, seqs, outcomes = _walk(gate, None, pdf)
         return pd.DataFrame({"device": key[0], "seq": seqs, "outcome": outcomes})
 
@@ -109,7 +109,7 @@ def gated_batch(df: DataFrame, gate: Gate) -> DataFrame:
 def gated_stream(df: DataFrame, gate: Gate) -> DataFrame:
     """device, seq, outcome of a stream; the state outlives micro-batches."""
 
-    def one(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def one(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(pdfs))
         now = state.get if state.exists else None
         now, seqs, outcomes = _walk(gate, tuple(now) if now else None, rows)
