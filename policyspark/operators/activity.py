@@ -197,3 +197,28 @@ def undelivered(queue: DataFrame) -> DataFrame:
 def image_admissible(width: Column, height: Column) -> Column:
     """admissible, or the reason against: empty, too_small (96 pixels on the shorter side), too_elongated (8 to 1)."""
     return F.when((width <= 0) | (height <= 0), "empty").when(F.least(width, height) < 96, "too_small").when(F.greatest(width, height) > 8 * F.least(width, height), "too_elongated").otherwise("admissible")
+
+
+def guard_health(active: Column, service_enabled: Column) -> Column:
+    """idle unless the guard is active; then protecting, or unprotected where its service is off."""
+    return F.when(~active, "idle").when(service_enabled, "protecting").otherwise("unprotected")
+
+
+def status_message(health: Column, phase: Column, recognised: Column) -> Column:
+    """What a user is told: a guard that isn't running first, then the release phases, then an unverified device."""
+    shown = {"pending": "disarm_pending", "ready": "disarm_ready", "disarmed": "disarmed", "off": "idle"}
+    message = F.when(health == "unprotected", "guard_not_running")
+    for state, text in shown.items():
+        message = message.when(phase == state, text)
+    return message.when(~recognised, "device_unverified").otherwise("protecting")
+
+
+def unprotected_notices(checks: DataFrame, order: list[str]) -> DataFrame:
+    """The checks (device, .., health) at which a device falls into unprotected; its first check counts as a fall."""
+    return edges(checks, "device", order, "health").where("health = 'unprotected'")
+
+
+def trimmed(log: DataFrame, key: str, order: list[Column], keep: int = KEEP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(the newest rows of each key, how many were dropped: key, dropped)"""
+    dropped = log.groupBy(key).agg(F.greatest(F.count("*") - keep, F.lit(0)).alias("dropped"))
+    return latest_first(log, key, order, keep), dropped

@@ -152,3 +152,8 @@ def all_gates(gates: list[DataFrame]) -> DataFrame:
 def fold_overlay(merged: DataFrame, adds: DataFrame, removes: DataFrame) -> DataFrame:
     """Planned in the reference: overlay additions joined in, removals taken out."""
     return merged.join(removes.select("domain").distinct(), "domain", "left_anti").unionByName(adds.join(merged.select("domain"), "domain", "left_anti"))
+
+
+def sorted_keys(merged: DataFrame, partitions: int) -> DataFrame:
+    """The list in key order over range partitions, for sorted output files without a single task."""
+    return merged.repartitionByRange(partitions, "domain").sortWithinPartitions("domain")

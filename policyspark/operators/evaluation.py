@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Sweep thresholds, guardrail, tile threshold (inclusive).
@@ -110,3 +112,21 @@ def trimmed_mean(updates: DataFrame, trim: float, least_clients: int) -> DataFra
     cut = F.floor(F.col("n") * trim)
     kept = ranked.where((F.col("r") > cut) & (F.col("r") <= F.col("n") - cut)).groupBy("i").agg(F.avg("x").alias("mean"))
     return kept.crossJoin(enough).where("ok").select("i", "mean")  # one row
+
+
+def score_corpus(files: DataFrame, score: Callable[[Column], Column], corpus: str) -> DataFrame:
+    """Scores of a corpus scan (path, content) by the caller's function, a pandas UDF say: corpus, item, score."""
+    return files.select(F.lit(corpus).alias("corpus"), F.col("path").alias("item"), score(F.col("content")).cast("double").alias("score"))
+
+
+def train_head(labelled: DataFrame, rounds: int = 50, ridge: float = 1e-3) -> tuple[list[float], float]:
+    """Planned in the reference: (weights, bias) of a logistic head on ``labelled`` (embedding, label 0/1), data-parallel.
+
+    For two classes the softmax head has logits (0, w.e + b).
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = labelled.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"), F.col("label").cast("double").alias("label"))
+    model = LogisticRegression(maxIter=rounds, regParam=ridge).fit(rows)
+    return model.coefficients.toArray().tolist(), float(model.intercept)

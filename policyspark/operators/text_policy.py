@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import ALNUM, leet_fold, compact, separator_tokens, url_token_streams, views
 
@@ -105,6 +107,23 @@ def verdicts(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Dat
     return docs.select("doc_id").join(scored.hint("merge"), "doc_id", "left").select("doc_id", score.alias("score"), action(score).alias("action"), "dominant_category", F.coalesce(F.size("evidence"), F.lit(0)).cast("long").alias("n_terms"))
 
 
+def with_model(done: DataFrame, texts: DataFrame, model: Callable[[Column], Column], block_above: float) -> DataFrame:
+    """Verdicts with a model asked for the warn band only: ``model`` maps text to a probability (a pandas UDF, say).
+
+    The reference accepts such a hook and never calls it; here it is off unless this function is used.
+    """
+    band = done.where("action = 'warn'").join(texts.select("doc_id", "text"), "doc_id").withColumn("p", model(F.col("text")))
+    harder = band.where(F.col("p") >= block_above).select("doc_id").distinct().withColumn("harder", F.lit(True))
+    return done.join(harder, "doc_id", "left").withColumn("action", F.when(F.col("harder"), "block").otherwise(F.col("action"))).drop("harder")
+
+
+def amplified(found: DataFrame, lexicon: DataFrame, span: int, points: int = 15) -> DataFrame:
+    """Planned in the reference: per document and category, ``points`` once where two matches start within ``span`` tokens."""
+    m = found.where("mode <> 'compact'").join(F.broadcast(lexicon.select("term_id", "category")), "term_id").select("doc_id", "category", "start").distinct()
+    gap = F.col("start") - F.lag("start").over(Window.partitionBy("doc_id", "category").orderBy("start"))
+    return m.withColumn("gap", gap).groupBy("doc_id", "category").agg(F.min("gap").alias("gap")).select("doc_id", "category", F.when(F.col("gap") <= span, points).otherwise(0).alias("points"))
+
+
 def worst(items: DataFrame) -> DataFrame:
     """Per item of several scanners' rows (item, action): the worst action, block before warn before allow."""
     rank = F.create_map(F.lit("block"), F.lit(2), F.lit("warn"), F.lit(1), F.lit("allow"), F.lit(0))

@@ -18,6 +18,7 @@ RESCAN_MS = 300
 FRAME_MS, FRAME_BITS = 1_000, 6
 REFIRE_MS, RESET_MS, MOST_IN_A_ROW = 1_200, 5_000, 3
 COALESCE_MS = 10_000
+COOLDOWN_MS, READY_MS, DISARM_MS = 15 * 60_000, 5 * 60_000, 10 * 60_000
 
 
 @dataclass(frozen=True)
@@ -73,6 +74,23 @@ def _burst(s, r):
     return "fired", (r.at_ms, n + 1)
 
 
+def _cooldown(s, r):
+    """State: when the last request and the last disarm came; the outcome is the phase after the row."""
+    asked, done = s or (-1, -1)
+    if r.event == "request":
+        asked = r.at_ms
+    elif r.event == "disarm":
+        done = r.at_ms
+    since = lambda t: r.at_ms - t if t >= 0 else -1
+    if 0 <= since(done) < DISARM_MS:
+        phase = "disarmed"
+    elif not 0 <= since(asked) < COOLDOWN_MS + READY_MS:
+        phase = "armed"
+    else:
+        phase = "pending" if since(asked) < COOLDOWN_MS else "ready"
+    return phase, (asked, done)
+
+
 def screen_gate(own_package: str) -> Gate:
     """Change and debounce dedupe of screen text: device, seq, at_ms, package, text."""
     return Gate(("package", "text"), "package string, text string, at_ms long", _screen(own_package))
@@ -84,6 +102,8 @@ FRAME_GATE = Gate(("hash",), "hash long, at_ms long", _frame)
 REPEAT_GATE = Gate(("event", "detail"), "event string, detail string, at_ms long", _repeat)
 #: Burst limiter: device, seq, at_ms.
 BURST_GATE = Gate((), "at_ms long, n int", _burst)
+#: Cooldown of a release request: device, seq, at_ms, event (request, disarm or any other, a look at the clock).
+COOLDOWN_GATE = Gate(("event",), "asked long, done long", _cooldown)
 OUTCOME = "device string, seq long, outcome string"
 
 

@@ -92,7 +92,7 @@ def test_windowed_streams(spark, table_dir):
     assert counts.agg(F.sum("n")).first()[0] == 200  # the watermark, an hour behind, closes the first two days
     policy = spark.createDataFrame([("error", "block")], "host string, action string")
     acted = plans._streamed(spark, table_dir, lambda s: sg.host_stream(s.select(F.col("event_type").alias("host")), policy))
-    assert {r.host: r.action for r in acted.distinct().collect()} == {"error": "block", "click": "proxy", "view": "proxy"}
+    assert {r.host: r.action for r in acted.distinct().collect()} == {"error": "block", "click": "proxy"}
 
 
 def test_small_rules(spark):
@@ -109,3 +109,24 @@ def test_small_rules(spark):
     assert {x.item: x.route for x in routed} == {"a": "accept", "b": "human", "c": "accept"}
     q = spark.createDataFrame([(2, None), (1, None), (3, 5)], "created_at int, delivered_at int")
     assert [x.created_at for x in ac.undelivered(q).collect()] == [1, 2]
+
+
+def test_cooldown_gate(spark, table_dir):
+    rows = [(0, "tick"), (1000, "request"), (900_999, "tick"), (901_000, "tick"), (1_000_000, "disarm"), (1_500_000, "tick"), (1_600_000, "tick"), (2_000_000, "request"), (5, "tick")]
+    df = spark.createDataFrame([("d", i, *r) for i, r in enumerate(rows[:-1])] + [("e", 0, 5, "request"), ("e", 1, 1_200_005, "tick")], "device string, seq long, at_ms long, event string")
+    got = {(r.device, r.seq): r.outcome for r in sg.gated_batch(df, sg.COOLDOWN_GATE).collect()}
+    assert [got["d", i] for i in range(8)] == ["armed", "pending", "pending", "ready", "disarmed", "disarmed", "armed", "pending"]
+    assert got["e", 1] == "armed"
+    e = plans.events(spark, table_dir)
+    kind = lambda f: f.withColumn("event", F.when(F.col("event") == "error", "request").when(F.col("event") == "view", "disarm").otherwise("tick")).withColumn("at_ms", F.col("seq") * 60_000)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(plans._streamed(spark, table_dir, lambda s: sg.gated_stream(kind(plans._frames(s)), sg.COOLDOWN_GATE))) == rows(sg.gated_batch(kind(plans._frames(e)), sg.COOLDOWN_GATE))
+
+
+def test_guard_status(spark):
+    df = spark.createDataFrame([("d", i, a, s, p, r) for i, (a, s, p, r) in enumerate([(False, False, "off", True), (True, False, "pending", True), (True, False, "armed", True), (True, True, "ready", True), (True, True, "armed", False), (True, True, "armed", True), (True, False, "armed", True)])], "device string, seq int, active boolean, on boolean, phase string, known boolean")
+    df = df.withColumn("health", ac.guard_health(F.col("active"), F.col("on"))).withColumn("message", ac.status_message(F.col("health"), F.col("phase"), F.col("known")))
+    assert [r.message for r in df.orderBy("seq").collect()] == ["idle", "guard_not_running", "guard_not_running", "disarm_ready", "device_unverified", "protecting", "guard_not_running"]
+    assert [r.seq for r in ac.unprotected_notices(df, ["seq"]).orderBy("seq").collect()] == [1, 6]
+    kept, dropped = ac.trimmed(df, "device", [F.desc("seq")], 5)
+    assert sorted(r.seq for r in kept.collect()) == [2, 3, 4, 5, 6] and dropped.first().dropped == 2

@@ -67,3 +67,11 @@ def test_trimmed_mean(spark):
     u = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(10)], "client int, vector array<double>")
     assert {r.i: r["mean"] for r in ev.trimmed_mean(u, 0.1, 10).collect()} == {0: 4.5, 1: 0.0}
     assert ev.trimmed_mean(u, 0.1, 11).count() == 0
+
+
+def test_head_training_and_corpus_scores(spark):
+    df = spark.createDataFrame([([float(i % 2), 1.0], i % 2) for i in range(40)], "embedding array<double>, label int")
+    w, b = ev.train_head(df)
+    assert w[0] > 2 and b < 0
+    files = spark.createDataFrame([("p1", bytearray(b"abc"))], "path string, content binary")
+    assert tuple(ev.score_corpus(files, lambda c: F.octet_length(c) / 10, "benign").first()) == ("benign", "p1", 0.3)

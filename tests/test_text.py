@@ -75,3 +75,17 @@ def test_assemble_and_variants(spark):
 def test_worst(spark):
     df = spark.createDataFrame([(1, "warn"), (1, "block"), (2, "allow")], "item int, action string")
     assert {r.item: r.action for r in tp.worst(df).collect()} == {1: "block", 2: "allow"}
+
+
+def test_model_is_asked_in_the_warn_band_only(spark):
+    done = spark.createDataFrame([(1, "warn"), (2, "warn"), (3, "allow"), (4, "block")], "doc_id long, action string")
+    texts = spark.createDataFrame([(i, "x" * i, "en") for i in range(1, 5)], TEXTS)
+    asked = tp.with_model(done, texts, lambda t: F.length(t) / 4, 0.5)
+    assert {r.doc_id: r.action for r in asked.collect()} == {1: "warn", 2: "block", 3: "allow", 4: "block"}
+
+
+def test_amplifier(spark):
+    lex = tp.lexicon_table(spark, [(1, "bad", "x", "low", ["token_sequence"]), (2, "sad", "x", "low", ["token_sequence"])])
+    docs = spark.createDataFrame([(1, "bad or sad", "en"), (2, "bad " + "w " * 30 + "sad", "en"), (3, "bad", "en")], TEXTS)
+    got = {r.doc_id: r.points for r in tp.amplified(tp.matches(docs, lex), lex, 5).collect()}
+    assert got == {1: 15, 2: 0, 3: 0}
