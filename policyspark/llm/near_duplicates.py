@@ -247,7 +247,8 @@ def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) ->
 
 def block_tasks(members: DataFrame) -> DataFrame:
     """Tasks (task, doc, component) that bring each two of a group's members together.  ``members``: group, doc, component."""
-    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    # written out: with a plain exchange on both sides, the join's hot groups can be split
+    blocks = stored(members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")))
     dealt = members.join(blocks.hint("merge"), "group").withColumn("own", F.pmod(F.xxhash64("doc"), "n").cast("int"))
     pairs = dealt.select("group", "doc", "component", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     return pairs.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "doc", "component")
