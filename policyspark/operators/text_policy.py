@@ -48,15 +48,18 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     terms = terms.withColumn("key", F.array_join("tokens", "\x00")).withColumn("n", F.size("tokens")).cache()
     stats = terms.agg(F.array_sort(F.collect_set("n")).alias("n"), F.count("*").alias("c")).first()
     lengths = [n for n in stats.n if n] or [1]
+    # of a small lexicon the keys are looked up within the row, so that only hits become rows
+    keys = [r.key for r in terms.select("key").distinct().collect()] if stats.c <= MOST_COMPACT else None
+    wanted = (lambda g: g) if keys is None else (lambda g: F.filter(g, lambda x: x["gram"].isin(keys)))
     side = F.broadcast if stats.c <= BROADCAST_TERMS else (lambda t: t.hint("merge"))
     out = []
     # token sequences; an exact phrase is one whose tokens stand between the phrase's own separators
     pieces = F.regexp_extract_all("normalized", F.lit(f"[^{ALNUM}]*[{ALNUM}]+"), F.lit(0))
-    grams = v.select("doc_id", "separator_tokens", pieces.alias("pieces")).select("doc_id", "pieces", F.explode(_ngrams(F.col("separator_tokens"), lengths)).alias("g"))
+    grams = v.select("doc_id", "separator_tokens", pieces.alias("pieces")).select("doc_id", "pieces", F.explode(wanted(_ngrams(F.col("separator_tokens"), lengths))).alias("g"))
     seq = grams.select("doc_id", "pieces", "g.*").join(side(terms.where("mode in ('token_sequence', 'exact_phrase')")), F.col("gram") == F.col("key"))
     spelled = F.regexp_replace(F.array_join(F.slice("pieces", F.col("start") + 1, F.col("n")), ""), f"^[^{ALNUM}]+", "")
     out.append(seq.where((F.col("mode") == "token_sequence") | (spelled == F.col("lowered"))).select("doc_id", "term_id", "mode", "start", "stop"))
-    urls = v.select("doc_id", F.explode(url_token_streams(F.col("raw"))).alias("tokens")).select("doc_id", F.explode(_ngrams(F.col("tokens"), lengths)).alias("g")).select("doc_id", "g.*")
+    urls = v.select("doc_id", F.explode(url_token_streams(F.col("raw"))).alias("tokens")).select("doc_id", F.explode(wanted(_ngrams(F.col("tokens"), lengths))).alias("g")).select("doc_id", "g.*")
     out.append(urls.join(side(terms.where("mode = 'url_token_sequence'")), F.col("gram") == F.col("key")).select("doc_id", "term_id", "mode", "start", "stop").distinct())
     small = [r for r in terms.where("mode = 'compact'").select("term_id", leet_fold(compact(F.col("lowered"))).alias("p")).limit(MOST_COMPACT + 1).collect() if r.p]
     if len(small) > MOST_COMPACT:
