@@ -6,12 +6,13 @@ length is missed.  A document's fingerprints are joined to the benchmark's, and
 ``WINDOW`` words around it, which are compared word by word with the item.
 
 The benchmark is joined in blocks of at most ``BLOCK_WORDS`` words, so that what a task holds of it is bounded however
-large it is; one pass over the documents serves one block, and the blocks' findings are put together by document.
+large it is; one pass over the documents serves one block.  With several blocks the document rows are stored with a row id, and
+the blocks' findings are put together by that id.
 
 Defined results: null or wordless text has no words, no hits; an item of fewer than ``WINDOW`` words is one window; an
-item without words never occurs; repeated ``doc_id`` rows are judged row by row when the benchmark fits one block and
-share their union of hits otherwise; a null ``item_id`` or an empty benchmark contributes nothing.  Columns of
-``documents`` other than ``doc_id`` and ``text`` are ignored.
+item without words never occurs; every document row has a result row of its own, also where ``doc_id`` is repeated or null;
+rows of a repeated ``item_id`` are one item, counted once; a null ``item_id`` or an empty benchmark contributes nothing.
+Columns of ``documents`` other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ._store import stored
 from ._words import ALNUM, grams, hash_words, pieces, row_of
 
 #: Words of a fingerprinted gram, and words of a window that counts as contamination.
@@ -29,6 +31,7 @@ BLOCK_WORDS = 1_000_000
 
 HITS = T.StructType(
     [
+        T.StructField("row_id", T.LongType()),
         T.StructField("doc_id", T.LongType()),
         T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))),
@@ -109,7 +112,7 @@ class Block:
 
 
 def _found(block: Block | None, batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("item_ids", pa.list_(pa.int64()))])
+    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("item_ids", pa.list_(pa.int64()))])
     for batch in batches:
         for piece in pieces(batch, "text"):
             words, splits = hash_words(piece.column("text"), ALNUM)
@@ -121,7 +124,7 @@ def _found(block: Block | None, batches):
                 np.add.at(edge, start + n, -1)
                 count = table[2][k + 1] - table[2][k]
                 flat = np.repeat(table[2][k] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-                items.append(np.stack([np.repeat(row[start], count), table[3][flat]], axis=1))
+                items.append(np.stack([np.repeat(row[start], count), block.ids[table[3][flat]]], axis=1))
             hit = np.cumsum(edge[:-1]) > 0
             # spans: runs of hit words within a row
             new = hit.copy()
@@ -133,8 +136,8 @@ def _found(block: Block | None, batches):
             span_ends = np.searchsorted(owner, np.arange(n_rows + 1))
             spans = pa.ListArray.from_arrays(pa.array(span_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(start - splits[owner]), pa.array(stop - splits[owner])], ["start", "stop"]))
             pairs = np.unique(np.concatenate(items), axis=0) if items else np.zeros((0, 2), dtype=np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[:, 0], np.arange(n_rows + 1)), pa.int32()), pa.array(block.ids[pairs[:, 1]] if block else np.zeros(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(splits)), spans, ids], schema=schema)
+            ids = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[:, 0], np.arange(n_rows + 1)), pa.int32()), pa.array(pairs[:, 1]))
+            yield pa.RecordBatch.from_arrays([piece.column("row_id"), piece.column("doc_id"), pa.array(np.diff(splits)), spans, ids], schema=schema)
 
 
 def _blocks(benchmark: DataFrame, block_words: int):
@@ -159,24 +162,29 @@ def _blocks(benchmark: DataFrame, block_words: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: word spans (start, stop) that occur in benchmark items and the items they occur in.
+    """Per document row: word spans (start, stop) that occur in benchmark items and the items they occur in.
 
     Columns: doc_id, n_words, spans (disjoint, ascending), item_ids (ascending).
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = []
-    for block in _blocks(benchmark, block_words):
+    docs = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts, blocks = [], _blocks(benchmark, block_words)
+    block, after = next(blocks, None), next(blocks, None)
+    if after is not None:
+        docs = stored(docs)  # each pass sees the same row ids
+    while block is not None:
         shared = spark.sparkContext.broadcast(block)  # at most block_words words, or one item
         parts.append(docs.mapInArrow(lambda batches, shared=shared: _found(shared.value, batches), HITS))
+        block, after = after, next(blocks, None)
     if not parts:
-        return docs.mapInArrow(lambda batches: _found(None, batches), HITS)
+        return docs.mapInArrow(lambda batches: _found(None, batches), HITS).drop("row_id")
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].drop("row_id")
     every = parts[0]
     for p in parts[1:]:
-        every = every.unionAll(p)
-    whole = every.groupBy("doc_id").agg(
+        every = every.unionAll(p.where(F.size("spans") > 0))
+    whole = every.groupBy("row_id").agg(
+        F.max("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),

@@ -54,3 +54,15 @@ def test_empty_tables_and_stage(spark):
     left = dc.decontaminate(d, b)
     assert left.columns == d.columns
     assert {r.doc_id for r in left.collect()} == {k for k, v in want.items() if not v[1]}
+
+
+def test_repeated_and_null_ids_in_one_block_and_several(spark):
+    a, b = " ".join(f"p{i}" for i in range(12)), " ".join(f"q{i}" for i in range(12))
+    docs = [(1, a), (1, "clean"), (1, a + " " + b), (None, b), (None, "clean too"), (None, b), (2, None)]
+    items = [(9, a), (7, b), (9, a), (9, b), (None, a), (8, " ".join(f"z{i}" for i in range(12)))]
+    d, m = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(1, 12, 12, [9]), (1, 1, 0, []), (1, 24, 24, [7, 9]), (None, 12, 12, [7, 9]), (None, 2, 0, []), (None, 12, 12, [7, 9]), (2, 0, 0, [])], key=str)
+    for words in (1000, 24, 12):
+        out = dc.contamination(d, m, words)
+        assert sorted(((r.doc_id, r.n_words, sum(s.stop - s.start for s in r.spans), list(r.item_ids)) for r in out.collect()), key=str) == want, words
+        assert sorted((r.n_items for r in dc.digest(out).collect())) == [0, 0, 0, 1, 2, 2, 2], words
