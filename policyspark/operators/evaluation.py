@@ -40,15 +40,34 @@ def profiles(scores: DataFrame) -> DataFrame:
     return scores.agg(rows.alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+def _between(score: Column, bounds: list[float], first: int = 0) -> Column:
+    """``first`` and the number of ascending ``bounds`` at or below score, by halving."""
+    if not bounds:
+        return F.lit(first)
+    m = len(bounds) // 2
+    return F.when(score < bounds[m], _between(score, bounds[:m], first)).otherwise(_between(score, bounds[m + 1 :], first + m + 1))
+
+
 def by_score(scores: DataFrame, decimals: int | None = None) -> DataFrame:
-    """score, pos, neg and the totals at or above it.  ``decimals`` bins continuous scores, to bound the rows."""
+    """score, pos, neg and the totals at or above it, by exact score.  ``decimals`` bins scores on request.
+
+    Scores are dealt into ranges at approximate quantiles; totals run within a range, and those of the ranges above are added.
+    """
     s = F.col("score") if decimals is None else F.round("score", decimals)
     g = scores.groupBy(s.alias("score")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # one row a distinct score
-    return g.select("score", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
-
-
-def ranking_quality(scores: DataFrame, decimals: int | None = 4) -> DataFrame:
+    n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = F.col("score").cast("double")
+    bounds = g.select(x.alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.5 / n) if n > 1 else []
+    g = g.withColumn("part", F.when(x.isNull(), -1).otherwise(_between(x, sorted(set(bounds)))))
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    over = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    parts = g.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select("part", over("p").alias("tp0"), over("n").alias("fp0"))
+    w = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    j = g.join(F.broadcast(parts), "part")
+    return j.select("score", "pos", "neg", (F.col("tp0") + F.sum("pos").over(w)).alias("tp"), (F.col("fp0") + F.sum("neg").over(w)).alias("fp"))
+
+
+def ranking_quality(scores: DataFrame, decimals: int | None = None) -> DataFrame:
     """One row: roc_auc (ties count half) and pr_auc (step-wise average precision); null without both classes."""
     b = by_score(scores, decimals)
     total = b.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
@@ -58,7 +77,7 @@ def ranking_quality(scores: DataFrame, decimals: int | None = 4) -> DataFrame:
     return j.agg(roc.alias("roc_auc"), ap.alias("pr_auc"))
 
 
-def operating_points(scores: DataFrame, budgets: tuple[float, ...], decimals: int | None = 4) -> DataFrame:
+def operating_points(scores: DataFrame, budgets: tuple[float, ...], decimals: int | None = None) -> DataFrame:
     """For each miss budget the highest threshold that stays within it and the over-block rate there."""
     b = by_score(scores, decimals)
     j = b.crossJoin(b.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))  # one row

@@ -32,6 +32,23 @@ def test_ranking(spark):
     assert [(x.budget, x.threshold) for x in p] == [(0.0, 0.7), (0.5, 0.9)]
 
 
+def test_ranking_keeps_close_scores_apart(spark):
+    df = spark.createDataFrame([(1, 0.12346), (0, 0.12345), (1, 0.9), (0, 0.12348)], "label int, score double")
+    assert ev.ranking_quality(df).first().roc_auc == 0.75
+    p = ev.operating_points(df, (0.0, 0.5)).collect()
+    assert [(x.threshold, x.over_block, x.miss) for x in p] == [(0.12346, 0.5, 0.0), (0.9, 0.0, 0.5)]
+
+
+def test_totals_run_over_all_ranges(spark):
+    rows = [(i * 7 % 3 % 2, (i * 7919 % 1009) / 1013) for i in range(3000)] + [(1, None), (0, None), (1, float("nan")), (0, float("-inf"))]
+    df = spark.createDataFrame(rows, "label int, score double")
+    got = ev.by_score(df)
+    at = lambda x: (0, 0) if x is None else (2, 0) if x != x else (1, x)
+    for r in got.collect():
+        assert (r.tp, r.fp) == (sum(y == 1 and at(x) >= at(r.score) for y, x in rows), sum(y == 0 and at(x) >= at(r.score) for y, x in rows)), r
+    assert got.count() == 1009 + 3 and ev.by_score(df.limit(0)).count() == 0
+
+
 def test_guardrail(spark):
     one = lambda r, f: spark.createDataFrame([(r, f)], "recall double, fpr double")
     status = lambda *x: ev.guardrail(one(0.9, 0.1), one(*x)).first().status
