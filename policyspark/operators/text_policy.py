@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import ALNUM, leet_fold, compact, separator_tokens, url_token_streams, views
+from ..functions.text import ALNUM, ENGLISH, separator_tokens, url_token_streams, views
 
 #: Points by severity, shares by match mode (ordinal order), by source, and exceptions.
 BASE = {"high": 80, "medium": 35, "low": 15}
@@ -41,12 +41,14 @@ def _ngrams(tokens: Column, lengths: list[int]) -> Column:
 def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> DataFrame:
     """doc_id, term_id, mode, start, stop, one row a match (token offsets; for compact mode character counts only).
 
-    Matches at equal offsets of one term and mode count once, also those of different URLs of a text.
+    Matches at equal offsets of one term and mode count once, also those of different URLs of a text.  A phrase takes the
+    language steps of the text it is matched with; URL tokens are lower-case in all languages.
     """
-    v = views(docs, with_nfkc=with_nfkc)
-    terms = lexicon.select("term_id", "phrase", F.lower("phrase").alias("lowered"), F.explode("modes").alias("mode")).withColumn("tokens", separator_tokens(F.lower("phrase")))
-    terms = terms.withColumn("key", F.array_join("tokens", "\x00")).withColumn("n", F.size("tokens")).cache()
-    stats = terms.agg(F.array_sort(F.collect_set("n")).alias("n"), F.count("*").alias("c")).first()
+    v = views(docs, with_nfkc=with_nfkc).withColumn("own", F.when(F.col("lang") == ENGLISH, ENGLISH).otherwise(""))
+    terms = lexicon.select("term_id", "phrase", F.explode("modes").alias("mode")).withColumn("form", F.explode(F.array(F.lit(ENGLISH), F.lit(""))))
+    terms = views(terms, "phrase", "form", with_nfkc).withColumn("lead", F.regexp_extract("normalized", f"^[^{ALNUM}]*", 0)).withColumn("trail", F.regexp_extract("normalized", rf"[^{ALNUM}]*\z", 0))
+    terms = terms.select("term_id", "mode", "form", "lead", F.regexp_replace("normalized", rf"^[^{ALNUM}]+|[^{ALNUM}]+\z", "").alias("core"), "trail", F.col("leet_compact").alias("p"), F.array_join("separator_tokens", "\x00").alias("key"), F.size("separator_tokens").alias("n")).cache()
+    stats = terms.agg(F.array_sort(F.collect_set("n")).alias("n"), F.count_if(F.col("form") == ENGLISH).alias("c")).first()
     lengths = [n for n in stats.n if n] or [1]
     # of a small lexicon the keys are looked up within the row, so that only hits become rows
     keys = [r.key for r in terms.select("key").distinct().collect()] if stats.c <= MOST_COMPACT else None
@@ -54,18 +56,26 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     side = F.broadcast if stats.c <= BROADCAST_TERMS else (lambda t: t.hint("merge"))
     out = []
     # token sequences; an exact phrase is one whose tokens stand between the phrase's own separators
-    pieces = F.regexp_extract_all("normalized", F.lit(f"[^{ALNUM}]*[{ALNUM}]+"), F.lit(0))
-    grams = v.select("doc_id", "separator_tokens", pieces.alias("pieces")).select("doc_id", "pieces", F.explode(wanted(_ngrams(F.col("separator_tokens"), lengths))).alias("g"))
-    seq = grams.select("doc_id", "pieces", "g.*").join(side(terms.where("mode in ('token_sequence', 'exact_phrase')")), F.col("gram") == F.col("key"))
+    pieces = F.regexp_extract_all("normalized", F.lit(f"[^{ALNUM}]*[{ALNUM}]+|[^{ALNUM}]+$"), F.lit(0))
+    grams = v.select("doc_id", "own", "separator_tokens", pieces.alias("pieces")).select("doc_id", "own", "pieces", F.size("separator_tokens").alias("all"), F.explode(wanted(_ngrams(F.col("separator_tokens"), lengths))).alias("g"))
+    seq = grams.select("doc_id", "own", "pieces", "all", "g.*").join(side(terms.where("mode in ('token_sequence', 'exact_phrase')")), (F.col("gram") == F.col("key")) & (F.col("own") == F.col("form")))
     spelled = F.regexp_replace(F.array_join(F.slice("pieces", F.col("start") + 1, F.col("n")), ""), f"^[^{ALNUM}]+", "")
-    out.append(seq.where((F.col("mode") == "token_sequence") | (spelled == F.col("lowered"))).select("doc_id", "term_id", "mode", "start", "stop"))
+    apart = lambda i: F.coalesce(F.regexp_extract(F.get("pieces", F.col(i)), f"^[^{ALNUM}]*", 0), F.lit(""))
+    # the phrase's own outer characters, with no letter or digit right beside them
+    led = (F.col("lead") == "") | (F.endswith(apart("start"), F.col("lead")) & ((F.col("start") == 0) | (F.length(apart("start")) > F.length("lead"))))
+    trailed = (F.col("trail") == "") | (F.startswith(apart("stop"), F.col("trail")) & ((F.col("stop") == F.col("all")) | (F.length(apart("stop")) > F.length("trail"))))
+    out.append(seq.where((F.col("mode") == "token_sequence") | ((spelled == F.col("core")) & led & trailed)).select("doc_id", "term_id", "mode", "start", "stop"))
     urls = v.select("doc_id", F.explode(url_token_streams(F.col("raw"))).alias("tokens")).select("doc_id", F.explode(wanted(_ngrams(F.col("tokens"), lengths))).alias("g")).select("doc_id", "g.*")
-    out.append(urls.join(side(terms.where("mode = 'url_token_sequence'")), F.col("gram") == F.col("key")).select("doc_id", "term_id", "mode", "start", "stop").distinct())
-    small = [r for r in terms.where("mode = 'compact'").select("term_id", leet_fold(compact(F.col("lowered"))).alias("p")).limit(MOST_COMPACT + 1).collect() if r.p]
-    if len(small) > MOST_COMPACT:
+    out.append(urls.join(side(terms.where(f"mode = 'url_token_sequence' and form = '{ENGLISH}'")), F.col("gram") == F.col("key")).select("doc_id", "term_id", "mode", "start", "stop").distinct())
+    small = [r for r in terms.where("mode = 'compact'").select("term_id", "form", "p").limit(2 * MOST_COMPACT + 1).collect() if r.p]
+    if len(small) > 2 * MOST_COMPACT:
         raise ValueError(f"at most {MOST_COMPACT} terms may have compact mode")
     if small:
-        found = F.explode(F.array(*[F.struct(F.lit(r.term_id).alias("term_id"), F.regexp_count("leet_compact", F.lit(f"(?={r.p})")).alias("n")) for r in small]))
+        forms: dict[tuple[int, str], set[str]] = {}
+        for r in small:
+            forms.setdefault((r.term_id, r.p), set()).add(r.form)
+        count = lambda p, own: F.when(F.col("own").isin(*own), F.regexp_count("leet_compact", F.lit(f"(?={p})"))).otherwise(0)
+        found = F.explode(F.array(*[F.struct(F.lit(t).alias("term_id"), count(p, own).alias("n")) for (t, p), own in forms.items()]))
         hits = v.select("doc_id", found.alias("h")).where("h.n > 0")
         out.append(hits.select("doc_id", "h.term_id", F.lit("compact").alias("mode"), F.explode(F.sequence(F.lit(0), F.col("h.n") - 1)).alias("start")).select("*", F.col("start").alias("stop")))
     every = out[0]

@@ -53,6 +53,23 @@ def test_match_modes(spark):
     assert got == [(1, 1, "exact_phrase")] + [(1, 1, "token_sequence")] * 2 + [(2, 2, "compact")] * 3 + [(3, 3, "url_token_sequence")]
 
 
+def test_phrases_take_the_steps_of_the_text(spark):
+    lex = [(1, "Bad Haus", "x", "low", ALL), (2, "B4d", "x", "low", ["compact"]), (3, "Site com", "x", "low", ["url_token_sequence"])]
+    docs = spark.createDataFrame([(1, "BAD haus b-a-d", "en"), (2, "ein Bad Haus B-4-d", "de"), (3, "bad haus bad", "de"), (4, "Bad Haus", None), (5, "http://SITE.com", "de"), (6, "Ｂａｄ  Haus", "fr")], TEXTS)
+    got = sorted((r.doc_id, r.term_id, r.mode) for r in tp.matches(docs, tp.lexicon_table(spark, lex)).collect())
+    every = lambda d: [(d, 1, "compact"), (d, 1, "exact_phrase"), (d, 1, "token_sequence")]
+    assert got == every(1) + [(1, 2, "compact")] * 2 + every(2) + [(2, 2, "compact")] + every(4) + [(5, 3, "url_token_sequence")] + every(6)
+
+
+def test_outer_characters_of_an_exact_phrase(spark):
+    lex = [(1, "c++", "x", "low", ["exact_phrase"]), (2, "(bad)", "x", "low", ["exact_phrase"]), (3, "bad", "x", "low", ["exact_phrase"]), (4, "#a b!", "x", "low", ["exact_phrase"])]
+    texts = ["C++", "c+", "c++!", "c++x", "(bad)", "x (bad) y", "x(bad)", "(bad)y", "((bad))", "bad)", "see #a b!", "see a b!", "#a b", "#a b!!, #a b!"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], TEXTS)
+    got = sorted((r.doc_id, r.term_id) for r in tp.matches(docs, tp.lexicon_table(spark, lex)).collect())
+    want = [(i, k) for i, t in enumerate(texts) for k, p, *_ in lex for j in range(len(t)) if t.lower().startswith(p, j) and not t[:j][-1:].isalnum() and not t[j + len(p) :][:1].isalnum()]
+    assert got == sorted(want) and {k for _, k in want} == {1, 2, 3, 4}
+
+
 def test_order_and_partitions_do_not_matter(spark):
     lex = tp.lexicon_table(spark, [(i, w, "x", "low", ALL) for i, w in enumerate(["a b", "b", "c a"])])
     rows = [(i, " ".join("abc"[(i * k) % 3] for k in range(1, 12)), "en") for i in range(30)]
