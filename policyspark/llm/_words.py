@@ -69,14 +69,14 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str):
-    """Slices of a batch of about PIECE_BYTES of text each, one row at least."""
+def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE_BYTES):
+    """Slices of a batch of about ``size`` bytes of text each, one row at least."""
     if not batch.num_rows:
         return
     _, offsets = bytes_of(batch.column(column))
     start = 0
     while start < batch.num_rows:
-        stop = int(np.searchsorted(offsets, offsets[start] + PIECE_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop

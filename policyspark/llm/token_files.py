@@ -30,20 +30,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ._store import shared_dir
+from ._words import pieces
 
-#: Values in a block, per cent of them that the packed width must hold, and ids after which a segment is closed.
-BLOCK, PERCENTILE, SEGMENT_IDS = 512, 95, 1 << 17
-#: Texts encoded together.
-ROWS = 256
+#: Values in a block (a multiple of 64), per cent of them that the packed width must hold, and ids after which a segment is closed.
+BLOCK, PERCENTILE, SEGMENT_IDS = 1024, 95, 1 << 17
+#: Bytes of text encoded together, one row at least.
+TEXT_BYTES = 12 << 20
 MAGIC = b"PFB1"
-#: Letters whose lower case is one letter too.
+#: Letters whose lower case is one letter too; none of them is changed by NFC.
 LATIN = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha())
-#: Distinct chunks of text whose ids a worker remembers, some 150 bytes each.
-CACHE = 1_600_000
+#: Marks that may follow a word within a chunk.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
+#: How byte-level vocabularies write bytes as characters: printable ones as themselves, the others from 0x100 on in order.
+_PRINTED = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+WRITTEN = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+#: Bytes of words and ids that a worker remembers at most, with ENTRY bytes for what Python adds to each.
+CACHE_BYTES, ENTRY = 256 << 20, 180
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
@@ -57,20 +64,56 @@ def _width_and_parts(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return width, (rest.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype("<u4")
 
 
+def _packed_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bytes: the low ``width`` bits of each row's values, least bit first."""
+    rows, n = values.shape
+    groups = -(-n // 64)
+    v = np.zeros((rows, groups * 64), dtype=np.uint64)
+    v[:, :n] = values & np.uint32((1 << width) - 1)
+    v = np.ascontiguousarray(v.reshape(-1, 64).T)  # 64 values fill ``width`` words of 64 bits
+    words = np.zeros((max(width, 1), v.shape[1]), dtype="<u8")
+    for j in range(64):
+        at, shift = divmod(j * width, 64)
+        words[at] |= v[j] << np.uint64(shift)
+        if shift + width > 64:
+            words[at + 1] |= v[j] >> np.uint64(64 - shift)
+    packed = np.ascontiguousarray(words[:width].T).view(np.uint8).reshape(rows, -1)
+    return packed[:, : (n * width + 7) // 8]
+
+
+def _unpacked_bits(packed: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The inverse of :func:`_packed_bits`."""
+    rows, groups = len(packed), -(-n // 64)
+    if not width:
+        return np.zeros((rows, n), dtype=np.uint32)
+    padded = np.zeros((rows, groups * width * 8), dtype=np.uint8)
+    padded[:, : packed.shape[1]] = packed
+    words = np.ascontiguousarray(padded.view("<u8").reshape(-1, width).T)
+    out = np.empty((64, words.shape[1]), dtype=np.uint32)
+    for j in range(64):
+        at, shift = divmod(j * width, 64)
+        v = words[at] >> np.uint64(shift)
+        if shift + width > 64:
+            v |= words[at + 1] << np.uint64(64 - shift)
+        out[j] = v & np.uint64((1 << width) - 1)
+    return np.ascontiguousarray(out.T).reshape(rows, -1)[:, :n]
+
+
 def _pack_rows(values: np.ndarray) -> list[bytes]:
     """Blocks of rows of equal length; rows of one width are packed together."""
     low = values.min(axis=1)
     rest = values - low[:, None]
     width, high = _width_and_parts(rest)
-    odd = high != 0
+    odd_row, odd_at = np.nonzero(high)
+    odd_ends = np.searchsorted(odd_row, np.arange(len(values) + 1)).tolist()
+    odd_at, odd_high = odd_at.astype("<u2"), high[odd_row, odd_at]
     out: list[bytes] = [b""] * len(values)
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        bits = ((rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
-        for row, body in zip(rows.tolist(), packed, strict=True):
-            at = np.flatnonzero(odd[row])
-            out[row] = struct.pack("<HBHI", values.shape[1], w, len(at), int(low[row])) + body.tobytes() + at.astype("<u2").tobytes() + high[row][at].tobytes()
+        packed = _packed_bits(rest[rows], w)
+        for row, minimum, body in zip(rows.tolist(), low[rows].tolist(), packed, strict=True):
+            a, b = odd_ends[row], odd_ends[row + 1]
+            out[row] = struct.pack("<HBHI", values.shape[1], w, b - a, minimum) + body.tobytes() + odd_at[a:b].tobytes() + odd_high[a:b].tobytes()
     return out
 
 
@@ -91,27 +134,23 @@ def unpack_blocks(data: memoryview, at: int, count: int) -> np.ndarray:
         n, width, n_odd, low = struct.unpack_from("<HBHI", data, at)
         heads.append((n, width, n_odd, low, at + 9))
         at += 9 + (n * width + 7) // 8 + 6 * n_odd
-    ends = np.cumsum([0] + [h[0] for h in heads])
-    out = np.zeros(ends[-1], dtype=np.uint32)
+    sizes = np.array([h[0] for h in heads], dtype=np.int64)
+    ends = np.append(0, np.cumsum(sizes))
+    out = np.empty(ends[-1], dtype=np.uint32)
     alike: dict[tuple[int, int], list[int]] = {}
     for i, (n, width, *_) in enumerate(heads):
         alike.setdefault((n, width), []).append(i)
     for (n, width), rows in alike.items():
         size = (n * width + 7) // 8
-        packed = np.stack([np.frombuffer(data, np.uint8, size, heads[i][4]) for i in rows])
-        bits = np.unpackbits(packed, axis=1, count=n * width, bitorder="little").reshape(len(rows), n, width)
-        padded = np.zeros((len(rows), n, 32), dtype=np.uint8)
-        padded[:, :, :width] = bits
-        values = np.packbits(padded, axis=2, bitorder="little").view("<u4")[:, :, 0]
-        for i, v in zip(rows, values, strict=True):
-            out[ends[i] : ends[i + 1]] = v
-    for i, (n, width, n_odd, low, body) in enumerate(heads):
-        own = out[ends[i] : ends[i + 1]]
-        if n_odd:
-            behind = body + (n * width + 7) // 8
-            odd = np.frombuffer(data, "<u2", n_odd, behind)
-            own[odd] |= np.frombuffer(data, "<u4", n_odd, behind + 2 * n_odd) << np.uint32(width)
-        own += np.uint32(low)
+        packed = np.frombuffer(b"".join([data[heads[i][4] : heads[i][4] + size] for i in rows]), np.uint8).reshape(len(rows), size)
+        out[ends[rows][:, None] + np.arange(n)] = _unpacked_bits(packed, n, width)
+    odd = [(i, h[2], h[1], h[4] + (h[0] * h[1] + 7) // 8) for i, h in enumerate(heads) if h[2]]
+    if odd:
+        which, n_odd, widths = (np.array(x, dtype=np.int64) for x in list(zip(*odd, strict=True))[:3])
+        at = np.frombuffer(b"".join([data[x : x + 2 * n] for _, n, _, x in odd]), "<u2") + np.repeat(ends[which], n_odd)
+        high = np.frombuffer(b"".join([data[x + 2 * n : x + 6 * n] for _, n, _, x in odd]), "<u4")
+        out[at] |= high << np.repeat(widths, n_odd).astype(np.uint32)
+    out += np.repeat(np.array([h[3] for h in heads], dtype=np.uint32), sizes)
     return out
 
 
@@ -151,6 +190,11 @@ def read_ids(data: bytes, start: int, stop: int) -> np.ndarray:
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 
+def _written(word: str) -> str:
+    """A word's UTF-8 bytes as the characters of a byte-level vocabulary."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(WRITTEN)
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct chunk between blanks once.
 
@@ -166,21 +210,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
-        self.apart: re.Pattern | None = None
-        for text in ("a b", "Ab  c\nd\te, f's 12 <|endoftext|> x", "é́ ß Ω", " lead and trail. ", "don't, it's. 's, ,. .,"):
-            want = self.tokenizer.encode(text, add_special_tokens=False).ids
-            if np.frombuffer(b"".join(self.encode([text])), "<u4").tolist() != want:
+        self.size = 0
+        self.tails: dict[str, bytes | None] = {}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)", re.IGNORECASE).search
+        # words of LATIN letters alone go to the library's model: the steps before it lower their case and write their bytes
+        self.plain = not any(map(str.isalpha, special)) and all(self._library(x) == self._model(x) for x in ("s", "re", "tion" * 9, "xqzjv", "isntdoesll", "éeuxÜ", "ñaß", *LATIN))
+        for text in ("a b", "Ab  c\nd\te, f's 12 <|endoftext|> x", "é́ ß Ω H̱i", " lead and trail. ", "don't, it's. 's, ,. .,", "a<|endoftext|> İs Ünd'. it's' x###"):
+            if self.encode([text])[0] != self._library(text):
                 raise ValueError(f"{path}: not a tokenizer of blank-separated words")
-        # a full stop or comma behind a Latin letter is a word of its own if it is so behind "a"
-        for end in ".,":
-            ids, letter = (np.frombuffer(self.encode([x])[0], "<u4").tolist() for x in ("a" + end, "a"))
-            if ids[: len(letter)] == letter and ids[len(letter) :] == self.tokenizer.encode(end, add_special_tokens=False).ids:
-                self.ends[end] = np.array(ids[len(letter) :], dtype="<u4").tobytes()
-
-        # texts in which such a mark before a blank always follows a Latin letter are split there too
-        if self.ends:
-            self.apart = re.compile(f"(?:^|[^{''.join(sorted(LATIN))}])[{re.escape(''.join(self.ends))}][ \\n]")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -188,87 +226,141 @@ class Encoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _model(self, word: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(_written(word.lower()))], dtype="<u4").tobytes()
+
+    def _tail(self, marks: str) -> bytes | None:
+        """Ids of marks behind a letter, or null where they aren't a word of their own."""
+        if marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            own = self._library(marks)
+            self.tails[marks] = own if self._library("a" + marks) == self._library("a") + own else None
+        return self.tails[marks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        split = [self._split(t) for t in texts]
-        chunks = set().union(*split)
-        missing = chunks.difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > CACHE // 2:  # the older half goes, what is in use comes back from it
-                self.known, self.old = {c: self.known[c] for c in chunks - missing}, self.known
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-    def _split(self, text: str) -> list[str]:
-        if self.apart and not self.apart.search(text):
-            for end in self.ends:
-                text = text.replace(end + " ", f" {end} ").replace(end + "\n", f" {end} ")
-        return text.replace("\n", " ").split(" ")
-
-    def _learn(self, missing: set[str]) -> None:
-        known, old, ends = self.known, self.old, self.ends
-        new, ended = set(), []
-        for c in missing:
-            ids = old.get(c)
-            if ids is not None:
-                known[c] = ids
-            elif c[-1:] in ends and len(c) > 1 and c[-2] in LATIN:
-                ended.append(c)
+        ids, counts = self.encode_rows(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        return [ids[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+
+    def encode_rows(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, how many each row has); null is the empty text, ``end_id`` follows each row's own ids."""
+        column = texts.cast(pa.large_string()).fill_null("")
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        chunks = split.flatten().dictionary_encode()
+        # no chunk holds a blank, so that they can be turned into Python strings all at once
+        blank = [pa.scalar(x, pa.large_string()) for x in ("", " ")]
+        listed = pc.binary_join_element_wise(chunks.dictionary, *blank).buffers()[2]
+        found = self._ids_of(listed.to_pybytes().decode().split(" ")[: len(chunks.dictionary)] if listed else [])
+        found.append(b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes())
+        table = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts = np.cumsum(size) - size
+        rows = np.diff(split.offsets.to_numpy())
+        # the last entry of the table stands behind each row's chunks
+        code = np.insert(chunks.indices.to_numpy(), np.cumsum(rows), len(found) - 1)
+        n = size[code]
+        behind = np.cumsum(n)
+        ids = table[np.repeat(starts[code] - behind + n, n) + np.arange(behind[-1] if len(behind) else 0)]
+        row_ends = np.append(0, behind)[np.cumsum(rows + 1)]
+        return ids, np.diff(row_ends, prepend=0)
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        known = self.known
+        found = list(map(known.get, chunks))
+        words: dict[str, str] = {}
+        for c, ids in zip(chunks, found, strict=True):
+            if ids is None:
+                # the word before marks is what is remembered, of plain letters in lower case
+                word = c.rstrip(MARKS)
+                if word is not c and not (word and word[-1] in LATIN and self._tail(c[len(word) :]) is not None and not self.special(c)):
+                    word = c
+                words[c] = word.lower() if self.plain and word.isascii() and word.isalpha() else word
+        if words:
+            if self.size > CACHE_BYTES // 2:  # the older half goes, what is in use comes back from it
+                self.known, self.old, self.size = {}, known, 0
+            of = {w: ids for w in set(words.values()) if (ids := known.get(w)) is not None}
+            of |= self._learn([w for w in set(words.values()) if w not in of])
+            tails = self.tails
+            found = [of[w := words[c]] + (tails[c[len(w) :]] if len(w) < len(c) else b"") if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+        return found
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words, which are remembered."""
+        new: dict[str, bytes] = {}
+        rest = []
+        model = self.tokenizer.model.tokenize
+        ids: list[int] = []
+        spans: list[tuple[str, int, int]] = []
+        for w in missing:
+            known = self.old.get(w)
+            if known is not None:
+                new[w] = known
+            elif self.plain and w and LATIN.issuperset(w):
+                at = len(ids)
+                ids += [t.id for t in model(w if w.isascii() else _written(w.lower()))]
+                spans.append((w, 4 * at, 4 * len(ids)))
+            elif w:
+                rest.append(w)
             else:
-                new.add(c)
-        new.update(b for c in ended if (b := c[:-1]) not in known and b not in old)
-        new.discard("")
-        known[""] = b""
-        todo = list(new)
-        for at in range(0, len(todo), 500):
-            some = todo[at : at + 500]
+                new[w] = b""
+        raw = np.array(ids, dtype="<u4").tobytes()
+        for w, a, b in spans:
+            new[w] = raw[a:b]
+        for at in range(0, len(rest), 500):
+            some = rest[at : at + 500]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            if not e.ids:
-                known.update(dict.fromkeys(some, b""))
-                continue
             # ids belong to the chunk in which their text starts
             starts = np.cumsum([0] + [len(c) + 1 for c in some])
-            cut = 4 * np.searchsorted(np.array(e.offsets)[:, 0], starts)
+            cut = 4 * np.searchsorted(np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0], starts)
             raw = np.array(e.ids, dtype="<u4").tobytes()
             for c, a, b in zip(some, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                known[c] = raw[a:b]
-        for c in ended:
-            base = c[:-1]
-            known[c] = (known[base] if base in known else old[base]) + ends[c[-1]]
+                new[c] = raw[a:b]
+        self.known.update(new)
+        self.size += ENTRY * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
+        return new
 
 
 def _segments(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder, end = Encoder.of(path), np.array([end_id], dtype="<u4").tobytes()
+    encoder = Encoder.of(path)
     part, seq, before = TaskContext.get().partitionId(), 0, 0
     docs: list[int | None] = []
-    encoded: list[bytes] = []
-    size = 0
+    parts: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
 
-    def closed() -> pa.RecordBatch:
-        counts = np.array([len(e) // 4 for e in encoded], dtype=np.uint32)
-        segment = write_segment(np.frombuffer(b"".join(encoded), "<u4"), counts)
-        row = {"part": part, "seq": seq, "part_offset": before, "n_ids": int(counts.sum()), "doc_ids": list(docs), "segment": segment}
+    def closed(n: int) -> pa.RecordBatch:
+        segment = write_segment(np.concatenate(parts), np.concatenate(counts))
+        row = {"part": part, "seq": seq, "part_offset": before, "n_ids": n, "doc_ids": list(docs), "segment": segment}
         return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
+    size = 0
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            rows = batch.slice(at, ROWS)
-            texts = rows.column("text").to_pylist()
-            for doc, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode([t or "" for t in texts]), strict=True):
-                docs.append(doc)
-                encoded.append(ids + end)
-                size += len(ids) // 4 + 1
+        for rows in pieces(batch, "text", TEXT_BYTES):
+            ids, n = encoder.encode_rows(rows.column("text"), end_id)
+            ends, ids_of_rows = np.cumsum(n), rows.column("doc_id").to_pylist()
+            at, taken = 0, 0
+            while at < len(n):
+                # up to the row that fills the segment
+                stop = min(int(np.searchsorted(ends, taken + SEGMENT_IDS - size)) + 1, len(n))
+                docs += ids_of_rows[at:stop]
+                parts.append(ids[taken : ends[stop - 1]])
+                counts.append(n[at:stop])
+                size += int(ends[stop - 1]) - taken
+                at, taken = stop, int(ends[stop - 1])
                 if size >= SEGMENT_IDS:
-                    yield closed()
+                    yield closed(size)
                     seq, before, size = seq + 1, before + size, 0
-                    docs.clear()
-                    encoded.clear()
+                    for x in (docs, parts, counts):
+                        x.clear()
     if docs:
-        yield closed()
+        yield closed(size)
 
 
 SEGMENTS = "part int, seq int, part_offset long, n_ids long, doc_ids array<long>, segment binary"
@@ -278,10 +370,11 @@ _ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_offset", p
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, out: str) -> None:
     """Encodes ``docs`` (doc_id, text), appends ``end_id`` to each and writes the token files to ``out``.
 
-    The only shuffle is the range exchange of the texts that puts them in ``doc_id`` order.
+    The only shuffle is the range exchange of the texts that puts them in ``doc_id`` order; rows of one ``doc_id``, or with
+    none, are dealt on by the first characters of their text and by row, so that they don't all go to one task.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange("doc_id", F.left("text", F.lit(32)), F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(lambda batches: _segments(tokenizer_path, end_id, batches), SEGMENTS).write.option("compression", "none").parquet(out)
 
 

@@ -104,3 +104,35 @@ def test_empty_tables(spark):
     none = frame(spark).limit(0)
     assert piece_bpe.digest(none, public.path("piece_bpe_32k.model")).count() == 0
     assert token_files.written_tokens(none, public.path("word_bpe_49k.json"), 2).count() == 0
+
+
+@pytest.mark.parametrize("most", [token_files.CACHE_BYTES, 2_000])
+def test_word_ids_equal_the_library_on_random_texts(monkeypatch, most):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "CACHE_BYTES", most)
+    path, rng = public.path("word_bpe_49k.json"), random.Random(17)
+    encoder, library = token_files.Encoder(path), Tokenizer.from_file(path)
+    parts = ["a", "B", "the", "Ing", " ", "\n", "\t", "  ", " ", " ", "é", "É", "é", "H̱", "İ", "ß", "Σ", "σας", "中", "12", "½", ".", ",", "'", "'s", "'S", "###", "<|", "<|endoftext|>", "<|EndOfText|>", "|>", "-", "_", "٣", "ﬁ", "\x00", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    for at in range(0, len(texts), 500):
+        for text, ids in zip(texts[at : at + 500], encoder.encode(texts[at : at + 500]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("width", [0, 1, 7, 16, 17, 31, 32])
+def test_packed_bits_are_least_bit_first(width):
+    values = np.random.default_rng(width).integers(0, 2**32, (3, 130), dtype=np.uint64).astype(np.uint32)
+    low = values & np.uint32((1 << width) - 1)
+    packed = token_files._packed_bits(values, width)
+    for row, body in zip(low.tolist(), packed, strict=True):
+        assert int.from_bytes(body.tobytes(), "little") == sum(v << (i * width) for i, v in enumerate(row))
+    assert (token_files._unpacked_bits(packed, 130, width) == low).all()
+
+
+def test_rows_of_one_id_keep_text_order(spark):
+    rows = [(7, f"{'same beginning of forty characters or more'} {i % 50:03}") for i in range(400)] + [(None, "n")] * 50
+    got = token_files.written_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), public.path("word_bpe_49k.json"), 2)
+    assert got.count() == 450 and got.where("doc_id is null").count() == 50
+    starts = sorted(r.start for r in got.collect())
+    assert starts[0] == 0 and len(set(starts)) == 450
