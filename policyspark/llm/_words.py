@@ -9,8 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Odd multipliers of the polynomial hashes (modulo 2**64) and seed of the byte table.
-BYTE_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Odd multiplier of the polynomial hash of word hashes (modulo 2**64), and seed of the tables of bytes and places.
 GRAM_MULT = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 SEED = 20240229
 
@@ -42,22 +41,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _powers(m: np.uint64, n: int) -> np.ndarray:
-    out = np.empty(n + 1, dtype=np.uint64)
-    out[0] = 1
-    out[1:] = m
-    return np.multiply.accumulate(out)
+_places = np.zeros(0, dtype=np.uint64)
 
 
-_cache: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _cache or len(_cache["up"]) <= n:
-        size = max(n, 1 << 16)
-        _cache["up"] = _powers(BYTE_MULT, size)
-        _cache["down"] = _powers(np.uint64(pow(int(BYTE_MULT), -1, 2**64)), size)
-    return _cache["up"], _cache["down"]
+def _place_codes(n: int) -> np.ndarray:
+    """A random odd number for each place in a word; the same for a place however many are asked for."""
+    global _places
+    if len(_places) < n:
+        _places = mix(np.arange(1, max(n, 256) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED)) | np.uint64(1)
+    return _places
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,22 +76,17 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE_BYTES):
 
 def word_bounds(raw: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first byte, byte behind the last) of every word; words end where rows do."""
-    n = len(raw)
-    inside = alphabet[raw]
-    edge = np.empty(n + 1, dtype=bool)
-    edge[0], edge[-1] = inside[0], inside[-1]
-    np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
-    starts = np.flatnonzero(edge[:-1] & inside)
-    ends = np.flatnonzero(edge[1:] & inside) + 1
-    # a row's first and last bytes may touch the next row's words
+    inside = alphabet.take(raw)
     cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < n)]
-    both = cuts[inside[cuts] & inside[cuts - 1]]
-    if len(both):
-        both = np.unique(both)
-        starts = np.union1d(starts, both)
-        ends = np.union1d(ends, both)
-    return starts, ends
+    cuts = cuts[(cuts > 0) & (cuts < len(raw))]  # where a row ends, a word does
+    edge = inside.copy()
+    edge[1:] &= ~inside[:-1]
+    edge[cuts] = inside[cuts]
+    starts = np.flatnonzero(edge)
+    edge = inside.copy()
+    edge[:-1] &= ~inside[1:]
+    edge[cuts - 1] = inside[cuts - 1]
+    return starts, np.flatnonzero(edge) + 1
 
 
 def _hashed(column: pa.Array, alphabet: np.ndarray, heads: tuple[int, ...]):
@@ -109,16 +96,22 @@ def _hashed(column: pa.Array, alphabet: np.ndarray, heads: tuple[int, ...]):
     if not n:
         return none, np.zeros(len(offsets), dtype=np.int64), [(none.astype(np.int64), none) for _ in heads]
     starts, ends = word_bounds(raw, offsets, alphabet)
-    up, down = _power_tables(n)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_CODES[raw] * up[:n], out=total[1:])
+    if not len(starts):
+        return none, np.zeros(len(offsets), dtype=np.int64), [(none.astype(np.int64), none) for _ in heads]
+    # a word's hash is the sum over its bytes of (code of the byte) x (random number of its place in the word): no word
+    # pattern makes such a sum collide, as patterns do with the powers of one number
+    first = starts[0]
     length = ends - starts
-    begun, scale = total[starts], down[starts]
-    h = mix(((total[ends] - begun) * scale) ^ length.astype(np.uint64))
+    codes = _place_codes(int(length.max()))
+    place = np.arange(n - first, dtype=np.int32) - np.repeat((starts - first).astype(np.int32), np.diff(starts, append=n))
+    total = np.zeros(n - first + 1, dtype=np.uint64)
+    np.cumsum(_CODES[raw[first:]] * codes.take(place, mode="clip"), out=total[1:])  # what follows a word doesn't count
+    begun = total[starts - first]
+    h = mix((total[ends - first] - begun) ^ length.astype(np.uint64))
     found = []
     for p in heads:
         at = np.flatnonzero(length >= p)
-        found.append((at, mix((total[starts[at] + p] - begun[at]) * scale[at])))
+        found.append((at, mix(total[starts[at] + p - first] - begun[at])))
     return h, np.searchsorted(starts, offsets, side="left"), found
 
 
@@ -132,14 +125,17 @@ def hash_parts(column: pa.Array, alphabet: np.ndarray, heads: tuple[int, ...]):
     return _hashed(column, alphabet, heads)
 
 
-def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words from each position on; the last k - 1 positions of the array have none."""
+def grams(h: np.ndarray, k: int, mult: np.uint64 = GRAM_MULT) -> np.ndarray:
+    """Hash of the k words from each position on; the last k - 1 positions of the array have none.
+
+    ``h`` are the words' hashes, random 64-bit numbers already, so that a polynomial of their few is enough.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     out = np.zeros(n, dtype=np.uint64)
     for j in range(k):
-        out *= GRAM_MULT
+        out *= mult
         out += h[j : j + n]
     return mix(out + np.uint64(k))
 
