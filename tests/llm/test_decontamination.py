@@ -40,9 +40,25 @@ def test_hits_equal_brute_force(spark):
     check(docs, items, dc.contamination(d, b).collect())
 
 
-def test_blocks_of_the_benchmark(spark):
+def test_merged_sides_and_a_full_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dc, "BITS_EACH", 0)
+    monkeypatch.setattr(dc, "LEAST_BITS", 3)  # every bit is set: all fingerprints go to the join
     docs, items, d, b = tables(spark)
-    check(docs, items, dc.contamination(d, b, block_words=45).collect())
+    check(docs, items, dc.contamination(d, b).collect())
+
+
+def test_words_of_one_pattern_are_told_apart(spark):
+    """Thue-Morse words and their complements, which hashes by powers of one number modulo 2**64 can't tell apart."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 2048):
+        w, other = word[:n], word[:n].translate(str.maketrans("ab", "ba"))
+        rest = " ".join(f"r{i}" for i in range(9))
+        docs = spark.createDataFrame([(1, f"{w} {rest}"), (2, f"{other} {rest}")], "doc_id long, text string")
+        found = {r.doc_id: r.n_words * bool(r.spans) for r in dc.contamination(docs, spark.createDataFrame([(5, f"{w} {rest}")], "item_id long, text string")).collect()}
+        assert found == {1: 10, 2: 0}
 
 
 def test_empty_tables_and_stage(spark):
@@ -56,13 +72,25 @@ def test_empty_tables_and_stage(spark):
     assert {r.doc_id for r in left.collect()} == {k for k, v in want.items() if not v[1]}
 
 
-def test_repeated_and_null_ids_in_one_block_and_several(spark):
+def test_repeated_and_null_ids(spark, monkeypatch):
     a, b = " ".join(f"p{i}" for i in range(12)), " ".join(f"q{i}" for i in range(12))
     docs = [(1, a), (1, "clean"), (1, a + " " + b), (None, b), (None, "clean too"), (None, b), (2, None)]
     items = [(9, a), (7, b), (9, a), (9, b), (None, a), (8, " ".join(f"z{i}" for i in range(12)))]
     d, m = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted([(1, 12, 12, [9]), (1, 1, 0, []), (1, 24, 24, [7, 9]), (None, 12, 12, [7, 9]), (None, 2, 0, []), (None, 12, 12, [7, 9]), (2, 0, 0, [])], key=str)
-    for words in (1000, 24, 12):
-        out = dc.contamination(d, m, words)
-        assert sorted(((r.doc_id, r.n_words, sum(s.stop - s.start for s in r.spans), list(r.item_ids)) for r in out.collect()), key=str) == want, words
-        assert sorted((r.n_items for r in dc.digest(out).collect())) == [0, 0, 0, 1, 2, 2, 2], words
+    for rows in (dc.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(dc, "BROADCAST_ROWS", rows)
+        out = dc.contamination(d, m)
+        assert sorted(((r.doc_id, r.n_words, sum(s.stop - s.start for s in r.spans), list(r.item_ids)) for r in out.collect()), key=str) == want, rows
+        assert sorted((r.n_items for r in dc.digest(out).collect())) == [0, 0, 0, 1, 2, 2, 2], rows
+        kept = dc.decontaminate(d, m)
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "clean"), (None, "clean too"), (2, None)], key=str)
+
+
+def test_string_ids_and_clashing_columns(spark):
+    a = " ".join(f"p{i}" for i in range(12))
+    d = spark.createDataFrame([("x", a, 1, 2, 3), ("y", "clean", 4, 5, 6)], "doc_id string, text string, row_id int, own int, candidates int")
+    m = spark.createDataFrame([("i10", a), ("i9", a)], "item_id string, text string")
+    assert {r.doc_id: list(r.item_ids) for r in dc.contamination(d, m).collect()} == {"x": ["i10", "i9"], "y": []}
+    kept = dc.decontaminate(d, m)
+    assert kept.schema == d.schema and [tuple(r) for r in kept.collect()] == [("y", "clean", 4, 5, 6)]
