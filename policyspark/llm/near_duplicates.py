@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ._names import unused
 from ._store import stored
 from ._words import NOT_BLANK, grams, hash_words, mix, pieces, row_of
 
@@ -39,8 +40,8 @@ REGISTERS = 1 << REGISTERS_LOG2
 SMALL, LARGE = 256, 192
 #: Chance that two different minima of a register are equal: equal leading zeros, then equal mantissas.
 CHANCE = 2.0**-MANTISSA / 3
-#: Documents in a block of a candidate group.
-BLOCK = 256
+#: Documents in a block of a candidate group at most, and about so many of their shingles (8 bytes each).
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Up to so many rows (40 bytes each) a list of documents to fetch is broadcast; beyond it is joined by a merge.
 BROADCAST_ROWS = 200_000
 _TURN = np.random.default_rng(11).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -246,9 +247,10 @@ def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) ->
 
 
 def block_tasks(members: DataFrame) -> DataFrame:
-    """Tasks (task, doc, component) that bring each two of a group's members together.  ``members``: group, doc, component."""
+    """Tasks (task, doc, component) that bring each two of a group's members together.  ``members``: group, doc, component, n_shingles."""
     # written out: with a plain exchange on both sides, the join's hot groups can be split
-    blocks = stored(members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")))
+    n = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = stored(members.groupBy("group").agg(n.alias("n")))
     dealt = members.join(blocks.hint("merge"), "group").withColumn("own", F.pmod(F.xxhash64("doc"), "n").cast("int"))
     pairs = dealt.select("group", "doc", "component", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     return pairs.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "doc", "component")
@@ -257,7 +259,8 @@ def block_tasks(members: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b), the component being its smallest node.
 
-    Alternates the large-star and small-star steps, each of them joins on minima by node, until nothing changes.
+    Alternates the large-star and small-star steps, each of them joins on minima by node, until nothing changes.  The minima
+    are written out first, so that the edges of a node with very many can be split.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
@@ -267,9 +270,9 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select("v", "v").distinct())
         state = now
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
+        large = stored(both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
+        low = stored(large.groupBy("u").agg(F.min("v").alias("low")))
         small = large.join(low.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*")
         edges = stored(small.where("u <> v").distinct())
 
@@ -280,11 +283,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = sketches.where("n_shingles > 0 and doc_id is not null").select("doc_id", "class")
     classes = stored(members.groupBy("class").agg(F.min("doc_id").alias("rep")))
     reps = stored(
-        sketches.where("n_shingles > 0").select("doc_id", "class", "small", "large")
-        .join(classes.select(F.col("rep").alias("doc_id"), "class").hint("merge"), ["doc_id", "class"]).select(F.col("doc_id").alias("rep"), "small", "large")
+        sketches.where("n_shingles > 0").select("doc_id", "class", "n_shingles", "small", "large")
+        .join(classes.select(F.col("rep").alias("doc_id"), "class").hint("merge"), ["doc_id", "class"]).select(F.col("doc_id").alias("rep"), "n_shingles", "small", "large")
     )
-    bands = reps.mapInArrow(_banded, "key long, rep long")
-    shared = bands.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
+    bands = reps.select("rep", "small", "large").mapInArrow(_banded, "key long, rep long")
+    # aggregates are written out before a join with the rows they stem from: else a hot key's rows could not be split
+    shared = stored(bands.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first"))
     buckets = stored(bands.join(shared.hint("merge"), "key"))
     placed = members.join(classes.hint("merge"), "class").select("doc_id", "rep")
     # rows of one doc_id with different texts
@@ -292,21 +296,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = buckets.where("rep > first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     edges = edges.unionAll(stored(confirm(docs, reps, pairs, percent)))
     labels = stored(components(edges))
-    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    sizes = stored(labels.groupBy("component").agg(F.count("*").alias("size")))
     known = labels.join(sizes.hint("merge"), "component").select(F.col("node").alias("rep"), "component", "size").hint("merge")
-    within = buckets.select("key", "rep").join(known, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    within = stored(buckets.select("key", "rep").join(known, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size")))
     top = F.max(F.struct("size", "component"))
     unresolved = within.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), top.alias("top")).where("x < y")
-    unresolved = unresolved.select("key", F.when(F.col("top.size") > 1, F.xxhash64("top.component")).otherwise(F.xxhash64("key", F.lit("bucket"))).alias("group"))
-    members = stored(within.join(unresolved.hint("merge"), "key").select("group", F.col("rep").alias("doc"), "component").distinct())
-    if not members.isEmpty():
-        found = stored(compare(docs, block_tasks(members), percent))
+    unresolved = stored(unresolved.select("key", F.when(F.col("top.size") > 1, F.xxhash64("top.component")).otherwise(F.xxhash64("key", F.lit("bucket"))).alias("group")))
+    open_groups = within.join(unresolved.hint("merge"), "key").select("group", F.col("rep").alias("doc"), "component").distinct()
+    open_groups = stored(open_groups.join(reps.select(F.col("rep").alias("doc"), "n_shingles").hint("merge"), "doc"))
+    if not open_groups.isEmpty():
+        found = stored(compare(docs, block_tasks(open_groups), percent))
         if not found.isEmpty():
             labels = stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)))
     own = classes.join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    rows = sketches.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("class")).alias("class"))
-    component = F.coalesce("component", "doc_id")
-    return rows.join(own.hint("merge"), "class", "left").select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    linked = F.expr("n_shingles > 0 and doc_id is not null")
+    rows = sketches.where(linked).select("doc_id", "n_shingles", "class").join(stored(own).hint("merge"), "class").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    alone = sketches.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.unionAll(alone).select("*", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -316,5 +322,6 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
     marked = docs.join(kept.hint("merge"), "doc_id", "left_semi")
-    first = marked.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
+    (n,) = unused(docs.columns, "n")
+    first = marked.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(n) == 1).drop(n)
     return first.unionByName(docs.where("doc_id is null"))

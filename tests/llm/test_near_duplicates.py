@@ -58,6 +58,30 @@ def test_repeated_rows_nulls_and_empty(spark, monkeypatch):
     assert nd.deduplicated(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_words_of_one_pattern_and_clashing_columns(spark):
+    """Thue-Morse words and their complements are different words; columns named like our own come back as they were."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    flip = str.maketrans("ab", "ba")
+    rows = [(1, word[:1024]), (2, word[:1024].translate(flip)), (3, word), (4, word.translate(flip)), (5, word)]
+    docs = spark.createDataFrame([(d, t, 7, 8, 9) for d, t in rows], "doc_id long, text string, n int, __n int, N_ int")
+    assert {r.doc_id: r.component_id for r in nd.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+    kept = nd.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(d, t, 7, 8, 9) for d, t in rows[:4]]
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 100)
+    members = spark.createDataFrame([(1, i, i, 50) for i in range(8)], "group long, doc long, component long, n_shingles long")
+    tasks = nd.block_tasks(members).collect()
+    by = {}
+    for r in tasks:
+        by.setdefault(r.task, set()).add(r.doc)
+    assert all(any({a, b} <= docs for docs in by.values()) for a in range(8) for b in range(a))
+    assert len(by) > 3
+
+
 def test_estimate_follows_the_similarity():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.75, 0.9):
