@@ -40,7 +40,7 @@ from ._words import pieces
 #: Values in a block (a multiple of 64), per cent of them that the packed width must hold, and ids after which a segment is closed.
 BLOCK, PERCENTILE, SEGMENT_IDS = 1024, 95, 1 << 17
 #: Bytes of text encoded together, one row at least.
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 8 << 20
 MAGIC = b"PFB1"
 #: Letters whose lower case is one letter too; none of them is changed by NFC.
 LATIN = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha())
@@ -50,7 +50,7 @@ MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 _PRINTED = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
 WRITTEN = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 #: Bytes of words and ids that a worker remembers at most, with ENTRY bytes for what Python adds to each.
-CACHE_BYTES, ENTRY = 256 << 20, 180
+CACHE_BYTES, ENTRY = 160 << 20, 180
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
