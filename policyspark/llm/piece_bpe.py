@@ -9,7 +9,8 @@ none is left; a bitfield of positions known to fail keeps the walk linear.
 Texts are cut first where no piece of the vocabulary spans the cut (two neighbouring characters that no piece holds side
 by side), as nothing can merge across; each distinct cutting is encoded once by a worker and then remembered.  Runs of
 the blank mark have pieces of equal score, for which compatibility of neighbours isn't sufficient: cuttings that hold two
-blank marks in a row are merged outright.
+blank marks in a row are merged outright, by a heap of the possible merges.  A long run merges from the left into the
+longest doubled piece of blanks again and again; only its last RUN marks or so differ, so these alone are merged.
 
 Defined results: null text is the empty text, whose ids are the begin and end ids alone.  Characters outside the
 vocabulary become their UTF-8 byte pieces.  Texts of any length are encoded whole; repeated rows give repeated results;
@@ -19,6 +20,7 @@ an empty table gives an empty result; columns other than ``doc_id`` and ``text``
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -27,8 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLANK = "▁"
-#: Entries that a worker remembers: texts between blanks, parts of them, compatible pairs.
-CHUNKS, PARTS, PAIRS = 800_000, 600_000, 500_000
+#: Bytes that a worker remembers (with ENTRY bytes for what Python adds) of texts between blanks and of parts of them, the
+#: longest text remembered, and compatible pairs of pieces.
+CHUNKS, PARTS, ENTRY, LONGEST, PAIRS = 160 << 20, 100 << 20, 180, 1024, 500_000
+#: Characters up to which a text is merged by scanning it for each merge, and blanks of a run that are merged one by one.
+SCANNED, RUN = 24, 128
 #: SentencePiece's piece types.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -38,16 +43,19 @@ class _Known(dict):
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.half, self.old = make, most // 2, {}
+        self.make, self.half, self.size, self.old = make, most // 2, 0, {}
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= self.half:
-            self.old = dict(self)
+        if len(text) > LONGEST:
+            return self.make(text)
+        if self.size >= self.half:
+            self.old, self.size = dict(self), 0
             self.clear()
         found = self.old.get(text)
         if found is None:
             found = self.make(text)
         self[text] = found
+        self.size += ENTRY + len(text) + len(found)
         return found
 
 
@@ -84,6 +92,13 @@ class PieceCoder:
             if BLANK * 2 not in piece and (len(piece) == 1 or self.merged(piece) == [piece]):
                 self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
+        # runs of blanks: the longest piece made by doubling, if it is what each longer run begins with
+        self.period = 1
+        while BLANK * 2 * self.period in self.score:
+            self.period *= 2
+        runs = [self.merged(BLANK * k) for k in range(3 * RUN)]
+        if any(runs[k] != [BLANK * self.period, *runs[k - self.period]] for k in range(RUN - self.period, 3 * RUN)):
+            self.period = 0
         self.known = _Known(lambda word: self.cut(BLANK + word), CHUNKS)
         self.parts = _Known(self.part, PARTS)
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -98,6 +113,8 @@ class PieceCoder:
 
     def merged(self, text: str) -> list[str]:
         """Pieces of ``text`` by merging outright: best score first, the leftmost of equals."""
+        if len(text) > SCANNED:
+            return self._merged_by_heap(text)
         out, score = list(text), self.score
         while len(out) > 1:
             best, at = None, -1
@@ -110,6 +127,36 @@ class PieceCoder:
             out[at : at + 2] = [out[at] + out[at + 1]]
         return out
 
+    def _merged_by_heap(self, text: str) -> list[str]:
+        score, n = self.score, len(text)
+        out: list[str | None] = list(text)
+        before, behind = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(-s, i, text[i : i + 2]) for i in range(n - 1) if (s := score.get(text[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = behind[i]
+            if out[i] is None or j >= n or out[i] + out[j] != both:
+                continue  # one of the two has been merged since
+            out[i], out[j] = both, None
+            behind[i] = k = behind[j]
+            if k < n:
+                before[k] = i
+                if (s := score.get(both + out[k])) is not None:
+                    heapq.heappush(heap, (-s, i, both + out[k]))
+            h = before[i]
+            if h >= 0 and (s := score.get(out[h] + both)) is not None:
+                heapq.heappush(heap, (-s, h, out[h] + both))
+        return [x for x in out if x is not None]
+
+    def with_blanks(self, text: str) -> list[str]:
+        """Pieces of a part with two blank marks in a row, which begin it."""
+        n = len(text) - len(text.lstrip(BLANK))
+        if n <= 2 * RUN or not self.period:
+            return self.merged(text)
+        m = (n - RUN) // self.period
+        return [BLANK * self.period] * m + self.merged(text[m * self.period :])
+
     def compatible(self, a: str, b: str) -> bool:
         pair = (a, b)
         found = self.pairs.get(pair)
@@ -130,22 +177,23 @@ class PieceCoder:
             starts[end - len(piece) + 1].append(piece)  # shorter ones end, and so come, first
         out = []
         left: list[int] = [len(starts[0])]  # how many of the matches at each piece's start are yet to try
-        at, failed = 0, 0
+        at, failed = 0, bytearray(len(text) // 8 + 1)
         while at < len(text):
             matches, k = starts[at], left[-1]
             while k:
                 k -= 1
                 piece = matches[k]
-                if not failed >> (at + len(piece)) & 1 and (not out or self.compatible(out[-1], piece)):
+                to = at + len(piece)
+                if not failed[to >> 3] >> (to & 7) & 1 and (not out or self.compatible(out[-1], piece)):
                     left[-1] = k
                     out.append(piece)
-                    at += len(piece)
+                    at = to
                     left.append(len(starts[at]) if at < len(text) else 0)
                     break
             else:
                 if not out:
                     raise ValueError(f"no encoding of {text!r}")
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 left.pop()
                 at -= len(out.pop())
         return out
@@ -163,7 +211,7 @@ class PieceCoder:
         if len(text) == 1:
             found = [text]
         elif BLANK * 2 in text:
-            found = self.merged(text)
+            found = self.with_blanks(text)
         else:
             found = self.backtracked(text)
         ids: list[int] = []

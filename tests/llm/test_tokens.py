@@ -50,6 +50,33 @@ def test_piece_coder_on_random_strings():
         assert coder.decode(ids) == sp.decode(ids), ids
 
 
+def test_runs_of_blanks_of_any_length():
+    import time
+
+    import sentencepiece
+
+    path = public.path("piece_bpe_32k.model")
+    sp, coder, rng = sentencepiece.SentencePieceProcessor(model_file=path), piece_bpe.PieceCoder.of(path), random.Random(9)
+    assert coder.period == 16
+    for n in [*range(120, 420), 1000, 5001, 40_007]:
+        text = rng.choice(["", "a", "x \n"]) + " " * n + rng.choice(["", "word", "zqj  ", "中", "\n", "the end. " + " " * n])
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == sp.encode(text), (n, text[:3])
+    text = "ab" + " " * 1_000_000 + "c" + " " * 300_000
+    start = time.time()
+    ids = coder.encode(text)
+    assert time.time() - start < 1 and np.frombuffer(ids, "<u4").tolist() == sp.encode(text)
+
+
+def test_long_words_without_blanks():
+    import sentencepiece
+
+    path = public.path("piece_bpe_32k.model")
+    sp, coder, rng = sentencepiece.SentencePieceProcessor(model_file=path), piece_bpe.PieceCoder.of(path), random.Random(10)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCxyz0189+/=", "etaoin", "中文字é", "▁a"):
+        text = "".join(rng.choice(letters) for _ in range(30_000))
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == sp.encode(text), letters
+
+
 def test_caches_may_overflow(monkeypatch):
     path = public.path("piece_bpe_32k.model")
     whole = piece_bpe.PieceCoder(path)
