@@ -80,7 +80,9 @@ def rendered(turns: DataFrame) -> DataFrame:
     loss = F.when(F.col("role") == "assistant", F.transform(spans, lambda z: F.struct(z["at"].alias("offset"), F.length(z["pieces"]).alias("length")))).otherwise(F.array().cast("array<struct<offset:int,length:int>>"))
     attached = F.transform(F.filter("content", lambda p: ~_is_text(p)), lambda p: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), expanded_tokens(p).alias("tokens")))
     df = df.withColumn("loss", loss).withColumn("attached", attached)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "segment")
+    plain = F.array_join(F.transform(F.filter("content", _is_text), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    df = df.withColumn("plain", plain)
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "plain", "segment")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return df.select("conv_id", F.row_number().over(order).alias("ordinal"), "segment", F.coalesce(F.sum(F.length("segment").cast("long")).over(before), F.lit(0)).alias("start"), "loss", "attached")
 

@@ -100,3 +100,11 @@ def test_url_rules_equal_brute_force(spark):
     assert got == sorted(((i % 390, *judge(u)) for i, u in enumerate(urls)), key=str)
     assert ur.judged(pages.limit(0), ur.rule_table(spark, rules)).count() == 0
     assert {r.verdict for r in ur.judged(pages, ur.rule_table(spark, rules).limit(0)).collect()} == {"allow"}
+
+
+def test_equal_turns_are_ordered_by_their_text(spark):
+    rows = [(1, 0, "user", "<|a"), (1, 0, "user", "<ba"), (1, 0, "user", None), (1, 0, "user", "\\z")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = turns.select("conv_id", "turn", "role", cf.text_parts(turns.text).alias("content"))
+    back = cf.read_back(cf.formatted(parts)).first()
+    assert [t.text for t in back.turns] == sorted((t or "" for *_, t in rows), key=lambda t: t.encode())
