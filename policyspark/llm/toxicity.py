@@ -5,12 +5,14 @@ of neighbouring pairs and of pairs with one word between, each counted once.  FT
 coordinate and an L1 penalty that leaves almost all weights at zero, so a model is some thousand (hash, weight) pairs,
 which are broadcast; a document is scored by looking its features up.
 
-Training: labelled documents outside the held-out fold, a bounded sample of SAMPLE of them drawn by a hash of their ids,
-features made in parallel, then EPOCHS passes in one task in the hash's order (the bound makes that task's size fixed).
+Training: labelled documents outside the held-out fold, a bounded sample of SAMPLE of them drawn by a hash of their ids and
+of SAMPLE_BYTES of text, features made in parallel, then EPOCHS passes in one task in the hash's order (the bounds make that
+task's size fixed).
 
 Defined results: null or wordless text has the bias alone; without training rows every score is 0.5; labels other than 0
-and 1 and null ids are not learnt from, of contradicting labels of one ``doc_id`` the greater counts; repeated rows get
-repeated scores; an empty table gives an empty result; other columns are neither read nor kept.
+and 1 and null ids are not learnt from, of contradicting labels of one ``doc_id`` the greater counts, of its rows the
+smallest text; repeated rows get repeated scores; a null ``doc_id`` is scored and not held out; an empty table gives an empty
+result; other columns are neither read nor kept.  Identifiers may be of any type that Spark can hash.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ._sample import sampled_texts
 from ._words import ALNUM, GRAM_MULT, hash_parts, mix, pieces, row_of
 
 #: Labelled documents that are learnt from at most, passes over them, and least documents of a feature.
@@ -31,7 +34,7 @@ PREFIXES = (5, 6, 8)
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 #: Score from which a document is predicted toxic.
 MARK = 0.7
-#: Weights kept at most (the largest), 16 bytes each; L1 leaves far fewer.
+#: Weights of a model at most, 16 bytes each; L1 leaves far fewer, and more are an error.
 MOST_WEIGHTS = 1 << 20
 BIAS = 0
 
@@ -113,13 +116,14 @@ def ftrl(docs: list[np.ndarray], labels: np.ndarray, weight: np.ndarray | None =
             n[i] += g * g
     w = weights(np.arange(size))
     used = np.flatnonzero(w[:-1])
-    used = used[np.argsort(-np.abs(w[used]), kind="stable")[:MOST_WEIGHTS]]
+    if len(used) > MOST_WEIGHTS:
+        raise ValueError(f"{len(used)} weights, more than {MOST_WEIGHTS}: a greater L1 penalty is needed")
     return keys[used], w[used], float(w[-1])
 
 
 def held_out(doc_id: Column) -> Column:
     """The fold that labels are never learnt from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +149,10 @@ def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from ``labels`` (doc_id, label 0/1) of ``docs`` (doc_id, text), of ``sample`` documents at most."""
-    ids = F.col("doc_id").cast("long")
-    known = labels.select(ids.alias("doc_id"), F.col("label").cast("double").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = labels.select("doc_id", F.col("label").cast("double").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     drawn = known.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id").limit(sample)
     # at most `sample` rows of 24 bytes
-    rows = docs.select(ids.alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("draw", "label", "text")
-    made = rows.mapInArrow(_featured, "draw long, label double, features array<long>")
+    made = sampled_texts(docs, drawn).select("draw", "label", "text").mapInArrow(_featured, "draw long, label double, features array<long>")
     learnt = made.repartition(1).sortWithinPartitions("draw", "features").mapInArrow(_learnt, "feature long, weight double").collect()
     if not learnt:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
@@ -169,7 +171,8 @@ def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WEIGHTS pairs
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _scored(shared.value, b), "doc_id long, score double")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+    return docs.select("doc_id", "text").mapInArrow(lambda b: _scored(shared.value, b), schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -31,6 +31,7 @@ def test_held_out_documents_are_told_apart(spark):
     truth = {d: t for d, t, _ in labels}
     for r in got:
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= tx.MARK)
+        assert r.held_out in (True, False)
         if r.doc_id is not None:
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
     held = [r for r in got if r.held_out and r.doc_id in truth]
@@ -64,6 +65,63 @@ def test_l1_leaves_few_weights():
     assert keys.tolist() == [(1 << 50) + 1] and w[0] > 1 and bias < 0
 
 
+def plain_ftrl(docs, labels, weights, l1):
+    """FTRL-proximal as published, one coordinate at a time; the bias has no penalty."""
+    import math
+
+    often = [k for k in {k for d in docs for k in d} if sum(k in d for d in docs) >= tx.LEAST_DOCS]
+    z, n = {k: 0.0 for k in [*often, "bias"]}, {k: 0.0 for k in [*often, "bias"]}
+
+    def weight(k):
+        penalty = 0.0 if k == "bias" else l1
+        if abs(z[k]) <= penalty:
+            return 0.0
+        return -(z[k] - math.copysign(penalty, z[k])) / ((tx.BETA + math.sqrt(n[k])) / tx.ALPHA + tx.L2)
+
+    for _ in range(tx.EPOCHS):
+        for d, y, c in zip(docs, labels, weights):
+            own = [k for k in d if k in z] + ["bias"]
+            w = {k: weight(k) for k in own}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * c
+            for k in own:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / tx.ALPHA * w[k]
+                n[k] += g * g
+    return {k: weight(k) for k in z if k == "bias" or weight(k)}
+
+
+def test_ftrl_equals_a_plain_one():
+    rng = random.Random(3)
+    names = [(i << 45) + 1 for i in range(40)]
+    docs = [{rng.choice(names[:10] if y else names) for _ in range(rng.randint(0, 12))} for y in [i % 2 for i in range(120)]]
+    labels, weights = [i % 2 for i in range(120)], [rng.random() for _ in range(120)]
+    keys, w, bias = tx.ftrl([np.array(sorted(d), dtype=np.int64) for d in docs], np.array(labels, dtype=float), np.array(weights), l1=0.7)
+    want = plain_ftrl(docs, labels, weights, 0.7)
+    assert abs(bias - want.pop("bias")) < 1e-9 and set(keys.tolist()) == set(want) and 3 < len(want) < 40
+    assert all(abs(want[k] - x) < 1e-9 for k, x in zip(keys.tolist(), w))
+
+
+def test_scores_are_sums_of_weights(spark):
+    """A document's score by hand: the weights of its distinct features."""
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = tx.train(docs, spark.createDataFrame(labels, "doc_id long, label int, text string"))
+    of = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    texts = {r[0]: r[1] for r in rows}
+    for r in tx.score(docs, model).collect():
+        found = set(tx.features(pa.array([texts[r.doc_id]]))[1].tolist())
+        assert abs(r.score - tx.sigmoid(model.bias + sum(of.get(f, 0) for f in found))) < 1e-9
+
+
+def test_learning_is_bounded_by_bytes(spark):
+    from policyspark.llm._sample import sampled_texts
+
+    docs = spark.createDataFrame([(1, "a" * 10), (2, "b" * 50), (3, "c" * 10), (3, "a"), (4, "d" * 10), (5, None)], "doc_id long, text string")
+    drawn = spark.createDataFrame([(i, 10 - i) for i in range(1, 7)], "doc_id long, draw long")
+    got = {r.doc_id: r.text for r in sampled_texts(docs, drawn, most=21, longest=40).collect()}
+    assert got == {5: None, 4: "d" * 10, 3: "a", 1: "a" * 10}
+    assert set(r.doc_id for r in sampled_texts(docs, drawn, most=12, longest=40).collect()) == {5, 4, 3}
+
+
 def test_features_stay_within_their_row():
     row, f = tx.features(pa.array(["a b", None, "c", "", "b c d"]))
     alone = [set(tx.features(pa.array([t]))[1].tolist()) for t in ("a b", "", "c", "", "b c d")]
