@@ -13,3 +13,10 @@ def unused(taken: list[str], *wanted: str) -> list[str]:
         known.add(name.lower())
         out.append(name)
     return out
+
+
+def unused_prefix(taken: list[str], wanted: str = "q") -> str:
+    """``wanted``, with so many underscores before it that no name in ``taken`` begins with it."""
+    while any(t.lower().startswith(wanted.lower()) for t in taken):
+        wanted = "_" + wanted
+    return wanted
