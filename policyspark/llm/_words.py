@@ -94,10 +94,10 @@ def _hashed(column: pa.Array, alphabet: np.ndarray, heads: tuple[int, ...]):
     n = len(raw)
     none = np.zeros(0, dtype=np.uint64)
     if not n:
-        return none, np.zeros(len(offsets), dtype=np.int64), [(none.astype(np.int64), none) for _ in heads]
+        return none, np.zeros(len(offsets), dtype=np.int64), [(none.astype(np.int64), none) for _ in heads], none.astype(np.int64), none.astype(np.int64)
     starts, ends = word_bounds(raw, offsets, alphabet)
     if not len(starts):
-        return none, np.zeros(len(offsets), dtype=np.int64), [(none.astype(np.int64), none) for _ in heads]
+        return none, np.zeros(len(offsets), dtype=np.int64), [(none.astype(np.int64), none) for _ in heads], starts, ends
     # a word's hash is the sum over its bytes of (code of the byte) x (random number of its place in the word): no word
     # pattern makes such a sum collide, as patterns do with the powers of one number
     first = starts[0]
@@ -112,7 +112,7 @@ def _hashed(column: pa.Array, alphabet: np.ndarray, heads: tuple[int, ...]):
     for p in heads:
         at = np.flatnonzero(length >= p)
         found.append((at, mix(total[starts[at] + p - first] - begun[at])))
-    return h, np.searchsorted(starts, offsets, side="left"), found
+    return h, np.searchsorted(starts, offsets, side="left"), found, starts, ends
 
 
 def hash_words(column: pa.Array, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +122,13 @@ def hash_words(column: pa.Array, alphabet: np.ndarray) -> tuple[np.ndarray, np.n
 
 def hash_parts(column: pa.Array, alphabet: np.ndarray, heads: tuple[int, ...]):
     """As :func:`hash_words`, and for each number of bytes in ``heads`` (words with so many, hash of their first bytes)."""
-    return _hashed(column, alphabet, heads)
+    return _hashed(column, alphabet, heads)[:3]
+
+
+def bounded_words(column: pa.Array, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`hash_words`, and (first byte, byte behind the last) of each word."""
+    h, splits, _, starts, ends = _hashed(column, alphabet, ())
+    return h, splits, starts, ends
 
 
 def grams(h: np.ndarray, k: int, mult: np.uint64 = GRAM_MULT) -> np.ndarray:

@@ -5,13 +5,13 @@ the label model, at most 3**8 counts whatever the size of the corpus: expectatio
 labeller's vote rates among good documents and among each kind of bad ones, and for each pattern the probability of a good
 document.  A prior that counts as PRIOR of all documents holds the classes to their meaning where one is nearly absent.
 
-These posterior labels, weighted by their certainty, train a linear scorer over hashed features by FTRL-proximal: shares of
-word shapes and binned measurements.  It learns from a bounded sample of SAMPLE documents, drawn by a hash of their ids;
-vote counts and scores cover all documents.
+These posterior labels, weighted by their certainty, train a linear scorer over hashed features by FTRL-proximal: words,
+pairs of neighbouring words, shares of word shapes and binned measurements.  It learns from a bounded sample of SAMPLE
+documents, drawn by a hash of their ids, and SAMPLE_BYTES of text; vote counts and scores cover all documents.
 
 Defined results: null and wordless text is scored by its empty measurements (no words is a bad sign); an empty corpus
 gives an empty result; repeated rows get repeated results; rows with a null ``doc_id`` are counted and scored but not learnt
-from; other columns are kept by ``filtered`` and ignored otherwise.
+from; other columns are kept by ``filtered``, whatever their names, and ignored otherwise.  Identifiers keep their type.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from ._names import unused
+from ._sample import sampled_texts
 from ._store import stored
-from ._words import NOT_BLANK, bytes_of, grams, hash_words, mix, pieces, row_of, word_bounds
+from ._words import NOT_BLANK, bounded_words, bytes_of, grams, mix, pieces, row_of
 from .toxicity import BIAS, Model, ftrl, sigmoid
 
 #: Documents that the scorer learns from at most, EM rounds, weight of the prior as a share of all documents.
@@ -63,15 +65,15 @@ for _k, _m in enumerate((_LOWER, _UPPER, _mask("0123456789"), np.arange(256) >=
     _KIND[_m] = _k
 
 
-def measure(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a column for each of MEASURES, row of each distinct feature, 63-bit feature) of a string column."""
+def measure(column: pa.Array, features: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a column for each of MEASURES, row of each feature, 63-bit feature) of a string column; ``features`` may repeat in a row."""
     raw, offsets = bytes_of(column)
-    words, splits = hash_words(column, NOT_BLANK)
+    words, splits, starts, ends = bounded_words(column, NOT_BLANK)
     row, n = row_of(splits), np.diff(splits)
     total = np.maximum(n, 1)
 
     def share(mask, of):
-        c = np.append(0, np.cumsum(mask[raw]))
+        c = np.append(0, np.cumsum(mask.take(raw)))
         return (c[offsets[1:]] - c[offsets[:-1]]) / np.maximum(of, 1)
 
     def by_row(rows):
@@ -89,22 +91,28 @@ def measure(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         distinct = by_row(gram_row[order][new])
     n_grams = by_row(gram_row)
     stutter = by_row(row[1:][(words[1:] == words[:-1]) & (row[1:] == row[:-1])]) if len(words) else np.zeros(len(n))
-    # shape of a word: kinds of its first and last bytes and whether it is long; shapes by their share of the words
-    starts, ends = word_bounds(raw, offsets, NOT_BLANK) if len(raw) else (np.zeros(0, dtype=np.int64),) * 2
-    owner = np.searchsorted(offsets, starts, side="right") - 1
     first, last = (_KIND[raw[starts]], _KIND[raw[ends - 1]]) if len(starts) else (starts, starts)
-    plain = by_row(owner[np.isin(first, (0, 1, 3)) & np.isin(last, (0, 1, 3, 4))])
-    shape = (first * 8 + last) * 2 + (ends - starts > 12)
-    key, count = np.unique(owner * 128 + shape, return_counts=True)
-    of, part = key // 128, np.floor(8 * count / np.maximum(by_row(owner)[key // 128], 1)).astype(np.int64)
+    plain = by_row(row[np.isin(first, (0, 1, 3)) & np.isin(last, (0, 1, 3, 4))])
     m = np.stack([share(_SYMBOL, total), upper / np.maximum(upper + lower, 1), 1 - np.where(n_grams > 0, distinct / np.maximum(n_grams, 1), 1), stutter / total, n.astype(float), share(_EXCLAIM, total), share(_LETTER, solid), plain / total], axis=1)
-    rows, found = [of[part > 0]], [(key % 128 * 16 + part)[part > 0]]
+    if not features:
+        return m, row[:0], words[:0].astype(np.int64)
+    # shape of a word: kinds of its first and last bytes and whether it is long; shapes by their share of the words
+    shape = (first * 8 + last) * 2 + (ends - starts > 12)
+    key, count = np.unique(row * 128 + shape, return_counts=True)
+    of, part = key // 128, np.floor(8 * count / total[key // 128]).astype(np.int64)
+    rows, found = [of[part > 0]], [(key % 128 * 16 + part)[part > 0].astype(np.uint64)]
     bins = np.floor(np.where(np.array(MEASURES) == "words", 2 * np.log2(m + 1), np.minimum(m, 1) * 10)).astype(np.int64)
     for j in range(len(MEASURES)):
         rows.append(np.arange(len(n)))
-        found.append(1 << 20 | j << 12 | bins[:, j])
-    f = (mix(np.concatenate(found).astype(np.uint64)) >> np.uint64(1)).astype(np.int64) | 1
-    return m, np.concatenate(rows), f
+        found.append((1 << 20 | j << 12 | bins[:, j]).astype(np.uint64))
+    # words and pairs of neighbours
+    rows.append(row)
+    found.append(words)
+    if len(words) > 1:
+        same = row[1:] == row[:-1]
+        rows.append(row[1:][same])
+        found.append(grams(words, 2)[same])
+    return m, np.concatenate(rows), (mix(np.concatenate(found)) >> np.uint64(1)).astype(np.int64) | 1
 
 
 def votes(m: np.ndarray) -> np.ndarray:
@@ -146,7 +154,7 @@ def label_model(patterns: dict[int, int]) -> dict[int, float]:
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
-            m, _, _ = measure(piece.column("text"))
+            m, _, _ = measure(piece.column("text"), features=False)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(pattern(votes(m)).astype(np.int32))], ["doc_id", "pattern"])
 
 
@@ -155,15 +163,17 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batch, "text"):
             _, row, f = measure(piece.column("text"))
             order = np.lexsort((f, row))
-            ends = np.searchsorted(row[order], np.arange(piece.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([piece.column("draw"), piece.column("good"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f[order]))], ["draw", "good", "features"])
+            row, f = row[order], f[order]
+            once = np.append(True, (row[1:] != row[:-1]) | (f[1:] != f[:-1])) if len(f) else np.zeros(0, dtype=bool)
+            ends = np.searchsorted(row[once], np.arange(piece.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([piece.column("draw"), piece.column("good"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f[once]))], ["draw", "good", "features"])
 
 
 def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs, good = [], []
     for batch in batches:
         good += batch.column("good").to_pylist()
-        docs += [np.unique(x.values.to_numpy()) for x in batch.column("features")]
+        docs += [x.values.to_numpy() for x in batch.column("features")]
     if docs:
         p = np.array(good)
         keys, w, bias = ftrl(docs, (p >= 0.5).astype(float), weight=np.abs(2 * p - 1), l1=0.5)
@@ -173,47 +183,46 @@ def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
     """(scorer, doc_id and good: the posterior of every row)"""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    voted = stored(texts.mapInArrow(_voted, "doc_id long, pattern int"))
+    texts = docs.select("doc_id", "text")
+    voted = stored(texts.mapInArrow(_voted, T.StructType([docs.schema["doc_id"], T.StructField("pattern", T.IntegerType())])))
     counts = {r.pattern: r["count"] for r in voted.groupBy("pattern").count().collect()}  # 3**8 rows at most
     good = label_model(counts)
     known = spark.createDataFrame([(p, g) for p, g in good.items()], "pattern int, good double")
     posterior = voted.join(F.broadcast(known), "pattern").select("doc_id", "good")
     # of one doc_id's rows the smallest posterior; at most `sample` rows of 24 bytes
     drawn = posterior.where("doc_id is not null").groupBy("doc_id").agg(F.min("good").alias("good")).withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id").limit(sample)
-    made = texts.join(F.broadcast(drawn), "doc_id").select("draw", "good", "text").mapInArrow(_featured, "draw long, good double, features array<long>")
+    made = sampled_texts(texts, drawn).select("draw", "good", "text").mapInArrow(_featured, "draw long, good double, features array<long>")
     learnt = made.repartition(1).sortWithinPartitions("draw", "features").mapInArrow(_learnt, "feature long, weight double").collect()
     own = [r for r in learnt if r.feature != BIAS]
     bias = next((r.weight for r in learnt if r.feature == BIAS), 0.0)
     return Model(np.array([r.feature for r in own], dtype=np.int64), np.array([r.weight for r in own]), bias), posterior
 
 
-def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(model: Model, text: str, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in pieces(batch, "text"):
-            m, row, f = measure(piece.column("text"))
+        for piece in pieces(batch, text):
+            m, row, f = measure(piece.column(text))
             scores = sigmoid(model.margins(row, f, piece.num_rows))
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(pattern(votes(m)).astype(np.int32)), pa.array(scores)], [*piece.schema.names, "__pattern", "__score"])
-
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(pattern(votes(m)).astype(np.int32)), pa.array(scores)], [*piece.schema.names, *names])
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``__pattern`` (of votes) and ``__score`` (of a good document) added."""
-    from pyspark.sql import types as T
 
+def scored(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """``docs`` with a pattern of votes and a score (of a good document) added under these two ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__pattern", T.IntegerType()), T.StructField("__score", T.DoubleType())])
-    return docs.mapInArrow(lambda b: _scored(shared.value, b), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.IntegerType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(lambda b: _scored(shared.value, "text", names, b), schema)
 
 
 def digest(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, votes (a pattern's digits to the base 3), score, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     model, _ = train(docs, sample)
-    v = F.concat(*[(F.floor(F.col("__pattern") / 3**j) % 3).cast("string") for j in range(len(LABELLERS))])
-    return scored(docs, model).select("doc_id", v.alias("votes"), F.col("__score").alias("score"), (F.col("__score") >= MARK).alias("kept"))
+    v = F.concat(*[(F.floor(F.col("pattern") / 3**j) % 3).cast("string") for j in range(len(LABELLERS))])
+    return scored(docs, model, ["pattern", "score"]).select("doc_id", v.alias("votes"), "score", (F.col("score") >= MARK).alias("kept"))
 
 
 def filtered(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that the classifier keeps, with the columns they came with."""
     model, _ = train(docs, sample)
-    return scored(docs, model).where(F.col("__score") >= MARK).drop("__pattern", "__score")
+    names = unused(docs.columns, "pattern", "score")
+    return scored(docs, model, names).where(F.col(names[1]) >= MARK).drop(*names)

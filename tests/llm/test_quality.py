@@ -105,3 +105,78 @@ def test_label_model_learns_rates():
     model = qc.label_model({all_good: 900, bad: 100})
     assert model[all_good] > 0.95 and model[bad] < 0.2
     assert qc.label_model({}) == {}
+
+
+def plain_em(patterns):
+    """Expectation-maximisation with the same prior, in plain loops."""
+    import math
+
+    kinds, names = [None, *qc.KINDS], qc.MEASURES
+    prior_rate = [[(0.003, 0.9, 0.097) if k is None else (0.7, 0.2, 0.1) if n in k else (0.1, 0.8, 0.1) for n in names] for k in kinds]
+    prior_share = [0.9] + [0.1 / len(qc.KINDS)] * len(qc.KINDS)
+    total = sum(patterns.values())
+    pull = qc.PRIOR * total + 1
+    rate, share = prior_rate, prior_share
+    for _ in range(qc.ROUNDS):
+        post = {}
+        for p in patterns:
+            v = [p // 3**j % 3 for j in range(len(names))]
+            like = [share[c] * math.prod(rate[c][j][v[j]] for j in range(len(names))) for c in range(len(kinds))]
+            post[p] = [x / sum(like) for x in like]
+        mass = [sum(n * post[p][c] for p, n in patterns.items()) for c in range(len(kinds))]
+        new = []
+        for c in range(len(kinds)):
+            rows = []
+            for j in range(len(names)):
+                seen = [sum(n * post[p][c] for p, n in patterns.items() if p // 3**j % 3 == x) + pull * prior_rate[c][j][x] * prior_share[c] for x in range(3)]
+                rows.append([x / sum(seen) for x in seen])
+            new.append(rows)
+        rate, share = new, [(mass[c] + pull * prior_share[c]) / (total + pull) for c in range(len(kinds))]
+    return {p: post[p][0] for p in patterns}
+
+
+def test_label_model_equals_a_plain_one():
+    rng = random.Random(12)
+    patterns = {rng.randrange(3 ** len(qc.LABELLERS)): rng.randint(1, 400) for _ in range(60)}
+    got, want = qc.label_model(patterns), plain_em(patterns)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
+def test_measures_equal_plain_ones():
+    import re
+
+    import pyarrow as pa
+
+    docs = texts() + ["AB!! Cd? #x é 1,2 a a a"]
+    m, _, _ = qc.measure(pa.array(docs), features=False)
+    m2, row, f = qc.measure(pa.array(docs))
+    assert (m == m2).all()
+    for t, x, i in zip(docs, m, range(len(docs))):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        up, lo = sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t)
+        low = [re.sub("[A-Z]", lambda c: c[0].lower(), a) for a in w]
+        grams = [tuple(low[j : j + 5]) for j in range(len(w) - 4)]
+        want = [sum(c in "#*$%&|<>" for c in t) / max(len(w), 1), up / max(up + lo, 1), 1 - len(set(grams)) / len(grams) if grams else 0, sum(a == b for a, b in zip(low, low[1:])) / max(len(w), 1), len(w), sum(c in "!?" for c in t) / max(len(w), 1)]
+        assert all(abs(a - b) < 1e-12 for a, b in zip(x, want)), t
+        alone = qc.measure(pa.array([t]))[2]
+        assert set(f[row == i].tolist()) == set(alone.tolist())
+
+
+def test_columns_named_like_our_own(spark):
+    """Stages give back a caller's columns as they were, whatever they are called."""
+    names = ["__text", "__ledger", "__failures", "ledger", "_ledger", "failures", "q_text", "q_n_words", "_Q_g", "__score", "__pattern", "score", "Pattern", "_score"]
+    text = "some plain words that are read by all of us on most days of the year"
+    docs = spark.createDataFrame([(i, text + f" {i}", *[f"{c}{i}" for c in names]) for i in range(12)] + [(99, "bad", *names)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    want = sorted(tuple(r) for r in docs.where("doc_id < 99").collect())
+    for stage in (qr.filtered, qc.filtered):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        assert [r for r in sorted(tuple(r) for r in got.collect()) if r[0] < 99] == want
+    led = qr.add_ledger(docs, "ledger")
+    assert led.columns == docs.columns and led.where("doc_id = 3").first()["__text"] == "__text3"
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([("a", "one two"), ("b", None)], "doc_id string, text string")
+    assert {r.doc_id for r in qr.digest(docs).collect()} == {r.doc_id for r in qc.digest(docs).collect()} == {"a", "b"}
