@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, as in tests, below a folder of our own."""
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset in local mode, as in tests, below a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
