@@ -59,16 +59,21 @@ def homoglyph_fold(text: Column) -> Column:
 ENGLISH = "en"
 
 
+def normalized_text(text: Column, english: Column, with_nfkc: bool = True) -> Column:
+    """The normalized view of a text by its language's own steps."""
+    base = collapse(nfkc(text) if with_nfkc else text)
+    return F.when(F.coalesce(english, F.lit(False)), F.lower(base)).otherwise(base)
+
+
 def views(df: DataFrame, text: str = "text", lang: str = "lang", with_nfkc: bool = True, steps: list[Callable[[Column], Column]] | None = None) -> DataFrame:
     """Adds raw, normalized, separator_tokens, compact, leet_compact; null text gives null views.
 
     ``steps`` replaces the language's own normalisation steps.
     """
     df = df.withColumn("raw", F.col(text))
-    base = collapse(nfkc(F.col("raw")) if with_nfkc else F.col("raw"))
     english = F.coalesce(F.col(lang) == ENGLISH, F.lit(False))
     if steps is None:
-        normalized = F.when(english, F.lower(base)).otherwise(base)
+        normalized = normalized_text(F.col("raw"), english, with_nfkc)
     else:
         normalized = F.col("raw")
         for step in steps:

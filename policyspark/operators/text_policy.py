@@ -1,6 +1,7 @@
-"""Lexicon matching in four modes, scores and verdicts, as joins of token n-grams with the lexicon.
+"""Lexicon matching in four modes, scores, evidence and verdicts, as joins of token n-grams with the lexicon.
 
-``lexicon`` has term_id, phrase, category, severity and modes (array).  ``docs`` has doc_id, text and lang.
+``lexicon`` has term_id, dictionary, phrase, category, severity, modes (array) and surfaces (array, other spellings of the
+phrase, or null).  ``docs`` has doc_id, text and lang; a null text has no matches, a null lang takes the steps of no language.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import ALNUM, ENGLISH, separator_tokens, url_token_streams, views
+from ..functions.fence import fenced
+from ..functions.text import ALNUM, ENGLISH, compact, leet_fold, normalized_text, separator_tokens, url_token_streams, views
 
 #: Points by severity, shares by match mode (ordinal order), by source, and exceptions.
 BASE = {"high": 80, "medium": 35, "low": 15}
@@ -17,71 +19,142 @@ MODES = {"exact_phrase": "1.00", "token_sequence": "0.80", "compact": "0.75", "u
 SOURCES = {"browser_title": "1.00", "browser_url": "1.00", "accessibility_tree": "1.00", "ocr_high": "0.90", "ocr_medium": "0.70", "ocr_low": "0.40"}
 EXCEPTIONS = ("education_exception", "medical_exception", "safety_exception")
 EXCEPTION_POINTS, MOST_POINTS, BLOCK_AT, WARN_AT = 40, 100, 80, 50
-#: Terms of compact mode, each of which is looked for in the whole text, at most; and rows of a lexicon to broadcast.
-MOST_COMPACT, BROADCAST_TERMS = 1_000, 200_000
+#: Surfaces (one for each mode and language form) up to which keys are looked up within a text's row, compact ones up to which
+#: each is searched for by itself, and all up to which they are broadcast.  Characters of a compact surface that a join looks up.
+INLINE, INLINE_COMPACT, BROADCAST_TERMS, SEED = 2_000, 200, 400_000, 4
+_HIT = "struct<kind:string,start:int,stop:int,gram:string,spelled:string,before:string,after:string,last:boolean>"
 
 
-def lexicon_table(spark: SparkSession, rows: list[tuple[int, str, str, str, list[str]]]) -> DataFrame:
-    return spark.createDataFrame(rows, "term_id int, phrase string, category string, severity string, modes array<string>")
+def lexicon_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Rows of (term_id, phrase, category, severity, modes) and, if wanted, dictionary and surfaces."""
+    full = [(r[0], r[5] if len(r) > 5 else "core", *r[1:5], list(r[6]) if len(r) > 6 else []) for r in rows]
+    return spark.createDataFrame(full, "term_id int, dictionary string, phrase string, category string, severity string, modes array<string>, surfaces array<string>")
 
 
 def lexicon_errors(lexicon: DataFrame) -> DataFrame:
-    """term_id and problem of each faulty term: empty phrase, no modes, unknown mode, repeated id."""
-    one = lexicon.select("term_id", F.when(F.size(separator_tokens(F.coalesce("phrase", F.lit("")))) == 0, "empty_phrase").when(F.size("modes") == 0, "no_modes").when(~F.forall("modes", lambda m: m.isin(*MODES)), "unknown_mode").alias("problem"))
+    """term_id and problem of each faulty term: empty dictionary, empty phrase, no modes, empty surface, unknown mode, repeated id."""
+    blank = lambda c: F.coalesce(c, F.lit("")).rlike(r"^\p{IsWhite_Space}*$")
+    problem = (
+        F.when(blank(F.col("dictionary")), "empty_dictionary").when(blank(F.col("phrase")), "empty_phrase").when(F.size("modes") == 0, "no_modes")
+        .when(F.exists(F.coalesce("surfaces", F.array().cast("array<string>")), blank), "empty_surface").when(~F.forall("modes", lambda m: m.isin(*MODES)), "unknown_mode")
+    )
     twice = lexicon.groupBy("term_id").count().where("count > 1").select("term_id", F.lit("repeated_id").alias("problem"))
-    return one.where("problem is not null").unionAll(twice)
+    return lexicon.select("term_id", problem.alias("problem")).where("problem is not null").unionAll(twice)
+
+
+def patterns(lexicon: DataFrame, with_nfkc: bool = True) -> DataFrame:
+    """The distinct surfaces of each term and mode, in the form for English texts and in the one for others.
+
+    term_id, mode, form, surface (normalised, of compact mode folded), kind (what it is looked up among: tokens, url tokens,
+    compact text or, without letters and digits, marks), key (its tokens, else the surface), n (tokens), first (the first of
+    them), and of an exact phrase lead, core and trail: what stands before its first token, between and behind its last.
+    """
+    spellings = F.array_distinct(F.concat(F.array("phrase"), F.coalesce("surfaces", F.array().cast("array<string>"))))
+    t = lexicon.select("term_id", F.explode(F.array_distinct("modes")).alias("mode"), spellings.alias("s")).select("term_id", "mode", F.explode("s").alias("spelling"))
+    t = views(t.withColumn("form", F.explode(F.array(F.lit(ENGLISH), F.lit("")))), "spelling", "form", with_nfkc).withColumn("n", F.size("separator_tokens"))
+    kind = F.when(F.col("mode") == "compact", "c").when(F.col("mode") == "url_token_sequence", "u").when(F.col("n") > 0, "t").when(F.col("mode") == "exact_phrase", "m")
+    surface = F.when(F.col("mode") == "compact", F.col("leet_compact")).otherwise(F.col("normalized"))
+    edge = lambda rx: F.regexp_extract("normalized", rx, 0)
+    t = t.select("term_id", "mode", "form", surface.alias("surface"), kind.alias("kind"), "n", F.get("separator_tokens", F.lit(0)).alias("first"), F.array_join("separator_tokens", "\x00").alias("key"), edge(f"^[^{ALNUM}]*").alias("lead"), edge(rf"[^{ALNUM}]*\z").alias("trail"), F.regexp_replace("normalized", rf"^[^{ALNUM}]+|[^{ALNUM}]+\z", "").alias("core"))
+    t = t.where("surface <> '' and kind is not null and (kind <> 'u' or (n > 0 and form = 'en'))")
+    return t.withColumn("key", F.when(F.col("kind").isin("c", "m"), F.col("surface")).otherwise(F.col("key"))).distinct()
+
+
+def _hits(kind: str, spans: Column, spelled=None, before=None, after=None, last=None) -> Column:
+    """Hits of an array of (start, stop, gram); the others are functions of one of them."""
+    text = lambda f, g: F.lit(None).cast("string") if f is None else f(g)
+    hit = lambda g: F.struct(F.lit(kind).alias("kind"), g["start"].cast("int").alias("start"), g["stop"].cast("int").alias("stop"), g["gram"].alias("gram"), text(spelled, g).alias("spelled"), text(before, g).alias("before"), text(after, g).alias("after"), (F.lit(None).cast("boolean") if last is None else last(g)).alias("last"))
+    return F.transform(spans, hit)
+
+
+def _ngrams(tokens: Column, known: dict[int, list[str]], firsts: list[str] | None) -> Column:
+    """array of (start, stop, gram) of the wanted lengths; where ``firsts`` are given, only of the keys in ``known``."""
+    at = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: (i < F.size(tokens)) if firsts is None else F.get(tokens, i).isin(firsts))
+
+    def one(n: int, keys: list[str]) -> Column:
+        grams = F.transform(F.filter(at, lambda i: i + n <= F.size(tokens)), lambda i: F.struct(i.alias("start"), (i + n).alias("stop"), F.array_join(F.slice(tokens, i + 1, n), "\x00").alias("gram")))
+        return grams if firsts is None else F.filter(grams, lambda g: g["gram"].isin(keys))
+
+    return F.flatten(F.array(*[one(n, keys) for n, keys in sorted(known.items())]))
 
 
-def _ngrams(tokens: Column, lengths: list[int]) -> Column:
-    """array of (start, stop, gram) of the wanted lengths."""
-    one = lambda n: F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.struct(i.alias("start"), (i + n).alias("stop"), F.array_join(F.slice(tokens, i + 1, n), "\x00").alias("gram")))).otherwise(F.array().cast("array<struct<start:int,stop:int,gram:string>>"))
-    return F.flatten(F.array(*[one(n) for n in lengths]))
+def _places(text: str, zero_width: str, surface: str) -> Column:
+    """(start, stop, gram) of a surface where the zero-width pattern fits in column ``text``; matches may overlap."""
+    pieces = F.split(F.concat(F.lit("\x00"), F.col(text)), zero_width)
+    starts = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda _, i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(-1), lambda a, x: a + F.length(x)))
+    found = F.transform(starts, lambda i: F.struct(i.alias("start"), (i + len(surface)).alias("stop"), F.lit(surface).alias("gram")))
+    return F.when(F.contains(F.col(text), F.lit(surface)), found).otherwise(F.array().cast("array<struct<start:int,stop:int,gram:string>>"))
 
 
 def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> DataFrame:
-    """doc_id, term_id, mode, start, stop, one row a match (token offsets; for compact mode character counts only).
+    """doc_id, term_id, mode, surface, start, stop, one row a distinct match.
 
-    Matches at equal offsets of one term and mode count once, also those of different URLs of a text.  A phrase takes the
-    language steps of the text it is matched with; URL tokens are lower-case in all languages.
+    Offsets count tokens, in compact mode and for phrases without a letter or digit characters of the text's own view; those of
+    other exact phrases are their tokens' (marks around them belong to the phrase but have no token).  A surface takes the
+    language steps of the text it is matched with; tokens in URLs are lower-case in all languages.
+
+    The texts' views are worked out once.  Keys of a small lexicon are looked up within the row, so that only hits become rows;
+    of a large one all n-grams of its lengths become rows, in compact mode the SEED characters from each on.
     """
-    v = views(docs, with_nfkc=with_nfkc).withColumn("own", F.when(F.col("lang") == ENGLISH, ENGLISH).otherwise(""))
-    terms = lexicon.select("term_id", "phrase", F.explode("modes").alias("mode")).withColumn("form", F.explode(F.array(F.lit(ENGLISH), F.lit(""))))
-    terms = views(terms, "phrase", "form", with_nfkc).withColumn("lead", F.regexp_extract("normalized", f"^[^{ALNUM}]*", 0)).withColumn("trail", F.regexp_extract("normalized", rf"[^{ALNUM}]*\z", 0))
-    terms = terms.select("term_id", "mode", "form", "lead", F.regexp_replace("normalized", rf"^[^{ALNUM}]+|[^{ALNUM}]+\z", "").alias("core"), "trail", F.col("leet_compact").alias("p"), F.array_join("separator_tokens", "\x00").alias("key"), F.size("separator_tokens").alias("n")).cache()
-    stats = terms.agg(F.array_sort(F.collect_set("n")).alias("n"), F.count_if(F.col("form") == ENGLISH).alias("c")).first()
-    lengths = [n for n in stats.n if n] or [1]
-    # of a small lexicon the keys are looked up within the row, so that only hits become rows
-    keys = [r.key for r in terms.select("key").distinct().collect()] if stats.c <= MOST_COMPACT else None
-    wanted = (lambda g: g) if keys is None else (lambda g: F.filter(g, lambda x: x["gram"].isin(keys)))
-    side = F.broadcast if stats.c <= BROADCAST_TERMS else (lambda t: t.hint("merge"))
-    out = []
-    # token sequences; an exact phrase is one whose tokens stand between the phrase's own separators
-    pieces = F.regexp_extract_all("normalized", F.lit(f"[^{ALNUM}]*[{ALNUM}]+|[^{ALNUM}]+$"), F.lit(0))
-    grams = v.select("doc_id", "own", "separator_tokens", pieces.alias("pieces")).select("doc_id", "own", "pieces", F.size("separator_tokens").alias("all"), F.explode(wanted(_ngrams(F.col("separator_tokens"), lengths))).alias("g"))
-    seq = grams.select("doc_id", "own", "pieces", "all", "g.*").join(side(terms.where("mode in ('token_sequence', 'exact_phrase')")), (F.col("gram") == F.col("key")) & (F.col("own") == F.col("form")))
-    spelled = F.regexp_replace(F.array_join(F.slice("pieces", F.col("start") + 1, F.col("n")), ""), f"^[^{ALNUM}]+", "")
-    apart = lambda i: F.coalesce(F.regexp_extract(F.get("pieces", F.col(i)), f"^[^{ALNUM}]*", 0), F.lit(""))
-    # the phrase's own outer characters, with no letter or digit right beside them
-    led = (F.col("lead") == "") | (F.endswith(apart("start"), F.col("lead")) & ((F.col("start") == 0) | (F.length(apart("start")) > F.length("lead"))))
-    trailed = (F.col("trail") == "") | (F.startswith(apart("stop"), F.col("trail")) & ((F.col("stop") == F.col("all")) | (F.length(apart("stop")) > F.length("trail"))))
-    out.append(seq.where((F.col("mode") == "token_sequence") | ((spelled == F.col("core")) & led & trailed)).select("doc_id", "term_id", "mode", "start", "stop"))
-    urls = v.select("doc_id", F.explode(url_token_streams(F.col("raw"))).alias("tokens")).select("doc_id", F.explode(wanted(_ngrams(F.col("tokens"), lengths))).alias("g")).select("doc_id", "g.*")
-    out.append(urls.join(side(terms.where(f"mode = 'url_token_sequence' and form = '{ENGLISH}'")), F.col("gram") == F.col("key")).select("doc_id", "term_id", "mode", "start", "stop").distinct())
-    small = [r for r in terms.where("mode = 'compact'").select("term_id", "form", "p").limit(2 * MOST_COMPACT + 1).collect() if r.p]
-    if len(small) > 2 * MOST_COMPACT:
-        raise ValueError(f"at most {MOST_COMPACT} terms may have compact mode")
-    if small:
-        forms: dict[tuple[int, str], set[str]] = {}
-        for r in small:
-            forms.setdefault((r.term_id, r.p), set()).add(r.form)
-        count = lambda p, own: F.when(F.col("own").isin(*own), F.regexp_count("leet_compact", F.lit(f"(?={p})"))).otherwise(0)
-        found = F.explode(F.array(*[F.struct(F.lit(t).alias("term_id"), count(p, own).alias("n")) for (t, p), own in forms.items()]))
-        hits = v.select("doc_id", found.alias("h")).where("h.n > 0")
-        out.append(hits.select("doc_id", "h.term_id", F.lit("compact").alias("mode"), F.explode(F.sequence(F.lit(0), F.col("h.n") - 1)).alias("start")).select("*", F.col("start").alias("stop")))
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
-    return every
+    terms = patterns(lexicon, with_nfkc)
+    sizes = terms.groupBy("kind", "n").count().collect()  # a row a length
+    n_terms = sum(r["count"] for r in sizes)
+    lengths = {k: sorted(r.n for r in sizes if r.kind == k) for k in {r.kind for r in sizes}}
+    n_compact, n_marks = (sum(r["count"] for r in sizes if r.kind == k) for k in "cm")
+    inline = n_terms <= INLINE
+    known = terms.select("kind", "key", "first", "n", "mode").distinct().collect() if inline else terms.where("kind = 'm'").select("kind", "key", "first", "n", "mode").distinct().limit(INLINE).collect()
+    if n_marks > INLINE:
+        raise ValueError(f"more than {INLINE} exact phrases without letters or digits")
+
+    def wanted(kind: str) -> tuple[dict[int, list[str]], list[str] | None]:
+        own = [r for r in known if r.kind == kind]
+        return {n: sorted({r.key for r in own if r.n == n}) for n in lengths[kind]}, sorted({r["first"] for r in own}) if inline else None
+
+    english = F.col("own") == ENGLISH
+    base = docs.select("doc_id", F.col("text").alias("raw"), F.when(F.col("lang") == ENGLISH, ENGLISH).otherwise("").alias("own"))
+    base = fenced(base, normalized=normalized_text(F.col("raw"), english, with_nfkc))
+    parts: dict[str, Column] = {}
+    hits: list[Column] = []
+    if "t" in lengths:
+        tokens, grams = F.col("tokens"), _ngrams(F.col("tokens"), *wanted("t"))
+        parts["tokens"] = separator_tokens(F.col("normalized"))
+        # each token with what stands before it, and what stands behind the last
+        parts["pieces"] = F.regexp_extract_all("normalized", F.lit(f"[^{ALNUM}]*[{ALNUM}]+|[^{ALNUM}]+$"), F.lit(0))
+        apart = lambda i: F.coalesce(F.regexp_extract(F.get(F.col("pieces"), i), f"^[^{ALNUM}]*", 0), F.lit(""))
+        spelled = lambda g: F.regexp_replace(F.array_join(F.slice("pieces", g["start"] + 1, g["stop"] - g["start"]), ""), f"^[^{ALNUM}]+", "")
+        hits.append(_hits("t", grams, spelled, lambda g: apart(g["start"]), lambda g: apart(g["stop"]), lambda g: g["stop"] == F.size(tokens)))
+    for x in sorted({r.key for r in known if r.kind == "m"}):
+        hits.append(_hits("m", _places("normalized", rf"(?<![{ALNUM}])(?=\Q{x}\E(?![{ALNUM}]))", x)))
+    if "u" in lengths:
+        parts["streams"] = url_token_streams(F.col("raw"))
+        hits.append(_hits("u", F.flatten(F.transform("streams", lambda t: _ngrams(t, *wanted("u"))))))
+    if "c" in lengths:
+        bare = compact(F.col("normalized"))
+        parts["leet"] = F.when(english, leet_fold(bare)).otherwise(bare)
+        if inline and n_compact <= INLINE_COMPACT:
+            hits += [_hits("c", _places("leet", f"(?={x})", x)) for x in sorted({r.key for r in known if r.kind == "c"})]
+        else:
+            terms = terms.withColumn("key", F.when(F.col("kind") == "c", F.left("surface", F.lit(SEED))).otherwise(F.col("key")))
+            longest = terms.where("kind = 'c'").agg(F.max(F.length("surface"))).first()[0]
+            parts["chars"] = F.split("leet", "")
+            at = lambda i, n: F.array_join(F.slice("chars", i + 1, n), "")
+            seed = lambda n: lambda i: F.struct(i.alias("start"), i.alias("stop"), at(i, n).alias("gram"))
+            places = F.sequence(F.lit(0), F.size("chars") - 1)
+            hits.append(_hits("c", F.concat(*[F.transform(places, seed(n)) for n in range(1, SEED + 1)]), lambda g: at(g["start"], longest)))
+    if not hits:
+        return base.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("term_id", "int"), ("mode", "string"), ("surface", "string"), ("start", "int"), ("stop", "int"))]).limit(0)
+    if "leet" in parts and "chars" in parts:
+        base = fenced(base, leet=parts.pop("leet"))
+    h = fenced(base, **parts) if parts else base
+    h = h.select("doc_id", "own", F.explode(F.concat(*hits)).alias("h")).select("doc_id", F.when(F.col("h.kind") == "u", ENGLISH).otherwise(F.col("own")).alias("form"), "h.*").withColumnRenamed("gram", "key")
+    j = h.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms.hint("merge"), ["kind", "form", "key"])
+    # an exact phrase's own outer marks, with no letter or digit right beside them
+    led = (F.col("lead") == "") | (F.endswith("before", F.col("lead")) & ((F.col("start") == 0) | (F.length("before") > F.length("lead"))))
+    trailed = (F.col("trail") == "") | (F.startswith("after", F.col("trail")) & (F.col("last") | (F.length("after") > F.length("trail"))))
+    phrase = (F.col("mode") != "exact_phrase") | (F.col("kind") == "m") | ((F.col("spelled") == F.col("core")) & led & trailed)
+    seeded = (F.col("kind") != "c") | F.col("spelled").isNull() | F.startswith("spelled", F.col("surface"))
+    stop = F.when((F.col("kind") == "c"), F.col("start") + F.length("surface")).otherwise(F.col("stop"))
+    return j.where(phrase & seeded).select("doc_id", "term_id", "mode", "surface", "start", stop.alias("stop")).distinct()
 
 
 def term_hits(found: DataFrame) -> DataFrame:
@@ -92,20 +165,38 @@ def term_hits(found: DataFrame) -> DataFrame:
     return by_mode.groupBy("doc_id", "term_id").agg(F.max_by("mode", F.struct(share[F.col("mode")], order[F.col("mode")])).alias("best_mode"), F.max("n").alias("occurrences"))
 
 
+def evidence(found: DataFrame, lexicon: DataFrame, source_multiplier: str = "1.00") -> DataFrame:
+    """Per document and term with hits that is no exception: what the score rests on.
+
+    doc_id, term_id, rule_id (dictionary:phrase), category, severity, best_mode, start and stop (of the best mode's first match),
+    base, multiplier (of mode and source), occurrences.
+    """
+    first = found.groupBy("doc_id", "term_id", "mode").agg(F.min(F.struct("start", "stop")).alias("span")).withColumnRenamed("mode", "best_mode")
+    base = F.create_map(*[F.lit(x) for k, v in BASE.items() for x in (k, v)])
+    share = F.create_map(*[F.lit(x) for k, v in MODES.items() for x in (F.lit(k), F.lit(v).cast("decimal(3,2)"))])
+    hits = term_hits(found).join(first.hint("merge"), ["doc_id", "term_id", "best_mode"])
+    known = hits.join(_broadcast_terms(lexicon.select("term_id", F.concat_ws(":", "dictionary", "phrase").alias("rule_id"), "category", "severity")), "term_id").where(~F.col("category").isin(*EXCEPTIONS))
+    return known.select("doc_id", "term_id", "rule_id", "category", "severity", "best_mode", "span.start", "span.stop", base[F.col("severity")].alias("base"), (share[F.col("best_mode")] * F.lit(source_multiplier).cast("decimal(3,2)")).alias("multiplier"), "occurrences")
+
+
+def _broadcast_terms(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms.hint("merge")
+
+
 def scores(hits: DataFrame, lexicon: DataFrame, source_multiplier: str = "1.00") -> DataFrame:
-    """Per document with hits: score (0 to 100), n_terms, dominant_category and evidence (sorted by term)."""
+    """Per document with hits: score (0 to 100), dominant_category, and n_terms that are evidence (exceptions only lower the score)."""
     base = F.create_map(*[F.lit(x) for k, v in BASE.items() for x in (k, v)])
     share = F.create_map(*[F.lit(x) for k, v in MODES.items() for x in (F.lit(k), F.lit(v).cast("decimal(3,2)"))])
-    known = hits.join(F.broadcast(lexicon.select("term_id", "category", "severity")), "term_id")
+    known = hits.join(_broadcast_terms(lexicon.select("term_id", "category", "severity")), "term_id")
     exception = F.col("category").isin(*EXCEPTIONS)
     points = F.when(exception, F.lit(0)).otherwise(base[F.col("severity")] * share[F.col("best_mode")] * F.lit(source_multiplier).cast("decimal(3,2)") * F.col("occurrences"))
     known = known.withColumn("points", points.cast("decimal(18,4)")).withColumn("less", F.when(exception, EXCEPTION_POINTS * F.col("occurrences")).otherwise(0))
-    by_category = known.groupBy("doc_id", "category").agg(F.sum("points").alias("points"), F.sum("less").alias("less"), F.collect_list(F.struct("term_id", "best_mode", "occurrences")).alias("e"))
+    by_category = known.groupBy("doc_id", "category").agg(F.sum("points").alias("points"), F.sum("less").alias("less"), F.count_if(~exception).alias("terms"))
     raw = F.sum("points") - F.sum("less")
     return by_category.groupBy("doc_id").agg(
         F.least(F.lit(MOST_POINTS), F.round(F.greatest(raw, F.lit(0)), 0)).cast("int").alias("score"),
         F.max_by(F.when(F.col("points") > 0, F.col("category")), F.struct("points", "category")).alias("dominant_category"),
-        F.array_sort(F.flatten(F.collect_list("e"))).alias("evidence"),
+        F.sum("terms").alias("n_terms"),
     )
 
 
@@ -117,7 +208,7 @@ def verdicts(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Dat
     """Per row of ``docs``: doc_id, score, action, dominant_category, n_terms."""
     scored = scores(term_hits(matches(docs, lexicon, with_nfkc)), lexicon)
     score = F.coalesce("score", F.lit(0))
-    return docs.select("doc_id").join(scored.hint("merge"), "doc_id", "left").select("doc_id", score.alias("score"), action(score).alias("action"), "dominant_category", F.coalesce(F.size("evidence"), F.lit(0)).cast("long").alias("n_terms"))
+    return docs.select("doc_id").join(scored.hint("merge"), "doc_id", "left").select("doc_id", score.alias("score"), action(score).alias("action"), "dominant_category", F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"))
 
 
 def with_model(done: DataFrame, texts: DataFrame, model: Callable[[Column], Column], block_above: float) -> DataFrame:
@@ -125,14 +216,14 @@ def with_model(done: DataFrame, texts: DataFrame, model: Callable[[Column], Colu
 
     The reference accepts such a hook and never calls it; here it is off unless this function is used.
     """
-    band = done.where("action = 'warn'").join(texts.select("doc_id", "text"), "doc_id").withColumn("p", model(F.col("text")))
+    band = done.where("action = 'warn'").join(texts.select("doc_id", "text").hint("merge"), "doc_id").withColumn("p", model(F.col("text")))
     harder = band.where(F.col("p") >= block_above).select("doc_id").distinct().withColumn("harder", F.lit(True))
-    return done.join(harder, "doc_id", "left").withColumn("action", F.when(F.col("harder"), "block").otherwise(F.col("action"))).drop("harder")
+    return done.join(harder.hint("merge"), "doc_id", "left").withColumn("action", F.when(F.col("harder"), "block").otherwise(F.col("action"))).drop("harder")
 
 
 def amplified(found: DataFrame, lexicon: DataFrame, span: int, points: int = 15) -> DataFrame:
     """Planned in the reference: per document and category, ``points`` once where two matches start within ``span`` tokens."""
-    m = found.where("mode <> 'compact'").join(F.broadcast(lexicon.select("term_id", "category")), "term_id").select("doc_id", "category", "start").distinct()
+    m = found.where("mode <> 'compact'").join(_broadcast_terms(lexicon.select("term_id", "category")), "term_id").select("doc_id", "category", "start").distinct()
     gap = F.col("start") - F.lag("start").over(Window.partitionBy("doc_id", "category").orderBy("start"))
     return m.withColumn("gap", gap).groupBy("doc_id", "category").agg(F.min("gap").alias("gap")).select("doc_id", "category", F.when(F.col("gap") <= span, points).otherwise(0).alias("points"))
 
@@ -141,3 +232,9 @@ def worst(items: DataFrame) -> DataFrame:
     """Per item of several scanners' rows (item, action): the worst action, block before warn before allow."""
     rank = F.create_map(F.lit("block"), F.lit(2), F.lit("warn"), F.lit(1), F.lit("allow"), F.lit(0))
     return items.groupBy("item").agg(F.max_by("action", rank[F.col("action")]).alias("action"))
+
+
+def ordered(found: DataFrame, partitions: int) -> DataFrame:
+    """Matches by document, term, mode (in its order), start and stop, over range partitions."""
+    at = F.array_position(F.array(*[F.lit(m) for m in MODES]), F.col("mode"))
+    return found.withColumn("at", at).repartitionByRange(partitions, "doc_id", "term_id").sortWithinPartitions("doc_id", "term_id", "at", "start", "stop", "surface").drop("at")

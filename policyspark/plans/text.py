@@ -8,7 +8,7 @@ from ..functions import text as fx
 from ..operators import text_policy as tp
 from .tables import table
 
-#: Terms that the test documents hold: id, phrase, category, severity, modes.
+#: Terms that the test documents hold: id, phrase, category, severity, modes, dictionary, other surfaces.
 LEXICON = [
     (1, "idiot", "insult", "high", ["exact_phrase", "token_sequence", "compact"]),
     (2, "moron", "insult", "medium", ["token_sequence", "compact"]),
@@ -17,62 +17,101 @@ LEXICON = [
     (5, "clown", "mockery", "low", ["exact_phrase"]),
     (6, "and the", "medical_exception", "low", ["exact_phrase", "token_sequence"]),
     (7, "disgusting", "mockery", "high", ["compact"]),
+    (8, "der", "prose", "low", ["exact_phrase", "token_sequence"], "german", ["und", "Und"]),
+    (9, "que", "prose", "medium", ["token_sequence"], "spanish", ["de la"]),
+    (10, "les", "safety_exception", "low", ["token_sequence", "exact_phrase"], "french"),
 ]
 URL_LEXICON = [(1, "example com", "site", "high", ["url_token_sequence"]), (2, "page 2", "paging", "low", ["url_token_sequence"]), (3, "spam farm", "spam", "medium", ["url_token_sequence"])]
 _W = r"[\p{L}\p{N}]"
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'")
-
-
 def text_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tp.verdicts(english(spark, sf_dir), tp.lexicon_table(spark, LEXICON))
+    return tp.verdicts(table(spark, sf_dir, "documents"), tp.lexicon_table(spark, LEXICON))
 
 
 def text_term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tp.term_hits(tp.matches(english(spark, sf_dir), tp.lexicon_table(spark, LEXICON)))
+    return tp.term_hits(tp.matches(table(spark, sf_dir, "documents"), tp.lexicon_table(spark, LEXICON)))
+
+
+def text_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = tp.lexicon_table(spark, LEXICON)
+    e = tp.evidence(tp.matches(table(spark, sf_dir, "documents"), lexicon), lexicon)
+    return e.withColumn("multiplier", F.col("multiplier").cast("double"))
 
 
 def text_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_verdicts(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"), F.sum("score").alias("points"))
 
 
+def text_amplified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = tp.lexicon_table(spark, LEXICON)
+    return tp.amplified(tp.matches(table(spark, sf_dir, "documents"), lexicon), lexicon, 4)
+
+
+def lexicon_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of a lexicon of one term a document: its first word, in the dictionary of its source."""
+    d = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 997).cast("int").alias("term_id"), F.when(F.col("doc_id") % 5 > 0, F.col("source")).otherwise(" ").alias("dictionary"), F.substring_index("text", " ", 1).alias("phrase"), F.lit("c").alias("category"), F.lit("low").alias("severity"),
+        F.expr("case doc_id % 7 when 0 then cast(array() as array<string>) when 1 then array('compact', 'odd') else array('compact') end").alias("modes"), F.expr("case when doc_id % 11 = 0 then array('x', '') end").alias("surfaces"),
+    )
+    return tp.lexicon_errors(d).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+LEXICON_PROBLEMS_SQL = """WITH d AS (SELECT doc_id % 997 AS term_id, doc_id % 5 > 0 AND regexp_matches(source, '\\S') AS named, regexp_matches(split_part(text, ' ', 1), '\\S') AS worded, doc_id % 7 AS m, doc_id % 11 = 0 AS hollow FROM documents),
+p AS (SELECT CASE WHEN named IS NOT TRUE THEN 'empty_dictionary' WHEN worded IS NOT TRUE THEN 'empty_phrase' WHEN m = 0 THEN 'no_modes' WHEN hollow THEN 'empty_surface' WHEN m = 1 THEN 'unknown_mode' END AS problem FROM d
+  UNION ALL SELECT 'repeated_id' FROM d GROUP BY term_id HAVING count(*) > 1)
+SELECT problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY problem"""
+
+
+def _terms() -> list[tuple]:
+    return [(r[0], r[5] if len(r) > 5 else "core", *r[1:5], r[6] if len(r) > 6 else []) for r in LEXICON]
+
+
 def _modes_values() -> str:
-    return ", ".join(f"({i}, '{p}', '{c}', '{s}', '{m}')" for i, p, c, s, modes in LEXICON for m in modes)
+    return ", ".join(f"({i}, '{d}:{p}', '{x}', '{c}', '{s}', '{m}')" for i, d, p, c, s, modes, more in _terms() for m in modes for x in [p, *more])
 
 
 _HITS = rf"""
 WITH doc AS (
-  SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents WHERE lang = 'en'
+  SELECT doc_id, lang, CASE WHEN lang = 'en' THEN lower(b) ELSE b END AS t FROM (SELECT doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS b FROM documents)
 ), tok AS (
   SELECT doc_id, t, regexp_extract_all(t, '{_W}+') AS w, regexp_extract_all(t, '[^\p{{L}}\p{{N}}]*{_W}+') AS p,
-         translate(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g'), '013457', 'oieast') AS c FROM doc
-), lex(term_id, phrase, category, severity, mode) AS (VALUES {_modes_values()}
+         CASE WHEN lang = 'en' THEN translate(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g'), '013457', 'oieast') ELSE regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g') END AS c, lang FROM doc
+), lex0(term_id, rule_id, surface, category, severity, mode) AS (VALUES {_modes_values()}
+), lex AS (
+  SELECT DISTINCT en, term_id, rule_id, CASE WHEN en THEN lower(surface) ELSE surface END AS phrase, category, severity, mode FROM lex0, (VALUES (true), (false)) v(en)
 ), lexn AS (
   SELECT *, string_split(phrase, ' ') AS ws, len(string_split(phrase, ' ')) AS n FROM lex
 ), pos AS (
-  SELECT doc_id, w, p, unnest(range(1, len(w) + 1)) AS i FROM tok
+  SELECT doc_id, lang = 'en' AS en, w, p, unnest(range(1, len(w) + 1)) AS i FROM tok
 ), seq AS (
-  SELECT doc_id, term_id, mode FROM pos JOIN lexn ON w[i] = ws[1] AND (n = 1 OR w[i + 1] = ws[2])
+  SELECT doc_id, term_id, mode, i - 1 AS start, i - 1 + n AS stop, category FROM pos JOIN lexn ON pos.en = lexn.en AND w[i] = ws[1] AND (n = 1 OR w[i + 1] = ws[2])
   WHERE mode IN ('token_sequence', 'exact_phrase') AND (mode = 'token_sequence' OR n = 1 OR p[i + 1] = ' ' || ws[2])
 ), counted AS (
-  SELECT doc_id, term_id, mode, count(*) AS n FROM seq GROUP BY ALL
+  SELECT doc_id, term_id, mode, count(*) AS n, min((start, stop)) AS span FROM seq GROUP BY ALL
   UNION ALL
-  SELECT doc_id, term_id, mode, (length(c) - length(replace(c, phrase, ''))) // length(phrase) AS n FROM tok, lexn WHERE mode = 'compact' AND contains(c, phrase)
+  SELECT doc_id, term_id, mode, (length(c) - length(replace(c, phrase, ''))) // length(phrase) AS n, (strpos(c, phrase) - 1, strpos(c, phrase) - 1 + length(phrase)) AS span
+  FROM tok JOIN lexn ON (lang = 'en') = en WHERE mode = 'compact' AND contains(c, phrase)
 ), hits AS (
-  SELECT doc_id, term_id, first(mode ORDER BY CASE mode WHEN 'exact_phrase' THEN 1 WHEN 'token_sequence' THEN 2 ELSE 3 END) AS best_mode, max(n)::BIGINT AS occurrences FROM counted GROUP BY ALL
+  SELECT doc_id, term_id, first(mode ORDER BY CASE mode WHEN 'exact_phrase' THEN 1 WHEN 'token_sequence' THEN 2 ELSE 3 END) AS best_mode, max(n)::BIGINT AS occurrences,
+         first(span ORDER BY CASE mode WHEN 'exact_phrase' THEN 1 WHEN 'token_sequence' THEN 2 ELSE 3 END) AS span FROM counted GROUP BY ALL
 )"""
-HITS_SQL = _HITS + "\nSELECT * FROM hits"
+HITS_SQL = _HITS + "\nSELECT doc_id, term_id, best_mode, occurrences FROM hits"
+_SHARE = "CASE best_mode WHEN 'exact_phrase' THEN 1.00 WHEN 'token_sequence' THEN 0.80 ELSE 0.75 END"
+_BASE = "CASE severity WHEN 'high' THEN 80 WHEN 'medium' THEN 35 ELSE 15 END"
+EVIDENCE_SQL = _HITS + f"""
+SELECT doc_id, term_id, rule_id, category, severity, best_mode, span[1]::INTEGER AS start, span[2]::INTEGER AS stop, {_BASE} AS base, ({_SHARE})::DOUBLE AS multiplier, occurrences
+FROM hits JOIN (SELECT DISTINCT term_id, rule_id, category, severity FROM lex) l USING (term_id) WHERE category NOT LIKE '%_exception'"""
+AMPLIFIED_SQL = _HITS + """, m AS (SELECT DISTINCT doc_id, category, start FROM seq), g AS (SELECT doc_id, category, start - lag(start) OVER (PARTITION BY doc_id, category ORDER BY start) AS gap FROM m)
+SELECT doc_id, category, CASE WHEN min(gap) <= 4 THEN 15 ELSE 0 END AS points FROM g GROUP BY doc_id, category"""
 _VERDICTS = (
     _HITS
-    + r""", pts AS (
-  SELECT h.*, l.category, CASE WHEN l.category LIKE '%_exception' THEN 0.0::DECIMAL(18,4) ELSE
-      (CASE severity WHEN 'high' THEN 80 WHEN 'medium' THEN 35 ELSE 15 END * (CASE best_mode WHEN 'exact_phrase' THEN 1.00 WHEN 'token_sequence' THEN 0.80 ELSE 0.75 END)::DECIMAL(18,4) * occurrences)::DECIMAL(18,4) END AS points,
-    CASE WHEN l.category LIKE '%_exception' THEN 40 * occurrences ELSE 0 END AS less
+    + rf""", pts AS (
+  SELECT h.*, l.category, CASE WHEN l.category LIKE '%_exception' THEN 0.0::DECIMAL(18,4) ELSE ({_BASE} * ({_SHARE})::DECIMAL(18,4) * occurrences)::DECIMAL(18,4) END AS points,
+    CASE WHEN l.category LIKE '%_exception' THEN 40 * occurrences ELSE 0 END AS less, CASE WHEN l.category LIKE '%_exception' THEN 0 ELSE 1 END AS one
   FROM hits h JOIN (SELECT DISTINCT term_id, category, severity FROM lex) l USING (term_id)
 ), cat AS (
-  SELECT doc_id, category, sum(points) AS points, sum(less) AS less, count(*) AS terms FROM pts GROUP BY ALL
+  SELECT doc_id, category, sum(points) AS points, sum(less) AS less, sum(one) AS terms FROM pts GROUP BY ALL
 ), s AS (
   SELECT doc_id, least(100, floor(greatest(sum(points) - sum(less), 0) + 0.5))::INTEGER AS score,
          first(category ORDER BY points DESC, category DESC) FILTER (points > 0) AS dominant_category, sum(terms)::BIGINT AS n_terms FROM cat GROUP BY doc_id
@@ -128,16 +167,16 @@ SELECT conv_id, turn, round(i / (x + y - i), 6) AS jaccard, round(i / (x + y - i
 
 def assembled_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    a = c.select("conv_id", fx.assemble(F.col("t.text"), 400).alias("text"))
+    a = c.select("conv_id", fx.assemble(F.col("t.text")).alias("text"))
     return a.select("conv_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
 ASSEMBLED_SQL = r"""
 WITH a AS (SELECT conv_id, trim(regexp_replace(string_agg(trim(text), ' ' ORDER BY turn), '\s+', ' ', 'g')) AS t FROM conversations WHERE trim(text) <> '' GROUP BY conv_id),
-c AS (SELECT conv_id, CASE WHEN length(t) <= 400 THEN t WHEN substr(t, 401, 1) = ' ' THEN left(t, 400)
-  WHEN regexp_extract(left(t, 400), '(?s)^(.*) ', 1) <> '' THEN regexp_extract(left(t, 400), '(?s)^(.*) ', 1) ELSE left(t, 400) END AS t FROM a)
+c AS (SELECT conv_id, CASE WHEN length(t) <= 4000 THEN t WHEN substr(t, 4001, 1) = ' ' THEN left(t, 4000)
+  WHEN regexp_extract(left(t, 4000), '(?s)^(.*) ', 1) <> '' THEN regexp_extract(left(t, 4000), '(?s)^(.*) ', 1) ELSE left(t, 4000) END AS t FROM a)
 SELECT conv_id, length(t)::BIGINT AS n, md5(t) AS digest FROM c
 """
 
-QUERIES = {"text_verdicts": text_verdicts, "text_term_hits": text_term_hits, "text_actions": text_actions, "text_views": text_views, "url_term_hits": url_term_hits, "turn_similarity": turn_similarity, "assembled_conversations": assembled_conversations}
-SQL = {"text_verdicts": VERDICTS_SQL, "text_term_hits": HITS_SQL, "text_actions": ACTIONS_SQL, "text_views": VIEWS_SQL, "url_term_hits": URL_HITS_SQL, "turn_similarity": TURN_SIMILARITY_SQL, "assembled_conversations": ASSEMBLED_SQL}
+QUERIES = {"text_evidence": text_evidence, "text_amplified": text_amplified, "lexicon_problems": lexicon_problems, "text_verdicts": text_verdicts, "text_term_hits": text_term_hits, "text_actions": text_actions, "text_views": text_views, "url_term_hits": url_term_hits, "turn_similarity": turn_similarity, "assembled_conversations": assembled_conversations}
+SQL = {"text_evidence": EVIDENCE_SQL, "text_amplified": AMPLIFIED_SQL, "lexicon_problems": LEXICON_PROBLEMS_SQL, "text_verdicts": VERDICTS_SQL, "text_term_hits": HITS_SQL, "text_actions": ACTIONS_SQL, "text_views": VIEWS_SQL, "url_term_hits": URL_HITS_SQL, "turn_similarity": TURN_SIMILARITY_SQL, "assembled_conversations": ASSEMBLED_SQL}
