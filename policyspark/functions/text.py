@@ -55,6 +55,18 @@ def homoglyph_fold(text: Column) -> Column:
     return F.translate(text, *HOMOGLYPHS)
 
 
+#: Planned in the reference: characters that optical recognition takes for one another, by the form they are folded to.
+OCR_PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"))
+OCR_SINGLES = ("0|!", "oll")
+
+
+def ocr_fold(text: Column) -> Column:
+    """Variants that a reader of screens confuses, folded to one form: of both sides of a comparison."""
+    for a, b in OCR_PAIRS:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.translate(text, *OCR_SINGLES)
+
+
 #: Steps by language: English lower-cases and folds, others keep the text's case and digits.
 ENGLISH = "en"
 

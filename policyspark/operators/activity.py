@@ -5,10 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .walks import walked
+
 #: Repeats within 10 s coalesce, 2000 log rows are kept, cooldown, ready and disarm windows, milestones in days.
 COALESCE_MS, KEEP_ROWS = 10_000, 2_000
 COOLDOWN_MS, READY_MS, DISARM_MS = 15 * 60_000, 5 * 60_000, 10 * 60_000
 MILESTONES = (7, 30, 90, 180, 365)
+#: Rules of screens that are broadcast; more are joined by a merge.
+RULES = 100_000
 RANK = {"allow": 0, "warn": 1, "block": 2}
 
 
@@ -29,17 +33,13 @@ def coalesced(log: DataFrame) -> DataFrame:
     device.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        for r in pdf.sort_values("seq").itertuples():
-            now = (r.event, r.detail)
-            if last is not None and last[0] == now and 0 <= r.elapsed_ms - last[1] < COALESCE_MS:
-                continue
-            last = (now, r.elapsed_ms)
-            keep.append(r.Index)
-        return pdf.loc[keep]
+    def step(last, r):
+        now = (r.event, r.detail)
+        if last is not None and last[0] == now and 0 <= r.elapsed_ms - last[1] < COALESCE_MS:
+            return "coalesced", last
+        return "recorded", (now, r.elapsed_ms)
 
-    return log.groupBy("device").applyInPandas(walk, log.schema)
+    return walked(log, "device", ["seq"], ["event", "detail", "elapsed_ms"], step, "__outcome").where("__outcome = 'recorded'").drop("__outcome")
 
 
 def session_starts(log: DataFrame, connects: DataFrame) -> DataFrame:
@@ -71,10 +71,16 @@ def streaks(days: DataFrame) -> DataFrame:
     return d.select("user_id", "day", island.alias("i")).groupBy("user_id", "i").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("length")).drop("i")
 
 
-def clean_streaks(calendar: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Runs of days without an override.  ``calendar``: user_id, first_day, last_day; ``overrides``: user_id, day."""
+def clean_streaks(calendar: DataFrame, overrides: DataFrame, disabled: DataFrame | None = None) -> DataFrame:
+    """Runs of days without an override.  ``calendar``: user_id, first_day, last_day; ``overrides`` and ``disabled``: user_id, day.
+
+    A day on which protection was disabled ends a run as an override does.
+    """
+    broken = overrides.select("user_id", "day")
+    if disabled is not None:
+        broken = broken.unionAll(disabled.select("user_id", "day"))
     spine = calendar.select("user_id", F.explode(F.sequence("first_day", "last_day")).alias("day"))
-    return streaks(spine.join(overrides.select("user_id", "day").distinct(), ["user_id", "day"], "left_anti"))
+    return streaks(spine.join(broken.distinct().hint("merge"), ["user_id", "day"], "left_anti"))
 
 
 def milestones(runs: DataFrame) -> DataFrame:
@@ -99,15 +105,25 @@ def histogram(scored: DataFrame) -> DataFrame:
     return scored.groupBy(F.least(F.lit(19), F.floor(F.col("score") / 5)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def top_titles(events: DataFrame, title: str, k: int = 5) -> DataFrame:
-    return events.groupBy(title).agg(F.count("*").alias("n")).orderBy(F.desc("n"), title).limit(k)
+def top_titles(events: DataFrame, title: str, k: int = 5, most: int | None = None) -> DataFrame:
+    """The k most frequent titles; with ``most``, of the titles last seen latest (column ts) only so many, as the feature keeps no more."""
+    g = events.groupBy(title).agg(F.count("*").alias("n"), *([F.max("ts").alias("seen")] if most else []))
+    kept = g.orderBy(F.desc("seen"), title).limit(most).drop("seen") if most else g
+    return kept.orderBy(F.desc("n"), title).limit(k)
 
 
 def weekly_summary(events: DataFrame, zones: DataFrame) -> DataFrame:
-    """user_id, week (its local Monday), blocked, warned, overrides.  ``zones``: user_id, tz (UTC where missing)."""
+    """user_id, week (its local Monday), blocked, warned, overrides, streak.  ``zones``: user_id, tz (UTC where missing).
+
+    streak: days at the week's end, Sunday, since the user's last local day with an override up to it, or since the first event.
+    """
     local = F.from_utc_timestamp("ts", F.coalesce("tz", F.lit("UTC")))
-    e = events.join(zones, "user_id", "left").withColumn("week", F.to_date(F.date_trunc("week", local)))
-    return e.groupBy("user_id", "week").agg(F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict") == "warn").alias("warned"), F.count_if(F.col("verdict") == "override").alias("overrides"))
+    e = events.join(zones.hint("merge"), "user_id", "left").withColumn("day", F.to_date(local)).withColumn("week", F.to_date(F.date_trunc("week", local)))
+    override = F.col("verdict") == "override"
+    g = e.groupBy("user_id", "week").agg(F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict") == "warn").alias("warned"), F.count_if(override).alias("overrides"), F.max(F.when(override, F.col("day"))).alias("last"), F.min("day").alias("day"))
+    so_far = Window.partitionBy("user_id").orderBy("week")
+    since = F.coalesce(F.max("last").over(so_far), F.date_sub(F.min("day").over(so_far), 1))
+    return g.select("user_id", "week", "blocked", "warned", "overrides", F.date_diff(F.date_add("week", 6), since).alias("streak"))
 
 
 def protection_mode(verdict: Column, mode: Column, variant: str) -> Column:
@@ -127,22 +143,25 @@ def suppressed(verdicts: DataFrame, dismissals: DataFrame, seconds: int = 600) -
     Interval join by equal time slices: a dismissal counts in its own slice and the next.
     """
     slice_of = lambda c: F.floor(c.cast("long") / seconds)
-    d = dismissals.select("user_id", "host", F.col("ts").alias("dts")).withColumn("slice", F.explode(F.array(slice_of(F.col("dts")), slice_of(F.col("dts")) + 1)))
-    v = verdicts.withColumn("__id", F.monotonically_increasing_id()).withColumn("slice", slice_of(F.col("ts")))
-    since = F.col("ts").cast("long") - F.col("dts").cast("long")
-    j = v.join(d, ["user_id", "host", "slice"], "left").withColumn("hit", (since >= 0) & (since < seconds))
-    first = [F.first(c).alias(c) for c in verdicts.columns]
-    g = j.groupBy("__id").agg(*first, F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
-    return g.select(*[c for c in verdicts.columns if c != "verdict"], F.when(F.col("hit") & (F.col("verdict") == "warn"), "allow").otherwise(F.col("verdict")).alias("verdict"))
+    d = dismissals.select("user_id", "host", F.col("ts").alias("dts"), F.explode(F.array(slice_of(F.col("ts")), slice_of(F.col("ts")) + 1)).alias("slice"))
+    # the latest dismissal of a slice up to a verdict is all that matters: both sides are one sorted sequence
+    v = verdicts.select(F.struct(*verdicts.columns).alias("v"), "user_id", "host", F.col("ts").alias("at"), slice_of(F.col("ts")).alias("slice"), F.lit(None).cast("timestamp").alias("dts"))
+    both = v.unionByName(d.select(F.lit(None).cast(v.schema["v"].dataType).alias("v"), "user_id", "host", F.col("dts").alias("at"), "slice", "dts"))
+    w = Window.partitionBy("user_id", "host", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    since = F.col("at").cast("long") - F.max("dts").over(w).cast("long")
+    hit = F.coalesce(since < seconds, F.lit(False))
+    j = both.withColumn("hit", hit).where("v is not null").select("v.*", "hit")
+    return j.select(*[c for c in verdicts.columns if c != "verdict"], F.when(F.col("hit") & (F.col("verdict") == "warn"), "allow").otherwise(F.col("verdict")).alias("verdict"))
 
 
 def strongest_surface(windows: DataFrame, rules: DataFrame) -> DataFrame:
     """Per event: the surface of the first rule (priority, column, value, surface) that fits, focused windows first.
 
-    ``windows``: event_id, focused, package, resource_id, class_name, of which rules name one.
+    ``windows``: event_id, focused, package, resource_id, class_name, of which rules name one.  Rules are broadcast up to RULES.
     """
+    few = rules.limit(RULES + 1).count() <= RULES
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in ("package", "resource_id", "class_name")])).alias("f")
-    hit = windows.select("event_id", "focused", fields).select("event_id", "focused", "f.*").join(F.broadcast(rules), ["column", "value"])
+    hit = windows.select("event_id", "focused", fields).select("event_id", "focused", "f.*").join(F.broadcast(rules) if few else rules.hint("merge"), ["column", "value"])
     return hit.groupBy("event_id").agg(F.min_by("surface", F.struct((~F.col("focused")).cast("int"), "priority")).alias("surface"))
 
 
@@ -158,13 +177,13 @@ def protection_phase(log: DataFrame) -> DataFrame:
 
 def gate_outcomes(starts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Planned in the reference: each gate start with its outcome, open where none came."""
-    return starts.join(outcomes.select("gate_id", "outcome"), "gate_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("open")))
+    return starts.join(outcomes.select("gate_id", "outcome").hint("merge"), "gate_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("open")))
 
 
 def deferral(flags: DataFrame, scores: DataFrame, low: float = 0.35, high: float = 0.65) -> DataFrame:
     """Planned in the reference: a user's flag is accepted where the model is unsure and goes to a human where it is confident."""
     unsure = F.col("score").between(low, high)
-    return flags.join(scores, "item", "left").withColumn("route", F.when(F.col("score").isNull() | unsure, "accept").otherwise("human"))
+    return flags.join(scores.hint("merge"), "item", "left").withColumn("route", F.when(F.col("score").isNull() | unsure, "accept").otherwise("human"))
 
 
 def fresh(now: Column, sent: Column, seconds: int = 300) -> Column:

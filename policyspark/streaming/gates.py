@@ -13,11 +13,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.walks import walked
+
 #: Rescan interval; frame interval and changed bits; refire gate, reset and repeats of the burst limiter.
 RESCAN_MS = 300
 FRAME_MS, FRAME_BITS = 1_000, 6
 REFIRE_MS, RESET_MS, MOST_IN_A_ROW = 1_200, 5_000, 3
 COALESCE_MS = 10_000
+#: Rows of a policy table that are broadcast to a stream; more are joined by a merge.
+BROADCAST_HOSTS = 500_000
 COOLDOWN_MS, READY_MS, DISARM_MS = 15 * 60_000, 5 * 60_000, 10 * 60_000
 
 
@@ -118,27 +122,39 @@ def _walk(gate: Gate, state, pdf: pd.DataFrame):
 
 def gated_batch(df: DataFrame, gate: Gate) -> DataFrame:
     """device, seq, outcome of a table."""
+    rows = df.select("device", "seq", "at_ms", *gate.columns)
+    return walked(rows, "device", ["at_ms", "seq"], ["at_ms", *gate.columns], gate.step).select(F.col("device").cast("string").alias("device"), "seq", "outcome")
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, seqs, outcomes = _walk(gate, None, pdf)
-        return pd.DataFrame({"device": key[0], "seq": seqs, "outcome": outcomes})
 
-    return df.select("device", "seq", "at_ms", *gate.columns).groupBy("device").applyInPandas(one, OUTCOME)
+#: A stream's state of a device is forgotten where the watermark is so far beyond its last row.
+IDLE_MS = 7 * 24 * 3_600_000
 
 
-def gated_stream(df: DataFrame, gate: Gate) -> DataFrame:
-    """device, seq, outcome of a stream; the state outlives micro-batches."""
+def gated_stream(df: DataFrame, gate: Gate, time: str | None = None, lateness: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """device, seq, outcome of a stream; the state outlives micro-batches.
+
+    With a column of event ``time``, watermarked by ``lateness``, a device's state is forgotten ``idle_ms`` after its last row;
+    without one it is kept for ever.
+    """
 
     def one(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(pdfs))
         now = state.get if state.exists else None
         now, seqs, outcomes = _walk(gate, tuple(now) if now else None, rows)
         if now is not None:
             state.update(now)
+            if time:
+                last = int(rows[time].max().timestamp() * 1000)
+                state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"device": key[0], "seq": seqs, "outcome": outcomes})
 
-    rows = df.select("device", "seq", "at_ms", *gate.columns)
-    return rows.groupBy("device").applyInPandasWithState(one, OUTCOME, gate.state, "append", GroupStateTimeout.NoTimeout)
+    rows = df.select("device", "seq", "at_ms", *gate.columns, *([time] if time else []))
+    if time:
+        rows = rows.withWatermark(time, lateness)
+    return rows.groupBy("device").applyInPandasWithState(one, OUTCOME, gate.state, "append", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
 
 
 def live_counts(events: DataFrame, lateness: str = "1 hour", width: str = "1 day") -> DataFrame:
@@ -160,7 +176,8 @@ def sessions(events: DataFrame, gap: str, lateness: str) -> DataFrame:
 
 def host_stream(flows: DataFrame, host_actions: DataFrame) -> DataFrame:
     """A stream of lookups (host, ..) with the action of a static policy table (host, action); proxy where it has none."""
-    return flows.join(F.broadcast(host_actions), "host", "left").withColumn("action", F.coalesce("action", F.lit("proxy")))
+    few = host_actions.count() <= BROADCAST_HOSTS
+    return flows.join(F.broadcast(host_actions) if few else host_actions.hint("merge"), "host", "left").withColumn("action", F.coalesce("action", F.lit("proxy")))
 
 
 def verdict_stream(texts: DataFrame, lexicon: DataFrame, write: Callable[[DataFrame, int], None]):
