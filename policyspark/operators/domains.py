@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.domains import is_ip_literal, normalize_domain, suffixes
 from ..functions.fence import fenced
+from ..functions.joins import side
 
 #: Licences from most to least permissive.
 LICENSE_RANK = ("CC0-1.0", "MIT", "CC-BY-SA-4.0", "GPL-3.0")
@@ -19,20 +20,20 @@ def registrable(domains: DataFrame, public_suffix: DataFrame) -> DataFrame:
     """
     rules = public_suffix.select(F.regexp_replace("rule", r"^(\*\.|!)", "").alias("suffix"), F.col("rule").startswith("*.").alias("wild"), F.col("rule").startswith("!").alias("except"))
     names = domains.select("domain").distinct()
-    hit = names.select("domain", F.explode(suffixes(F.col("domain"))).alias("s")).select("domain", "s.*").join(F.broadcast(rules), "suffix")
+    hit = names.select("domain", F.explode(suffixes(F.col("domain"))).alias("s")).select("domain", "s.*").join(side(rules), "suffix")
     # labels of the public suffix: the rule's own, one more under a wildcard, one less for an exception (which wins)
     labels = F.col("depth") + F.col("wild").cast("int") - F.col("except").cast("int")
     best = hit.groupBy("domain").agg(F.max_by(labels, F.struct("except", labels)).alias("n"))
     parts = F.split("domain", r"\.")
-    found = names.join(best, "domain", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    found = names.join(best.hint("merge"), "domain", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     own = found.select("domain", F.when(F.size(parts) > F.col("n"), F.array_join(F.slice(parts, F.size(parts) - F.col("n"), F.col("n") + 1), ".")).alias("registrable"))
-    return domains.join(own, "domain", "left")
+    return domains.join(own.hint("merge"), "domain", "left")
 
 
 def with_scope(entries: DataFrame, public_suffix: DataFrame, denylist: DataFrame) -> DataFrame:
     """``entries`` (domain, scope_hint) with scope: null on the denylist, apex if hinted and registrable, else exact_host."""
     deny = denylist.select(normalize_domain(F.col("value")).alias("domain")).where("domain is not null").distinct().withColumn("denied", F.lit(True))
-    r = registrable(entries, public_suffix).join(F.broadcast(deny), "domain", "left")
+    r = registrable(entries, public_suffix).join(side(deny), "domain", "left")
     eligible = F.col("registrable") == F.col("domain")
     return r.withColumn("scope", F.when(F.col("denied"), None).when((F.col("scope_hint") == APEX) & eligible, APEX).otherwise(EXACT)).drop("registrable", "denied")
 
@@ -62,7 +63,7 @@ def provenance(merged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(dictionary: id, sources, categories, scope; keys: domain, id).  Ids follow the order of the combinations, which are few."""
     combos = merged.select("sources", "categories", "scope").distinct()
     ids = combos.withColumn("id", F.row_number().over(Window.orderBy("sources", "categories", "scope")) - 1)
-    return ids.select("id", "sources", "categories", "scope"), merged.join(F.broadcast(ids), ["sources", "categories", "scope"]).select("domain", "id")
+    return ids.select("id", "sources", "categories", "scope"), merged.join(side(ids), ["sources", "categories", "scope"]).select("domain", "id")
 
 
 def collapse_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def shrinkage_gate(counts: DataFrame, limit: float, floor: int) -> DataFrame:
 
 def growth_gate(current: DataFrame, previous: DataFrame, limit: float) -> DataFrame:
     """New keys, not net growth, as a share of the previous keys."""
-    new = current.select("domain").distinct().join(previous.select("domain").distinct(), "domain", "left_anti").agg(F.count("*").alias("new"))
+    new = current.select("domain").distinct().join(previous.select("domain").distinct().hint("merge"), "domain", "left_anti").agg(F.count("*").alias("new"))
     both = new.crossJoin(previous.select("domain").distinct().agg(F.count("*").alias("old")))  # one row each
     share = F.col("new") / F.when(F.col("old") > 0, F.col("old"))
     return both.select(*_gate("growth", (F.col("old") == 0) | ((share <= limit) & F.lit(_fraction(limit))), share))
@@ -109,13 +110,13 @@ def growth_gate(current: DataFrame, previous: DataFrame, limit: float) -> DataFr
 def control_hits(merged: DataFrame, control: DataFrame) -> DataFrame:
     """Control names (value) in the build, repeated ones repeatedly: domain, n_sources."""
     names = control.select(normalize_domain(F.col("value")).alias("domain")).where("domain is not null")
-    return names.join(merged.select("domain", F.size("sources").alias("n_sources")), "domain")
+    return names.join(merged.select("domain", F.size("sources").alias("n_sources")).hint("merge"), "domain")
 
 
 def review_queue(merged: DataFrame, control: DataFrame, excluded: DataFrame) -> DataFrame:
     """Hits that fewer than two sources corroborate, without the exclusions."""
     out = excluded.select(normalize_domain(F.col("value")).alias("domain")).distinct()
-    return control_hits(merged, control).where("n_sources < 2").join(F.broadcast(out), "domain", "left_anti")
+    return control_hits(merged, control).where("n_sources < 2").join(side(out), "domain", "left_anti")
 
 
 def false_positive_gate(merged: DataFrame, control: DataFrame, excluded: DataFrame, limit: float = 0.005, least: int = 1000) -> DataFrame:
@@ -135,13 +136,19 @@ def license_gate(merged: DataFrame, snapshots: DataFrame, allowed: DataFrame) ->
     """Duplicate snapshots, then sources without one, then licences that aren't allowed: measured counts the first kind found."""
     spdx = lambda c: F.lower(F.trim(c))
     twice = snapshots.groupBy("source").count().where("count > 1").agg(F.count("*").alias("twice"))
-    missing = merged.select(F.explode("sources").alias("source")).distinct().join(snapshots.select("source"), "source", "left_anti").agg(F.count("*").alias("missing"))
-    bad = snapshots.select(spdx(F.coalesce("license", F.lit(""))).alias("l")).join(F.broadcast(allowed.select(spdx(F.col("value")).alias("l"))), "l", "left_anti").agg(F.count("*").alias("bad"))
+    missing = merged.select(F.explode("sources").alias("source")).distinct().join(snapshots.select("source").hint("merge"), "source", "left_anti").agg(F.count("*").alias("missing"))
+    bad = snapshots.select(spdx(F.coalesce("license", F.lit(""))).alias("l")).join(side(allowed.select(spdx(F.col("value")).alias("l")).distinct()), "l", "left_anti").agg(F.count("*").alias("bad"))
     one = twice.crossJoin(missing).crossJoin(bad)  # one row each
     first = F.when(F.col("twice") > 0, F.col("twice")).when(F.col("missing") > 0, F.col("missing")).otherwise(F.col("bad"))
     return one.select(*_gate("license", first == 0, first))
 
 
+def build_report(merged: DataFrame, n_bytes: DataFrame) -> DataFrame:
+    """One row: entry_count, combinations of provenance, bytes and bytes an entry of a published list (``n_bytes``: bytes)."""
+    counts = merged.agg(F.count("*").alias("entry_count"), F.countDistinct("sources", "categories", "scope").alias("combinations"))
+    return counts.crossJoin(n_bytes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))).select("*", (F.col("bytes") / F.when(F.col("entry_count") > 0, F.col("entry_count"))).alias("bytes_per_entry"))  # one row each
+
+
 def all_gates(gates: list[DataFrame]) -> DataFrame:
     every = gates[0]
     for g in gates[1:]:
@@ -151,7 +158,7 @@ def all_gates(gates: list[DataFrame]) -> DataFrame:
 
 def fold_overlay(merged: DataFrame, adds: DataFrame, removes: DataFrame) -> DataFrame:
     """Planned in the reference: overlay additions joined in, removals taken out."""
-    return merged.join(removes.select("domain").distinct(), "domain", "left_anti").unionByName(adds.join(merged.select("domain"), "domain", "left_anti"))
+    return merged.join(removes.select("domain").distinct().hint("merge"), "domain", "left_anti").unionByName(adds.join(merged.select("domain").hint("merge"), "domain", "left_anti"))
 
 
 def sorted_keys(merged: DataFrame, partitions: int) -> DataFrame:

@@ -40,6 +40,12 @@ def profiles(scores: DataFrame) -> DataFrame:
     return scores.agg(rows.alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+def latencies(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Nearest-rank median and 95th percentile of ``millis``."""
+    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by millis)")
+    return scores.groupBy(*by).agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+
+
 def _between(score: Column, bounds: list[float], first: int = 0) -> Column:
     """``first`` and the number of ascending ``bounds`` at or below score, by halving."""
     if not bounds:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import dot, hamming
 
-BITS, RADIUS = 64, 10
+BITS, BANDS, RADIUS = 64, 4, 10
+#: Queries of a block that is broadcast.
+BLOCK = 4_096
 
 
 def bands(h: Column, n: int) -> Column:
@@ -19,11 +24,14 @@ def bands(h: Column, n: int) -> Column:
 def nearest_hash(queries: DataFrame, stored: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Per query (id, hash): the closest stored (label, hash) within ``radius`` bits, ties by label.
 
-    Pigeonhole: two hashes that differ in at most ``radius`` bits agree in one of radius + 1 bands.  Bands are narrow, so the
-    stored side should be a reference set; distinct hashes on both sides are joined.
+    Pigeonhole: of BANDS bands, two hashes that differ in at most ``radius`` bits differ in radius / BANDS at most in one.  A
+    query looks for all values so near in each band of 16 bits (137 for 10 bits), a stored hash is there once a band.
     """
-    q = queries.select("hash").distinct().select("hash", F.explode(bands(F.col("hash"), radius + 1)).alias("b")).select("hash", "b.*")
-    s = stored.groupBy(F.col("hash").alias("other")).agg(F.min("label").alias("label")).select("other", "label", F.explode(bands(F.col("other"), radius + 1)).alias("b")).select("other", "label", "b.*")
+    width, near = BITS // BANDS, radius // BANDS
+    masks = [sum(1 << b for b in bits) for n in range(near + 1) for bits in combinations(range(width), n)]
+    q = queries.select("hash").distinct().select("hash", F.explode(bands(F.col("hash"), BANDS)).alias("b"))
+    q = q.select("hash", "b.band", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"), "b.value").select("hash", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    s = stored.groupBy(F.col("hash").alias("other")).agg(F.min("label").alias("label")).select("other", "label", F.explode(bands(F.col("other"), BANDS)).alias("b")).select("other", "label", "b.*")
     hit = q.join(s.hint("merge"), ["band", "value"]).withColumn("distance", hamming(F.col("hash"), F.col("other"))).where(F.col("distance") <= radius)
     best = hit.groupBy("hash").agg(F.min(F.struct("distance", "label")).alias("m"))
     return queries.join(best.hint("merge"), "hash", "left").select("id", F.col("m.label").alias("label"), F.col("m.distance").alias("distance"))
@@ -32,13 +40,15 @@ def nearest_hash(queries: DataFrame, stored: DataFrame, radius: int = RADIUS) ->
 def nearest_vectors(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """Per query (id, vector): the k most cosine-similar rows of ``base`` (id, vector), exactly: query_id, neighbour_id, similarity, rank.
 
-    The stated query set is broadcast to the blocks of ``base``, and Spark's limit on window ranks keeps each block's best k a
-    query before the shuffle; callers bound the query set.
+    The query set is dealt into blocks of about BLOCK, each of them broadcast to all of ``base``; Spark's limit on window ranks keeps
+    each partition's best k a query before the shuffle.
     """
     norm = lambda v: F.sqrt(dot(v, v))
     q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
     b = base.select(F.col("id").alias("neighbour_id"), F.col("vector").alias("v"), norm(F.col("vector")).alias("n"))
     sim = F.round(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("n")), 6)
-    pairs = b.crossJoin(F.broadcast(q)).where("query_id <> neighbour_id and qn > 0 and n > 0").select("query_id", "neighbour_id", sim.alias("similarity"))
+    n = max(1, -(-queries.count() // BLOCK))
+    parts = [b.crossJoin(F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k))).where("query_id <> neighbour_id and qn > 0 and n > 0").select("query_id", "neighbour_id", sim.alias("similarity")) for k in range(n)]
+    pairs = reduce(DataFrame.unionAll, parts)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -6,18 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.domains import ip_key, suffixes
+from ..functions.joins import side
 from .domains import APEX
 
 BLOCK, ALLOW, PROXY = "block", "allow", "proxy"
-#: Rules up to so many are broadcast to the hosts' suffixes; larger sets are joined by a merge.
-BROADCAST_RULES = 200_000
-
-
-def _side(rules: DataFrame, few: bool | None = None) -> DataFrame:
-    few = rules.count() <= BROADCAST_RULES if few is None else few
-    return F.broadcast(rules) if few else rules.hint("merge")
-
-
 def suffix_explode(hosts: DataFrame) -> DataFrame:
     """host, suffix, depth of each distinct host and its parents."""
     return hosts.select("host").where("host is not null").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("s")).select("host", "s.*")
@@ -25,19 +17,19 @@ def suffix_explode(hosts: DataFrame) -> DataFrame:
 
 def most_specific(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """host, action of the deepest rule (seq, domain, action) that is the host or a parent; of equal rules the last."""
-    hit = suffix_explode(hosts).join(_side(rules.select("seq", F.col("domain").alias("suffix"), "action")), "suffix")
+    hit = suffix_explode(hosts).join(side(rules.select("seq", F.col("domain").alias("suffix"), "action")), "suffix")
     return hit.groupBy("host").agg(F.max_by("action", F.struct("depth", "seq")).alias("action"))
 
 
 def listed(hosts: DataFrame, merged: DataFrame) -> DataFrame:
     """host and the deepest list entry (domain) that blocks it: an apex that is the host or a parent, or the very host."""
-    hit = suffix_explode(hosts).join(_side(merged.select(F.col("domain").alias("suffix"), "scope")), "suffix").where((F.col("scope") == APEX) | (F.col("suffix") == F.col("host")))
+    hit = suffix_explode(hosts).join(side(merged.select(F.col("domain").alias("suffix"), "scope")), "suffix").where((F.col("scope") == APEX) | (F.col("suffix") == F.col("host")))
     return hit.groupBy("host").agg(F.max_by("suffix", "depth").alias("domain"))
 
 
 def allowlisted(hosts: DataFrame, allowlist: DataFrame) -> DataFrame:
     """The hosts of which they or a parent are on the list (domain)."""
-    return suffix_explode(hosts).join(_side(allowlist.select(F.col("domain").alias("suffix")).distinct()), "suffix", "left_semi").select("host").distinct()
+    return suffix_explode(hosts).join(side(allowlist.select(F.col("domain").alias("suffix")).distinct()), "suffix", "left_semi").select("host").distinct()
 
 
 def resolve(hosts: DataFrame, allowlist: DataFrame, rules: DataFrame, merged: DataFrame, overlay: DataFrame | None = None) -> DataFrame:
@@ -46,23 +38,21 @@ def resolve(hosts: DataFrame, allowlist: DataFrame, rules: DataFrame, merged: Da
     ``overlay`` has domain and change (add or remove): a removal ends the search with the default.  A null host is proxied.
     """
     h = hosts.select("host").distinct()
-    a = allowlisted(h, allowlist).withColumn("a", F.lit(True))
-    r = most_specific(h, rules).withColumnRenamed("action", "r")
-    m = listed(h, merged).select("host", F.col("domain").alias("m"))
-    df = h.join(a, "host", "left").join(r, "host", "left").join(m, "host", "left")
-    over = F.lit(None).cast("string")
+    own = lambda df, kind, seq, action, apex: df.select(F.col("domain").alias("suffix"), F.lit(kind).alias("kind"), seq.alias("seq"), action.alias("act"), apex.alias("apex"))
+    zero, yes = F.lit(0).cast("long"), F.lit(True)
+    every = own(allowlist, "allowlist", zero, F.lit(ALLOW), yes).unionAll(own(rules, "rule", F.col("seq").cast("long"), F.col("action"), yes)).unionAll(own(merged, "list", zero, F.lit(BLOCK), F.col("scope") == APEX))
     if overlay is not None:
-        o = overlay.select(F.monotonically_increasing_id().alias("seq"), "domain", F.col("change").alias("action"))
-        df = df.join(most_specific(h, o).withColumnRenamed("action", "o"), "host", "left")
-        over = F.col("o")
-    by = F.when(F.col("a"), "allowlist").when(F.col("r").isNotNull(), "rule").when(over.isNotNull(), "overlay").when(F.col("m").isNotNull(), "list").otherwise("default")
-    act = F.when(by == "allowlist", ALLOW).when(by == "rule", F.col("r")).when(by == "overlay", F.when(over == "add", BLOCK).otherwise(PROXY)).when(by == "list", BLOCK).otherwise(PROXY)
-    return df.select("host", act.alias("action"), by.alias("decided_by"))
+        every = every.unionAll(own(overlay, "overlay", F.monotonically_increasing_id(), F.when(F.col("change") == "add", BLOCK).otherwise(PROXY), yes))
+    hit = suffix_explode(h).join(side(every), "suffix").where(F.col("apex") | (F.col("suffix") == F.col("host")))
+    # the first kind that has a hit decides, by its deepest and then its last rule
+    rank = F.array_position(F.array(*[F.lit(k) for k in ("list", "overlay", "rule", "allowlist")]), F.col("kind"))
+    best = hit.groupBy("host").agg(F.max_by(F.struct("act", "kind"), F.struct(rank, "depth", "seq")).alias("b"))
+    return h.join(best.hint("merge"), "host", "left").select("host", F.coalesce("b.act", F.lit(PROXY)).alias("action"), F.coalesce("b.kind", F.lit("default")).alias("decided_by"))
 
 
 def provenance_of(blocked: DataFrame, keys: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Why the listed hosts (host, domain) are blocked: sources, categories, scope."""
-    return blocked.join(keys, "domain").join(F.broadcast(dictionary), "id").drop("id")
+    return blocked.join(keys.hint("merge"), "domain").join(side(dictionary), "id").drop("id")
 
 
 def ip_key_any(address: Column) -> Column:
@@ -113,9 +103,9 @@ def longest_prefix(addresses: DataFrame, rules: DataFrame) -> DataFrame:
     lengths = [x.bits for x in r.select("bits").distinct().collect()]  # 129 at most
     a = addresses.select("address").distinct().withColumn("key", ip_key_any(F.col("address")))
     probes = a.where("key is not null").select("address", "key", F.explode(F.array(*[F.lit(b) for b in lengths]).cast("array<int>")).alias("bits"))
-    hit = probes.select("address", "bits", _masked(F.col("key"), F.col("bits")).alias("prefix")).join(_side(r), ["bits", "prefix"])
+    hit = probes.select("address", "bits", _masked(F.col("key"), F.col("bits")).alias("prefix")).join(side(r), ["bits", "prefix"])
     best = hit.groupBy("address").agg(F.max_by("action", F.struct("raw", -F.col("seq"))).alias("action"))
-    return a.select("address").join(best, "address", "left").select("address", F.coalesce("action", F.lit(PROXY)).alias("action"))
+    return a.select("address").join(best.hint("merge"), "address", "left").select("address", F.coalesce("action", F.lit(PROXY)).alias("action"))
 
 
 def flow_actions(flows: DataFrame, host_actions: DataFrame, ip_actions: DataFrame) -> DataFrame:
@@ -123,4 +113,4 @@ def flow_actions(flows: DataFrame, host_actions: DataFrame, ip_actions: DataFram
     h = host_actions.select("host", F.col("action").alias("by_host"))
     i = ip_actions.select("address", F.col("action").alias("by_ip"))
     act = F.when(~F.col("port").isin(443, 80), ALLOW).otherwise(F.coalesce("by_host", "by_ip", F.lit(PROXY)))
-    return flows.join(h, "host", "left").join(i, "address", "left").withColumn("action", act).drop("by_host", "by_ip")
+    return flows.join(h.hint("merge"), "host", "left").join(i.hint("merge"), "address", "left").withColumn("action", act).drop("by_host", "by_ip")

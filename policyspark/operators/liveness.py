@@ -41,12 +41,12 @@ def due(last_checked: Column, now: int, ttl: int) -> Column:
 
 
 def due_set(merged: DataFrame, cache: DataFrame, now: int, ttl: int) -> DataFrame:
-    return merged.select("domain").join(cache.select("domain", "last_checked"), "domain", "left").where(due(F.col("last_checked"), now, ttl)).select("domain")
+    return merged.select("domain").join(cache.select("domain", "last_checked").hint("merge"), "domain", "left").where(due(F.col("last_checked"), now, ttl)).select("domain")
 
 
 def canary(control: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row: passed, n_mismatches and the first NAMED of them in order.  ``control``: domain, expected."""
-    bad = control.join(verdicts.select("domain", "verdict"), "domain", "left").where(~F.col("verdict").eqNullSafe(F.col("expected")))
+    bad = control.join(verdicts.select("domain", "verdict").hint("merge"), "domain", "left").where(~F.col("verdict").eqNullSafe(F.col("expected")))
     first = bad.orderBy("domain").limit(NAMED).agg(F.array_sort(F.collect_list("domain")).alias("named"))
     n = bad.agg(F.count("*").alias("n_mismatches"))
     more = F.when(F.col("n_mismatches") > NAMED, F.concat(F.lit("...and "), (F.col("n_mismatches") - NAMED).cast("string"), F.lit(" more")))
@@ -56,7 +56,7 @@ def canary(control: DataFrame, verdicts: DataFrame) -> DataFrame:
 def updated_cache(cache: DataFrame, verdicts: DataFrame, now: int) -> DataFrame:
     """The cache after a sweep: first_dead_at is kept while dead, set on the first death, cleared otherwise."""
     v = verdicts.select("domain", F.col("verdict").alias("v"), F.col("reason").alias("r"))
-    j = cache.join(v, "domain", "full_outer")
+    j = cache.join(v.hint("merge"), "domain", "full_outer")
     new = F.col("v").isNotNull()
     first = F.when(F.col("v") == DEAD, F.coalesce("first_dead_at", F.lit(now)))
     return j.select("domain", F.when(new, F.lit(now)).otherwise(F.col("last_checked")).cast("long").alias("last_checked"), F.when(new, F.col("v")).otherwise(F.col("verdict")).alias("verdict"), F.when(new, F.col("r")).otherwise(F.col("reason")).alias("reason"), F.when(new, first).otherwise(F.col("first_dead_at")).cast("long").alias("first_dead_at"))
@@ -67,9 +67,21 @@ def prunable(cache_row: DataFrame, now: int, quarantine: int) -> Column:
     return (F.col("verdict") == DEAD) & F.col("first_dead_at").isNotNull() & (F.greatest(F.lit(now) - F.col("first_dead_at"), F.lit(0)) >= quarantine) & ~is_special_use(F.col("domain"))
 
 
+def dead_now(merged: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The entries to leave out without hysteresis: dead by the last sweep and not special-use."""
+    dead = verdicts.where((F.col("verdict") == DEAD) & ~is_special_use(F.col("domain"))).select("domain")
+    return merged.select("domain").join(dead.hint("merge"), "domain", "left_semi")
+
+
+def dead_list(verdicts: DataFrame) -> DataFrame:
+    """Every dead domain, and every unknown one with its reason: domain, kind."""
+    kind = F.when(F.col("verdict") == DEAD, DEAD).otherwise(F.concat(F.lit("unknown:"), F.col("reason")))
+    return verdicts.where(F.col("verdict") != ALIVE).select("domain", kind.alias("kind"))
+
+
 def pruned_set(merged: DataFrame, cache: DataFrame, now: int, quarantine: int) -> DataFrame:
     """Of all entries, not only those just checked, the ones to leave out."""
-    return merged.select("domain").join(cache, "domain").where(prunable(cache, now, quarantine)).select("domain")
+    return merged.select("domain").join(cache.hint("merge"), "domain").where(prunable(cache, now, quarantine)).select("domain")
 
 
 def negative_outcomes(verdicts: DataFrame) -> DataFrame:

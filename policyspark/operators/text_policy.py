@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.fence import fenced
+from ..functions.joins import side
 from ..functions.text import ALNUM, ENGLISH, compact, leet_fold, normalized_text, separator_tokens, url_token_streams, views
 
 #: Points by severity, shares by match mode (ordinal order), by source, and exceptions.
@@ -180,7 +181,7 @@ def evidence(found: DataFrame, lexicon: DataFrame, source_multiplier: str = "1.0
 
 
 def _broadcast_terms(terms: DataFrame) -> DataFrame:
-    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms.hint("merge")
+    return side(terms, BROADCAST_TERMS)
 
 
 def scores(hits: DataFrame, lexicon: DataFrame, source_multiplier: str = "1.00") -> DataFrame:

@@ -91,9 +91,15 @@ def difference_hashes(spark, sf_dir):
 
 
 def nearest_hashes(spark, sf_dir):
+    """One hash in a hundred, with up to 14 of its bits turned, against all."""
     h = _hashes(spark, sf_dir)
-    stored = h.where("vec_id % 5 = 0").select(F.col("label").cast("string").alias("label"), "hash")
-    return hx.nearest_hash(h.select(F.col("vec_id").alias("id"), "hash"), stored)
+    turned = F.col("hash").bitwiseXOR((F.col("vec_id") * 40_503).bitwiseAND(F.lit(0x7F7F).cast("long")))
+    queries = h.where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), turned.alias("hash"))
+    return hx.nearest_hash(queries, h.select(F.col("label").cast("string").alias("label"), "hash"))
+
+
+def latency_profiles(spark, sf_dir):
+    return ev.latencies(scores(spark, sf_dir).withColumn("millis", (F.col("score") * 1000).cast("int")), ["corpus"])
 
 
 def nearest_vectors(spark, sf_dir):
@@ -105,14 +111,14 @@ _HASH_SQL = """g AS (SELECT vec_id, label, list_concat(embedding, embedding[1:8]
 bit AS (SELECT vec_id, label, i, v[(i // 8) * 9 + i % 8 + 1] > v[(i // 8) * 9 + i % 8 + 2] AS b FROM g, range(0, 64) r(i)),
 h AS (SELECT vec_id, any_value(label) AS label, string_agg(CASE WHEN b THEN '1' ELSE '0' END, '' ORDER BY i) AS bits,
   (sum(CASE WHEN b AND i > 0 THEN (1::HUGEINT << (63 - i)) ELSE 0 END) - max(CASE WHEN b AND i = 0 THEN (1::HUGEINT << 63) ELSE 0 END))::BIGINT AS hash FROM bit GROUP BY vec_id)"""
-_BY = _S + ", b AS (SELECT round(score, 4) AS score, sum(label) AS pos, sum(1 - label) AS neg FROM s GROUP BY 1), c AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM b)"
+_BY = _S + ", b AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM s GROUP BY 1), c AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM b)"
 _CONF = "count(*) FILTER (score >= {t} AND label = 1) AS tp, count(*) FILTER (score >= {t} AND label = 0) AS fp, count(*) FILTER (score < {t} AND label = 0) AS tn, count(*) FILTER (score < {t} AND label = 1) AS fn"
 _W = ["[" + ", ".join(f"{x!r}" for x in w) + "]" for w in _HEAD]
 
 QUERIES = {
     "score_summary": score_summary, "threshold_sweep": threshold_sweep, "confusion": confusion, "threshold_profiles": threshold_profiles, "ranking_quality": ranking_quality,
     "operating_points": operating_points, "error_confidence": error_confidence, "deferral_curve": deferral_curve, "guardrail": guardrail, "top_items": top_items,
-    "tile_scores": tile_scores, "federated_mean": federated_mean, "head_scores": head_scores, "difference_hashes": difference_hashes, "nearest_hashes": nearest_hashes, "nearest_vectors": nearest_vectors,
+    "tile_scores": tile_scores, "federated_mean": federated_mean, "head_scores": head_scores, "difference_hashes": difference_hashes, "nearest_hashes": nearest_hashes, "nearest_vectors": nearest_vectors, "latency_profiles": latency_profiles,
 }
 SQL = {
     "score_summary": _S + " SELECT corpus, count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_disc(score, 0.9), 6) AS p90, round(quantile_disc(score, 0.95), 6) AS p95, round(quantile_disc(score, 0.99), 6) AS p99, round(min(score), 6) AS least, round(max(score), 6) AS most FROM s GROUP BY corpus",
@@ -129,6 +135,7 @@ SQL = {
     "federated_mean": "WITH c AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), r AS (SELECT i, x, row_number() OVER (PARTITION BY i ORDER BY x, vec_id) AS r, count(*) OVER (PARTITION BY i) AS n FROM c) SELECT i::INTEGER AS i, round(avg(x), 6) AS mean FROM r WHERE r > floor(n * 0.1) AND r <= n - floor(n * 0.1) AND (SELECT count(*) FROM embeddings) >= 500 GROUP BY i",
     "head_scores": f"WITH l AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ({_W[0]})[i])) + 0.1 AS a, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ({_W[1]})[i])) - 0.1 AS b FROM embeddings) SELECT vec_id, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 5) AS score FROM l",
     "difference_hashes": f"WITH {_HASH_SQL} SELECT vec_id, hash FROM h",
-    "nearest_hashes": f"WITH {_HASH_SQL}, j AS (SELECT a.vec_id AS id, b.label::VARCHAR AS label, bit_count(xor(a.hash, b.hash))::INTEGER AS distance FROM h a JOIN h b ON b.vec_id % 5 = 0 AND bit_count(xor(a.hash, b.hash)) <= 10), m AS (SELECT id, first(label ORDER BY distance, label) AS label, min(distance) AS distance FROM j GROUP BY id) SELECT vec_id AS id, m.label, distance FROM h LEFT JOIN m ON vec_id = id",
+    "nearest_hashes": f"WITH {_HASH_SQL}, q AS (SELECT vec_id AS id, xor(hash, (vec_id * 40503) & 32639) AS hash FROM h WHERE vec_id % 100 = 0), j AS (SELECT q.id, b.label::VARCHAR AS label, bit_count(xor(q.hash, b.hash))::INTEGER AS distance FROM q JOIN h b ON bit_count(xor(q.hash, b.hash)) <= 10), m AS (SELECT id, first(label ORDER BY distance, label) AS label, min(distance) AS distance FROM j GROUP BY id) SELECT q.id, m.label, distance FROM q LEFT JOIN m USING (id)",
+    "latency_profiles": _S + ", m AS (SELECT corpus, trunc(score * 1000)::INTEGER AS millis FROM s) SELECT corpus, quantile_disc(millis, 0.5) AS p50, quantile_disc(millis, 0.95) AS p95 FROM m GROUP BY corpus",
     "nearest_vectors": "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings), p AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbour_id, round(list_dot_product(q.v, b.v) / (q.l * b.l), 6) AS similarity FROM n q JOIN n b ON q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbour_id)::INTEGER AS rank FROM p) SELECT * FROM r WHERE rank <= 5",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.domains import is_ip_literal
 from ..functions.fence import fenced
+from ..functions.joins import side
 
 HOSTS, PLAIN = "hosts", "plain"
 
@@ -18,10 +19,19 @@ def read_lines(spark: SparkSession, path: str, source: str, category: str, fmt:
 
 
 def read_category_dirs(spark: SparkSession, root: str, source: str) -> DataFrame:
-    """``root``/<category>/domains files; the category is the directory's name."""
-    files = spark.read.option("recursiveFileLookup", True).text(root).select("value", F.col("_metadata.file_path").alias("p"))
-    parts = F.split("p", "/")
-    return files.where(F.element_at(parts, -1) == "domains").select(F.lit(source).alias("source"), F.element_at(parts, -2).alias("category"), F.lit(PLAIN).alias("format"), "value")
+    """``root``/<category>/domains, files or folders of part files; the category is the directory's name."""
+    files = _category_files(spark, root, "domains")
+    return files.select(F.lit(source).alias("source"), "category", F.lit(PLAIN).alias("format"), "value")
+
+
+def read_urls_entries(spark: SparkSession, root: str) -> DataFrame:
+    """value of the lines of ``root``/<category>/urls, which are only counted."""
+    return _category_files(spark, root, "urls").select("value")
+
+
+def _category_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    files = spark.read.option("recursiveFileLookup", True).text(root).select("value", F.regexp_extract("_metadata.file_path", f"/([^/]+)/{name}(?:/part-[^/]*)?$", 1).alias("category"))
+    return files.where("category <> ''")
 
 
 def count_urls_entries(lines: DataFrame) -> DataFrame:
@@ -73,7 +83,7 @@ def admission(snapshots: DataFrame, expected: DataFrame, allowed: DataFrame) ->
     spdx = lambda c: F.lower(F.trim(c))
     e = expected.select("source", F.col("revision").alias("pinned"), F.col("license").alias("known"))
     ok = allowed.select(spdx(F.col("value")).alias("ok")).distinct()
-    joined = snapshots.join(e, "source", "left").join(F.broadcast(ok), spdx(F.col("license")) == F.col("ok"), "left")
+    joined = snapshots.join(e.hint("merge"), "source", "left").join(side(ok), spdx(F.col("license")) == F.col("ok"), "left")
     why = F.when(F.col("pinned").isNotNull() & (F.col("revision") != F.col("pinned")), "revision_mismatch").when(F.col("known").isNotNull() & (spdx(F.col("license")) != spdx(F.col("known"))), "license_changed").when(F.col("ok").isNull(), "license_not_allowed").otherwise("admitted")
     return joined.select(*snapshots.columns, why.alias("admission"))
 
@@ -134,11 +144,14 @@ def write_version(df: DataFrame, root: str, version: int) -> None:
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
+    """The last published version, or null where nothing has been published; any other failure to read is raised."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.schema("version int, entry_count long, digest string").parquet(f"{root}/manifest").agg(F.max("version")).first()[0]
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from policyspark.functions import joins
 from policyspark.operators import hosts as hs, liveness as lv
 
 
@@ -42,7 +43,7 @@ def test_precedence(spark):
 
 
 def test_no_nested_loops(spark, monkeypatch):
-    monkeypatch.setattr(hs, "BROADCAST_RULES", 0)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     m = spark.createDataFrame([("bad.com", "apex")], "domain string, scope string")
     plan = hs.listed(hosts(spark, "a.bad.com"), m)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
