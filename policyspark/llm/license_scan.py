@@ -1,13 +1,20 @@
 """Licence notices in documents by the Dice coefficient of word bigrams, with DataFrame functions only.
 
-A document is compared as a whole, by paragraph (between blank lines) and by line.  Text is normalised: lower case, runs of
-what is neither letter nor digit become one blank.  Bigrams count as often as they occur, so a segment of n words has n - 1
-and its coefficient with a template of m words is at most 2 min(n - 1, m - 1) / (n + m - 2): a segment is compared only
-with templates whose size leaves the threshold within reach, and most segments with none.
+Text is normalised: lower case, runs of what is neither letter nor digit become one blank.  Bigrams count as often as they
+occur, so a segment of n words has n - 1, and its coefficient with a template of m words is at most
+2 min(n - 1, m - 1) / (n + m - 2): a segment is compared only with templates whose size leaves the threshold within reach.
+
+A document is compared as a whole, by paragraph (between blank lines), by line and by windows.  A window has as many words as a
+template and begins where a bigram of the text and the same first like it of the template come to lie on each other, so that a notice
+is found within a line, in a paragraph that goes on, or wrapped over lines of a comment.
+
+First the whole text is normalised once and the bigrams that any template has are noted.  A coefficient at the threshold
+needs common bigrams in some share of a template's (see ``least_common``), so a template with fewer of its bigrams in the
+whole text is out; with none left, as for most documents, that is all.
 
 All work is within a row, no shuffle.  Defined results: null and wordless text and segments of one word match nothing;
 repeated rows get repeated results; an empty table gives an empty result; other columns are ignored.  Of equal coefficients
-the smaller licence name is the best one.
+that with the longer template is the best one, then the smaller licence name.  Identifiers keep their type.
 """
 
 from __future__ import annotations
@@ -39,9 +46,15 @@ def template_rows(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[st
     return out
 
 
-def _sql_templates(rows: list[tuple[str, int, list[str]]]) -> str:
+def _sql_templates(rows: list[tuple[str, int, list[str]]], threshold: int) -> str:
     quote = lambda s: "'" + s + "'"  # noqa: E731  words hold letters and digits alone
-    return "array(" + ", ".join(f"named_struct('license', {quote(a)}, 'n', {n}, 'grams', array({', '.join(map(quote, g))}))" for a, n, g in rows) + ")"
+    plain = lambda g: [x.rsplit(" ", 1)[0] for x in g]
+    return "array(" + ", ".join(f"named_struct('license', {quote(a)}, 'n', {n}, 'least', {least_common(n, threshold)}, 'grams', array({', '.join(map(quote, g))}), 'plain', array({', '.join(map(quote, plain(g)))}))" for a, n, g in rows) + ")"
+
+
+def least_common(n: int, threshold: int = THRESHOLD) -> int:
+    """Bigrams that any text must have in common with a template of ``n`` to reach the threshold: all its own are common, at best."""
+    return -(-threshold * n // (200 - threshold))
 
 
 def reach(n: int, threshold: int = THRESHOLD) -> tuple[int, int]:
@@ -50,26 +63,47 @@ def reach(n: int, threshold: int = THRESHOLD) -> tuple[int, int]:
 
 
 def matches(text: Column, threshold: int = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> Column:
-    """array of (license, dice) of every segment and template at or above the threshold."""
+    """array of (license, n, dice) of every segment and template at or above the threshold."""
     rows = template_rows(templates)
     least, most = min(reach(n, threshold)[0] for _, n, _ in rows), max(reach(n, threshold)[1] for _, n, _ in rows)
     words = lambda s: F.filter(F.split(F.regexp_replace(F.lower(s), NOT_WORD, " "), " "), lambda w: w != "")
+    bigrams = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    numbered = lambda p: F.transform(p, lambda g, i: F.concat(g, F.lit(" "), (i + 2 - F.array_position(p, g)).cast("string")))  # noqa: E731  of a sorted array
+    known = F.expr(_sql_templates(rows, threshold))
     text = F.coalesce(text, F.lit(""))
+    # places of the bigrams that any template has
+    every = sorted({x.rsplit(" ", 1)[0] for _, _, g in rows for x in g})
+    grams = F.filter(F.array(words(text)), lambda w: F.size(w) > 1)
+    noted = F.transform(grams, lambda w: F.struct((F.size(w) - 1).alias("n"), F.filter(F.transform(bigrams(w), lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda h: h["g"].isin(every)).alias("hits")))
+    own = lambda hits, t: F.filter(hits, lambda h: F.array_contains(t["plain"], h["g"]))
+    open_ = lambda x: F.filter(known, lambda t: F.size(own(x["hits"], t)) >= t["least"])
+    # one element at most: the text's templates, places and size, each worked out once
+    left = F.filter(F.transform(noted, lambda x: F.struct(x["n"].alias("n"), x["hits"].alias("hits"), open_(x).alias("templates"))), lambda x: F.size(x["templates"]) > 0)
+
     lines = F.split(text, "\n")
     blocks = F.when(F.contains(text, F.lit("\n")), F.concat(F.array(text), F.split(text, r"\n[\x20\x09-\x0D]*\n"))).otherwise(F.array().cast("array<string>"))
     segments = F.filter(F.transform(F.array_distinct(F.concat(lines, blocks)), words), lambda w: F.size(w).between(least + 1, most + 1))
-    pairs = F.transform(segments, lambda w: F.array_sort(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
-    numbered = F.transform(pairs, lambda p: F.transform(p, lambda g, i: F.concat(g, F.lit(" "), (i + 2 - F.array_position(p, g)).cast("string"))))
-    known = F.expr(_sql_templates(rows))
-    within = lambda g, t: (F.size(g) * 100 >= F.ceil(t["n"] * threshold / (200 - threshold)) * 100) & (F.size(g) * threshold <= t["n"] * (200 - threshold))
-    scored = lambda g: F.transform(F.filter(known, lambda t: within(g, t)), lambda t: F.struct(t["license"].alias("license"), (2 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"])).alias("dice")))
-    return F.filter(F.flatten(F.transform(numbered, scored)), lambda m: m["dice"] * 100 >= threshold)
+    pairs = F.transform(F.transform(segments, lambda w: F.array_sort(bigrams(w))), numbered)
+    within = lambda g, t: (F.size(g) * (200 - threshold) >= t["n"] * threshold) & (F.size(g) * threshold <= t["n"] * (200 - threshold))
+    scored = lambda g, ts: F.transform(F.filter(ts, lambda t: within(g, t)), lambda t: F.struct(t["license"].alias("license"), t["n"].alias("n"), (2 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"])).alias("dice")))
+    of_segments = lambda x: F.flatten(F.transform(pairs, lambda g: scored(g, x["templates"])))
+
+    def windows(x: Column, t: Column) -> Column:
+        hits = own(x["hits"], t)
+        starts = F.array_distinct(F.transform(hits, lambda h: h["i"] - F.array_position(t["plain"], h["g"]).cast("int") + 1))
+        inside = F.filter(starts, lambda s: (s >= 0) & (s + t["n"] <= x["n"]))
+        common = lambda s: F.size(F.array_intersect(numbered(F.array_sort(F.transform(F.filter(hits, lambda h: (h["i"] >= s) & (h["i"] < s + t["n"])), lambda h: h["g"]))), t["grams"]))
+        return F.transform(inside, lambda s: F.struct(t["license"].alias("license"), t["n"].alias("n"), (common(s) / t["n"]).alias("dice")))
+
+    of_windows = lambda x: F.flatten(F.transform(x["templates"], lambda t: windows(x, t)))
+    found = F.flatten(F.transform(left, lambda x: F.concat(of_segments(x), of_windows(x))))
+    return F.filter(found, lambda m: m["dice"] * 100 >= threshold)
 
 
 def scan(docs: DataFrame, threshold: int = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Per document: doc_id, licenses (sorted, comma-joined; empty without), best_license, best_dice (null without)."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), matches(F.col("text"), threshold, templates).alias("m"))
-    best = F.element_at(F.array_sort(F.transform("m", lambda m: F.struct((-m["dice"]).alias("d"), m["license"].alias("license")))), 1)
+    df = docs.select("doc_id", matches(F.col("text"), threshold, templates).alias("m"))
+    best = F.element_at(F.array_sort(F.transform("m", lambda m: F.struct((-m["dice"]).alias("d"), (-m["n"]).alias("n"), m["license"].alias("license")))), 1)
     df = df.withColumn("best", F.when(F.size("m") > 0, best))
     return df.select(
         "doc_id",

@@ -29,22 +29,35 @@ def _op4_sql() -> str:
     return rf"""
 WITH template AS (
   SELECT row_number() OVER () AS tid, name, {norm.format("body")} AS w FROM (VALUES {values}) v(name, body)
+), tplace AS (
+  SELECT tid, w[i] || ' ' || w[i + 1] AS g, i FROM (SELECT tid, w, unnest(range(1, len(w))) AS i FROM template)
 ), tgram AS (
-  SELECT tid, w[i] || ' ' || w[i + 1] AS g, count(*) AS c FROM (SELECT tid, w, unnest(range(1, len(w))) AS i FROM template) GROUP BY ALL
+  SELECT tid, g, count(*) AS c, min(i) AS i FROM tplace GROUP BY tid, g
 ), seg AS (
   SELECT DISTINCT doc_id, unnest(list_concat(string_split(t, chr(10)), CASE WHEN contains(t, chr(10)) THEN list_concat([t], regexp_split_to_array(t, '\n[\x20\x09-\x0D]*\n')) ELSE [] END)) AS s
   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 ), sw AS (
-  SELECT row_number() OVER () AS sid, doc_id, w FROM (SELECT doc_id, {norm.format("s")} AS w FROM seg) WHERE len(w) BETWEEN 2 AND 200
+  SELECT row_number() OVER () AS sid, doc_id, w FROM (SELECT doc_id, {norm.format("s")} AS w FROM seg) WHERE len(w) BETWEEN 2 AND 400
 ), sgram AS (
   SELECT sid, w[i] || ' ' || w[i + 1] AS g, count(*) AS c FROM (SELECT sid, w, unnest(range(1, len(w))) AS i FROM sw) GROUP BY ALL
 ), common AS (
   SELECT sid, tid, sum(least(s.c, t.c)) AS n FROM sgram s JOIN tgram t USING (g) GROUP BY sid, tid
+), whole AS (
+  SELECT doc_id, {norm.format("coalesce(text, '')")} AS w FROM documents
+), place AS (
+  SELECT doc_id, len(w) - 1 AS n, w[i] || ' ' || w[i + 1] AS g, i FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM whole)
+), met AS (
+  SELECT doc_id, n, tid, g, c, p.i, p.i - t.i AS start FROM place p JOIN tgram t USING (g)
+), win AS (
+  SELECT DISTINCT doc_id, tid, start, len(w) - 1 AS m FROM met JOIN template USING (tid) WHERE start >= 0 AND start + len(w) - 1 <= n
+), wgram AS (
+  SELECT doc_id, tid, start, m, g, least(count(*), any_value(c)) AS n FROM win JOIN (SELECT doc_id, tid, g, c, i FROM met) h USING (doc_id, tid) WHERE i > start AND i <= start + m GROUP BY doc_id, tid, start, m, g
 ), hit AS (
-  SELECT doc_id, name, 2.0 * n / (len(s.w) + len(t.w) - 2) AS dice FROM common JOIN sw s USING (sid) JOIN template t USING (tid)
+  SELECT doc_id, name, len(t.w) AS size, 2.0 * n / (len(s.w) + len(t.w) - 2) AS dice FROM common JOIN sw s USING (sid) JOIN template t USING (tid)
   WHERE 200 * n >= {license_scan.THRESHOLD} * (len(s.w) + len(t.w) - 2)
+  UNION ALL SELECT doc_id, name, m + 1 AS size, n / m AS dice FROM (SELECT doc_id, tid, m, sum(n) AS n FROM wgram GROUP BY doc_id, tid, start, m) JOIN template USING (tid) WHERE 100 * n >= {license_scan.THRESHOLD} * m
 ), best AS (
-  SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, first(name ORDER BY dice DESC, name) AS best_license, max(dice) AS best_dice FROM hit GROUP BY doc_id
+  SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, first(name ORDER BY dice DESC, size DESC, name) AS best_license, max(dice) AS best_dice FROM hit GROUP BY doc_id
 )
 SELECT doc_id, coalesce(licenses, '') AS licenses, best_license, round(best_dice, 6) AS best_dice FROM documents LEFT JOIN best USING (doc_id)
 """

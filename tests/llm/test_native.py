@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 from policyspark.llm import chat_format as cf, license_scan as sc, url_rules as ur
 
@@ -50,6 +51,50 @@ def dice(a, b):
     return 2 * sum((x & y).values()) / n if n else 0
 
 
+def words_of(text):
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def plain_licences(text):
+    """(coefficient, licence) of all segments, and of all windows as long as a template that begin where a first common bigram is."""
+    parts = set(text.split("\n")) | ({text} | set(text.split("\n\n")) if "\n" in text else set())
+    hits = [(d, n) for p in parts for n, b in sc.TEMPLATES if len(p) < 5000 and (d := dice(p, b)) >= sc.THRESHOLD / 100]
+    w = words_of(text)
+    for n, body in sc.TEMPLATES:
+        v = words_of(body)
+        first = {}
+        for i, g in enumerate(zip(v, v[1:])):
+            first.setdefault(g, i)
+        for start in {i - first[g] for i, g in enumerate(zip(w, w[1:])) if g in first}:
+            if 0 <= start <= len(w) - len(v) and (d := dice(" ".join(w[start : start + len(v)]), body)) >= sc.THRESHOLD / 100:
+                hits.append((d, n))
+    return hits
+
+
+def test_notices_within_other_text(spark):
+    """Notices inside a line, wrapped in a comment, and neighbours that differ by a clause."""
+    of = {}
+    for n, b in sc.TEMPLATES:
+        of.setdefault(n, []).append(b)
+    mit, bsd2, bsd3 = " ".join(of["MIT"][2:]), of["BSD-2-Clause"][0], of["BSD-3-Clause"][0]
+    wrapped = lambda t, mark: "\n".join(mark + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    docs = ["Copyright 2020 Foo. Released under the MIT License.", "#!/bin/sh\n" + wrapped(mit, "# ") + "\n#\necho 1", "/*\n" + wrapped(of["Apache-2.0"][1], " * ") + "\n *\n */ int x;", bsd2, bsd3, "pre " * 300 + bsd3 + " post" * 300, of["GPL-3.0-or-later"][0] + " " + of["GPL"][0]]
+    got = {r.doc_id: r for r in sc.scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert "MIT" in got[0].licenses and got[1].best_license == "MIT" and got[2].best_license == "Apache-2.0"
+    assert got[3].best_license == "BSD-2-Clause" and got[3].best_dice == 1 and got[4].best_license == got[5].best_license == "BSD-3-Clause"
+    assert got[6].licenses.split(",")[0] == "GPL" and "GPL-3.0-or-later" in got[6].licenses
+    for i, d in enumerate(docs):
+        hits = plain_licences(d)
+        assert got[i].licenses == ",".join(sorted({n for _, n in hits})) and got[i].best_dice == round(max(hits)[0], 6)
+
+
+def test_fewer_common_bigrams_never_reach_the_threshold():
+    for n in range(1, 60):
+        least = sc.least_common(n)
+        assert all(200 * c < sc.THRESHOLD * (m + n) for c in range(least) for m in range(max(c, 1), 200))
+        assert 200 * least >= sc.THRESHOLD * (least + n)
+
+
 def test_licences_equal_brute_force(spark):
     t = sc.TEMPLATES
     docs = [None, "", "Released", "prose\nreleased UNDER the mit license\nmore", t[1][1].replace(" ", "\n", 9), "a b\n\n" + t[5][1].replace("restriction", "limits") + "\n\nc d", t[6][1] + "\n" + t[7][1], "word " * 30000, "the MIT the MIT the MIT", t[3][1] + " and much other text that is not a notice at all " * 3]
@@ -58,8 +103,7 @@ def test_licences_equal_brute_force(spark):
     assert no_python(out)
     for r in out.collect():
         text = docs[r.doc_id] or ""
-        parts = set(text.split("\n")) | ({text} | set(text.split("\n\n")) if "\n" in text else set())
-        hits = [(d, n) for p in parts for n, b in t if len(p) < 5000 and (d := dice(p, b)) >= sc.THRESHOLD / 100]
+        hits = plain_licences(text)
         assert r.licenses == ",".join(sorted({n for _, n in hits})), r.doc_id
         assert r.best_dice == (round(max(hits)[0], 6) if hits else None)
     assert sc.scan(df.limit(0)).count() == 0
