@@ -20,6 +20,7 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents.  Null and wordless texts have none."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
@@ -64,10 +65,12 @@ SELECT doc_id, coalesce(licenses, '') AS licenses, best_license, round(best_dice
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model learnt outside the held-out fold.  Empty texts have the bias alone."""
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents, a result row for each of their rows.  Null has no words."""
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
@@ -99,6 +102,7 @@ FROM doc d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the forged one, formatted and read back.  Empty tables leave the forged one; see chat_format for nulls and ties."""
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text")
     forged = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", forged), (-1, 1, "assistant", forged)], "conv_id long, turn long, role string, text string")
@@ -124,6 +128,7 @@ FROM e GROUP BY conv_id
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their set size and component.  Documents without words stand alone; see near_duplicates for nulls and repeated rows."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -155,14 +160,17 @@ FROM words w LEFT JOIN sized USING (doc_id) LEFT JOIN least USING (doc_id)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded.  Null is the empty text."""
     return piece_bpe.digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, score and verdict of all documents.  Empty texts are scored by their empty measurements."""
     return quality_classifier.digest(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failed rules and verdict of all documents.  Null has no words."""
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
@@ -196,6 +204,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_BA
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of all pages.  Urls without a host fit no rule."""
     return url_rules.judged(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, url_rules.RULES))
 
 
@@ -214,6 +223,7 @@ SELECT page_id, host, path, rule, coalesce(action, '{url_rules.DEFAULT}') AS ver
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to token files and read back.  Null is the empty text, of one id, the end."""
     return token_files.written_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
