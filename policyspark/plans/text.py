@@ -43,6 +43,21 @@ def text_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_verdicts(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"), F.sum("score").alias("points"))
 
 
+def text_model_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts with a model asked in the warn band; its probability here is the text's length modulo 100, in per cent."""
+    docs = table(spark, sf_dir, "documents")
+    return tp.with_model(text_verdicts(spark, sf_dir), docs, lambda t: F.length(t) % 100 / 100, 0.5).select("doc_id", "action")
+
+
+def text_custom_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = fx.views(table(spark, sf_dir, "documents"), steps=[fx.collapse, F.lower, fx.leet_fold])
+    return v.select("doc_id", F.md5("normalized").alias("normalized"), F.size("separator_tokens").cast("long").alias("n_tokens"))
+
+
+CUSTOM_SQL = rf"""WITH n AS (SELECT doc_id, translate(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '013457', 'oieast') AS t FROM documents)
+SELECT doc_id, md5(t) AS normalized, len(regexp_extract_all(t, '{_W}+'))::BIGINT AS n_tokens FROM n"""
+
+
 def text_amplified(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = tp.lexicon_table(spark, LEXICON)
     return tp.amplified(tp.matches(table(spark, sf_dir, "documents"), lexicon), lexicon, 4)
@@ -121,6 +136,7 @@ _VERDICTS = (
 )"""
 )
 VERDICTS_SQL = _VERDICTS + "\nSELECT * FROM v"
+MODEL_SQL = _VERDICTS + "\nSELECT doc_id, CASE WHEN action = 'warn' AND length(text) % 100 >= 50 THEN 'block' ELSE action END AS action FROM v JOIN documents USING (doc_id)"
 ACTIONS_SQL = _VERDICTS + "\nSELECT action, count(*) AS n, sum(score)::BIGINT AS points FROM v GROUP BY action"
 
 
@@ -178,5 +194,5 @@ c AS (SELECT conv_id, CASE WHEN length(t) <= 4000 THEN t WHEN substr(t, 4001, 1)
 SELECT conv_id, length(t)::BIGINT AS n, md5(t) AS digest FROM c
 """
 
-QUERIES = {"text_evidence": text_evidence, "text_amplified": text_amplified, "lexicon_problems": lexicon_problems, "text_verdicts": text_verdicts, "text_term_hits": text_term_hits, "text_actions": text_actions, "text_views": text_views, "url_term_hits": url_term_hits, "turn_similarity": turn_similarity, "assembled_conversations": assembled_conversations}
-SQL = {"text_evidence": EVIDENCE_SQL, "text_amplified": AMPLIFIED_SQL, "lexicon_problems": LEXICON_PROBLEMS_SQL, "text_verdicts": VERDICTS_SQL, "text_term_hits": HITS_SQL, "text_actions": ACTIONS_SQL, "text_views": VIEWS_SQL, "url_term_hits": URL_HITS_SQL, "turn_similarity": TURN_SIMILARITY_SQL, "assembled_conversations": ASSEMBLED_SQL}
+QUERIES = {"text_model_verdicts": text_model_verdicts, "text_custom_views": text_custom_views, "text_evidence": text_evidence, "text_amplified": text_amplified, "lexicon_problems": lexicon_problems, "text_verdicts": text_verdicts, "text_term_hits": text_term_hits, "text_actions": text_actions, "text_views": text_views, "url_term_hits": url_term_hits, "turn_similarity": turn_similarity, "assembled_conversations": assembled_conversations}
+SQL = {"text_model_verdicts": MODEL_SQL, "text_custom_views": CUSTOM_SQL, "text_evidence": EVIDENCE_SQL, "text_amplified": AMPLIFIED_SQL, "lexicon_problems": LEXICON_PROBLEMS_SQL, "text_verdicts": VERDICTS_SQL, "text_term_hits": HITS_SQL, "text_actions": ACTIONS_SQL, "text_views": VIEWS_SQL, "url_term_hits": URL_HITS_SQL, "turn_similarity": TURN_SIMILARITY_SQL, "assembled_conversations": ASSEMBLED_SQL}
