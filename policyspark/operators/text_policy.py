@@ -6,6 +6,7 @@ phrase, or null).  ``docs`` has doc_id, text and lang; a null text has no matche
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -98,12 +99,17 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     of a large one all n-grams of its lengths become rows, in compact mode the SEED characters from each on.
     """
     terms = patterns(lexicon, with_nfkc)
-    sizes = terms.groupBy("kind", "n").count().collect()  # a row a length
-    n_terms = sum(r["count"] for r in sizes)
-    lengths = {k: sorted(r.n for r in sizes if r.kind == k) for k in {r.kind for r in sizes}}
-    n_compact, n_marks = (sum(r["count"] for r in sizes if r.kind == k) for k in "cm")
-    inline = n_terms <= INLINE
-    known = terms.select("kind", "key", "first", "n", "mode").distinct().collect() if inline else terms.where("kind = 'm'").select("kind", "key", "first", "n", "mode").distinct().limit(INLINE).collect()
+    rows = terms.limit(INLINE + 1).collect()
+    inline = len(rows) <= INLINE
+    if inline:  # a small lexicon is worked out once
+        terms = docs.sparkSession.createDataFrame(rows, terms.schema)
+        sizes = [(*k, c) for k, c in Counter((r.kind, r.n) for r in rows).items()]
+    else:
+        sizes = [tuple(r) for r in terms.groupBy("kind", "n").count().collect()]  # a row a length
+    n_terms = sum(c for *_, c in sizes)
+    lengths = {k: sorted(n for kind, n, _ in sizes if kind == k) for k in {kind for kind, *_ in sizes}}
+    n_compact, n_marks = (sum(c for kind, _, c in sizes if kind == k) for k in "cm")
+    known = rows if inline else terms.where("kind = 'm'").limit(INLINE + 1).collect()
     if n_marks > INLINE:
         raise ValueError(f"more than {INLINE} exact phrases without letters or digits")
 
