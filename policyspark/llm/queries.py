@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, license_scan, near_duplicates, piece_bpe, quality_classifier, quality_rules, token_files, toxicity, url_rules
+from . import chat_format, decontamination, lexical_search, license_scan, near_duplicates, piece_bpe, quality_classifier, quality_rules, token_files, toxicity, url_rules
 from ._store import table
 
 
@@ -227,6 +227,36 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for each benchmark item.  Items without terms, or whose terms no document holds, have no rows."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_LOWER.format("coalesce(text, '')"))
+OP11_SQL = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, w, len(w)::BIGINT AS n FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0
+), corpus AS (
+  SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS total FROM doc
+), posting AS (
+  SELECT r, g, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS g FROM doc) GROUP BY r, g
+), weight AS (
+  SELECT g, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM posting, corpus GROUP BY g
+), item AS (
+  SELECT DISTINCT item_id, unnest(w) AS g FROM (SELECT item_id, {_TERMS} AS w FROM benchmark WHERE item_id IS NOT NULL)
+), sized AS (
+  SELECT r, doc_id, 100 - 50 + ((50 * n * nd) // total) AS m FROM doc, corpus
+), scored AS (
+  SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM item JOIN posting USING (g) JOIN weight USING (g) JOIN sized USING (r) GROUP BY item_id, r
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored JOIN sized USING (r) WHERE score > 0
+)
+SELECT item_id, rank, doc_id::BIGINT AS doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_near_duplicates": op2_near_duplicates,
@@ -238,6 +268,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_rules": op9_url_rules,
     "op10_token_files": op10_token_files,
+    "op11_lexical_search": op11_lexical_search,
 }
 SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
@@ -246,4 +277,5 @@ SQL: dict[str, str] = {
     "op6_decontamination": OP6_SQL,
     "op8_quality_rules": quality_rules_sql("documents"),
     "op9_url_rules": _op9_sql(),
+    "op11_lexical_search": OP11_SQL,
 }
