@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, lexical_search, license_scan, near_duplicates, piece_bpe, quality_classifier, quality_rules, token_files, toxicity, url_rules
+from . import chat_format, decontamination, exact_search, lexical_search, license_scan, near_duplicates, piece_bpe, quality_classifier, quality_rules, token_files, toxicity, url_rules
 from ._store import table
 
 
@@ -257,6 +257,24 @@ SELECT item_id, rank, doc_id::BIGINT AS doc_id, score FROM ranked WHERE rank <=
 """
 
 
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest products of every vector whose id is divisible by 100 with all others; see exact_search for nulls and ties."""
+    return exact_search.search(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_near_duplicates": op2_near_duplicates,
@@ -269,6 +287,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_rules": op9_url_rules,
     "op10_token_files": op10_token_files,
     "op11_lexical_search": op11_lexical_search,
+    "op12_exact_search": op12_exact_search,
 }
 SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
@@ -278,4 +297,5 @@ SQL: dict[str, str] = {
     "op8_quality_rules": quality_rules_sql("documents"),
     "op9_url_rules": _op9_sql(),
     "op11_lexical_search": OP11_SQL,
+    "op12_exact_search": OP12_SQL,
 }
