@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, exact_search, lexical_search, license_scan, near_duplicates, piece_bpe, quality_classifier, quality_rules, token_files, toxicity, url_rules
+from . import chat_format, clustering, decontamination, exact_search, lexical_search, license_scan, near_duplicates, piece_bpe, quality_classifier, quality_rules, token_files, toxicity, url_rules
 from ._store import table
 
 
@@ -275,6 +275,37 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components with their clusters after five rounds.  Other rows take no part; see clustering for ties."""
+    return clustering.digest(*clustering.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def _op13_sql() -> str:
+    assign = """a{r} AS MATERIALIZED (
+  SELECT r, vec_id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.r, v.vec_id, v.x, m.c, list_sum(list_transform(list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, m{r} m
+  ) GROUP BY r, vec_id, x
+)"""
+    move = """m{s} AS MATERIALIZED (
+  SELECT m.c, coalesce(n.x, m.x) AS x FROM m{r} m LEFT JOIN (
+    SELECT c, list(t ORDER BY i) AS x FROM (
+      SELECT c, i, ((sum(p) - ((sum(p) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS t FROM (SELECT c, unnest(x) AS p, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY c, i
+    ) GROUP BY c
+  ) n USING (c)
+)"""
+    rounds = [step for r in range(clustering.ROUNDS) for step in (assign.format(r=r), move.format(r=r, s=r + 1))]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {clustering.DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY k NULLS LAST, x) - 1 AS c, x FROM (SELECT sha256('{clustering.SEED}:' || vec_id) AS k, x FROM v ORDER BY k NULLS LAST, x LIMIT {clustering.K})
+), {", ".join(rounds)}, {assign.format(r=clustering.ROUNDS)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a{clustering.ROUNDS} JOIN m{clustering.ROUNDS} m USING (c)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_near_duplicates": op2_near_duplicates,
@@ -288,6 +319,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op11_lexical_search": op11_lexical_search,
     "op12_exact_search": op12_exact_search,
+    "op13_clustering": op13_clustering,
 }
 SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
@@ -298,4 +330,5 @@ SQL: dict[str, str] = {
     "op9_url_rules": _op9_sql(),
     "op11_lexical_search": OP11_SQL,
     "op12_exact_search": OP12_SQL,
+    "op13_clustering": _op13_sql(),
 }
