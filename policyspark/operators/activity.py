@@ -26,11 +26,12 @@ def first_arrival(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def coalesced(log: DataFrame) -> DataFrame:
+def coalesced(log: DataFrame, parts: int | None = None) -> DataFrame:
     """``log`` (device, seq, elapsed_ms, event, detail) without repeats of the last *recorded* row within 10 s.
 
-    A clock that went back is a reboot: the row is kept.  What counts is the last kept row, so rows are walked in order, by
-    device.
+    A clock that went back is a reboot: the row is kept.  What counts is the last kept row, so rows are walked in order, a device's
+    in as many stretches (of ``parts``) as its rows fill.  A row that differs from the one before it is recorded whatever is
+    remembered, and so is one whose clock is 10 s away from the one before it.
     """
 
     def step(last, r):
@@ -39,7 +40,11 @@ def coalesced(log: DataFrame) -> DataFrame:
             return "coalesced", last
         return "recorded", (now, r.elapsed_ms)
 
-    return walked(log, "device", ["seq"], ["event", "detail", "elapsed_ms"], step, "__outcome").where("__outcome = 'recorded'").drop("__outcome")
+    def cut(before, r):
+        now = (r.event, r.detail)
+        return before is not None and (before[0] != now or abs(r.elapsed_ms - before[1]) >= COALESCE_MS), (now, r.elapsed_ms)
+
+    return walked(log, "device", ["seq"], ["event", "detail", "elapsed_ms"], step, "__outcome", cut, parts).where("__outcome = 'recorded'").drop("__outcome")
 
 
 def session_starts(log: DataFrame, connects: DataFrame) -> DataFrame:

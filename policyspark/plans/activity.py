@@ -56,6 +56,16 @@ COALESCED_SQL = _WALK.format(order="seq", rows=_LOG_ROWS, first="true AS kept, e
 STREAM_COALESCED_SQL = _WALK.format(order="at_ms, seq", rows=_LOG_ROWS, first="true AS kept, event AS last_event, at_ms AS last_at", step=_REPEAT) + "SELECT device, seq, CASE WHEN kept THEN 'recorded' ELSE 'coalesced' END AS outcome FROM w"
 
 
+def one_device_log(spark, sf_dir):
+    """The log as that of one device, walked in as many stretches as its rows fill."""
+    return ac.coalesced(_log(spark, sf_dir).withColumn("device", F.lit("all"))).select("device", "seq")
+
+
+#: Rows differ from the one before, or are 10 s away from it, where a run begins; the recursion is as deep as the longest run.
+_RUNS = f"SELECT sum(new) OVER (ORDER BY seq) AS device, seq, at_ms, event FROM (SELECT *, (event IS DISTINCT FROM lag(event) OVER o OR abs(at_ms - lag(at_ms) OVER o) >= 10000)::INTEGER AS new FROM ({_LOG_ROWS}) WINDOW o AS (ORDER BY seq))"
+ONE_DEVICE_SQL = _WALK.format(order="seq", rows=_RUNS, first="true AS kept, event AS last_event, at_ms AS last_at", step=_REPEAT) + "SELECT 'all' AS device, seq FROM w WHERE kept"
+
+
 def session_starts(spark, sf_dir):
     kind = F.when((F.col("event_type") == "signup") & (F.col("value") > 15), "service_connected").when((F.col("event_type") == "purchase") & (F.col("value") > 15), "service_disconnected").otherwise(F.col("event_type"))
     clock = F.expr("unix_seconds(ts) % (86400 * 4)")
@@ -355,7 +365,7 @@ def homoglyph_folds(spark, sf_dir):
 
 
 QUERIES = {
-    "newest_rows": newest_rows, "idempotent_ingest": idempotent_ingest, "coalesced_log": coalesced_log, "session_starts": session_starts, "edge_notices": edge_notices, "clean_streaks": clean_streaks,
+    "newest_rows": newest_rows, "idempotent_ingest": idempotent_ingest, "coalesced_log": coalesced_log, "one_device_log": one_device_log, "session_starts": session_starts, "edge_notices": edge_notices, "clean_streaks": clean_streaks,
     "streak_milestones": streak_milestones, "rate_limits": rate_limits, "verdict_counts": verdict_counts, "score_histogram": score_histogram, "top_titles": top_titles, "weekly_summary": weekly_summary,
     "protection_modes": protection_modes, "suppressed_warnings": suppressed_warnings, "protection_phases": protection_phases, "gap_sessions": gap_sessions, "worst_verdicts": worst_verdicts, "event_props": event_props,
     "surfaces": surfaces, "screen_gate": screen_gate, "frame_gate": frame_gate, "burst_gate": burst_gate, "stream_screen_gate": stream_screen_gate, "stream_coalesced": stream_coalesced, "stream_idempotent": stream_idempotent,
@@ -367,6 +377,7 @@ SQL = {
     "newest_rows": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5",
     "idempotent_ingest": "SELECT event_id // 3 AS client_id, first(event_id ORDER BY ts, event_id) AS event_id, first(event_type ORDER BY ts, event_id) AS event_type FROM events GROUP BY 1",
     "coalesced_log": COALESCED_SQL,
+    "one_device_log": ONE_DEVICE_SQL,
     "session_starts": SESSION_STARTS_SQL,
     "edge_notices": f"WITH {_V}, l AS (SELECT event_id, verdict, lag(verdict) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM v) SELECT * FROM l WHERE verdict IS DISTINCT FROM previous",
     "clean_streaks": _STREAKS + " SELECT * FROM s",

@@ -27,11 +27,15 @@ COOLDOWN_MS, READY_MS, DISARM_MS = 15 * 60_000, 5 * 60_000, 10 * 60_000
 
 @dataclass(frozen=True)
 class Gate:
-    """A gate's state and its step from (state or None, row) to (outcome, new state or the old one)."""
+    """A gate's state and its step from (state or None, row) to (outcome, new state or the old one).
+
+    ``cut``, where there is one, tells rows whose outcome and state are certain whatever the state before (see operators.walks).
+    """
 
     columns: tuple[str, ...]
     state: str
     step: Callable
+    cut: Callable | None = None
 
 
 def _screen(own_package: str):
@@ -50,6 +54,17 @@ def _screen(own_package: str):
     return step
 
 
+def _screen_cut(own_package: str):
+    """What was scanned last is of the package of the last row that could be scanned: a change of package is certain to be."""
+
+    def cut(package, r):
+        if r.package == own_package or not r.text:
+            return False, package
+        return package is not None and r.package is not None and package != (r.package,), (r.package,)
+
+    return cut
+
+
 def _frame(s, r):
     if s:
         if r.at_ms - s[1] < FRAME_MS:
@@ -65,6 +80,16 @@ def _repeat(s, r):
     return "recorded", (r.event, r.detail, r.at_ms)
 
 
+def _repeat_cut(before, r):
+    """What was recorded last is like the row before, at most COALESCE_MS earlier."""
+    return before is not None and (before[:2] != (r.event, r.detail) or abs(r.at_ms - before[2]) >= COALESCE_MS), (r.event, r.detail, r.at_ms)
+
+
+def _burst_cut(before, r):
+    """Since the row before, which is no earlier than what was fired last, the limiter has been reset."""
+    return before is not None and r.at_ms - before >= RESET_MS, r.at_ms
+
+
 def _burst(s, r):
     last, n = s or (None, 0)
     if last is not None:
@@ -97,15 +122,15 @@ def _cooldown(s, r):
 
 def screen_gate(own_package: str) -> Gate:
     """Change and debounce dedupe of screen text: device, seq, at_ms, package, text."""
-    return Gate(("package", "text"), "package string, text string, at_ms long", _screen(own_package))
+    return Gate(("package", "text"), "package string, text string, at_ms long", _screen(own_package), _screen_cut(own_package))
 
 
 #: Near-duplicate dedupe of frames: device, seq, at_ms, hash.
 FRAME_GATE = Gate(("hash",), "hash long, at_ms long", _frame)
 #: Coalescing log: device, seq, at_ms, event, detail.
-REPEAT_GATE = Gate(("event", "detail"), "event string, detail string, at_ms long", _repeat)
+REPEAT_GATE = Gate(("event", "detail"), "event string, detail string, at_ms long", _repeat, _repeat_cut)
 #: Burst limiter: device, seq, at_ms.
-BURST_GATE = Gate((), "at_ms long, n int", _burst)
+BURST_GATE = Gate((), "at_ms long, n int", _burst, _burst_cut)
 #: Cooldown of a release request: device, seq, at_ms, event (request, disarm or any other, a look at the clock).
 COOLDOWN_GATE = Gate(("event",), "asked long, done long", _cooldown)
 OUTCOME = "device string, seq long, outcome string"
@@ -120,10 +145,10 @@ def _walk(gate: Gate, state, pdf: pd.DataFrame):
     return state, seqs, outcomes
 
 
-def gated_batch(df: DataFrame, gate: Gate) -> DataFrame:
-    """device, seq, outcome of a table."""
+def gated_batch(df: DataFrame, gate: Gate, parts: int | None = None) -> DataFrame:
+    """device, seq, outcome of a table; a device's rows are walked in as many stretches (of ``parts``) as they fill."""
     rows = df.select("device", "seq", "at_ms", *gate.columns)
-    return walked(rows, "device", ["at_ms", "seq"], ["at_ms", *gate.columns], gate.step).select(F.col("device").cast("string").alias("device"), "seq", "outcome")
+    return walked(rows, "device", ["at_ms", "seq"], ["at_ms", *gate.columns], gate.step, cut=gate.cut, parts=parts).select(F.col("device").cast("string").alias("device"), "seq", "outcome")
 
 
 #: A stream's state of a device is forgotten where the watermark is so far beyond its last row.
