@@ -33,7 +33,7 @@ def idempotent_ingest(spark, sf_dir):
 
 #: A device's events are hours apart; its clock runs so much slower that the gates' windows matter.
 _AT = "cast(floor(unix_seconds(ts) / {0}) as bigint)"
-_AT_SQL = "floor(epoch(ts) / {0})::BIGINT"
+_AT_SQL = "floor(floor(epoch(ts)) / {0})::BIGINT"
 
 
 def _log(spark, sf_dir):
@@ -229,26 +229,70 @@ s AS (SELECT *, at_ms - max(CASE WHEN event_type = 'error' THEN at_ms END) OVER
 SELECT device, seq, CASE WHEN done < 600000 THEN 'disarmed' WHEN asked IS NULL OR asked >= 1200000 THEN 'armed' WHEN asked < 900000 THEN 'pending' ELSE 'ready' END AS outcome FROM s"""
 
 
-def _streamed(spark: SparkSession, sf_dir: str, of) -> DataFrame:
-    """What ``of`` (events stream to stream) appends, run to the end of the input and read back."""
+#: A time that closes everything before it, at the end of a bounded run.
+_END = "9000-01-01"
+
+
+def _streamed(spark: SparkSession, sf_dir: str, of, closing: bool = False) -> DataFrame:
+    """What ``of`` (events stream to stream) appends, run to the end of the input and read back.
+
+    ``closing``: a last row of nulls, at a time far ahead, moves the watermark past all others, so that no window stays open; its own
+    never closes.
+    """
     out = scratch_dir(spark)
-    read = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    schema = table(spark, sf_dir, "events").schema
+    read = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    if closing:
+        end = [F.lit(_END if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in schema]
+        spark.range(1).select(*end).write.parquet(f"{out}/end")
+        read = read.unionByName(spark.readStream.schema(schema).parquet(f"{out}/end"))
     stream = of(read.withColumn("ts", F.col("ts").cast("timestamp")))
     stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
 def stream_screen_gate(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda e: sg.gated_stream(_screens(e), sg.screen_gate("p2"), "ts"))
+    return _streamed(spark, sf_dir, lambda e: sg.gated_stream(_screens(e), sg.screen_gate("p2"), "10 seconds"), True)
 
 
 def stream_coalesced(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda e: sg.gated_stream(_frames(e), sg.REPEAT_GATE, "ts"))
+    return _streamed(spark, sf_dir, lambda e: sg.gated_stream(_frames(e), sg.REPEAT_GATE, "10 seconds"), True)
+
+
+def stream_frame_gate(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda e: sg.gated_stream(_frames(e), sg.FRAME_GATE, "10 seconds"), True)
+
+
+def stream_burst_gate(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda e: sg.gated_stream(_frames(e), sg.BURST_GATE, "10 seconds"), True)
+
+
+def stream_cooldown_gate(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda e: sg.gated_stream(_asked(e), sg.COOLDOWN_GATE, "10 minutes"), True)
+
+
+def phase_changes(spark, sf_dir):
+    """Phases after each row, and those that time alone brings."""
+    return sg.phase_changes(_asked(events(spark, sf_dir)), sg.COOLDOWN_GATE)
+
+
+def stream_phases(spark, sf_dir):
+    """The same of a stream, by timers."""
+    return _streamed(spark, sf_dir, lambda e: sg.phase_stream(_asked(e), sg.COOLDOWN_GATE, "10 minutes"), True)
+
+
+#: A request is pending for 15 minutes and ready for 5, a disarm lasts 10; at each such end before the device's next row the phase may change.
+PHASE_CHANGES_SQL = f"""WITH e AS (SELECT user_id::VARCHAR AS device, event_id AS seq, {_AT_SQL.format(0.1)} AS at_ms, event_type FROM events),
+s AS (SELECT *, max(CASE WHEN event_type = 'error' THEN at_ms END) OVER w AS asked, max(CASE WHEN event_type = 'signup' THEN at_ms END) OVER w AS done, lead(at_ms) OVER o AS next_at FROM e
+  WINDOW w AS (PARTITION BY device ORDER BY at_ms, seq ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY device ORDER BY at_ms, seq)),
+t AS (SELECT DISTINCT device, t, asked, done, at_ms, seq FROM (SELECT *, unnest([at_ms, asked + 900000, asked + 1200000, done + 600000]) AS t FROM s) WHERE t = at_ms OR t > at_ms AND (next_at IS NULL OR t < next_at)),
+p AS (SELECT *, CASE WHEN t - done < 600000 THEN 'disarmed' WHEN asked IS NULL OR t - asked >= 1200000 THEN 'armed' WHEN t - asked < 900000 THEN 'pending' ELSE 'ready' END AS phase FROM t),
+c AS (SELECT *, lag(phase) OVER (PARTITION BY device, seq ORDER BY t) AS before FROM p)
+SELECT device, t AS at_ms, CASE WHEN t = at_ms THEN seq END AS seq, phase FROM c WHERE t = at_ms OR phase <> before"""
 
 
 def stream_live_counts(spark, sf_dir):
-    """Days that the watermark has closed."""
-    return _streamed(spark, sf_dir, lambda e: sg.live_counts(e.withColumn("verdict", F.expr(_VERDICT))))
+    return _streamed(spark, sf_dir, lambda e: sg.live_counts(e.withColumn("verdict", F.expr(_VERDICT))), True)
 
 
 def stream_hosts(spark, sf_dir):
@@ -257,8 +301,7 @@ def stream_hosts(spark, sf_dir):
 
 
 def stream_sessions(spark, sf_dir):
-    """Sessions that the watermark has closed."""
-    return _streamed(spark, sf_dir, lambda e: sg.sessions(e, "6 hours", "1 hour"))
+    return _streamed(spark, sf_dir, lambda e: sg.sessions(e, "6 hours", "1 hour"), True)
 
 
 def stream_verdicts(spark, sf_dir):
@@ -368,7 +411,8 @@ QUERIES = {
     "newest_rows": newest_rows, "idempotent_ingest": idempotent_ingest, "coalesced_log": coalesced_log, "one_device_log": one_device_log, "session_starts": session_starts, "edge_notices": edge_notices, "clean_streaks": clean_streaks,
     "streak_milestones": streak_milestones, "rate_limits": rate_limits, "verdict_counts": verdict_counts, "score_histogram": score_histogram, "top_titles": top_titles, "weekly_summary": weekly_summary,
     "protection_modes": protection_modes, "suppressed_warnings": suppressed_warnings, "protection_phases": protection_phases, "gap_sessions": gap_sessions, "worst_verdicts": worst_verdicts, "event_props": event_props,
-    "surfaces": surfaces, "screen_gate": screen_gate, "frame_gate": frame_gate, "burst_gate": burst_gate, "stream_screen_gate": stream_screen_gate, "stream_coalesced": stream_coalesced, "stream_idempotent": stream_idempotent,
+    "surfaces": surfaces, "screen_gate": screen_gate, "frame_gate": frame_gate, "burst_gate": burst_gate, "stream_screen_gate": stream_screen_gate, "stream_coalesced": stream_coalesced, "stream_frame_gate": stream_frame_gate, "stream_burst_gate": stream_burst_gate, "stream_cooldown_gate": stream_cooldown_gate,
+    "phase_changes": phase_changes, "stream_phases": stream_phases, "stream_idempotent": stream_idempotent,
     "cooldown_gate": cooldown_gate, "stream_live_counts": stream_live_counts, "stream_hosts": stream_hosts, "stream_sessions": stream_sessions, "stream_verdicts": stream_verdicts,
     "trimmed_log": trimmed_log, "newest_log_rows": newest_log_rows, "guard_status": guard_status, "unprotected_notices": unprotected_notices, "request_checks": request_checks, "invite_states": invite_states,
     "undelivered": undelivered, "gate_outcomes": gate_outcomes, "feedback_routes": feedback_routes, "image_sizes": image_sizes, "homoglyph_folds": homoglyph_folds,
@@ -395,9 +439,10 @@ SQL = {
     "event_props": f"WITH {_V} SELECT verdict, count(*) AS n, round(sum(value), 4) AS points FROM v WHERE event_id % 6 > 0 AND verdict <> 'override' GROUP BY verdict",
     "surfaces": SURFACES_SQL,
     "screen_gate": SCREEN_SQL, "stream_screen_gate": SCREEN_SQL, "frame_gate": FRAME_SQL, "burst_gate": BURST_SQL, "stream_coalesced": STREAM_COALESCED_SQL, "cooldown_gate": COOLDOWN_SQL,
-    "stream_live_counts": f"WITH {_V}, m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM v) SELECT date_trunc('day', ts)::TIMESTAMP AS day, verdict, count(*) AS n FROM v, m WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY ALL",
+    "stream_frame_gate": FRAME_SQL, "stream_burst_gate": BURST_SQL, "stream_cooldown_gate": COOLDOWN_SQL, "phase_changes": PHASE_CHANGES_SQL, "stream_phases": PHASE_CHANGES_SQL,
+    "stream_live_counts": f"WITH {_V} SELECT date_trunc('day', ts)::TIMESTAMP AS day, verdict, count(*) AS n FROM v GROUP BY ALL",
     "stream_hosts": "SELECT event_id, event_type AS host, CASE event_type WHEN 'error' THEN 'block' WHEN 'click' THEN 'allow' ELSE 'proxy' END AS action FROM events",
-    "stream_sessions": "WITH g AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 6 HOUR, true)::INTEGER AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), t AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, k) SELECT * FROM t WHERE stop <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "stream_sessions": "WITH g AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 6 HOUR, true)::INTEGER AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, k",
     "stream_verdicts": VERDICTS_SQL,
     "trimmed_log": "SELECT user_id::VARCHAR AS device, greatest(count(*) - 50, 0) AS dropped FROM events GROUP BY user_id",
     "newest_log_rows": "SELECT user_id::VARCHAR AS device, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 50",

@@ -1,19 +1,20 @@
-"""Streaming operators with state by device, and windowed counts.
+"""Streaming operators with state by device, windowed counts, sessions and policies.
 
-Rows of a micro-batch are walked by time and sequence number; an event that comes in a later batch is judged as it comes.
-The reference processes in arrival order and has no watermarks; those of the windowed operators are ours.
+Gates step through a device's rows in the order of event time (see ``ordered``): a stream gives what the table gives, however
+its rows are dealt to micro-batches, as long as they come within the watermark's lateness.  The reference processes in arrival
+order and has no watermarks; those here are ours.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.walks import walked
+from .ordered import ordered
 
 #: Rescan interval; frame interval and changed bits; refire gate, reset and repeats of the burst limiter.
 RESCAN_MS = 300
@@ -30,12 +31,15 @@ class Gate:
     """A gate's state and its step from (state or None, row) to (outcome, new state or the old one).
 
     ``cut``, where there is one, tells rows whose outcome and state are certain whatever the state before (see operators.walks).
+    ``due(state, after)`` is the next time after ``after`` at which time alone may change the outcome, to ``phase(state, time)``; null
+    where none is to come.
     """
 
     columns: tuple[str, ...]
-    state: str
     step: Callable
     cut: Callable | None = None
+    due: Callable | None = None
+    phase: Callable | None = None
 
 
 def _screen(own_package: str):
@@ -103,6 +107,23 @@ def _burst(s, r):
     return "fired", (r.at_ms, n + 1)
 
 
+def _phase(s, at):
+    """The phase at a time, after the last request and the last disarm (-1: none)."""
+    since = lambda t: at - t if t >= 0 else -1
+    asked, done = s
+    if 0 <= since(done) < DISARM_MS:
+        return "disarmed"
+    if not 0 <= since(asked) < COOLDOWN_MS + READY_MS:
+        return "armed"
+    return "pending" if since(asked) < COOLDOWN_MS else "ready"
+
+
+def _due(s, after):
+    asked, done = s
+    ends = [asked + COOLDOWN_MS, asked + COOLDOWN_MS + READY_MS] if asked >= 0 else []
+    return min((t for t in [*ends, *([done + DISARM_MS] if done >= 0 else [])] if t > after), default=None)
+
+
 def _cooldown(s, r):
     """State: when the last request and the last disarm came; the outcome is the phase after the row."""
     asked, done = s or (-1, -1)
@@ -110,40 +131,22 @@ def _cooldown(s, r):
         asked = r.at_ms
     elif r.event == "disarm":
         done = r.at_ms
-    since = lambda t: r.at_ms - t if t >= 0 else -1
-    if 0 <= since(done) < DISARM_MS:
-        phase = "disarmed"
-    elif not 0 <= since(asked) < COOLDOWN_MS + READY_MS:
-        phase = "armed"
-    else:
-        phase = "pending" if since(asked) < COOLDOWN_MS else "ready"
-    return phase, (asked, done)
+    return _phase((asked, done), r.at_ms), (asked, done)
 
 
 def screen_gate(own_package: str) -> Gate:
     """Change and debounce dedupe of screen text: device, seq, at_ms, package, text."""
-    return Gate(("package", "text"), "package string, text string, at_ms long", _screen(own_package), _screen_cut(own_package))
+    return Gate(("package", "text"), _screen(own_package), _screen_cut(own_package))
 
 
 #: Near-duplicate dedupe of frames: device, seq, at_ms, hash.
-FRAME_GATE = Gate(("hash",), "hash long, at_ms long", _frame)
+FRAME_GATE = Gate(("hash",), _frame)
 #: Coalescing log: device, seq, at_ms, event, detail.
-REPEAT_GATE = Gate(("event", "detail"), "event string, detail string, at_ms long", _repeat, _repeat_cut)
+REPEAT_GATE = Gate(("event", "detail"), _repeat, _repeat_cut)
 #: Burst limiter: device, seq, at_ms.
-BURST_GATE = Gate((), "at_ms long, n int", _burst, _burst_cut)
+BURST_GATE = Gate((), _burst, _burst_cut)
 #: Cooldown of a release request: device, seq, at_ms, event (request, disarm or any other, a look at the clock).
-COOLDOWN_GATE = Gate(("event",), "asked long, done long", _cooldown)
-OUTCOME = "device string, seq long, outcome string"
-
-
-def _walk(gate: Gate, state, pdf: pd.DataFrame):
-    seqs, outcomes = [], []
-    for r in pdf.sort_values(["at_ms", "seq"]).itertuples(index=False):
-        outcome, state = gate.step(state, r)
-        seqs.append(r.seq)
-        outcomes.append(outcome)
-    return state, seqs, outcomes
-
+COOLDOWN_GATE = Gate(("event",), _cooldown, due=_due, phase=_phase)
 
 def gated_batch(df: DataFrame, gate: Gate, parts: int | None = None) -> DataFrame:
     """device, seq, outcome of a table; a device's rows are walked in as many stretches (of ``parts``) as they fill."""
@@ -151,35 +154,48 @@ def gated_batch(df: DataFrame, gate: Gate, parts: int | None = None) -> DataFram
     return walked(rows, "device", ["at_ms", "seq"], ["at_ms", *gate.columns], gate.step, cut=gate.cut, parts=parts).select(F.col("device").cast("string").alias("device"), "seq", "outcome")
 
 
-#: A stream's state of a device is forgotten where the watermark is so far beyond its last row.
+#: A stream's state of a device is forgotten so long after its last row, on the clock of at_ms.
 IDLE_MS = 7 * 24 * 3_600_000
 
 
-def gated_stream(df: DataFrame, gate: Gate, time: str | None = None, lateness: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
-    """device, seq, outcome of a stream; the state outlives micro-batches.
+def gated_stream(df: DataFrame, gate: Gate, lateness: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """device, seq, outcome of a stream (device, seq, at_ms, the gate's columns); at_ms is its event time.
 
-    With a column of event ``time``, watermarked by ``lateness``, a device's state is forgotten ``idle_ms`` after its last row;
-    without one it is kept for ever.
+    An outcome comes when the watermark, ``lateness`` behind the latest row, has passed the row.  A device that is silent for more
+    than ``idle_ms`` begins anew.
     """
-
-    def one(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(pdfs))
-        now = state.get if state.exists else None
-        now, seqs, outcomes = _walk(gate, tuple(now) if now else None, rows)
-        if now is not None:
-            state.update(now)
-            if time:
-                last = int(rows[time].max().timestamp() * 1000)
-                state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"device": key[0], "seq": seqs, "outcome": outcomes})
-
-    rows = df.select("device", "seq", "at_ms", *gate.columns, *([time] if time else []))
-    if time:
-        rows = rows.withWatermark(time, lateness)
-    return rows.groupBy("device").applyInPandasWithState(one, OUTCOME, gate.state, "append", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
+    return ordered(df, gate, lateness, idle_ms).where("seq is not null").select("device", "seq", "outcome")
+
+
+def phase_stream(df: DataFrame, gate: Gate, lateness: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """device, at_ms, seq, phase of a stream: after each row, and (seq null) at the time at which no row but the clock changes it."""
+    return ordered(df, gate, lateness, idle_ms).withColumnRenamed("outcome", "phase")
+
+
+def phase_changes(df: DataFrame, gate: Gate, parts: int | None = None) -> DataFrame:
+    """device, at_ms, seq, phase of a table, as :func:`phase_stream` has them of a stream that has ended."""
+
+    def between(state, last, phase, until):
+        found = []
+        while (at := gate.due(state, last)) is not None and (until is None or at < until):
+            last, now = at, gate.phase(state, at)
+            if now != phase:
+                phase = now
+                found.append({"at_ms": at, "phase": now})
+        return found
+
+    def step(kept, r):
+        state, last, phase = kept or (None, None, None)
+        changes = between(state, last, phase, r.at_ms) if state is not None else []
+        phase, state = gate.step(state, r)
+        return json.dumps({"phase": phase, "before": changes, "after": between(state, r.at_ms, phase, None)}), (state, r.at_ms, phase)
+
+    rows = walked(df.select("device", "seq", "at_ms", *gate.columns), "device", ["at_ms", "seq"], ["at_ms", *gate.columns], step, parts=parts)
+    change = "array<struct<at_ms:bigint,phase:string>>"
+    told = rows.select(F.col("device").cast("string").alias("device"), "at_ms", "seq", F.from_json("outcome", f"phase string, before {change}, after {change}").alias("o"))
+    ends = told.groupBy("device").agg(F.max_by("o.after", F.struct("at_ms", "seq")).alias("changes"))
+    timed = told.select("device", F.explode("o.before").alias("c")).unionAll(ends.select("device", F.explode("changes").alias("c")))
+    return told.select("device", "at_ms", "seq", F.col("o.phase").alias("phase")).unionAll(timed.select("device", "c.at_ms", F.lit(None).cast("long"), "c.phase"))
 
 
 def live_counts(events: DataFrame, lateness: str = "1 hour", width: str = "1 day") -> DataFrame:

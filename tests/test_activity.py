@@ -82,14 +82,16 @@ def test_streams_equal_batches(spark, table_dir):
     assert rows(plans.stream_screen_gate(spark, table_dir)) == rows(plans.screen_gate(spark, table_dir))
     e = plans.events(spark, table_dir)
     assert rows(plans.stream_coalesced(spark, table_dir)) == rows(sg.gated_batch(plans._frames(e), sg.REPEAT_GATE))
-    assert rows(plans._streamed(spark, table_dir, lambda s: sg.gated_stream(plans._frames(s), sg.FRAME_GATE))) == rows(sg.gated_batch(plans._frames(e), sg.FRAME_GATE))
-    assert rows(plans._streamed(spark, table_dir, lambda s: sg.gated_stream(plans._frames(s), sg.BURST_GATE))) == rows(sg.gated_batch(plans._frames(e), sg.BURST_GATE))
+    assert rows(plans._streamed(spark, table_dir, lambda s: sg.gated_stream(plans._frames(s), sg.FRAME_GATE), True)) == rows(sg.gated_batch(plans._frames(e), sg.FRAME_GATE))
+    assert rows(plans._streamed(spark, table_dir, lambda s: sg.gated_stream(plans._frames(s), sg.BURST_GATE), True)) == rows(sg.gated_batch(plans._frames(e), sg.BURST_GATE))
     assert plans.stream_idempotent(spark, table_dir).count() == 134
 
 
 def test_windowed_streams(spark, table_dir):
     counts = plans._streamed(spark, table_dir, lambda s: sg.live_counts(s.withColumn("verdict", F.col("event_type"))))
     assert counts.agg(F.sum("n")).first()[0] == 200  # the watermark, an hour behind, closes the first two days
+    counts = plans._streamed(spark, table_dir, lambda s: sg.live_counts(s.withColumn("verdict", F.col("event_type"))), True)
+    assert counts.agg(F.sum("n")).first()[0] == 400  # a row at the end closes them all
     policy = spark.createDataFrame([("error", "block")], "host string, action string")
     acted = plans._streamed(spark, table_dir, lambda s: sg.host_stream(s.select(F.col("event_type").alias("host")), policy))
     assert {r.host: r.action for r in acted.distinct().collect()} == {"error": "block", "click": "proxy"}
@@ -118,9 +120,9 @@ def test_cooldown_gate(spark, table_dir):
     assert [got["d", i] for i in range(8)] == ["armed", "pending", "pending", "ready", "disarmed", "disarmed", "armed", "pending"]
     assert got["e", 1] == "armed"
     e = plans.events(spark, table_dir)
-    kind = lambda f: f.withColumn("event", F.when(F.col("event") == "error", "request").when(F.col("event") == "view", "disarm").otherwise("tick")).withColumn("at_ms", F.col("seq") * 60_000)
+    kind = lambda f: f.withColumn("event", F.when(F.col("event") == "error", "request").when(F.col("event") == "view", "disarm").otherwise("tick")).withColumn("at_ms", F.coalesce(F.col("seq"), F.lit(10**7)) * 60_000)
     rows = lambda df: sorted(map(tuple, df.collect()))
-    assert rows(plans._streamed(spark, table_dir, lambda s: sg.gated_stream(kind(plans._frames(s)), sg.COOLDOWN_GATE))) == rows(sg.gated_batch(kind(plans._frames(e)), sg.COOLDOWN_GATE))
+    assert rows(plans._streamed(spark, table_dir, lambda s: sg.gated_stream(kind(plans._frames(s)), sg.COOLDOWN_GATE), True)) == rows(sg.gated_batch(kind(plans._frames(e)), sg.COOLDOWN_GATE))
 
 
 def test_guard_status(spark):
