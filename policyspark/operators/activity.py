@@ -180,9 +180,13 @@ def protection_phase(log: DataFrame) -> DataFrame:
     return log.select("device", phase.alias("phase"), left.alias("left_ms"))
 
 
-def gate_outcomes(starts: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Planned in the reference: each gate start with its outcome, open where none came."""
-    return starts.join(outcomes.select("gate_id", "outcome").hint("merge"), "gate_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("open")))
+def gate_outcomes(starts: DataFrame, outcomes: DataFrame, seconds: int | None = None) -> DataFrame:
+    """Planned in the reference: each gate start with its outcome, open where none came; with ``seconds``, where none came in that time
+    (both sides with ts).
+    """
+    o = outcomes.select(F.col("gate_id").alias("__gate"), F.col("outcome").alias("__outcome"), *([F.col("ts").alias("__at")] if seconds is not None else []))
+    within = f" and __at >= ts and __at <= ts + interval {seconds} seconds" if seconds is not None else ""
+    return starts.join(o.hint("merge"), F.expr("gate_id = __gate" + within), "left").select(*starts.columns, F.coalesce("__outcome", F.lit("open")).alias("outcome"))
 
 
 def deferral(flags: DataFrame, scores: DataFrame, low: float = 0.35, high: float = 0.65) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import activity as ac
 from ..sources import lists as ls
-from ..streaming import gates as sg
+from ..streaming import gates as sg, joins as sj
 from .tables import events, scratch_dir, table
 from .text import VERDICTS_SQL
 
@@ -233,18 +233,21 @@ SELECT device, seq, CASE WHEN done < 600000 THEN 'disarmed' WHEN asked IS NULL O
 _END = "9000-01-01"
 
 
-def _streamed(spark: SparkSession, sf_dir: str, of, closing: bool = False) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, of, closing: bool | tuple[str, ...] = False) -> DataFrame:
     """What ``of`` (events stream to stream) appends, run to the end of the input and read back.
 
-    ``closing``: a last row of nulls, at a time far ahead, moves the watermark past all others, so that no window stays open; its own
-    never closes.
+    ``closing``: a last row (one for each event type named), at a time far ahead, moves the watermarks past all others, so that no
+    window stays open; its own never closes.  Its numbers are -1, as filters on nulls that joins imply go below watermarks; a query
+    whose rows pass at once drops it from what it reads back.
     """
     out = scratch_dir(spark)
     schema = table(spark, sf_dir, "events").schema
     read = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     if closing:
-        end = [F.lit(_END if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in schema]
-        spark.range(1).select(*end).write.parquet(f"{out}/end")
+        own = {"ts": F.lit(_END), "event_type": F.col("kind"), "event_id": F.lit(-1), "user_id": F.lit(-1)}
+        end = [own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        kinds = spark.createDataFrame([(k,) for k in (closing if isinstance(closing, tuple) else (None,))], "kind string")
+        kinds.select(*end).toDF(*schema.names).write.parquet(f"{out}/end")
         read = read.unionByName(spark.readStream.schema(schema).parquet(f"{out}/end"))
     stream = of(read.withColumn("ts", F.col("ts").cast("timestamp")))
     stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
@@ -295,6 +298,32 @@ def stream_live_counts(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda e: sg.live_counts(e.withColumn("verdict", F.expr(_VERDICT))), True)
 
 
+def stream_suppressed(spark, sf_dir):
+    """suppressed_warnings of two streams."""
+
+    def of(e):
+        e = e.withColumn("verdict", F.expr(_VERDICT)).withColumn("host", F.col("user_id") % 2)
+        d = e.where("verdict = 'override'").select("user_id", "host", "ts")
+        return sj.suppressed_stream(e.select("event_id", "user_id", "host", "ts", "verdict"), d, "event_id", 7200).select("event_id", "verdict")
+
+    return _streamed(spark, sf_dir, of, ("signup", "purchase")).where("event_id >= 0")
+
+
+def _gate_sides(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Starts, and outcomes of every second event after one; many starts have none."""
+    starts = e.where("event_type = 'error'").select(F.col("event_id").alias("gate_id"), "user_id", "ts")
+    return starts, e.where("event_type = 'click'").select((F.col("event_id") - 2).alias("gate_id"), "ts", F.when(F.col("value") > 10, "left").otherwise("stayed").alias("outcome"))
+
+
+def gate_outcomes_in_time(spark, sf_dir):
+    return ac.gate_outcomes(*_gate_sides(events(spark, sf_dir)), 600).select("gate_id", "user_id", "outcome")
+
+
+def stream_gate_outcomes(spark, sf_dir):
+    """The same of two streams."""
+    return _streamed(spark, sf_dir, lambda e: sj.outcome_stream(*_gate_sides(e), 600).select("gate_id", "user_id", "outcome"), ("error", "click")).where("gate_id >= 0")
+
+
 def stream_hosts(spark, sf_dir):
     policy = spark.createDataFrame([("error", "block"), ("click", "allow")], "host string, action string")
     return _streamed(spark, sf_dir, lambda e: sg.host_stream(e.select("event_id", F.col("event_type").alias("host")), policy))
@@ -412,7 +441,7 @@ QUERIES = {
     "streak_milestones": streak_milestones, "rate_limits": rate_limits, "verdict_counts": verdict_counts, "score_histogram": score_histogram, "top_titles": top_titles, "weekly_summary": weekly_summary,
     "protection_modes": protection_modes, "suppressed_warnings": suppressed_warnings, "protection_phases": protection_phases, "gap_sessions": gap_sessions, "worst_verdicts": worst_verdicts, "event_props": event_props,
     "surfaces": surfaces, "screen_gate": screen_gate, "frame_gate": frame_gate, "burst_gate": burst_gate, "stream_screen_gate": stream_screen_gate, "stream_coalesced": stream_coalesced, "stream_frame_gate": stream_frame_gate, "stream_burst_gate": stream_burst_gate, "stream_cooldown_gate": stream_cooldown_gate,
-    "phase_changes": phase_changes, "stream_phases": stream_phases, "stream_idempotent": stream_idempotent,
+    "stream_suppressed": stream_suppressed, "gate_outcomes_in_time": gate_outcomes_in_time, "stream_gate_outcomes": stream_gate_outcomes, "phase_changes": phase_changes, "stream_phases": stream_phases, "stream_idempotent": stream_idempotent,
     "cooldown_gate": cooldown_gate, "stream_live_counts": stream_live_counts, "stream_hosts": stream_hosts, "stream_sessions": stream_sessions, "stream_verdicts": stream_verdicts,
     "trimmed_log": trimmed_log, "newest_log_rows": newest_log_rows, "guard_status": guard_status, "unprotected_notices": unprotected_notices, "request_checks": request_checks, "invite_states": invite_states,
     "undelivered": undelivered, "gate_outcomes": gate_outcomes, "feedback_routes": feedback_routes, "image_sizes": image_sizes, "homoglyph_folds": homoglyph_folds,
@@ -439,6 +468,9 @@ SQL = {
     "event_props": f"WITH {_V} SELECT verdict, count(*) AS n, round(sum(value), 4) AS points FROM v WHERE event_id % 6 > 0 AND verdict <> 'override' GROUP BY verdict",
     "surfaces": SURFACES_SQL,
     "screen_gate": SCREEN_SQL, "stream_screen_gate": SCREEN_SQL, "frame_gate": FRAME_SQL, "burst_gate": BURST_SQL, "stream_coalesced": STREAM_COALESCED_SQL, "cooldown_gate": COOLDOWN_SQL,
+    "stream_suppressed": f"WITH {_V} SELECT event_id, CASE WHEN verdict = 'warn' AND EXISTS (SELECT 1 FROM v d WHERE d.user_id = v.user_id AND d.verdict = 'override' AND floor(epoch(v.ts)) - floor(epoch(d.ts)) BETWEEN 0 AND 7199) THEN 'allow' ELSE verdict END AS verdict FROM v",
+    "gate_outcomes_in_time": "SELECT a.event_id AS gate_id, a.user_id, CASE WHEN b.event_id IS NULL THEN 'open' WHEN b.value > 10 THEN 'left' ELSE 'stayed' END AS outcome FROM events a LEFT JOIN events b ON b.event_type = 'click' AND b.event_id = a.event_id + 2 AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 600 SECOND WHERE a.event_type = 'error'",
+    "stream_gate_outcomes": "SELECT a.event_id AS gate_id, a.user_id, CASE WHEN b.event_id IS NULL THEN 'open' WHEN b.value > 10 THEN 'left' ELSE 'stayed' END AS outcome FROM events a LEFT JOIN events b ON b.event_type = 'click' AND b.event_id = a.event_id + 2 AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 600 SECOND WHERE a.event_type = 'error'",
     "stream_frame_gate": FRAME_SQL, "stream_burst_gate": BURST_SQL, "stream_cooldown_gate": COOLDOWN_SQL, "phase_changes": PHASE_CHANGES_SQL, "stream_phases": PHASE_CHANGES_SQL,
     "stream_live_counts": f"WITH {_V} SELECT date_trunc('day', ts)::TIMESTAMP AS day, verdict, count(*) AS n FROM v GROUP BY ALL",
     "stream_hosts": "SELECT event_id, event_type AS host, CASE event_type WHEN 'error' THEN 'block' WHEN 'click' THEN 'allow' ELSE 'proxy' END AS action FROM events",
