@@ -10,6 +10,8 @@ from ..functions.joins import side
 from .domains import APEX
 
 BLOCK, ALLOW, PROXY = "block", "allow", "proxy"
+
+
 def suffix_explode(hosts: DataFrame) -> DataFrame:
     """host, suffix, depth of each distinct host and its parents."""
     return hosts.select("host").where("host is not null").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("s")).select("host", "s.*")
@@ -32,24 +34,36 @@ def allowlisted(hosts: DataFrame, allowlist: DataFrame) -> DataFrame:
     return suffix_explode(hosts).join(side(allowlist.select(F.col("domain").alias("suffix")).distinct()), "suffix", "left_semi").select("host").distinct()
 
 
-def resolve(hosts: DataFrame, allowlist: DataFrame, rules: DataFrame, merged: DataFrame, overlay: DataFrame | None = None) -> DataFrame:
-    """Per distinct host: action and decided_by.  Allowlist, then explicit rule, then (planned) overlay, then list; else proxy.
+def policy_rows(allowlist: DataFrame, rules: DataFrame, merged: DataFrame, overlay: DataFrame | None = None) -> DataFrame:
+    """A policy as one table: suffix, kind (allowlist, rule, overlay or list), seq, act, apex (whether it covers subdomains).
 
-    ``overlay`` has domain and change (add or remove): a removal ends the search with the default.  A null host is proxied.
+    ``overlay`` has domain and change (add or remove): a removal ends the search with the default.
     """
-    h = hosts.select("host").distinct()
     own = lambda df, kind, seq, action, apex: df.select(F.col("domain").alias("suffix"), F.lit(kind).alias("kind"), seq.alias("seq"), action.alias("act"), apex.alias("apex"))
     zero, yes = F.lit(0).cast("long"), F.lit(True)
     every = own(allowlist, "allowlist", zero, F.lit(ALLOW), yes).unionAll(own(rules, "rule", F.col("seq").cast("long"), F.col("action"), yes)).unionAll(own(merged, "list", zero, F.lit(BLOCK), F.col("scope") == APEX))
     if overlay is not None:
         every = every.unionAll(own(overlay, "overlay", F.monotonically_increasing_id(), F.when(F.col("change") == "add", BLOCK).otherwise(PROXY), yes))
-    hit = suffix_explode(h).join(side(every), "suffix").where(F.col("apex") | (F.col("suffix") == F.col("host")))
+    return every
+
+
+def decided(hosts: DataFrame, policy: DataFrame) -> DataFrame:
+    """Per distinct host: action and decided_by after :func:`policy_rows`.  Allowlist, then explicit rule, then (planned) overlay, then
+    list; else proxy, also for a null host.
+    """
+    h = hosts.select("host").distinct()
+    hit = suffix_explode(h).join(side(policy), "suffix").where(F.col("apex") | (F.col("suffix") == F.col("host")))
     # the first kind that has a hit decides, by its deepest and then its last rule
     rank = F.array_position(F.array(*[F.lit(k) for k in ("list", "overlay", "rule", "allowlist")]), F.col("kind"))
     best = hit.groupBy("host").agg(F.max_by(F.struct("act", "kind"), F.struct(rank, "depth", "seq")).alias("b"))
     return h.join(best.hint("merge"), "host", "left").select("host", F.coalesce("b.act", F.lit(PROXY)).alias("action"), F.coalesce("b.kind", F.lit("default")).alias("decided_by"))
 
 
+def resolve(hosts: DataFrame, allowlist: DataFrame, rules: DataFrame, merged: DataFrame, overlay: DataFrame | None = None) -> DataFrame:
+    """Per distinct host: action and decided_by."""
+    return decided(hosts, policy_rows(allowlist, rules, merged, overlay))
+
+
 def provenance_of(blocked: DataFrame, keys: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Why the listed hosts (host, domain) are blocked: sources, categories, scope."""
     return blocked.join(keys.hint("merge"), "domain").join(side(dictionary), "id").drop("id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.domains import FILTERING_ERRORS, is_special_use
+from ..sources.state_tables import KeyedTable
 
 ALIVE, DEAD, UNKNOWN, UNCORROBORATED = "alive", "dead", "unknown", "uncorroborated_dead"
 NAMED = 20
@@ -62,6 +63,33 @@ def updated_cache(cache: DataFrame, verdicts: DataFrame, now: int) -> DataFrame:
     return j.select("domain", F.when(new, F.lit(now)).otherwise(F.col("last_checked")).cast("long").alias("last_checked"), F.when(new, F.col("v")).otherwise(F.col("verdict")).alias("verdict"), F.when(new, F.col("r")).otherwise(F.col("reason")).alias("reason"), F.when(new, first).otherwise(F.col("first_dead_at")).cast("long").alias("first_dead_at"))
 
 
+CACHE = "domain string, last_checked long, verdict string, reason string, first_dead_at long"
+
+
+def cache_table(spark: SparkSession, root: str) -> KeyedTable:
+    """The cache as a table with commits, by month of the last check.  One that isn't there is empty; one that is damaged is an error."""
+    return KeyedTable(spark, root, CACHE, "domain", month="last_checked")
+
+
+def save_sweep(table: KeyedTable, verdicts: DataFrame, now: int) -> int:
+    """Commits a sweep's ``verdicts`` (domain, verdict, reason): only the rows of the domains that it checked are written."""
+
+    def change(version: int) -> tuple[DataFrame, None]:
+        return updated_cache(table.rows_of(verdicts.select("domain").distinct(), version), verdicts, now), None
+
+    return table.update(change)
+
+
+def due_from(table: KeyedTable, merged: DataFrame, now: int, ttl: int) -> DataFrame:
+    """``due_set`` of a stored cache: rows that were last checked ``ttl`` seconds ago or more are in the months up to then."""
+    names = merged.select("domain").distinct()
+    old = table.older(now - ttl).select("domain")
+    known = table.load().select("domain")
+    never = names.join(known.hint("merge"), "domain", "left_anti")
+    unchecked = table.load().where("last_checked is null").select("domain")
+    return names.join(old.unionAll(unchecked).hint("merge"), "domain", "left_semi").unionAll(never)
+
+
 def prunable(cache_row: DataFrame, now: int, quarantine: int) -> Column:
     """Dead for at least ``quarantine`` seconds, and not special-use."""
     return (F.col("verdict") == DEAD) & F.col("first_dead_at").isNotNull() & (F.greatest(F.lit(now) - F.col("first_dead_at"), F.lit(0)) >= quarantine) & ~is_special_use(F.col("domain"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import activity as ac
 from ..sources import lists as ls
-from ..streaming import gates as sg, joins as sj
+from ..sources.state_tables import KeyedTable
+from ..streaming import gates as sg, ingest as si, joins as sj
 from .tables import events, scratch_dir, table
 from .text import VERDICTS_SQL
 
@@ -352,6 +353,28 @@ def stream_idempotent(spark, sf_dir):
     return _streamed(spark, sf_dir, e)
 
 
+def _event_stream(spark, sf_dir):
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_ingested(spark, sf_dir):
+    """idempotent_ingest of a stream, against the stored table; the stream is then run once more from its beginning, which adds nothing."""
+    root = scratch_dir(spark)
+    kept = KeyedTable(spark, f"{root}/table", "client_id long, event_id long, event_type string", "client_id", buckets=16)
+    for run in range(2):
+        rows = _event_stream(spark, sf_dir).select(F.floor(F.col("event_id") / 3).alias("client_id"), "event_id", "event_type", "ts")
+        si.exact_ingest(rows, kept, ["ts", "event_id"], f"run{run}").option("checkpointLocation", f"{root}/state{run}").trigger(availableNow=True).start().awaitTermination()
+    return kept.load()
+
+
+def stream_rolling_counts(spark, sf_dir):
+    """Counts of each day and of the 7 days up to it, from day totals that a stream keeps."""
+    root = scratch_dir(spark)
+    days = si.day_table(spark, f"{root}/table")
+    si.day_totals(_event_stream(spark, sf_dir).withColumn("verdict", F.expr(_VERDICT)), days).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return si.rolling(days.load())
+
+
 # --- rules on single rows and small joins
 
 
@@ -441,7 +464,7 @@ QUERIES = {
     "streak_milestones": streak_milestones, "rate_limits": rate_limits, "verdict_counts": verdict_counts, "score_histogram": score_histogram, "top_titles": top_titles, "weekly_summary": weekly_summary,
     "protection_modes": protection_modes, "suppressed_warnings": suppressed_warnings, "protection_phases": protection_phases, "gap_sessions": gap_sessions, "worst_verdicts": worst_verdicts, "event_props": event_props,
     "surfaces": surfaces, "screen_gate": screen_gate, "frame_gate": frame_gate, "burst_gate": burst_gate, "stream_screen_gate": stream_screen_gate, "stream_coalesced": stream_coalesced, "stream_frame_gate": stream_frame_gate, "stream_burst_gate": stream_burst_gate, "stream_cooldown_gate": stream_cooldown_gate,
-    "stream_suppressed": stream_suppressed, "gate_outcomes_in_time": gate_outcomes_in_time, "stream_gate_outcomes": stream_gate_outcomes, "phase_changes": phase_changes, "stream_phases": stream_phases, "stream_idempotent": stream_idempotent,
+    "stream_ingested": stream_ingested, "stream_rolling_counts": stream_rolling_counts, "stream_suppressed": stream_suppressed, "gate_outcomes_in_time": gate_outcomes_in_time, "stream_gate_outcomes": stream_gate_outcomes, "phase_changes": phase_changes, "stream_phases": stream_phases, "stream_idempotent": stream_idempotent,
     "cooldown_gate": cooldown_gate, "stream_live_counts": stream_live_counts, "stream_hosts": stream_hosts, "stream_sessions": stream_sessions, "stream_verdicts": stream_verdicts,
     "trimmed_log": trimmed_log, "newest_log_rows": newest_log_rows, "guard_status": guard_status, "unprotected_notices": unprotected_notices, "request_checks": request_checks, "invite_states": invite_states,
     "undelivered": undelivered, "gate_outcomes": gate_outcomes, "feedback_routes": feedback_routes, "image_sizes": image_sizes, "homoglyph_folds": homoglyph_folds,
@@ -471,6 +494,8 @@ SQL = {
     "stream_suppressed": f"WITH {_V} SELECT event_id, CASE WHEN verdict = 'warn' AND EXISTS (SELECT 1 FROM v d WHERE d.user_id = v.user_id AND d.verdict = 'override' AND floor(epoch(v.ts)) - floor(epoch(d.ts)) BETWEEN 0 AND 7199) THEN 'allow' ELSE verdict END AS verdict FROM v",
     "gate_outcomes_in_time": "SELECT a.event_id AS gate_id, a.user_id, CASE WHEN b.event_id IS NULL THEN 'open' WHEN b.value > 10 THEN 'left' ELSE 'stayed' END AS outcome FROM events a LEFT JOIN events b ON b.event_type = 'click' AND b.event_id = a.event_id + 2 AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 600 SECOND WHERE a.event_type = 'error'",
     "stream_gate_outcomes": "SELECT a.event_id AS gate_id, a.user_id, CASE WHEN b.event_id IS NULL THEN 'open' WHEN b.value > 10 THEN 'left' ELSE 'stayed' END AS outcome FROM events a LEFT JOIN events b ON b.event_type = 'click' AND b.event_id = a.event_id + 2 AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 600 SECOND WHERE a.event_type = 'error'",
+    "stream_ingested": "SELECT event_id // 3 AS client_id, first(event_id ORDER BY ts, event_id) AS event_id, first(event_type ORDER BY ts, event_id) AS event_type FROM events GROUP BY 1",
+    "stream_rolling_counts": f"WITH {_V}, d AS (SELECT ts::DATE AS day, verdict, count(*) AS n FROM v GROUP BY ALL), s AS (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY))::DATE AS day), f AS (SELECT s.day, x.verdict, coalesce(n, 0) AS n FROM s CROSS JOIN (SELECT DISTINCT verdict FROM d) x LEFT JOIN d ON d.day = s.day AND d.verdict = x.verdict) SELECT day, verdict, n, sum(n) OVER (PARTITION BY verdict ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)::BIGINT AS rolling FROM f",
     "stream_frame_gate": FRAME_SQL, "stream_burst_gate": BURST_SQL, "stream_cooldown_gate": COOLDOWN_SQL, "phase_changes": PHASE_CHANGES_SQL, "stream_phases": PHASE_CHANGES_SQL,
     "stream_live_counts": f"WITH {_V} SELECT date_trunc('day', ts)::TIMESTAMP AS day, verdict, count(*) AS n FROM v GROUP BY ALL",
     "stream_hosts": "SELECT event_id, event_type AS host, CASE event_type WHEN 'error' THEN 'block' WHEN 'click' THEN 'allow' ELSE 'proxy' END AS action FROM events",

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.domains import host_of_url, looks_like_personal_name
 from ..operators import domains as dm, hosts as hs, liveness as lv
 from ..sources import lists as ls
-from .tables import table
+from ..sources.state_tables import Published
+from ..streaming import gates as sg
+from .tables import scratch_dir, table
 
 SUFFIXES = ["com", "net", "org", "co.uk", "blogspot.com"]
 DENIED = ["Blog.ththan.example.net."]
@@ -163,6 +165,21 @@ SELECT host, CASE WHEN al THEN 'allow' WHEN ra IS NOT NULL THEN ra WHEN oc = 'ad
   CASE WHEN al THEN 'allowlist' WHEN ra IS NOT NULL THEN 'rule' WHEN oc IS NOT NULL THEN 'overlay' WHEN li THEN 'list' ELSE 'default' END AS decided_by FROM j"""
 )
 
+def stream_host_policy(spark, sf_dir):
+    """host_policy of a stream of pages, by a policy that has been published."""
+    root = scratch_dir(spark)
+    policy = Published(spark, f"{root}/policy")
+    overlay = spark.createDataFrame(OVERLAY, "domain string, change string")
+    policy.publish(hs.policy_rows(_param(spark, ALLOWED, "domain"), rules(spark).where("seq in (2, 3)"), merged(spark, sf_dir), overlay), 1)
+    pages = spark.readStream.schema(table(spark, sf_dir, "pages").schema).parquet(f"{sf_dir}/pages.parque[t]")
+    flows = pages.select("page_id", host_of_url(F.col("url")).alias("host"))
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")  # noqa: E731  a batch that is run again takes its own place
+    sg.policy_stream(flows, policy, write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/rows").drop("batch", "policy_version")
+
+
+STREAM_POLICY_SQL = HOST_POLICY_SQL.replace("SELECT host, CASE WHEN al", "SELECT page_id, j.host, CASE WHEN al").replace("AS decided_by FROM j", "AS decided_by FROM j JOIN hosted p ON j.host IS NOT DISTINCT FROM p.host")
+
 CIDRS = [(1, "10.0.0.0/8", "block"), (2, "10.1.0.0/16", "allow"), (3, "10.1.2.3", "block"), (4, "10.1.2.0/23", "proxy"), (5, "2001:db8::/32", "block"), (6, "10.1.0.0/16", "block"), (7, "10.3.0.0/20", "allow")]
 _IP = "concat('10.', cast(event_id % 5 as {s}), '.', cast(event_id % 29 as {s}), '.', cast(event_id % 7 as {s}))"
 
@@ -252,7 +269,7 @@ cache AS (SELECT coalesce(o.domain, v.domain) AS domain, (CASE WHEN v.verdict IS
 QUERIES = {
     "list_parse_report": parse_report, "list_merge_report": merge_report, "list_merged": merged_list, "list_provenance": provenance_lookup, "list_category_filter": category_filter,
     "list_personal_names": personal_names, "list_corroboration": corroboration_profile, "list_gates": build_gates, "list_review_queue": review_queue,
-    "host_rules": host_rules, "host_list": host_list, "host_policy": host_policy, "cidr_policy": cidr_policy, "body_routes": body_routes,
+    "host_rules": host_rules, "host_list": host_list, "host_policy": host_policy, "stream_host_policy": stream_host_policy, "cidr_policy": cidr_policy, "body_routes": body_routes,
     "liveness_verdicts": liveness_verdicts, "liveness_cache": liveness_cache, "liveness_pruned": liveness_pruned, "liveness_due": liveness_due, "liveness_negative": negative_outcomes,
 }
 SQL = {
@@ -268,6 +285,7 @@ SQL = {
     "host_rules": HOST_RULES_SQL,
     "host_list": "WITH " + _MERGE_SQL + " SELECT host, first(domain ORDER BY length(domain) DESC) AS domain FROM (SELECT DISTINCT host FROM hosted) JOIN merged m ON host = domain OR (m.scope = 'apex' AND ends_with(host, '.' || domain)) GROUP BY host",
     "host_policy": HOST_POLICY_SQL,
+    "stream_host_policy": STREAM_POLICY_SQL,
     "cidr_policy": CIDR_SQL,
     "body_routes": BODY_ROUTES_SQL,
     "liveness_verdicts": _LIVE_SQL + " SELECT * FROM live",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.domains import reversed_labels
-from ..operators import domains as dm, hosts as hs, liveness as lv
+from ..operators import domains as dm, hosts as hs, incremental as inc, liveness as lv
 from ..sources import lists as ls
+from ..sources.state_tables import Published
 from . import lists
-from .tables import events, scratch_dir, table
+from .tables import events, scratch_dir, stored, table
 
 _HOSTED = lists._HOSTED_SQL
 
@@ -93,17 +94,82 @@ def published_build(spark, sf_dir):
     """The merged list published as two versions, a third refused, the second read back with its digest checked."""
     root = scratch_dir(spark)
     m = lists.merged(spark, sf_dir)
-    ls.write_version(m.where("scope = 'apex'"), root, 1)
-    ls.write_version(dm.sorted_keys(m, 4), root, 3)
+    build = Published(spark, root)
+    build.publish(m.where("scope = 'apex'"), 1)
+    build.publish(dm.sorted_keys(m, 4), 3)
     try:
-        ls.write_version(m, root, 2)
+        build.publish(m, 2)
         refused = False
     except ValueError:
         refused = True
-    back = ls.load_version(spark, root, ls.latest_version(spark, root), m.schema)
+    _, back = build.load()
     return back.select("domain", "scope", reversed_labels(F.col("domain")).alias("key"), F.lit(refused).alias("refused"))
 
 
+def stored_liveness(spark, sf_dir):
+    """The liveness cache saved as three commits, compacted after the second, and loaded: the same as the full outer merge."""
+    cache = lv.cache_table(spark, scratch_dir(spark))
+    cache.commit(lists._cache(spark, sf_dir))
+    found = lists.verdicts(spark, sf_dir).where("length(domain) % 4 < 2")
+    lv.save_sweep(cache, found.where("length(domain) % 4 = 0"), lists.NOW)
+    cache.compact()
+    lv.save_sweep(cache, found.where("length(domain) % 4 = 1"), lists.NOW)
+    return cache.load()
+
+
+def stored_liveness_due(spark, sf_dir):
+    """Due domains from the stored cache after a sweep of those with an even length at their due time."""
+    cache = lv.cache_table(spark, scratch_dir(spark))
+    cache.commit(lists._cache(spark, sf_dir))
+    lv.save_sweep(cache, lists.verdicts(spark, sf_dir).where("length(domain) % 2 = 0"), lists.NOW)
+    names = lists.hosted(spark, sf_dir).select(F.col("host").alias("domain")).distinct()
+    return lv.due_from(cache, names, lists.NOW, lists.TTL)
+
+
+STORED_DUE_SQL = lists._LIVE_SQL + f""", old AS ({lists._CACHE.format(s='varchar', h='names')})
+SELECT host AS domain FROM names LEFT JOIN old ON host = old.domain
+WHERE length(host) % 2 = 1 AND (last_checked IS NULL OR greatest({lists.NOW} - last_checked, 0) >= {lists.TTL})"""
+
+
+def _daily(spark, sf_dir):
+    """Classified entries with the day from which they are listed and that from which they are no longer."""
+    d = lists.done(spark, sf_dir).select("domain", "source", "category", "scope", "outcome")
+    return d.withColumn("since", F.pmod(F.length("domain"), F.lit(3))).withColumn("until", F.when(F.pmod(F.length("domain") + F.length("category"), F.lit(4)) == 0, 2).otherwise(9))
+
+
+def incremental_merge(spark, sf_dir):
+    """The merged list after three daily changes with retractions, from a table that holds counts of entries."""
+    rows = stored(_daily(spark, sf_dir))
+    at = lambda day: rows.where((F.col("since") <= day) & (F.col("until") > day))
+    kept = inc.list_table(spark, scratch_dir(spark), 16)
+    inc.apply_changes(kept, inc.counted(at(0)))
+    for day in (1, 2):
+        inc.apply_changes(kept, inc.difference(at(day), at(day - 1)))
+    return inc.merged_of(kept.load()).select("domain", "scope", F.array_join("sources", ",").alias("sources"), F.array_join("categories", ",").alias("categories"))
+
+
+#: Day 2: what is listed from days 0 to 2 on and not taken out by then.
+INCREMENTAL_SQL = (
+    "WITH "
+    + lists._MERGE_SQL
+    + """, live AS (SELECT * FROM done WHERE outcome = 'merged' AND (length(domain) + length(category)) % 4 <> 0)
+SELECT domain, CASE WHEN bool_or(scope = 'apex') THEN 'apex' ELSE 'exact_host' END AS scope, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM live GROUP BY domain"""
+)
+
+
+def new_list_keys(spark, sf_dir):
+    """Domains listed by the last daily change that weren't before it."""
+    rows = stored(_daily(spark, sf_dir))
+    at = lambda day: rows.where((F.col("since") <= day) & (F.col("until") > day))
+    kept = inc.list_table(spark, scratch_dir(spark), 16)
+    before = inc.apply_changes(kept, inc.counted(at(0)))
+    inc.apply_changes(kept, inc.difference(at(1), at(0)))
+    return inc.new_keys(kept, before)
+
+
+NEW_KEYS_SQL = "WITH " + lists._MERGE_SQL + " SELECT DISTINCT domain FROM done WHERE outcome = 'merged' AND length(domain) % 3 = 1"
+
+
 def build_report(spark, sf_dir):
     m = lists.merged(spark, sf_dir)
     return dm.build_report(m, m.select(F.octet_length("domain").alias("bytes"))).withColumn("bytes_per_entry", F.round("bytes_per_entry", 6))
@@ -172,7 +238,7 @@ def pruned_after_quarantine(spark, sf_dir):
 
 QUERIES = {
     "category_dirs": category_dirs, "urls_entries": urls_entries, "param_list": param_list, "user_blocklist": user_blocklist, "tamper_log": tamper_log, "segment_kinds": segment_kinds, "admissions": admissions,
-    "collapsed_snapshots": collapsed_snapshots, "output_license": output_license, "published_build": published_build, "build_report": build_report, "size_gate": size_gate, "folded_overlay": folded_overlay,
+    "collapsed_snapshots": collapsed_snapshots, "output_license": output_license, "published_build": published_build, "stored_liveness": stored_liveness, "stored_liveness_due": stored_liveness_due, "incremental_merge": incremental_merge, "new_list_keys": new_list_keys, "build_report": build_report, "size_gate": size_gate, "folded_overlay": folded_overlay,
     "flow_actions": flow_actions, "canary": canary, "dead_list": dead_list, "pruned_at_once": pruned_at_once, "pruned_after_quarantine": pruned_after_quarantine,
 }
 SQL = {
@@ -185,6 +251,7 @@ SQL = {
     "admissions": ADMISSIONS_SQL,
     "collapsed_snapshots": COLLAPSED_SQL,
     "output_license": "SELECT 'MIT' AS output_license",
+    "stored_liveness": lists._CACHE_SQL + " SELECT * FROM cache", "stored_liveness_due": STORED_DUE_SQL, "incremental_merge": INCREMENTAL_SQL, "new_list_keys": NEW_KEYS_SQL,
     "published_build": "WITH " + lists._MERGE_SQL + " SELECT domain, scope, array_to_string(list_reverse(string_split(domain, '.')), '.') AS key, true AS refused FROM merged",
     "build_report": "WITH " + lists._MERGE_SQL + " SELECT count(*) AS entry_count, count(DISTINCT (sources, categories, scope)) AS combinations, sum(strlen(domain))::BIGINT AS bytes, round(sum(strlen(domain)) / count(*), 6) AS bytes_per_entry FROM merged",
     "size_gate": "WITH " + lists._MERGE_SQL + " SELECT 'size' AS gate, sum(strlen(domain)) <= l AS passed, sum(strlen(domain))::DOUBLE AS measured FROM merged, (VALUES (100), (1073741824)) v(l) GROUP BY l",

@@ -129,37 +129,3 @@ def segment_kind(path: Column) -> Column:
 def body_route(path: Column, content_type: Column, size: Column, limit: int = BODY_LIMIT) -> Column:
     """video_segment by path, then too_large, html or image by content type, else pass."""
     return F.when(segment_kind(path).isNotNull(), "video_segment").when(size > limit, "too_large").when(content_type.startswith("text/html"), "html").when(content_type.startswith("image/"), "image").otherwise("pass")
-
-
-def write_version(df: DataFrame, root: str, version: int) -> None:
-    """Publishes ``df`` as a version below ``root`` with a manifest; a version that doesn't increase is refused."""
-    spark = df.sparkSession
-    last = latest_version(spark, root)
-    if last is not None and version <= last:
-        raise ValueError(f"version {version} does not follow {last}")
-    df.write.parquet(f"{root}/v={version}")
-    stored = spark.read.parquet(f"{root}/v={version}")
-    digest = F.sum(F.xxhash64(*stored.columns).cast("decimal(38,0)")).cast("string")
-    stored.agg(F.lit(version).alias("version"), F.count("*").alias("entry_count"), digest.alias("digest")).write.mode("append").parquet(f"{root}/manifest")
-
-
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """The last published version, or null where nothing has been published; any other failure to read is raised."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema("version int, entry_count long, digest string").parquet(f"{root}/manifest").agg(F.max("version")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def load_version(spark: SparkSession, root: str, version: int, schema: T.StructType) -> DataFrame:
-    """A published version; content that doesn't have the manifest's digest is an error."""
-    df = spark.read.schema(schema).parquet(f"{root}/v={version}")
-    want = spark.read.parquet(f"{root}/manifest").where(F.col("version") == version).first()
-    got = df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string")).first()[0]
-    if want is None or got != want.digest:
-        raise ValueError(f"version {version} of {root} is damaged")
-    return df

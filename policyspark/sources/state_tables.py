@@ -16,12 +16,12 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.joins import side
 
-DELETED, SEGMENT, MONTH = "__deleted", "__segment", "__month"
+DELETED, SEGMENT, MONTH, BUCKET = "__deleted", "__segment", "__month", "__bucket"
 
 
 class Conflict(RuntimeError):
@@ -88,11 +88,12 @@ class KeyedTable:
     """A table of one row a key, kept as a base and deltas.
 
     ``month``: a column of epoch seconds whose month partitions every folder; :meth:`older` reads only the months that it may need.
-    A key's row is that of its last delta; a delta may also delete keys.
+    ``buckets``: by so many hashes of the key every folder is partitioned (too); :meth:`rows_of` reads only those of its keys.  A key's
+    row is that of its last delta; a delta may also delete keys.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | str, key: str, month: str | None = None):
-        self.spark, self.log, self.key, self.month = spark, Log(spark, root), key, month
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | str, key: str, month: str | None = None, buckets: int | None = None):
+        self.spark, self.log, self.key, self.month, self.buckets = spark, Log(spark, root), key, month, buckets
         self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)])
 
     def version(self) -> int:
@@ -104,25 +105,29 @@ class KeyedTable:
         return self.log.read(version)["segments"] if version else []
 
     def _read(self, folder: str) -> DataFrame:
-        fields = [*self.schema.fields, T.StructField(DELETED, T.BooleanType()), *([T.StructField(MONTH, T.StringType())] if self.month else [])]
+        fields = [*self.schema.fields, T.StructField(DELETED, T.BooleanType()), *([T.StructField(MONTH, T.StringType())] if self.month else []), *([T.StructField(BUCKET, T.IntegerType())] if self.buckets else [])]
         return self.spark.read.schema(T.StructType(fields)).parquet(f"{self.log.root}/{folder}")
 
     def _of_month(self, c: Column) -> Column:
         return F.coalesce(F.date_format(F.timestamp_seconds(c), "yyyy-MM"), F.lit("none"))
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
     def _write(self, rows: DataFrame) -> str:
-        folder = f"data/{uuid.uuid4().hex}"
+        folder, by = f"data/{uuid.uuid4().hex}", []
         if self.month:
-            rows.withColumn(MONTH, self._of_month(F.col(self.month))).write.partitionBy(MONTH).parquet(f"{self.log.root}/{folder}")
-        else:
-            rows.write.parquet(f"{self.log.root}/{folder}")
+            rows, by = rows.withColumn(MONTH, self._of_month(F.col(self.month))), [*by, MONTH]
+        if self.buckets:
+            rows, by = rows.withColumn(BUCKET, self._bucket()), [*by, BUCKET]
+        (rows.hint("rebalance", *by) if by else rows).write.partitionBy(*by).parquet(f"{self.log.root}/{folder}")
         return folder
 
-    def _latest(self, folders: list[str]) -> DataFrame:
+    def _latest(self, folders: list[str], only: Column) -> DataFrame:
         """The rows of the last delta of each key, deletions among them."""
         every = None
         for i, folder in enumerate(folders):
-            rows = self._read(folder).select(*self.schema.names, DELETED).withColumn(SEGMENT, F.lit(i))
+            rows = self._read(folder).where(only).select(*self.schema.names, DELETED).withColumn(SEGMENT, F.lit(i))
             every = rows if every is None else every.unionAll(rows)
         if len(folders) == 1:
             return every.drop(SEGMENT)
@@ -131,19 +136,36 @@ class KeyedTable:
 
     def load(self, version: int | None = None) -> DataFrame:
         """All rows as of a version (the last by default); the base isn't shuffled where the deltas' keys are few."""
+        return self._load(version, F.lit(True))
+
+    def _load(self, version: int | None, only: Column) -> DataFrame:
         segments = self._segments(self.version() if version is None else version)
         if not segments:
             return self.spark.createDataFrame([], self.schema)
-        base = self._read(segments[0]).where(~F.col(DELETED)).select(*self.schema.names)
+        base = self._read(segments[0]).where(only & ~F.col(DELETED)).select(*self.schema.names)
         if len(segments) == 1:
             return base
-        new = self._latest(segments[1:])
+        new = self._latest(segments[1:], only)
         kept = base.join(side(new.select(self.key)), self.key, "left_anti").select(*self.schema.names)
         return kept.unionAll(new.where(~F.col(DELETED)).select(*self.schema.names))
 
     def rows_of(self, keys: DataFrame, version: int | None = None) -> DataFrame:
-        """The rows of ``keys`` (the key column, distinct)."""
-        return self.load(version).join(side(keys.select(self.key)), self.key, "left_semi").select(*self.schema.names)
+        """The rows of ``keys`` (the key column, distinct), from the buckets that they are in."""
+        only = F.lit(True)
+        if self.buckets:
+            some = [r.b for r in keys.select(self._bucket().alias("b")).distinct().collect()]  # ``buckets`` at most
+            only = F.col(BUCKET).isin(some)
+        return self._load(version, only).join(side(keys.select(self.key)), self.key, "left_semi").select(*self.schema.names)
+
+    def changed_keys(self, since: int) -> DataFrame:
+        """Keys of the deltas after version ``since``; a compaction since then is an error."""
+        before, now = self._segments(since), self._segments(self.version())
+        if now[: len(before)] != before:
+            raise ValueError(f"{self.log.root} has been compacted since version {since}")
+        found = self.spark.createDataFrame([], self.schema).select(self.key)
+        for folder in now[len(before) :]:
+            found = found.unionAll(self._read(folder).select(self.key))
+        return found.distinct()
 
     def older(self, until: int, version: int | None = None) -> DataFrame:
         """Rows whose month column is at most ``until`` (seconds), from the months up to its; later deltas are asked for keys alone."""
@@ -163,10 +185,16 @@ class KeyedTable:
             found = rows if found is None else found.unionAll(rows)
         return found
 
-    def commit(self, rows: DataFrame | None = None, deleted: DataFrame | None = None, follows: int | None = None) -> int:
+    def note(self, version: int | None = None) -> dict | None:
+        """What a commit was told to note; a compaction keeps it."""
+        version = self.version() if version is None else version
+        return self.log.read(version).get("note") if version else None
+
+    def commit(self, rows: DataFrame | None = None, deleted: DataFrame | None = None, follows: int | None = None, note: dict | None = None) -> int:
         """Adds a delta of ``rows`` (new or changed, one a key) without the keys of ``deleted``; returns the new version.
 
         ``follows``: the version that the rows were made from (the last by default); another commit since then is a conflict.
+        ``note`` is kept in the manifest; without one, that of the version before is.
         """
         follows = self.version() if follows is None else follows
         every = rows.select(*self.schema.names).withColumn(DELETED, F.lit(False)) if rows is not None else None
@@ -179,25 +207,25 @@ class KeyedTable:
         n = self._read(folder).agg(F.count("*").alias("rows"), F.count_distinct(self.key).alias("keys")).first()
         if n.rows != n["keys"]:
             raise ValueError(f"{n.rows} rows have {n['keys']} keys; a key needs one row")
-        self.log.commit(follows + 1, {"segments": [*self._segments(follows), folder]})
+        self.log.commit(follows + 1, {"segments": [*self._segments(follows), folder], "note": note or self.note(follows)})
         return follows + 1
 
-    def update(self, change: Callable[[int], tuple[DataFrame | None, DataFrame | None]], attempts: int = 5) -> int:
+    def update(self, change: Callable[[int], tuple[DataFrame | None, DataFrame | None]], attempts: int = 5, note: dict | None = None) -> int:
         """Commits what ``change(version)`` returns, anew from the newer version where another writer was first."""
         for _ in range(attempts - 1):
             follows = self.version()
             try:
-                return self.commit(*change(follows), follows)
+                return self.commit(*change(follows), follows, note)
             except Conflict:
                 continue
         follows = self.version()
-        return self.commit(*change(follows), follows)
+        return self.commit(*change(follows), follows, note)
 
     def compact(self) -> int:
         """Commits the table as one base; the rows stay the same."""
         follows = self.version()
         folder = self._write(self.load(follows).withColumn(DELETED, F.lit(False)))
-        self.log.commit(follows + 1, {"segments": [folder]})
+        self.log.commit(follows + 1, {"segments": [folder], "note": self.note(follows)})
         return follows + 1
 
     def vacuum(self, keep: int = 2) -> int:
@@ -256,7 +284,7 @@ class Published:
         now, before = last[1]["current"], last[1]["previous"]
         try:
             return now["version"], self._load(now)
-        except (ValueError, AnalysisException):
+        except (ValueError, PySparkException):
             if before is None:
                 raise
             return before["version"], self._load(before)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.walks import walked
+from ..sources.state_tables import Published
 from .ordered import ordered
 
 #: Rescan interval; frame interval and changed bits; refire gate, reset and repeats of the burst limiter.
@@ -221,6 +222,33 @@ def host_stream(flows: DataFrame, host_actions: DataFrame) -> DataFrame:
     return flows.join(F.broadcast(host_actions) if few else host_actions.hint("merge"), "host", "left").withColumn("action", F.coalesce("action", F.lit("proxy")))
 
 
+def policy_stream(flows: DataFrame, policy: Published, write: Callable[[DataFrame, int], None]):
+    """A writer that decides each micro-batch of ``flows`` (host, ..) by the published policy (hosts.policy_rows) that is current when the
+    batch begins, and hands (the rows with action, decided_by and policy_version, batch id) to ``write``.
+
+    A host is looked up by its normal form, with its parents and the precedence of the tables; one without a normal form is proxied.
+    The policy is taken up anew when its manifest has changed, so a new version counts from the next batch on.  A batch that is run
+    again may be decided by a newer version: the version is in its rows.
+    """
+    from ..functions.domains import normalize_domain
+    from ..operators.hosts import decided
+
+    held: dict = {}
+
+    def batch(df: DataFrame, n: int) -> None:
+        now = policy.manifest()
+        if now is None:
+            raise ValueError("no policy has been published")
+        if held.get("version") != now["version"]:
+            held["version"], held["rows"] = policy.load()
+        key = df.withColumn("__host", normalize_domain(F.col("host")))
+        acts = decided(key.select(F.col("__host").alias("host")), held["rows"]).withColumnRenamed("host", "__of")
+        met = key.join(acts.hint("merge"), F.col("__host").eqNullSafe(F.col("__of")), "left")
+        write(met.drop("__host", "__of").withColumn("policy_version", F.lit(held["version"])), n)
+
+    return flows.writeStream.foreachBatch(batch)
+
+
 def verdict_stream(texts: DataFrame, lexicon: DataFrame, write: Callable[[DataFrame, int], None]):
     """A writer that scores each micro-batch of ``texts`` (doc_id, text, lang) and hands (verdicts, batch id) to ``write``."""
     from ..operators.text_policy import verdicts

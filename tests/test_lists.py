@@ -103,17 +103,6 @@ def test_user_list(spark):
     assert [tuple(r) for r in ls.user_blocklist(df).collect()] == [("ads.example.com", 0)]
 
 
-def test_versions(spark, tmp_path):
-    df = spark.createDataFrame([("a",), ("b",)], "domain string")
-    root = str(tmp_path)
-    assert ls.latest_version(spark, root) is None
-    ls.write_version(df, root, 3)
-    with pytest.raises(ValueError):
-        ls.write_version(df, root, 3)
-    ls.write_version(df.limit(1), root, 4)
-    assert ls.latest_version(spark, root) == 4 and ls.load_version(spark, root, 3, df.schema).count() == 2
-
-
 def test_files_and_logs(spark, tmp_path):
     (tmp_path / "l/adult").mkdir(parents=True)
     (tmp_path / "l/adult/domains").write_text("a.com\n")
