@@ -3,19 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.joins import side
+from .selection import middle, nearest_rank, selected
+
 #: Sweep thresholds, guardrail, tile threshold (inclusive).
 SWEEP = (0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 TILE_BLOCK = 0.4650
 PROFILES = {"strict": 0.3, "balanced": 0.5, "light": 0.7}
 
 
+def _beside(groups: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """Two tables of a row a group side by side, nulls in ``by`` being alike."""
+    if not by:
+        return groups.crossJoin(found)  # one row each
+    f = found.select(*[F.col(c).alias(f"__{c}") for c in by], *[c for c in found.columns if c not in by]).hint("merge")
+    on = reduce(Column.__and__, [groups[c].eqNullSafe(f[f"__{c}"]) for c in by])
+    return groups.join(f, on, "left").drop(*[f"__{c}" for c in by])
+
+
 def summary(scores: DataFrame, by: list[str]) -> DataFrame:
     """count, mean, median, nearest-rank p90, p95, p99, min, max of score.  Callers treat an empty result as an error."""
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by score)")
-    return scores.groupBy(*by).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.percentile("score", F.lit(0.5)).alias("median"), p(0.9).alias("p90"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.min("score").alias("least"), F.max("score").alias("most"))
+    ranks = {"m0": middle(False), "m1": middle(True), "p90": nearest_rank(0.9), "p95": nearest_rank(0.95), "p99": nearest_rank(0.99)}
+    g = scores.groupBy(*by).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"))
+    j = _beside(g, selected(scores, by, "score", ranks), by)
+    return j.select(*by, "n", "mean", ((F.col("m0") + F.col("m1")) / 2).alias("median"), "p90", "p95", "p99", "least", "most")
 
 
 def sweep(scores: DataFrame, by: list[str], thresholds: tuple[float, ...] = SWEEP) -> DataFrame:
@@ -42,8 +57,7 @@ def profiles(scores: DataFrame) -> DataFrame:
 
 def latencies(scores: DataFrame, by: list[str]) -> DataFrame:
     """Nearest-rank median and 95th percentile of ``millis``."""
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by millis)")
-    return scores.groupBy(*by).agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    return selected(scores, by, "millis", {"p50": nearest_rank(0.5), "p95": nearest_rank(0.95)})
 
 
 def _between(score: Column, bounds: list[float], first: int = 0) -> Column:
@@ -104,14 +118,12 @@ def guardrail(baseline: DataFrame, candidate: DataFrame, recall_drop: float = 0.
     return j.select("recall", "fpr", F.when(F.col("recall") < F.col("r0") - recall_drop, "CRITICAL").when(F.col("fpr") >= F.col("f0"), "WARNING").otherwise("OK").alias("status"))
 
 
-def deferral_curve(scores: DataFrame, threshold: float, decimals: int = 2) -> DataFrame:
-    """confidence, coverage and risk (share of errors) of the rows at least so confident."""
-    conf = F.round(F.greatest("score", 1 - F.col("score")), decimals)
+def deferral_curve(scores: DataFrame, threshold: float, decimals: int | None = None) -> DataFrame:
+    """confidence, coverage and risk (share of errors) of the rows at least so confident, by exact confidence; ``decimals`` bins on request."""
     wrong = (F.col("score") >= threshold) != (F.col("label") == 1)
-    g = scores.groupBy(conf.alias("confidence")).agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"))
-    w = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)  # at most 10**decimals rows
-    c = g.select("confidence", F.sum("n").over(w).alias("covered"), F.sum("wrong").over(w).alias("wrong"))
-    return c.crossJoin(scores.agg(F.count("*").alias("total"))).select("confidence", (F.col("covered") / F.col("total")).alias("coverage"), (F.col("wrong") / F.col("covered")).alias("risk"))  # one row
+    c = by_score(scores.select(F.greatest("score", 1 - F.col("score")).alias("score"), wrong.cast("int").alias("label")), decimals)
+    covered = F.col("tp") + F.col("fp")
+    return c.crossJoin(scores.agg(F.count("*").alias("total"))).select(F.col("score").alias("confidence"), (covered / F.col("total")).alias("coverage"), (F.col("tp") / covered).alias("risk"))  # one row
 
 
 def top_items(scores: DataFrame, k: int = 10) -> DataFrame:
@@ -131,12 +143,16 @@ def trimmed_mean(updates: DataFrame, trim: float, least_clients: int) -> DataFra
     ``updates``: client, vector.  It is no defence against colluding clients.
     """
     enough = updates.agg((F.countDistinct("client") >= least_clients).alias("ok"))
-    c = updates.select("client", F.posexplode("vector").alias("i", "x"))
-    w = Window.partitionBy("i")
-    ranked = c.select("i", "x", F.row_number().over(w.orderBy("x", "client")).alias("r"), F.count("*").over(w).alias("n"))
-    cut = F.floor(F.col("n") * trim)
-    kept = ranked.where((F.col("r") > cut) & (F.col("r") <= F.col("n") - cut)).groupBy("i").agg(F.avg("x").alias("mean"))
-    return kept.crossJoin(enough).where("ok").select("i", "mean")  # one row
+    c = updates.select(F.posexplode("vector").alias("i", "x")).where("x is not null")  # summed up in each task, not shuffled
+    cut = lambda n: F.floor(n * trim).cast("long")
+    ends = selected(c, ["i"], "x", {"a": lambda n: cut(n) + 1, "b": lambda n: n - cut(n)})
+    j = c.join(side(ends), "i")
+    x, a, b = F.col("x"), F.col("a"), F.col("b")
+    g = j.groupBy("i", "a", "b").agg(F.count("*").alias("n"), F.count_if(x <= a).alias("upto_a"), F.count_if(x < b).alias("under_b"), F.coalesce(F.sum(F.when((x > a) & (x < b), x)), F.lit(0.0)).alias("mid"))
+    # of the values like the first or the last kept, as many as are not cut
+    first, last, kept = F.col("upto_a") - cut(F.col("n")), F.col("n") - cut(F.col("n")) - F.col("under_b"), F.col("n") - 2 * cut(F.col("n"))
+    mean = F.when(a == b, a).otherwise((F.col("mid") + a * first + b * last) / kept)
+    return g.where(kept > 0).select("i", mean.alias("mean")).crossJoin(enough).where("ok").select("i", "mean")  # one row
 
 
 def score_corpus(files: DataFrame, score: Callable[[Column], Column], corpus: str) -> DataFrame:

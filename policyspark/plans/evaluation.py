@@ -49,7 +49,7 @@ def error_confidence(spark, sf_dir):
 
 
 def deferral_curve(spark, sf_dir):
-    return _rounded(ev.deferral_curve(scores(spark, sf_dir), 0.4, 4))
+    return _rounded(ev.deferral_curve(scores(spark, sf_dir), 0.4))
 
 
 def guardrail(spark, sf_dir):
@@ -128,7 +128,7 @@ SQL = {
     "ranking_quality": _BY + " SELECT round(sum(neg * (tp - pos + pos / 2)) / (max(p) * max(n)), 6) AS roc_auc, round(sum(pos * tp / (tp + fp)) / max(p), 6) AS pr_auc FROM c",
     "operating_points": _BY + ", m AS (SELECT x::DOUBLE AS budget, max(score) AS threshold FROM c, (VALUES (0.02), (0.05), (0.1)) v(x) WHERE 1 - tp / p <= x + 1e-12 GROUP BY x) SELECT budget, round(threshold, 6) AS threshold, round(fp / n, 6) AS over_block, round(1 - tp / p, 6) AS miss FROM m JOIN c ON threshold = score",
     "error_confidence": _S + " SELECT label, count(*) AS n, round(avg(greatest(score, 1 - score)), 6) AS mean_confidence FROM s WHERE (score >= 0.4::DOUBLE) <> (label = 1) GROUP BY label",
-    "deferral_curve": _S + ", g AS (SELECT round(greatest(score, 1 - score), 4) AS confidence, count(*) AS n, count(*) FILTER ((score >= 0.4::DOUBLE) <> (label = 1)) AS w FROM s GROUP BY 1) SELECT confidence, round(sum(n) OVER o / (SELECT count(*) FROM s), 6) AS coverage, round(sum(w) OVER o / sum(n) OVER o, 6) AS risk FROM g WINDOW o AS (ORDER BY confidence DESC)",
+    "deferral_curve": _S + ", g AS (SELECT greatest(score, 1 - score) AS confidence, count(*) AS n, count(*) FILTER ((score >= 0.4::DOUBLE) <> (label = 1)) AS w FROM s GROUP BY 1) SELECT round(confidence, 6) AS confidence, round(sum(n) OVER o / (SELECT count(*) FROM s), 6) AS coverage, round(sum(w) OVER o / sum(n) OVER o, 6) AS risk FROM g WINDOW o AS (ORDER BY g.confidence DESC)",
     "guardrail": _S + f", a AS (SELECT {_CONF.format(t='0.4::DOUBLE')} FROM s), b AS (SELECT {_CONF.format(t='0.35::DOUBLE')} FROM s), r AS (SELECT a.tp / (a.tp + a.fn) AS r0, a.fp / (a.fp + a.tn) AS f0, b.tp / (b.tp + b.fn) AS r1, b.fp / (b.fp + b.tn) AS f1 FROM a, b) SELECT round(r1, 6) AS recall, round(f1, 6) AS fpr, CASE WHEN r1 < r0 THEN 'CRITICAL' WHEN f1 >= f0 THEN 'WARNING' ELSE 'OK' END AS status FROM r",
     "top_items": _S + " SELECT event_id AS item, round(score, 6) AS score FROM s ORDER BY s.score DESC, event_id DESC LIMIT 10",
     "tile_scores": "WITH t AS (SELECT event_id // 16 AS image_id, event_id % 16 AS tile, value / 200 - 0.1 AS score FROM events) SELECT image_id, round(greatest(max(score), 0), 6) AS score, greatest(max(score), 0) >= 0.4650 AS blocked, coalesce(string_agg(tile::VARCHAR, ',' ORDER BY tile) FILTER (score >= 0.4650), '') AS tiles FROM t GROUP BY image_id",
