@@ -12,7 +12,7 @@ First the whole text is normalised once and the bigrams that any template has ar
 needs common bigrams in some share of a template's (see ``least_common``), so a template with fewer of its bigrams in the
 whole text is out; with none left, as for most documents, that is all.
 
-All work is within a row, no shuffle.  Defined results: null and wordless text and segments of one word match nothing;
+All work is within a row, no shuffle, and in proportion to the text's length (times a template's, where it has its bigrams).  Defined results: null and wordless text and segments of one word match nothing;
 repeated rows get repeated results; an empty table gives an empty result; other columns are ignored.  Of equal coefficients
 that with the longer template is the best one, then the smaller licence name.  Identifiers keep their type.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -62,6 +63,11 @@ def reach(n: int, threshold: int = THRESHOLD) -> tuple[int, int]:
     return -(-threshold * n // (200 - threshold)), (200 - threshold) * n // threshold
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value worked out once: inside a lambda an expression is worked out again wherever it stands."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def matches(text: Column, threshold: int = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> Column:
     """array of (license, n, dice) of every segment and template at or above the threshold."""
     rows = template_rows(templates)
@@ -76,7 +82,8 @@ def matches(text: Column, threshold: int = THRESHOLD, templates: list[tuple[str,
     grams = F.filter(F.array(words(text)), lambda w: F.size(w) > 1)
     noted = F.transform(grams, lambda w: F.struct((F.size(w) - 1).alias("n"), F.filter(F.transform(bigrams(w), lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda h: h["g"].isin(every)).alias("hits")))
     own = lambda hits, t: F.filter(hits, lambda h: F.array_contains(t["plain"], h["g"]))
-    open_ = lambda x: F.filter(known, lambda t: F.size(own(x["hits"], t)) >= t["least"])
+    # a template's bigrams that the text has at all, however often, bound what any part of it has in common with the template
+    open_ = lambda x: _let(F.array_distinct(F.transform(x["hits"], lambda h: h["g"])), lambda there: F.filter(known, lambda t: F.size(F.filter(t["plain"], lambda p: F.array_contains(there, p))) >= t["least"]))
     # one element at most: the text's templates, places and size, each worked out once
     left = F.filter(F.transform(noted, lambda x: F.struct(x["n"].alias("n"), x["hits"].alias("hits"), open_(x).alias("templates"))), lambda x: F.size(x["templates"]) > 0)
 
@@ -89,13 +96,18 @@ def matches(text: Column, threshold: int = THRESHOLD, templates: list[tuple[str,
     of_segments = lambda x: F.flatten(F.transform(pairs, lambda g: scored(g, x["templates"])))
 
     def windows(x: Column, t: Column) -> Column:
-        hits = own(x["hits"], t)
-        starts = F.array_distinct(F.transform(hits, lambda h: h["i"] - F.array_position(t["plain"], h["g"]).cast("int") + 1))
-        inside = F.filter(starts, lambda s: (s >= 0) & (s + t["n"] <= x["n"]))
-        common = lambda s: F.size(F.array_intersect(numbered(F.array_sort(F.transform(F.filter(hits, lambda h: (h["i"] >= s) & (h["i"] < s + t["n"])), lambda h: h["g"]))), t["grams"]))
-        return F.transform(inside, lambda s: F.struct(t["license"].alias("license"), t["n"].alias("n"), (common(s) / t["n"]).alias("dice")))
-
-    of_windows = lambda x: F.flatten(F.transform(x["templates"], lambda t: windows(x, t)))
+        """The best window of a template.  Hits are in order of place and one a place, so those of a window that begins where the k-th
+        hit asks for it are among the n hits before and after that; the work is in proportion to hits times n.
+        """
+        share = lambda w: F.when(F.size(w) >= t["least"], _let(F.array_sort(w), lambda p: F.size(F.array_intersect(numbered(p), t["grams"]))) / t["n"]).otherwise(F.lit(0.0))
+        inside = lambda hits, a: F.transform(F.filter(F.slice(hits, F.greatest(F.lit(1), a["k"] + 1 - t["n"]), 2 * t["n"] + 1), lambda h: (h["i"] >= a["s"]) & (h["i"] < a["s"] + t["n"])), lambda h: h["g"])
+        begins = lambda hits: F.transform(hits, lambda h, k: F.struct((h["i"] - F.array_position(t["plain"], h["g"]).cast("int") + 1).alias("s"), k.alias("k")))
+        # neighbouring hits of one notice ask for the same start
+        fresh = lambda st: F.filter(st, lambda a, k: (a["s"] >= 0) & (a["s"] + t["n"] <= x["n"]) & ((k == 0) | (F.get(st, k - 1)["s"] != a["s"])))
+        best = lambda hits: F.array_max(F.transform(_let(begins(hits), fresh), lambda a: _let(inside(hits, a), share)))
+        return F.struct(t["license"].alias("license"), t["n"].alias("n"), F.coalesce(_let(own(x["hits"], t), best), F.lit(0.0)).alias("dice"))
+
+    of_windows = lambda x: F.transform(x["templates"], lambda t: windows(x, t))
     found = F.flatten(F.transform(left, lambda x: F.concat(of_segments(x), of_windows(x))))
     return F.filter(found, lambda m: m["dice"] * 100 >= threshold)
 

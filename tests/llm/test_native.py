@@ -109,6 +109,31 @@ def test_licences_equal_brute_force(spark):
     assert sc.scan(df.limit(0)).count() == 0
 
 
+def test_long_texts_full_of_notices(spark):
+    """The scan's time is in proportion to such a text; its windows are those of brute force."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    mit = [b for n, b in sc.TEMPLATES if n == "MIT"][2:]
+    bodies = [b for _, b in sc.TEMPLATES]
+    mixed = ""
+    for _ in range(12):  # notices with words left out, put in and doubled, run together
+        w = rng.choice(bodies).split()
+        for _ in range(len(w) // 12):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[], [w[i], w[i]], ["odd", w[i]]])
+        mixed += " ".join(w) + rng.choice([" ", "\n", " and so on "])
+    docs = [mixed, "the quick permission is hereby granted " * 300, "\n".join(mit * 4), " ".join(mit * 4)]
+    for r in sc.scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect():
+        hits = plain_licences(docs[r.doc_id])
+        assert r.licenses == ",".join(sorted({n for _, n in hits})) and r.best_dice == (round(max(hits)[0], 6) if hits else None)
+    long = spark.createDataFrame([(1, "\n".join(mit * 1000)), (2, "the quick permission is hereby granted " * 4000)], "doc_id long, text string")
+    began = time.time()
+    assert [(r.licenses, r.best_dice) for r in sc.scan(long).orderBy("doc_id").collect()] == [("MIT", 1.0), ("", None)]
+    assert time.time() - began < 60
+
+
 def test_size_bounds_are_exact():
     for n in range(1, 60):
         lo, hi = sc.reach(n, 80)
