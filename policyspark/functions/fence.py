@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -13,3 +15,8 @@ def fenced(df: DataFrame, **columns: Column) -> DataFrame:
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value worked out once: inside a lambda an expression is worked out again wherever it stands."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))

@@ -11,8 +11,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 ALNUM = r"\p{IsAlphabetic}\p{N}"
 
 
+#: Letters and marks, inside a character class, that NFKC leaves alone and that compose with nothing before them: ASCII, and of
+#: Latin, Greek, Cyrillic, quotes, dashes and Han what prose in those is mostly made of.
+NFKC_STABLE = (
+    r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
+    r"\u0388-\u038A\u038C\u038E-\u03A1\u03A3-\u03CE\u0400-\u0482\u048A-\u052F\u2013-\u2016\u2018-\u2023\u20AC\u4E00-\u9FA5"
+)
+
+
 def nfkc(text: Column) -> Column:
-    """NFKC form.  Only texts with a character beyond ASCII go to Python; Spark has no such function."""
+    """NFKC form.  Only texts with a character that it may change go to Python; Spark has no such function."""
 
     @F.pandas_udf("string")
     def normalised(s: pd.Series) -> pd.Series:
@@ -20,7 +28,7 @@ def nfkc(text: Column) -> Column:
 
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    beyond = text.rlike(r"[^\x00-\x7F]")
+    beyond = text.rlike(f"[^{NFKC_STABLE}]")
     return F.coalesce(normalised(F.when(beyond, text)), text)
 
 

@@ -7,7 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.fence import once
 from ..functions.joins import side
+from ..functions.vectors import dot
 from .selection import middle, nearest_rank, selected
 
 #: Sweep thresholds, guardrail, tile threshold (inclusive).
@@ -171,3 +173,19 @@ def train_head(labelled: DataFrame, rounds: int = 50, ridge: float = 1e-3) -> tu
     rows = labelled.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"), F.col("label").cast("double").alias("label"))
     model = LogisticRegression(maxIter=rounds, regParam=ridge).fit(rows)
     return model.coefficients.toArray().tolist(), float(model.intercept)
+
+
+def train_classes(labelled: DataFrame, rounds: int = 50, ridge: float = 1e-3) -> tuple[list[list[float]], list[float]]:
+    """Planned in the reference: (weights of each class, biases) of a softmax head on ``labelled`` (embedding, label 0 to K - 1), data-parallel."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = labelled.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"), F.col("label").cast("double").alias("label"))
+    model = LogisticRegression(maxIter=rounds, regParam=ridge, family="multinomial").fit(rows)
+    return model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist()
+
+
+def class_scores(embedding: Column, weights: list[list[float]], biases: list[float]) -> Column:
+    """Softmax of a head of any number of classes: an array of probabilities."""
+    logits = F.array(*[dot(embedding, F.array(*[F.lit(float(x)) for x in w])) + F.lit(float(b)) for w, b in zip(weights, biases, strict=True)])
+    return once(logits, lambda z: once(F.transform(z, lambda x: F.exp(x - F.array_max(z))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -88,6 +89,13 @@ def _places(text: str, zero_width: str, surface: str) -> Column:
     return F.when(F.contains(F.col(text), F.lit(surface)), found).otherwise(F.array().cast("array<struct<start:int,stop:int,gram:string>>"))
 
 
+def _seeded_terms(terms: DataFrame, kind: str) -> tuple[DataFrame, list[int], int]:
+    """(terms of a kind keyed by their first SEED characters, the lengths of such keys, the longest surface)"""
+    terms = terms.withColumn("key", F.when(F.col("kind") == kind, F.left("surface", F.lit(SEED))).otherwise(F.col("key")))
+    r = terms.where(F.col("kind") == kind).agg(F.collect_set(F.length("key")).alias("sizes"), F.max(F.length("surface")).alias("longest")).first()
+    return terms, sorted(r.sizes), r.longest
+
+
 def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> DataFrame:
     """doc_id, term_id, mode, surface, start, stop, one row a distinct match.
 
@@ -96,7 +104,8 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     language steps of the text it is matched with; tokens in URLs are lower-case in all languages.
 
     The texts' views are worked out once.  Keys of a small lexicon are looked up within the row, so that only hits become rows;
-    of a large one all n-grams of its lengths become rows, in compact mode the SEED characters from each on.
+    of a large one all n-grams of its lengths become rows, in compact mode and for phrases of marks alone the SEED characters from
+    each on.
     """
     terms = patterns(lexicon, with_nfkc)
     rows = terms.limit(INLINE + 1).collect()
@@ -109,9 +118,7 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     n_terms = sum(c for *_, c in sizes)
     lengths = {k: sorted(n for kind, n, _ in sizes if kind == k) for k in {kind for kind, *_ in sizes}}
     n_compact, n_marks = (sum(c for kind, _, c in sizes if kind == k) for k in "cm")
-    known = rows if inline else terms.where("kind = 'm'").limit(INLINE + 1).collect()
-    if n_marks > INLINE:
-        raise ValueError(f"more than {INLINE} exact phrases without letters or digits")
+    known = rows if inline else []
 
     def wanted(kind: str) -> tuple[dict[int, list[str]], list[str] | None]:
         own = [r for r in known if r.kind == kind]
@@ -130,6 +137,14 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
         apart = lambda i: F.coalesce(F.regexp_extract(F.get(F.col("pieces"), i), f"^[^{ALNUM}]*", 0), F.lit(""))
         spelled = lambda g: F.regexp_replace(F.array_join(F.slice("pieces", g["start"] + 1, g["stop"] - g["start"]), ""), f"^[^{ALNUM}]+", "")
         hits.append(_hits("t", grams, spelled, lambda g: apart(g["start"]), lambda g: apart(g["stop"]), lambda g: g["stop"] == F.size(tokens)))
+    if n_marks and not inline:
+        # phrases of marks alone, by their first characters from each place that no letter or digit stands before
+        terms, sizes_m, longest_m = _seeded_terms(terms, "m")
+        parts["marks"] = F.split("normalized", "")
+        mark = lambda i, n: F.array_join(F.slice("marks", i + 1, n), "")
+        free = lambda i: ~F.get("marks", i).rlike(f"[{ALNUM}]") & ((i == 0) | ~F.get("marks", i - 1).rlike(f"[{ALNUM}]"))
+        open_ = F.filter(F.sequence(F.lit(0), F.size("marks") - 1), free)
+        hits.append(_hits("m", F.concat(*[F.transform(open_, lambda i, n=n: F.struct(i.alias("start"), i.alias("stop"), mark(i, n).alias("gram"))) for n in sizes_m]), lambda g: mark(g["start"], longest_m + 1)))
     for x in sorted({r.key for r in known if r.kind == "m"}):
         hits.append(_hits("m", _places("normalized", rf"(?<![{ALNUM}])(?=\Q{x}\E(?![{ALNUM}]))", x)))
     if "u" in lengths:
@@ -141,13 +156,12 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
         if inline and n_compact <= INLINE_COMPACT:
             hits += [_hits("c", _places("leet", f"(?={x})", x)) for x in sorted({r.key for r in known if r.kind == "c"})]
         else:
-            terms = terms.withColumn("key", F.when(F.col("kind") == "c", F.left("surface", F.lit(SEED))).otherwise(F.col("key")))
-            longest = terms.where("kind = 'c'").agg(F.max(F.length("surface"))).first()[0]
+            terms, sizes_c, longest = _seeded_terms(terms, "c")
             parts["chars"] = F.split("leet", "")
             at = lambda i, n: F.array_join(F.slice("chars", i + 1, n), "")
             seed = lambda n: lambda i: F.struct(i.alias("start"), i.alias("stop"), at(i, n).alias("gram"))
             places = F.sequence(F.lit(0), F.size("chars") - 1)
-            hits.append(_hits("c", F.concat(*[F.transform(places, seed(n)) for n in range(1, SEED + 1)]), lambda g: at(g["start"], longest)))
+            hits.append(_hits("c", F.concat(*[F.transform(places, seed(n)) for n in sizes_c]), lambda g: at(g["start"], longest)))
     if not hits:
         return base.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("term_id", "int"), ("mode", "string"), ("surface", "string"), ("start", "int"), ("stop", "int"))]).limit(0)
     if "leet" in parts and "chars" in parts:
@@ -159,9 +173,10 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     led = (F.col("lead") == "") | (F.endswith("before", F.col("lead")) & ((F.col("start") == 0) | (F.length("before") > F.length("lead"))))
     trailed = (F.col("trail") == "") | (F.startswith("after", F.col("trail")) & (F.col("last") | (F.length("after") > F.length("trail"))))
     phrase = (F.col("mode") != "exact_phrase") | (F.col("kind") == "m") | ((F.col("spelled") == F.col("core")) & led & trailed)
-    seeded = (F.col("kind") != "c") | F.col("spelled").isNull() | F.startswith("spelled", F.col("surface"))
-    stop = F.when((F.col("kind") == "c"), F.col("start") + F.length("surface")).otherwise(F.col("stop"))
-    return j.where(phrase & seeded).select("doc_id", "term_id", "mode", "surface", "start", stop.alias("stop")).distinct()
+    seeded = ~F.col("kind").isin("c", "m") | F.col("spelled").isNull() | F.startswith("spelled", F.col("surface"))
+    ends = (F.col("kind") != "m") | F.col("spelled").isNull() | ~F.substr("spelled", F.length("surface") + 1, F.lit(1)).rlike(f"[{ALNUM}]")
+    stop = F.when(F.col("kind").isin("c", "m"), F.col("start") + F.length("surface")).otherwise(F.col("stop"))
+    return j.where(phrase & seeded & ends).select("doc_id", "term_id", "mode", "surface", "start", stop.alias("stop")).distinct()
 
 
 def term_hits(found: DataFrame) -> DataFrame:
@@ -186,6 +201,16 @@ def evidence(found: DataFrame, lexicon: DataFrame, source_multiplier: str = "1.0
     return known.select("doc_id", "term_id", "rule_id", "category", "severity", "best_mode", "span.start", "span.stop", base[F.col("severity")].alias("base"), (share[F.col("best_mode")] * F.lit(source_multiplier).cast("decimal(3,2)")).alias("multiplier"), "occurrences")
 
 
+def evidence_lists(found: DataFrame, lexicon: DataFrame, source_multiplier: str = "1.00") -> DataFrame:
+    """Per document with evidence: doc_id and evidence, an array of :func:`evidence` in the order in which the terms are first seen.
+
+    Matches are listed by term, mode and place (see :func:`ordered`), so that is the order of terms.
+    """
+    e = evidence(found, lexicon, source_multiplier)
+    own = F.struct(*[c for c in e.columns if c != "doc_id"])  # begins with term_id, one a document
+    return e.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("evidence"))
+
+
 def _broadcast_terms(terms: DataFrame) -> DataFrame:
     return side(terms, BROADCAST_TERMS)
 
@@ -235,6 +260,24 @@ def amplified(found: DataFrame, lexicon: DataFrame, span: int, points: int = 15)
     return m.withColumn("gap", gap).groupBy("doc_id", "category").agg(F.min("gap").alias("gap")).select("doc_id", "category", F.when(F.col("gap") <= span, points).otherwise(0).alias("points"))
 
 
+#: Planned in the reference: points for a matching image, a category that the user calls high-risk, and a risky app or site.
+IMAGE_POINTS, HIGH_RISK_POINTS, CONTEXT_POINTS = 20, 20, 10
+
+
+def amplifiers(found: DataFrame, lexicon: DataFrame, span: int, images: DataFrame, high_risk: DataFrame, risky: DataFrame) -> DataFrame:
+    """Planned in the reference: all context amplifiers of each document and category with a match that isn't compact.
+
+    ``images``: doc_id, category of what a scanner saw beside the text; ``high_risk``: category; ``risky``: doc_id seen in a known
+    risky app or site.  Columns: doc_id, category, repeated, image, configured, context, points (their sum).
+    """
+    flag = lambda df, name: df.distinct().withColumn(name, F.lit(True))
+    own = amplified(found, lexicon, span).withColumnRenamed("points", "repeated")
+    j = own.join(flag(images.select("doc_id", "category"), "seen").hint("merge"), ["doc_id", "category"], "left")
+    j = j.join(side(flag(high_risk.select("category"), "high")), "category", "left").join(flag(risky.select("doc_id"), "risky").hint("merge"), "doc_id", "left")
+    points = {"repeated": F.col("repeated"), "image": F.when(F.col("seen"), IMAGE_POINTS).otherwise(0), "configured": F.when(F.col("high"), HIGH_RISK_POINTS).otherwise(0), "context": F.when(F.col("risky"), CONTEXT_POINTS).otherwise(0)}
+    return j.select("doc_id", "category", *[c.alias(n) for n, c in points.items()], reduce(Column.__add__, points.values()).alias("points"))
+
+
 def worst(items: DataFrame) -> DataFrame:
     """Per item of several scanners' rows (item, action): the worst action, block before warn before allow."""
     rank = F.create_map(F.lit("block"), F.lit(2), F.lit("warn"), F.lit(1), F.lit("allow"), F.lit(0))

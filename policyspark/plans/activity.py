@@ -428,9 +428,8 @@ def invite_states(spark, sf_dir):
 
 
 def undelivered(spark, sf_dir):
-    """The oldest 100 of the queue."""
     e = events(spark, sf_dir).select("event_id", F.col("event_id").alias("created_at"), F.when(F.col("event_type") != "error", F.col("ts")).alias("delivered_at"))
-    return ac.undelivered(e).limit(100).select("event_id")
+    return ac.undelivered(e).select("event_id", "created_at")
 
 
 def gate_outcomes(spark, sf_dir):
@@ -507,7 +506,7 @@ SQL = {
     "unprotected_notices": "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_type = 'error' AND before IS DISTINCT FROM 'error'",
     "request_checks": "SELECT event_id, abs(event_id % 801 - 400) <= 300 AS fresh, event_id % 4 > 0 AS signed FROM events",
     "invite_states": "SELECT event_id, CASE WHEN event_type = 'click' THEN 'accepted' WHEN ts + to_hours((event_id % 100)::INTEGER) < TIMESTAMP '2024-01-16' THEN 'expired' ELSE 'pending' END AS status FROM events",
-    "undelivered": "SELECT event_id FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 100",
+    "undelivered": "SELECT event_id, event_id AS created_at FROM events WHERE event_type = 'error' ORDER BY event_id",
     "gate_outcomes": "SELECT a.event_id AS gate_id, a.user_id, CASE WHEN b.event_id IS NULL THEN 'open' WHEN b.value > 10 THEN 'left' ELSE 'stayed' END AS outcome FROM events a LEFT JOIN events b ON b.event_type = 'click' AND b.event_id = a.event_id + 1 WHERE a.event_type = 'error'",
     "feedback_routes": "SELECT event_id AS item, CASE WHEN user_id % 3 = 0 OR value % 1 BETWEEN 0.35::DOUBLE AND 0.65::DOUBLE THEN 'accept' ELSE 'human' END AS route FROM events WHERE event_type = 'signup'",
     "image_sizes": "WITH s AS (SELECT page_id, page_id % 400 AS w, length(url) * 30 % 1300 AS h FROM pages) SELECT page_id, CASE WHEN w <= 0 OR h <= 0 THEN 'empty' WHEN least(w, h) < 96 THEN 'too_small' WHEN greatest(w, h) > 8 * least(w, h) THEN 'too_elongated' ELSE 'admissible' END AS admissible FROM s",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.fence import fenced
 from ..functions.vectors import difference_hash, linear_head
 from ..operators import evaluation as ev, hashes as hx
 from .tables import table
@@ -80,6 +81,14 @@ def head_scores(spark, sf_dir):
     return e.select("vec_id", F.round(linear_head(F.col("embedding"), _HEAD, (0.1, -0.1)), 5).alias("score"))
 
 
+def head_classes(spark, sf_dir):
+    """Each embedding's class by a softmax head that was trained on the labels of all."""
+    e = table(spark, sf_dir, "embeddings")
+    weights, biases = ev.train_classes(e)
+    p = ev.class_scores(F.col("embedding"), weights, biases)
+    return fenced(e.select("vec_id", "label", "embedding"), p=p).select("vec_id", "label", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("predicted"))
+
+
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     grid = F.transform(F.concat(F.col("embedding"), F.slice("embedding", 1, 8)), lambda x: x.cast("double"))
@@ -118,7 +127,7 @@ _W = ["[" + ", ".join(f"{x!r}" for x in w) + "]" for w in _HEAD]
 QUERIES = {
     "score_summary": score_summary, "threshold_sweep": threshold_sweep, "confusion": confusion, "threshold_profiles": threshold_profiles, "ranking_quality": ranking_quality,
     "operating_points": operating_points, "error_confidence": error_confidence, "deferral_curve": deferral_curve, "guardrail": guardrail, "top_items": top_items,
-    "tile_scores": tile_scores, "federated_mean": federated_mean, "head_scores": head_scores, "difference_hashes": difference_hashes, "nearest_hashes": nearest_hashes, "nearest_vectors": nearest_vectors, "latency_profiles": latency_profiles,
+    "tile_scores": tile_scores, "federated_mean": federated_mean, "head_scores": head_scores, "head_classes": head_classes, "difference_hashes": difference_hashes, "nearest_hashes": nearest_hashes, "nearest_vectors": nearest_vectors, "latency_profiles": latency_profiles,
 }
 SQL = {
     "score_summary": _S + " SELECT corpus, count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_disc(score, 0.9), 6) AS p90, round(quantile_disc(score, 0.95), 6) AS p95, round(quantile_disc(score, 0.99), 6) AS p99, round(min(score), 6) AS least, round(max(score), 6) AS most FROM s GROUP BY corpus",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.domains import host_of_url, looks_like_personal_name
+from ..functions.domains import host_of_url, looks_like_personal_name, normalize_domain
 from ..operators import domains as dm, hosts as hs, liveness as lv
 from ..sources import lists as ls
 from ..sources.state_tables import Published
@@ -132,7 +132,7 @@ def rules(spark: SparkSession) -> DataFrame:
 
 def host_rules(spark, sf_dir):
     h = hosted(spark, sf_dir)
-    return h.select("page_id", "host").join(hs.most_specific(h, rules(spark)), "host", "left").select("page_id", "host", "action")
+    return h.select("page_id", "host").join(hs.most_specific(h, rules(spark)).hint("merge"), "host", "left").select("page_id", "host", "action")
 
 
 _VALUES_RULES = ", ".join(map(str, RULES))
@@ -180,6 +180,15 @@ def stream_host_policy(spark, sf_dir):
 
 STREAM_POLICY_SQL = HOST_POLICY_SQL.replace("SELECT host, CASE WHEN al", "SELECT page_id, j.host, CASE WHEN al").replace("AS decided_by FROM j", "AS decided_by FROM j JOIN hosted p ON j.host IS NOT DISTINCT FROM p.host")
 
+def host_forms(spark, sf_dir):
+    """Hosts spoofed by full-width letters and stops, in capitals and with a root dot, as their keys; umlauts give punycode."""
+    h = hosted(spark, sf_dir).where("host is not null")
+    odd = F.when(F.col("page_id") % 3 == 0, F.translate("host", "abcde.", "ａｂｃｄｅ。")).when(F.col("page_id") % 3 == 1, F.concat(F.upper("host"), F.lit("."))).otherwise(F.concat(F.lit("Bücher."), F.col("host")))
+    return h.select("page_id", normalize_domain(odd).alias("domain"))
+
+
+HOST_FORMS_SQL = f"WITH {_HOSTED_SQL} SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'xn--bcher-kva.' || host ELSE host END AS domain FROM hosted WHERE host IS NOT NULL"
+
 CIDRS = [(1, "10.0.0.0/8", "block"), (2, "10.1.0.0/16", "allow"), (3, "10.1.2.3", "block"), (4, "10.1.2.0/23", "proxy"), (5, "2001:db8::/32", "block"), (6, "10.1.0.0/16", "block"), (7, "10.3.0.0/20", "allow")]
 _IP = "concat('10.', cast(event_id % 5 as {s}), '.', cast(event_id % 29 as {s}), '.', cast(event_id % 7 as {s}))"
 
@@ -269,7 +278,7 @@ cache AS (SELECT coalesce(o.domain, v.domain) AS domain, (CASE WHEN v.verdict IS
 QUERIES = {
     "list_parse_report": parse_report, "list_merge_report": merge_report, "list_merged": merged_list, "list_provenance": provenance_lookup, "list_category_filter": category_filter,
     "list_personal_names": personal_names, "list_corroboration": corroboration_profile, "list_gates": build_gates, "list_review_queue": review_queue,
-    "host_rules": host_rules, "host_list": host_list, "host_policy": host_policy, "stream_host_policy": stream_host_policy, "cidr_policy": cidr_policy, "body_routes": body_routes,
+    "host_rules": host_rules, "host_list": host_list, "host_policy": host_policy, "stream_host_policy": stream_host_policy, "host_forms": host_forms, "cidr_policy": cidr_policy, "body_routes": body_routes,
     "liveness_verdicts": liveness_verdicts, "liveness_cache": liveness_cache, "liveness_pruned": liveness_pruned, "liveness_due": liveness_due, "liveness_negative": negative_outcomes,
 }
 SQL = {
@@ -286,6 +295,7 @@ SQL = {
     "host_list": "WITH " + _MERGE_SQL + " SELECT host, first(domain ORDER BY length(domain) DESC) AS domain FROM (SELECT DISTINCT host FROM hosted) JOIN merged m ON host = domain OR (m.scope = 'apex' AND ends_with(host, '.' || domain)) GROUP BY host",
     "host_policy": HOST_POLICY_SQL,
     "stream_host_policy": STREAM_POLICY_SQL,
+    "host_forms": HOST_FORMS_SQL,
     "cidr_policy": CIDR_SQL,
     "body_routes": BODY_ROUTES_SQL,
     "liveness_verdicts": _LIVE_SQL + " SELECT * FROM live",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.domains import reversed_labels
-from ..operators import domains as dm, hosts as hs, incremental as inc, liveness as lv
+from ..operators import domains as dm, evaluation as ev, hosts as hs, incremental as inc, liveness as lv
 from ..sources import lists as ls
 from ..sources.state_tables import Published
 from . import lists
@@ -170,6 +170,18 @@ def new_list_keys(spark, sf_dir):
 NEW_KEYS_SQL = "WITH " + lists._MERGE_SQL + " SELECT DISTINCT domain FROM done WHERE outcome = 'merged' AND length(domain) % 3 = 1"
 
 
+def corpus_scores(spark, sf_dir):
+    """Pages landed as files of 50, scanned back as a corpus and scored by a caller's function, their size in MB."""
+    root = scratch_dir(spark)
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 50).alias("k"), "html")
+    pages.repartition("k").write.partitionBy("k").text(root)
+    found = ev.score_corpus(ls.binary_corpus(spark, root, (".txt",)), lambda content: F.octet_length(content) / 1e6, "pages")
+    return found.select("corpus", F.regexp_extract("item", "k=([0-9]+)/", 1).cast("long").alias("item"), F.round("score", 6).alias("score"))
+
+
+CORPUS_SQL = "SELECT 'pages' AS corpus, page_id // 50 AS item, round(sum(strlen(html) + 1) / 1e6, 6)::DOUBLE AS score FROM pages GROUP BY 2"
+
+
 def build_report(spark, sf_dir):
     m = lists.merged(spark, sf_dir)
     return dm.build_report(m, m.select(F.octet_length("domain").alias("bytes"))).withColumn("bytes_per_entry", F.round("bytes_per_entry", 6))
@@ -238,7 +250,7 @@ def pruned_after_quarantine(spark, sf_dir):
 
 QUERIES = {
     "category_dirs": category_dirs, "urls_entries": urls_entries, "param_list": param_list, "user_blocklist": user_blocklist, "tamper_log": tamper_log, "segment_kinds": segment_kinds, "admissions": admissions,
-    "collapsed_snapshots": collapsed_snapshots, "output_license": output_license, "published_build": published_build, "stored_liveness": stored_liveness, "stored_liveness_due": stored_liveness_due, "incremental_merge": incremental_merge, "new_list_keys": new_list_keys, "build_report": build_report, "size_gate": size_gate, "folded_overlay": folded_overlay,
+    "collapsed_snapshots": collapsed_snapshots, "output_license": output_license, "published_build": published_build, "corpus_scores": corpus_scores, "stored_liveness": stored_liveness, "stored_liveness_due": stored_liveness_due, "incremental_merge": incremental_merge, "new_list_keys": new_list_keys, "build_report": build_report, "size_gate": size_gate, "folded_overlay": folded_overlay,
     "flow_actions": flow_actions, "canary": canary, "dead_list": dead_list, "pruned_at_once": pruned_at_once, "pruned_after_quarantine": pruned_after_quarantine,
 }
 SQL = {
@@ -251,7 +263,7 @@ SQL = {
     "admissions": ADMISSIONS_SQL,
     "collapsed_snapshots": COLLAPSED_SQL,
     "output_license": "SELECT 'MIT' AS output_license",
-    "stored_liveness": lists._CACHE_SQL + " SELECT * FROM cache", "stored_liveness_due": STORED_DUE_SQL, "incremental_merge": INCREMENTAL_SQL, "new_list_keys": NEW_KEYS_SQL,
+    "corpus_scores": CORPUS_SQL, "stored_liveness": lists._CACHE_SQL + " SELECT * FROM cache", "stored_liveness_due": STORED_DUE_SQL, "incremental_merge": INCREMENTAL_SQL, "new_list_keys": NEW_KEYS_SQL,
     "published_build": "WITH " + lists._MERGE_SQL + " SELECT domain, scope, array_to_string(list_reverse(string_split(domain, '.')), '.') AS key, true AS refused FROM merged",
     "build_report": "WITH " + lists._MERGE_SQL + " SELECT count(*) AS entry_count, count(DISTINCT (sources, categories, scope)) AS combinations, sum(strlen(domain))::BIGINT AS bytes, round(sum(strlen(domain)) / count(*), 6) AS bytes_per_entry FROM merged",
     "size_gate": "WITH " + lists._MERGE_SQL + " SELECT 'size' AS gate, sum(strlen(domain)) <= l AS passed, sum(strlen(domain))::DOUBLE AS measured FROM merged, (VALUES (100), (1073741824)) v(l) GROUP BY l",

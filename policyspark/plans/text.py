@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
 from ..operators import text_policy as tp
-from .tables import table
+from .tables import stored, table
 
 #: Terms that the test documents hold: id, phrase, category, severity, modes, dictionary, other surfaces.
 LEXICON = [
@@ -194,5 +194,84 @@ c AS (SELECT conv_id, CASE WHEN length(t) <= 4000 THEN t WHEN substr(t, 4001, 1)
 SELECT conv_id, length(t)::BIGINT AS n, md5(t) AS digest FROM c
 """
 
-QUERIES = {"text_model_verdicts": text_model_verdicts, "text_custom_views": text_custom_views, "text_evidence": text_evidence, "text_amplified": text_amplified, "lexicon_problems": lexicon_problems, "text_verdicts": text_verdicts, "text_term_hits": text_term_hits, "text_actions": text_actions, "text_views": text_views, "url_term_hits": url_term_hits, "turn_similarity": turn_similarity, "assembled_conversations": assembled_conversations}
-SQL = {"text_model_verdicts": MODEL_SQL, "text_custom_views": CUSTOM_SQL, "text_evidence": EVIDENCE_SQL, "text_amplified": AMPLIFIED_SQL, "lexicon_problems": LEXICON_PROBLEMS_SQL, "text_verdicts": VERDICTS_SQL, "text_term_hits": HITS_SQL, "text_actions": ACTIONS_SQL, "text_views": VIEWS_SQL, "url_term_hits": URL_HITS_SQL, "turn_similarity": TURN_SIMILARITY_SQL, "assembled_conversations": ASSEMBLED_SQL}
+def text_evidence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's evidence as one list, in the order in which its terms are first seen."""
+    lexicon = tp.lexicon_table(spark, LEXICON)
+    e = tp.evidence_lists(tp.matches(table(spark, sf_dir, "documents"), lexicon), lexicon)
+    one = lambda x: F.concat_ws("|", x["rule_id"], x["best_mode"], x["start"].cast("string"), x["occurrences"].cast("string"))
+    return e.select("doc_id", F.array_join(F.transform("evidence", one), ";").alias("evidence"))
+
+
+EVIDENCE_LISTS_SQL = _HITS + """
+SELECT doc_id, string_agg(concat_ws('|', rule_id, best_mode, span[1], occurrences), ';' ORDER BY term_id) AS evidence
+FROM hits JOIN (SELECT DISTINCT term_id, rule_id, category FROM lex) l USING (term_id) WHERE category NOT LIKE '%_exception' GROUP BY doc_id"""
+
+
+def ordered_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches in order, with each one's place in its document's list."""
+    found = tp.ordered(tp.matches(table(spark, sf_dir, "documents"), tp.lexicon_table(spark, LEXICON)), 8)
+    at = F.array_position(F.array(*[F.lit(m) for m in tp.MODES]), F.col("mode"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("term_id", at, "start", "stop", "surface"))
+    return found.select("doc_id", "term_id", "mode", "start", "stop", place.alias("place"))
+
+
+ORDERED_SQL = _HITS + """, every AS (
+  SELECT DISTINCT doc_id, seq.term_id, seq.mode, start::INTEGER AS start, stop::INTEGER AS stop FROM seq
+  UNION ALL SELECT doc_id, term_id, mode, (i - 1)::INTEGER, (i - 1 + length(phrase))::INTEGER FROM (SELECT doc_id, c, term_id, mode, phrase, unnest(range(1, length(c) + 1)) AS i FROM tok JOIN lexn ON (lang = 'en') = en WHERE mode = 'compact' AND contains(c, phrase)) WHERE substr(c, i, length(phrase)) = phrase
+) SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY term_id, CASE mode WHEN 'exact_phrase' THEN 1 WHEN 'token_sequence' THEN 2 ELSE 3 END, start, stop)::INTEGER AS place FROM every"""
+
+
+def text_amplifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All context amplifiers; images, high-risk categories and risky contexts are derived from the documents' numbers."""
+    lexicon, d = tp.lexicon_table(spark, LEXICON), table(spark, sf_dir, "documents")
+    images = d.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "insult").otherwise("prose").alias("category"))
+    high = spark.createDataFrame([("mockery",), ("insult",)], "category string")
+    return tp.amplifiers(tp.matches(d, lexicon), lexicon, 4, images, high, d.where("doc_id % 5 = 0").select("doc_id"))
+
+
+AMPLIFIERS_SQL = _HITS + """, m AS (SELECT DISTINCT doc_id, category, start FROM seq), g AS (SELECT doc_id, category, start - lag(start) OVER (PARTITION BY doc_id, category ORDER BY start) AS gap FROM m),
+a AS (SELECT doc_id, category, CASE WHEN min(gap) <= 4 THEN 15 ELSE 0 END AS repeated, CASE WHEN doc_id % 3 = 0 AND category = CASE WHEN doc_id % 2 = 0 THEN 'insult' ELSE 'prose' END THEN 20 ELSE 0 END AS image,
+  CASE WHEN category IN ('mockery', 'insult') THEN 20 ELSE 0 END AS configured, CASE WHEN doc_id % 5 = 0 THEN 10 ELSE 0 END AS context FROM g GROUP BY doc_id, category)
+SELECT *, repeated + image + configured + context AS points FROM a"""
+
+
+def text_large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that each document has of a lexicon of the first two words of every document: one that is looked up by joins."""
+    d = table(spark, sf_dir, "documents")
+    w = fx.separator_tokens(F.col("text"))
+    phrases = d.select(F.concat_ws(" ", F.get(w, 0), F.get(w, 1)).alias("phrase")).where(F.col("phrase").contains(" ")).distinct()
+    lexicon = phrases.select(F.xxhash64("phrase").alias("term_id"), F.lit("made").alias("dictionary"), "phrase", F.lit("c").alias("category"), F.lit("low").alias("severity"), F.array(F.lit("token_sequence"), F.lit("compact")).alias("modes"), F.lit(None).cast("array<string>").alias("surfaces"))
+    found = tp.matches(d, stored(lexicon))
+    return found.groupBy("doc_id", "mode").agg(F.countDistinct("term_id").alias("terms"))
+
+
+LARGE_LEXICON_SQL = rf"""
+WITH term AS (
+  SELECT DISTINCT w[1] || ' ' || w[2] AS phrase FROM (SELECT regexp_extract_all(text, '{_W}+') AS w FROM documents) WHERE len(w) > 1
+), form AS (
+  SELECT phrase, en, CASE WHEN en THEN lower(phrase) ELSE phrase END AS p FROM term, (VALUES (true), (false)) v(en)
+), key AS (
+  SELECT *, string_split(p, ' ') AS ws, CASE WHEN en THEN translate(replace(p, ' ', ''), '013457', 'oieast') ELSE replace(p, ' ', '') END AS k FROM form
+), doc AS (
+  SELECT doc_id, lang = 'en' AS en, CASE WHEN lang = 'en' THEN lower(b) ELSE b END AS t FROM (SELECT doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS b FROM documents)
+), tok AS (
+  SELECT doc_id, en, regexp_extract_all(t, '{_W}+') AS w, CASE WHEN en THEN translate(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g'), '013457', 'oieast') ELSE regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g') END AS c FROM doc
+), pair AS (
+  SELECT DISTINCT doc_id, en, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, en, w, unnest(range(1, len(w))) AS i FROM tok)
+)
+SELECT doc_id, 'token_sequence' AS mode, count(DISTINCT phrase) AS terms FROM pair JOIN key ON pair.en = key.en AND a = ws[1] AND b = ws[2] GROUP BY doc_id
+UNION ALL SELECT doc_id, 'compact', count(DISTINCT phrase) FROM tok JOIN key ON tok.en = key.en AND contains(c, k) GROUP BY doc_id"""
+
+
+def nfkc_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with letters replaced by full-width ones and ligatures, brought to one form again."""
+    spoofed = F.replace(F.translate("text", "aeo", "ａｅｏ"), F.lit("fi"), F.lit("ﬁ"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", spoofed.alias("spoofed"))
+    return d.select("doc_id", F.md5(fx.nfkc(F.col("spoofed"))).alias("form"), (F.col("spoofed") != F.col("text")).alias("spoofed"))
+
+
+NFKC_SQL = "SELECT doc_id, md5(text) AS form, contains(text, 'a') OR contains(text, 'e') OR contains(text, 'o') OR contains(text, 'fi') AS spoofed FROM documents"
+
+
+QUERIES = {"text_evidence_lists": text_evidence_lists, "ordered_matches": ordered_matches, "text_amplifiers": text_amplifiers, "text_large_lexicon": text_large_lexicon, "nfkc_forms": nfkc_forms, "text_model_verdicts": text_model_verdicts, "text_custom_views": text_custom_views, "text_evidence": text_evidence, "text_amplified": text_amplified, "lexicon_problems": lexicon_problems, "text_verdicts": text_verdicts, "text_term_hits": text_term_hits, "text_actions": text_actions, "text_views": text_views, "url_term_hits": url_term_hits, "turn_similarity": turn_similarity, "assembled_conversations": assembled_conversations}
+SQL = {"text_evidence_lists": EVIDENCE_LISTS_SQL, "ordered_matches": ORDERED_SQL, "text_amplifiers": AMPLIFIERS_SQL, "text_large_lexicon": LARGE_LEXICON_SQL, "nfkc_forms": NFKC_SQL, "text_model_verdicts": MODEL_SQL, "text_custom_views": CUSTOM_SQL, "text_evidence": EVIDENCE_SQL, "text_amplified": AMPLIFIED_SQL, "lexicon_problems": LEXICON_PROBLEMS_SQL, "text_verdicts": VERDICTS_SQL, "text_term_hits": HITS_SQL, "text_actions": ACTIONS_SQL, "text_views": VIEWS_SQL, "url_term_hits": URL_HITS_SQL, "turn_similarity": TURN_SIMILARITY_SQL, "assembled_conversations": ASSEMBLED_SQL}
