@@ -144,7 +144,8 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
         mark = lambda i, n: F.array_join(F.slice("marks", i + 1, n), "")
         free = lambda i: ~F.get("marks", i).rlike(f"[{ALNUM}]") & ((i == 0) | ~F.get("marks", i - 1).rlike(f"[{ALNUM}]"))
         open_ = F.filter(F.sequence(F.lit(0), F.size("marks") - 1), free)
-        hits.append(_hits("m", F.concat(*[F.transform(open_, lambda i, n=n: F.struct(i.alias("start"), i.alias("stop"), mark(i, n).alias("gram"))) for n in sizes_m]), lambda g: mark(g["start"], longest_m + 1)))
+        begun = lambda n: lambda i: F.struct(i.alias("start"), i.alias("stop"), mark(i, n).alias("gram"))
+        hits.append(_hits("m", F.concat(*[F.transform(open_, begun(n)) for n in sizes_m]), lambda g: mark(g["start"], longest_m + 1)))
     for x in sorted({r.key for r in known if r.kind == "m"}):
         hits.append(_hits("m", _places("normalized", rf"(?<![{ALNUM}])(?=\Q{x}\E(?![{ALNUM}]))", x)))
     if "u" in lengths:

@@ -120,7 +120,7 @@ def test_cooldown_gate(spark, table_dir):
     assert [got["d", i] for i in range(8)] == ["armed", "pending", "pending", "ready", "disarmed", "disarmed", "armed", "pending"]
     assert got["e", 1] == "armed"
     e = plans.events(spark, table_dir)
-    kind = lambda f: f.withColumn("event", F.when(F.col("event") == "error", "request").when(F.col("event") == "view", "disarm").otherwise("tick")).withColumn("at_ms", F.coalesce(F.col("seq"), F.lit(10**7)) * 60_000)
+    kind = lambda f: f.withColumn("event", F.when(F.col("event") == "error", "request").when(F.col("event") == "view", "disarm").otherwise("tick")).withColumn("at_ms", F.when(F.col("seq") < 0, 10**7).otherwise(F.col("seq")) * 60_000)
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(plans._streamed(spark, table_dir, lambda s: sg.gated_stream(kind(plans._frames(s)), sg.COOLDOWN_GATE), True)) == rows(sg.gated_batch(kind(plans._frames(e)), sg.COOLDOWN_GATE))
 
@@ -132,3 +132,17 @@ def test_guard_status(spark):
     assert [r.seq for r in ac.unprotected_notices(df, ["seq"]).orderBy("seq").collect()] == [1, 6]
     kept, dropped = ac.trimmed(df, "device", [F.desc("seq")], 5)
     assert sorted(r.seq for r in kept.collect()) == [2, 3, 4, 5, 6] and dropped.first().dropped == 2
+
+
+def test_rate_limits_by_slices_and_whole_queues(spark):
+    times = [0, 1, 1, 9, 10, 11, 19, 20, 35, 1000]
+    df = spark.createDataFrame([(k, i, t) for k in ("a", None) for i, t in enumerate(times)], "k string, i int, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = {(r.k, r.i): (r.in_window, r.limited) for r in ac.rate_limited(df, "k", 10, 3).collect()}
+    for k, i in got:
+        n = sum(times[i] - 9 <= t <= times[i] for t in times)
+        assert got[k, i] == (n, n > 3)
+    queue = spark.createDataFrame([(i, 250 - i, None if i % 3 else 1) for i in range(250)], "i int, created_at int, delivered_at int")
+    assert [r.i for r in ac.undelivered(queue).collect()] == [i for i in range(249, -1, -1) if i % 3]
+    for key in (b"k", b"k" * 64, b"k" * 100):
+        ok = spark.createDataFrame([("body é", hmac.new(key, "body é".encode(), hashlib.sha256).hexdigest())], "b string, s string").select(ac.signed(F.col("b"), F.col("s"), key).alias("ok"))
+        assert ok.first().ok

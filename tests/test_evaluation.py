@@ -92,3 +92,20 @@ def test_head_training_and_corpus_scores(spark):
     assert w[0] > 2 and b < 0
     files = spark.createDataFrame([("p1", bytearray(b"abc"))], "path string, content binary")
     assert tuple(ev.score_corpus(files, lambda c: F.octet_length(c) / 10, "benign").first()) == ("benign", "p1", 0.3)
+
+
+def test_a_head_of_three_classes(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    middles = [(0, 0, 3), (3, 0, 0), (0, 3, 0)]
+    rows = [([m + rng.gauss(0, 0.5) for m in middles[i % 3]], i % 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "embedding array<double>, label int")
+    weights, biases = ev.train_classes(df)
+    got = df.select("embedding", "label", ev.class_scores(F.col("embedding"), weights, biases).alias("p")).collect()
+    for r in got:
+        z = [sum(a * b for a, b in zip(r.embedding, w)) + c for w, c in zip(weights, biases)]
+        e = [math.exp(x - max(z)) for x in z]
+        assert all(abs(a - b / sum(e)) < 1e-9 for a, b in zip(r.p, e))
+    assert sum(r.p.index(max(r.p)) == r.label for r in got) == 150

@@ -119,7 +119,7 @@ def test_matches_equal_plain_ones(spark, monkeypatch, inline):
     monkeypatch.setattr(tp, "BROADCAST_TERMS", inline)
     rng = random.Random(2)
     lex = [(1, "ab", "x", "low", ALL, "d", ["b a", "A-b"]), (2, "aa", "x", "low", ALL), (3, "a b a b", "x", "low", ALL), (4, "#a", "x", "low", ["exact_phrase"]), (5, "Ab4", "x", "low", ["compact", "token_sequence"]), (6, "abaab", "x", "low", ["compact"]), (7, "é", "x", "low", ALL)]
-    lex += [(8, "+-", "x", "low", ["exact_phrase"])] if inline else []
+    lex += [(8, "+-", "x", "low", ["exact_phrase"]), (9, "#", "x", "low", ["exact_phrase"]), (10, "- # +- ,", "x", "low", ["exact_phrase"], "d", ["+-+-+-", ","])]
     texts = ["".join(rng.choice(["a", "b", "A", " ", " ", "#", "-", "4", "+-", "é", ", "]) for _ in range(rng.randint(0, 30))) for _ in range(150)]
     docs = [(i, t, rng.choice(["en", "de", None])) for i, t in enumerate(texts)] + [(900, None, "en")]
     got = {(r.doc_id, r.term_id, r["mode"], r.surface, r.start, r.stop) for r in tp.matches(spark.createDataFrame(docs, TEXTS), tp.lexicon_table(spark, lex)).collect()}
@@ -163,3 +163,31 @@ def test_amplifier(spark):
     docs = spark.createDataFrame([(1, "bad or sad", "en"), (2, "bad " + "w " * 30 + "sad", "en"), (3, "bad", "en")], TEXTS)
     got = {r.doc_id: r.points for r in tp.amplified(tp.matches(docs, lex), lex, 5).collect()}
     assert got == {1: 15, 2: 0, 3: 0}
+
+
+def test_all_amplifiers(spark):
+    lex = tp.lexicon_table(spark, [(1, "bad", "x", "low", ["token_sequence"]), (2, "sad", "y", "low", ["token_sequence"])])
+    docs = spark.createDataFrame([(1, "bad bad sad", "en"), (2, "bad", "en"), (3, "none", "en")], TEXTS)
+    images = spark.createDataFrame([(1, "y"), (1, "y"), (2, "y"), (None, "x")], "doc_id long, category string")
+    out = tp.amplifiers(tp.matches(docs, lex), lex, 5, images, spark.createDataFrame([("x",)], "category string"), spark.createDataFrame([(1,), (1,), (9,)], "doc_id long"))
+    assert {(r.doc_id, r.category): tuple(r)[2:] for r in out.collect()} == {(1, "x"): (15, 0, 20, 10, 45), (1, "y"): (0, 20, 0, 10, 30), (2, "x"): (0, 0, 20, 0, 20)}
+
+
+def test_evidence_lists_are_in_order(spark):
+    lex = tp.lexicon_table(spark, [(5, "bad", "x", "low", ["token_sequence"]), (2, "sad", "y", "low", ["token_sequence"]), (3, "doctor", "medical_exception", "low", ALL)])
+    docs = spark.createDataFrame([(1, "bad doctor sad bad", "en"), (2, "doctor", "en"), (3, "sad", "en")], TEXTS)
+    got = {r.doc_id: [(e.term_id, e.start, e.occurrences) for e in r.evidence] for r in tp.evidence_lists(tp.matches(docs, lex), lex).collect()}
+    assert got == {1: [(2, 2, 1), (5, 0, 2)], 3: [(2, 0, 1)]}
+
+
+def test_nfkc_leaves_stable_characters_to_the_jvm(spark):
+    import re
+    import unicodedata
+
+    stable = re.compile(f"[{fx.NFKC_STABLE}]")
+    second = {int(d.split()[1], 16) for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
+    for c in filter(lambda c: stable.match(chr(c)), range(0x110000)):
+        assert unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and c not in second and not 0x1160 <= c <= 0x11FF
+    texts = ["plain", "Grün, «été» – naïve…", "ﬁn ｆｕｌｌ", "e\u0301", "\u1112\u1161\u11ab", None, "Ω Å ½ ① İ ß", "中文和\u3000空"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fx.nfkc(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
