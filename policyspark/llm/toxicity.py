@@ -1,7 +1,6 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document's features are the hashes of its words, of their first PREFIXES bytes (stems of inflected and made-up words),
-of neighbouring pairs and of pairs with one word between, each counted once.  FTRL-proximal keeps a learning rate for each
+A document's features are the hashes of its words, of neighbouring pairs and of pairs with one word between, each counted once.  FTRL-proximal keeps a learning rate for each
 coordinate and an L1 penalty that leaves almost all weights at zero, so a model is some thousand (hash, weight) pairs,
 which are broadcast; a document is scored by looking its features up.
 
@@ -25,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ._sample import sampled_texts
-from ._words import ALNUM, GRAM_MULT, hash_parts, mix, pieces, row_of
+from ._words import ALNUM, GRAM_MULT, hash_words, mix, pieces, row_of
 
 #: Labelled documents that are learnt from at most, passes over them, and least documents of a feature.
-SAMPLE, EPOCHS, LEAST_DOCS = 8_000, 5, 3
-PREFIXES = (5, 6, 8)
+SAMPLE, EPOCHS, LEAST_DOCS = 16_000, 5, 3
 #: FTRL-proximal: rate, its smoothing, L1 and L2 penalties.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.0
 #: Score from which a document is predicted toxic.
 MARK = 0.7
 #: Weights of a model at most, 16 bytes each; L1 leaves far fewer, and more are an error.
@@ -41,12 +39,9 @@ BIAS = 0
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, 63-bit feature) of every feature occurrence of a string column."""
-    words, splits, heads = hash_parts(column, ALNUM, PREFIXES)
+    words, splits = hash_words(column, ALNUM)
     row = row_of(splits)
     rows, found = [row], [words]
-    for p, (at, h) in zip(PREFIXES, heads, strict=True):
-        rows.append(row[at])
-        found.append(mix(h + np.uint64(p)))
     for gap, salt in ((1, 0x51ED), (2, 0xA3C5)):
         if len(words) > gap:
             same = row[gap:] == row[:-gap]
