@@ -3,7 +3,8 @@
 Each of LABELLERS votes good, bad or nothing on a document.  Only how many documents have each pattern of votes matters to
 the label model, at most 3**8 counts whatever the size of the corpus: expectation-maximisation on them estimates each
 labeller's vote rates among good documents and among each kind of bad ones, and for each pattern the probability of a good
-document.  A prior that counts as PRIOR of all documents holds the classes to their meaning where one is nearly absent.
+document.  A prior that counts as PRIOR documents, however many there are, holds the classes to their meaning where one is nearly
+absent; a large corpus outweighs it.
 
 These posterior labels, weighted by their certainty, train a linear scorer over hashed features by FTRL-proximal: words,
 pairs of neighbouring words, shares of word shapes and binned measurements.  It learns from a bounded sample of SAMPLE
@@ -28,8 +29,8 @@ from ._store import stored
 from ._words import NOT_BLANK, bounded_words, bytes_of, grams, mix, pieces, row_of
 from .toxicity import BIAS, Model, ftrl, sigmoid
 
-#: Documents that the scorer learns from at most, EM rounds, weight of the prior as a share of all documents.
-SAMPLE, ROUNDS, PRIOR = 8_000, 60, 0.05
+#: Documents that the scorer learns from at most, EM rounds, weight of the prior in documents.
+SAMPLE, ROUNDS, PRIOR = 8_000, 60, 2_500
 #: Documents that score lower are rejected.
 MARK = 0.4
 BAD, GOOD, NOTHING = 0, 1, 2
@@ -138,7 +139,7 @@ def label_model(patterns: dict[int, int]) -> dict[int, float]:
     # class 0 is the good documents; expected rates of bad, good and no votes in each class, and of the classes
     expected = np.array([[[0.003, 0.9, 0.097]] * len(LABELLERS)] + [[[0.7, 0.2, 0.1] if name in kind else [0.1, 0.8, 0.1] for name in MEASURES] for kind in KINDS])
     share = expected_share = np.array([0.9] + [0.1 / len(KINDS)] * len(KINDS))
-    rate, weight = expected, PRIOR * count.sum() + 1
+    rate, weight = expected, PRIOR
     for _ in range(ROUNDS):
         log = np.log(share) + np.einsum("plv,clv->pc", one_hot, np.log(rate))
         p = np.exp(log - log.max(axis=1, keepdims=True))

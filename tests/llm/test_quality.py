@@ -102,7 +102,7 @@ def test_odd_rows(spark):
 
 def test_label_model_learns_rates():
     all_good, bad = qc.pattern(qc.votes(qc.measure(__import__("pyarrow").array(["plain words here and more of them to be read by all of us today", "AB!! CD## " * 30]))[0])).tolist()
-    model = qc.label_model({all_good: 900, bad: 100})
+    model = qc.label_model({all_good: 9000, bad: 1000})
     assert model[all_good] > 0.95 and model[bad] < 0.2
     assert qc.label_model({}) == {}
 
@@ -115,7 +115,7 @@ def plain_em(patterns):
     prior_rate = [[(0.003, 0.9, 0.097) if k is None else (0.7, 0.2, 0.1) if n in k else (0.1, 0.8, 0.1) for n in names] for k in kinds]
     prior_share = [0.9] + [0.1 / len(qc.KINDS)] * len(qc.KINDS)
     total = sum(patterns.values())
-    pull = qc.PRIOR * total + 1
+    pull = qc.PRIOR
     rate, share = prior_rate, prior_share
     for _ in range(qc.ROUNDS):
         post = {}
@@ -142,6 +142,29 @@ def test_label_model_equals_a_plain_one():
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in got)
 
 
+def test_em_recovers_rates_that_differ_from_the_prior(monkeypatch):
+    """Labellers that are right less often than the prior has it: with enough documents, posteriors are those of the planted rates."""
+    import itertools
+    import math
+
+    names, kinds = qc.MEASURES, [None, *qc.KINDS]
+    share = [0.7, 0.12, 0.08, 0.1]
+    rate = [[(0.06, 0.6, 0.34) if k is None else (0.45, 0.15, 0.4) if n in k else (0.05, 0.75, 0.2) for n in names] for k in kinds]
+    true, counts = {}, {}
+    for v in itertools.product(range(3), repeat=len(names)):
+        like = [share[c] * math.prod(rate[c][j][v[j]] for j in range(len(names))) for c in range(len(kinds))]
+        code = sum(x * 3**j for j, x in enumerate(v))
+        true[code] = like[0] / sum(like)
+        if n := round(sum(like) * 5_000_000):
+            counts[code] = n
+    monkeypatch.setattr(qc, "ROUNDS", 300)
+    off = lambda counts: sum(n * abs(qc.label_model(counts)[p] - true[p]) for p, n in counts.items()) / sum(counts.values())
+    few = {p: n // 20_000 for p, n in counts.items() if n >= 20_000}
+    got = qc.label_model(counts)
+    assert sum(n * abs(got[p] - true[p]) for p, n in counts.items()) / sum(counts.values()) < 0.01
+    assert off(few) > 0.05  # a few hundred documents don't outweigh it
+
+
 def test_measures_equal_plain_ones():
     import re
 
