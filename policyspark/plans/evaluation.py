@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.fence import fenced
 from ..functions.vectors import difference_hash, linear_head
-from ..operators import evaluation as ev, hashes as hx
+from ..operators import evaluation as ev, hashes as hx, neighbours as nb
 from .tables import table
 
 _SCORES = "SELECT event_id, event_type AS corpus, cast(least(1.0, value / 100) as double) AS score, CASE WHEN value * (1 + event_id % 3) > 40 THEN 1 ELSE 0 END AS label FROM {e}"
@@ -116,6 +116,23 @@ def nearest_vectors(spark, sf_dir):
     return hx.nearest_vectors(e.where("id % 100 = 0"), e, 5)
 
 
+def indexed_neighbours(spark, sf_dir):
+    """nearest_vectors by an index with exact bounds."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nb.nearest(e.where("id % 100 = 0"), nb.fit(e), 5)
+
+
+def neighbour_labels(spark, sf_dir):
+    """Labels by the votes of neighbours, asked by three users of whom two have labels of their own."""
+    e = table(spark, sf_dir, "embeddings")
+    vectors = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = nb.nearest(vectors.where("id % 100 = 0"), nb.fit(vectors), 5)
+    labels = e.where("vec_id % 7 > 0").select(F.col("vec_id").alias("id"), "label")
+    own = e.where("vec_id % 3 < 2").select((F.col("vec_id") % 3).alias("user_id"), F.col("vec_id").alias("id"), F.lit(1).alias("label"))
+    askers = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("user_id"))
+    return nb.voted(found, labels, own, askers)
+
+
 _HASH_SQL = """g AS (SELECT vec_id, label, list_concat(embedding, embedding[1:8])::DOUBLE[] AS v FROM embeddings),
 bit AS (SELECT vec_id, label, i, v[(i // 8) * 9 + i % 8 + 1] > v[(i // 8) * 9 + i % 8 + 2] AS b FROM g, range(0, 64) r(i)),
 h AS (SELECT vec_id, any_value(label) AS label, string_agg(CASE WHEN b THEN '1' ELSE '0' END, '' ORDER BY i) AS bits,
@@ -124,10 +141,15 @@ _BY = _S + ", b AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM
 _CONF = "count(*) FILTER (score >= {t} AND label = 1) AS tp, count(*) FILTER (score >= {t} AND label = 0) AS fp, count(*) FILTER (score < {t} AND label = 0) AS tn, count(*) FILTER (score < {t} AND label = 1) AS fn"
 _W = ["[" + ", ".join(f"{x!r}" for x in w) + "]" for w in _HEAD]
 
+_NEIGHBOURS = "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings), p AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbour_id, round(list_dot_product(q.v, b.v) / (q.l * b.l), 6) AS similarity FROM n q JOIN n b ON q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbour_id)::INTEGER AS rank FROM p)"
+_VOTED_SQL = """, v AS (SELECT query_id, u.user_id, CASE WHEN neighbour_id % 3 = u.user_id AND u.user_id < 2 THEN 1 WHEN neighbour_id % 7 > 0 THEN e.label END AS label FROM r JOIN embeddings e ON e.vec_id = neighbour_id, (VALUES (0), (1), (2)) u(user_id) WHERE rank <= 5),
+c AS (SELECT query_id, user_id, label, count(*) AS votes FROM v WHERE label IS NOT NULL GROUP BY ALL)
+SELECT query_id, user_id::BIGINT AS user_id, first(label ORDER BY votes DESC, label) AS label, max(votes) AS votes FROM c GROUP BY ALL"""
+
 QUERIES = {
     "score_summary": score_summary, "threshold_sweep": threshold_sweep, "confusion": confusion, "threshold_profiles": threshold_profiles, "ranking_quality": ranking_quality,
     "operating_points": operating_points, "error_confidence": error_confidence, "deferral_curve": deferral_curve, "guardrail": guardrail, "top_items": top_items,
-    "tile_scores": tile_scores, "federated_mean": federated_mean, "head_scores": head_scores, "head_classes": head_classes, "difference_hashes": difference_hashes, "nearest_hashes": nearest_hashes, "nearest_vectors": nearest_vectors, "latency_profiles": latency_profiles,
+    "tile_scores": tile_scores, "federated_mean": federated_mean, "head_scores": head_scores, "head_classes": head_classes, "difference_hashes": difference_hashes, "nearest_hashes": nearest_hashes, "nearest_vectors": nearest_vectors, "indexed_neighbours": indexed_neighbours, "neighbour_labels": neighbour_labels, "latency_profiles": latency_profiles,
 }
 SQL = {
     "score_summary": _S + " SELECT corpus, count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_disc(score, 0.9), 6) AS p90, round(quantile_disc(score, 0.95), 6) AS p95, round(quantile_disc(score, 0.99), 6) AS p99, round(min(score), 6) AS least, round(max(score), 6) AS most FROM s GROUP BY corpus",
@@ -146,5 +168,7 @@ SQL = {
     "difference_hashes": f"WITH {_HASH_SQL} SELECT vec_id, hash FROM h",
     "nearest_hashes": f"WITH {_HASH_SQL}, q AS (SELECT vec_id AS id, xor(hash, (vec_id * 40503) & 32639) AS hash FROM h WHERE vec_id % 100 = 0), j AS (SELECT q.id, b.label::VARCHAR AS label, bit_count(xor(q.hash, b.hash))::INTEGER AS distance FROM q JOIN h b ON bit_count(xor(q.hash, b.hash)) <= 10), m AS (SELECT id, first(label ORDER BY distance, label) AS label, min(distance) AS distance FROM j GROUP BY id) SELECT q.id, m.label, distance FROM q LEFT JOIN m USING (id)",
     "latency_profiles": _S + ", m AS (SELECT corpus, trunc(score * 1000)::INTEGER AS millis FROM s) SELECT corpus, quantile_disc(millis, 0.5) AS p50, quantile_disc(millis, 0.95) AS p95 FROM m GROUP BY corpus",
-    "nearest_vectors": "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings), p AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbour_id, round(list_dot_product(q.v, b.v) / (q.l * b.l), 6) AS similarity FROM n q JOIN n b ON q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbour_id)::INTEGER AS rank FROM p) SELECT * FROM r WHERE rank <= 5",
+    "indexed_neighbours": _NEIGHBOURS + " SELECT * FROM r WHERE rank <= 5",
+    "neighbour_labels": _NEIGHBOURS + _VOTED_SQL,
+    "nearest_vectors": _NEIGHBOURS + " SELECT * FROM r WHERE rank <= 5",
 }
