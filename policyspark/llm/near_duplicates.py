@@ -17,6 +17,8 @@ largest component they touch (or by bucket), dealt to blocks of BLOCK, and each
 which emits a spanning forest of its links and no pairs.  So every pair of a bucket has been compared or joined, and a
 group of copies costs about one comparison a copy.
 
+Identifiers are whole numbers, as those of components are, or cast to them; an id that doesn't is an error.
+
 Defined results: documents without words have an empty set, a component of their own and are kept; ``doc_id`` names a
 document, so rows of one ``doc_id`` are in one component; a row with a null ``doc_id`` is linked with nothing, has a null
 component and is kept; repeated rows get repeated results; other columns are ignored.

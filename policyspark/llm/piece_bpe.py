@@ -14,7 +14,8 @@ longest doubled piece of blanks again and again; only its last RUN marks or so d
 
 Defined results: null text is the empty text, whose ids are the begin and end ids alone.  Characters outside the
 vocabulary become their UTF-8 byte pieces.  Texts of any length are encoded whole; repeated rows give repeated results;
-an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
+an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.  ``doc_id`` is a whole number or
+what casts to one; an id that doesn't is an error.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ that the writer's commit protocol covers lost executors and any store Spark can
 ``concatenated`` bytes of the rows in (part, seq) order are a valid file as they stand.
 
 Defined results: null text is the empty text (only the end id); an empty table gives an empty result; rows of equal
-``doc_id`` follow each other in text order; a null ``doc_id`` comes first.  Other columns are ignored.
+``doc_id`` follow each other in text order; a null ``doc_id`` comes first.  ``doc_id`` is a whole number (the files hold it as 64
+bits) or what casts to one; an id that doesn't is an error.  Other columns are ignored.
 """
 
 from __future__ import annotations
