@@ -28,7 +28,7 @@ def nfkc(text: Column) -> Column:
 
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    beyond = text.rlike(f"[^{NFKC_STABLE}]")
+    beyond = text.rlike(r"[^\x00-\x7F]") & text.rlike(f"[^{NFKC_STABLE}]")  # the second, dearer, of few texts
     return F.coalesce(normalised(F.when(beyond, text)), text)
 
 

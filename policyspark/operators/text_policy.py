@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.fence import fenced
+from ..functions.fence import fenced, once
 from ..functions.joins import side
 from ..functions.text import ALNUM, ENGLISH, compact, leet_fold, normalized_text, separator_tokens, url_token_streams, views
 
@@ -72,13 +72,20 @@ def _hits(kind: str, spans: Column, spelled=None, before=None, after=None, last=
 
 def _ngrams(tokens: Column, known: dict[int, list[str]], firsts: list[str] | None) -> Column:
     """array of (start, stop, gram) of the wanted lengths; where ``firsts`` are given, only of the keys in ``known``."""
-    at = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: (i < F.size(tokens)) if firsts is None else F.get(tokens, i).isin(firsts))
-
-    def one(n: int, keys: list[str]) -> Column:
-        grams = F.transform(F.filter(at, lambda i: i + n <= F.size(tokens)), lambda i: F.struct(i.alias("start"), (i + n).alias("stop"), F.array_join(F.slice(tokens, i + 1, n), "\x00").alias("gram")))
+    if firsts is None:
+        places = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: i < F.size(tokens))
+    else:  # the places of the few tokens that a key begins with, found once for all lengths
+        begins = F.transform(tokens, lambda t, i: F.when(t.isin(firsts), i).otherwise(-1))
+        places = F.filter(begins, lambda i: i >= 0)
+
+    def one(at: Column, n: int, keys: list[str]) -> Column:
+        if n == 1 and firsts is not None:
+            grams = F.transform(at, lambda i: F.struct(i.alias("start"), (i + 1).alias("stop"), F.get(tokens, i).alias("gram")))
+        else:
+            grams = F.transform(F.filter(at, lambda i: i + n <= F.size(tokens)), lambda i: F.struct(i.alias("start"), (i + n).alias("stop"), F.array_join(F.slice(tokens, i + 1, n), "\x00").alias("gram")))
         return grams if firsts is None else F.filter(grams, lambda g: g["gram"].isin(keys))
 
-    return F.flatten(F.array(*[one(n, keys) for n, keys in sorted(known.items())]))
+    return once(places, lambda at: F.flatten(F.array(*[one(at, n, keys) for n, keys in sorted(known.items())])))
 
 
 def _places(text: str, zero_width: str, surface: str) -> Column:
@@ -130,10 +137,11 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     parts: dict[str, Column] = {}
     hits: list[Column] = []
     if "t" in lengths:
-        tokens, grams = F.col("tokens"), _ngrams(F.col("tokens"), *wanted("t"))
-        parts["tokens"] = separator_tokens(F.col("normalized"))
-        # each token with what stands before it, and what stands behind the last
-        parts["pieces"] = F.regexp_extract_all("normalized", F.lit(f"[^{ALNUM}]*[{ALNUM}]+|[^{ALNUM}]+$"), F.lit(0))
+        tokens, grams = F.col("tokens"), F.col("grams")
+        base = fenced(base, tokens=separator_tokens(F.col("normalized")))
+        base = fenced(base, grams=_ngrams(tokens, *wanted("t")))
+        # each token with what stands before it, and what stands behind the last; only of texts with a candidate
+        parts["pieces"] = F.when(F.size("grams") > 0, F.regexp_extract_all("normalized", F.lit(f"[^{ALNUM}]*[{ALNUM}]+|[^{ALNUM}]+$"), F.lit(0)))
         apart = lambda i: F.coalesce(F.regexp_extract(F.get(F.col("pieces"), i), f"^[^{ALNUM}]*", 0), F.lit(""))
         spelled = lambda g: F.regexp_replace(F.array_join(F.slice("pieces", g["start"] + 1, g["stop"] - g["start"]), ""), f"^[^{ALNUM}]+", "")
         hits.append(_hits("t", grams, spelled, lambda g: apart(g["start"]), lambda g: apart(g["stop"]), lambda g: g["stop"] == F.size(tokens)))
