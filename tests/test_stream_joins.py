@@ -58,3 +58,21 @@ def test_gates_and_outcomes(spark, tmp_path):
     want = ac.gate_outcomes(*sides(table(spark, rows)), 120)
     assert got == sorted(map(tuple, want.collect()), key=str)
     assert {r[2] for r in got} == {"open", "left", "stayed"}
+
+
+def test_a_dismissal_later_in_the_same_second(spark, tmp_path):
+    """It comes after the warning, so the warning stays: in the queries and in the SQL that states them."""
+    import duckdb
+
+    from policyspark.plans import activity as plans
+
+    rows = [(1, "2024-01-02 10:00:00.250", 1, "signup"), (2, "2024-01-02 10:00:00.750", 1, "purchase"), (3, "2024-01-02 10:00:00.900", 1, "signup")]
+    rows += [(4, "2024-01-02 10:00:00.750", 2, "purchase"), (5, "2024-01-02 10:00:00.750", 2, "signup"), (6, "2024-01-02 12:00:00.100", 2, "signup"), (7, "2024-01-02 11:59:59.900", 2, "signup")]
+    e = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = [(1, "warn"), (2, "override"), (3, "allow"), (4, "override"), (5, "allow"), (6, "warn"), (7, "allow")]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("suppressed_warnings",):
+        assert sorted(map(tuple, plans.QUERIES[name](spark, str(tmp_path)).collect())) == want
+        assert sorted(con.execute(plans.SQL[name]).fetchall()) == want
