@@ -73,6 +73,6 @@ def test_a_dismissal_later_in_the_same_second(spark, tmp_path):
     want = [(1, "warn"), (2, "override"), (3, "allow"), (4, "override"), (5, "allow"), (6, "warn"), (7, "allow")]
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
-    for name in ("suppressed_warnings",):
+    for name in ("suppressed_warnings", "stream_suppressed"):
         assert sorted(map(tuple, plans.QUERIES[name](spark, str(tmp_path)).collect())) == want
         assert sorted(con.execute(plans.SQL[name]).fetchall()) == want
