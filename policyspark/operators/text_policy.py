@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.fence import fenced, once
 from ..functions.joins import side
+from ..functions.places import SPAN, known as known_places, places
+from ..functions.tables import stored
 from ..functions.text import ALNUM, ENGLISH, compact, leet_fold, normalized_text, separator_tokens, url_token_streams, views
 
 #: Points by severity, shares by match mode (ordinal order), by source, and exceptions.
@@ -23,7 +25,7 @@ SOURCES = {"browser_title": "1.00", "browser_url": "1.00", "accessibility_tree":
 EXCEPTIONS = ("education_exception", "medical_exception", "safety_exception")
 EXCEPTION_POINTS, MOST_POINTS, BLOCK_AT, WARN_AT = 40, 100, 80, 50
 #: Surfaces (one for each mode and language form) up to which keys are looked up within a text's row, compact ones up to which
-#: each is searched for by itself, and all up to which they are broadcast.  Characters of a compact surface that a join looks up.
+#: each is searched for by itself, and all up to which they are broadcast.  Characters of a phrase of marks that a join looks up.
 INLINE, INLINE_COMPACT, BROADCAST_TERMS, SEED = 2_000, 200, 400_000, 4
 _HIT = "struct<kind:string,start:int,stop:int,gram:string,spelled:string,before:string,after:string,last:boolean>"
 
@@ -93,7 +95,7 @@ def _places(text: str, zero_width: str, surface: str) -> Column:
     pieces = F.split(F.concat(F.lit("\x00"), F.col(text)), zero_width)
     starts = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda _, i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(-1), lambda a, x: a + F.length(x)))
     found = F.transform(starts, lambda i: F.struct(i.alias("start"), (i + len(surface)).alias("stop"), F.lit(surface).alias("gram")))
-    return F.when(F.contains(F.col(text), F.lit(surface)), found).otherwise(F.array().cast("array<struct<start:int,stop:int,gram:string>>"))
+    return F.when(F.contains(F.col(text), F.lit(surface)), found).otherwise(F.array().cast(SPAN))
 
 
 def _seeded_terms(terms: DataFrame, kind: str) -> tuple[DataFrame, list[int], int]:
@@ -111,26 +113,30 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     language steps of the text it is matched with; tokens in URLs are lower-case in all languages.
 
     The texts' views are worked out once.  Keys of a small lexicon are looked up within the row, so that only hits become rows;
-    of a large one all n-grams of its lengths become rows, in compact mode and for phrases of marks alone the SEED characters from
-    each on.
+    of a large one only the places become rows at which a bitmap of its keys may hold what stands there (functions.places), of URLs
+    all n-grams of its lengths, and for phrases of marks alone the SEED characters from each on.
     """
     terms = patterns(lexicon, with_nfkc)
     rows = terms.limit(INLINE + 1).collect()
     inline = len(rows) <= INLINE
     if inline:  # a small lexicon is worked out once
         terms = docs.sparkSession.createDataFrame(rows, terms.schema)
-        sizes = [(*k, c) for k, c in Counter((r.kind, r.n) for r in rows).items()]
+        sizes = [(*k, c) for k, c in Counter((r.kind, r.n, r["mode"] == "exact_phrase") for r in rows).items()]
     else:
-        sizes = [tuple(r) for r in terms.groupBy("kind", "n").count().collect()]  # a row a length
+        terms = stored(terms)
+        sizes = [tuple(r) for r in terms.groupBy("kind", "n", (F.col("mode") == "exact_phrase").alias("exact")).count().collect()]  # a few rows a length
     n_terms = sum(c for *_, c in sizes)
-    lengths = {k: sorted(n for kind, n, _ in sizes if kind == k) for k in {kind for kind, *_ in sizes}}
-    n_compact, n_marks = (sum(c for kind, _, c in sizes if kind == k) for k in "cm")
+    lengths = {k: sorted({n for kind, n, *_ in sizes if kind == k}) for k in {kind for kind, *_ in sizes}}
+    n_tokens, n_compact, n_marks = (sum(c for kind, *_, c in sizes if kind == k) for k in "tcm")
     known = rows if inline else []
 
     def wanted(kind: str) -> tuple[dict[int, list[str]], list[str] | None]:
         own = [r for r in known if r.kind == kind]
         return {n: sorted({r.key for r in own if r.n == n}) for n in lengths[kind]}, sorted({r["first"] for r in own}) if inline else None
 
+    def shared(kind: str, n: int, edge: str = ""):
+        return docs.sparkSession.sparkContext.broadcast(known_places(terms.where(F.col("kind") == kind).select("key"), n, edge))
+
     english = F.col("own") == ENGLISH
     base = docs.select("doc_id", F.col("text").alias("raw"), F.when(F.col("lang") == ENGLISH, ENGLISH).otherwise("").alias("own"))
     base = fenced(base, normalized=normalized_text(F.col("raw"), english, with_nfkc))
@@ -139,7 +145,10 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     if "t" in lengths:
         tokens, grams = F.col("tokens"), F.col("grams")
         base = fenced(base, tokens=separator_tokens(F.col("normalized")))
-        base = fenced(base, grams=_ngrams(tokens, *wanted("t")))
+        base = fenced(base, grams=_ngrams(tokens, *wanted("t")) if inline else places(F.array_join(tokens, "\x00"), shared("t", n_tokens, "\x00"), "\x00"))
+    if "t" in lengths and not any(kind == "t" and exact for kind, _, exact, _ in sizes):
+        hits.append(_hits("t", grams))
+    elif "t" in lengths:
         # each token with what stands before it, and what stands behind the last; only of texts with a candidate
         parts["pieces"] = F.when(F.size("grams") > 0, F.regexp_extract_all("normalized", F.lit(f"[^{ALNUM}]*[{ALNUM}]+|[^{ALNUM}]+$"), F.lit(0)))
         apart = lambda i: F.coalesce(F.regexp_extract(F.get(F.col("pieces"), i), f"^[^{ALNUM}]*", 0), F.lit(""))
@@ -165,15 +174,11 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
         if inline and n_compact <= INLINE_COMPACT:
             hits += [_hits("c", _places("leet", f"(?={x})", x)) for x in sorted({r.key for r in known if r.kind == "c"})]
         else:
-            terms, sizes_c, longest = _seeded_terms(terms, "c")
-            parts["chars"] = F.split("leet", "")
-            at = lambda i, n: F.array_join(F.slice("chars", i + 1, n), "")
-            seed = lambda n: lambda i: F.struct(i.alias("start"), i.alias("stop"), at(i, n).alias("gram"))
-            places = F.sequence(F.lit(0), F.size("chars") - 1)
-            hits.append(_hits("c", F.concat(*[F.transform(places, seed(n)) for n in sizes_c]), lambda g: at(g["start"], longest)))
+            parts["bare"] = places(F.col("leet"), shared("c", n_compact))
+            hits.append(_hits("c", F.col("bare")))
     if not hits:
         return base.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("term_id", "int"), ("mode", "string"), ("surface", "string"), ("start", "int"), ("stop", "int"))]).limit(0)
-    if "leet" in parts and "chars" in parts:
+    if "leet" in parts and "bare" in parts:
         base = fenced(base, leet=parts.pop("leet"))
     h = fenced(base, **parts) if parts else base
     h = h.select("doc_id", "own", F.explode(F.concat(*hits)).alias("h")).select("doc_id", F.when(F.col("h.kind") == "u", ENGLISH).otherwise(F.col("own")).alias("form"), "h.*").withColumnRenamed("gram", "key")
