@@ -53,3 +53,20 @@ def test_a_users_own_labels_come_first(spark):
     askers = spark.createDataFrame([(1, "u"), (1, "v"), (2, "u"), (2, "v")], "query_id long, user_id string")
     got = {(r.query_id, r.user_id): (r.label, r.votes) for r in nb.voted(n, labels, own, askers).collect()}
     assert got == {(1, "u"): ("fine", 2), (1, "v"): ("bad", 2), (2, "u"): ("fine", 1), (2, "v"): ("bad", 1)}
+
+
+@pytest.mark.parametrize(("block", "base"), [(4_096, 16_384), (7, 50)])
+def test_blocks_give_what_brute_force_gives(spark, monkeypatch, block, base):
+    """In any blocks; a vector that holds a null has no neighbours and is none."""
+    from policyspark.operators import hashes as hx
+
+    monkeypatch.setattr(hx, "BLOCK", block)
+    monkeypatch.setattr(hx, "BASE_BLOCK", base)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6)) for i in range(200)] + [(200 + i, [1.0] * 6) for i in range(20)] + [(300, None), (310, [0.0] * 6), (320, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
+    queries = [i for i, _ in rows if i % 10 == 0]
+    df = table(spark, rows)
+    got = {}
+    for r in hx.nearest_vectors(df.where("id % 10 = 0"), df, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.neighbour_id, r.similarity))
+    assert got == brute(rows, queries, 4)
