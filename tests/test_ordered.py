@@ -78,3 +78,22 @@ def test_silent_devices_begin_anew_and_late_rows_are_dropped(spark, tmp_path):
     assert rows_of(got) == [("a", 1, "scanned"), ("a", 3, "duplicate"), ("a", 5, "scanned"), ("a", 6, "duplicate"), ("b", 2, "scanned")]
     assert ordered.PROVIDER == spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert got.where(F.col("device") == "end").count() == 0
+
+
+def test_waiting_rows_are_kept_in_packs():
+    """2,500 rows of one device cost three values of the state, and come back whole."""
+    import pickle
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row, types as T
+
+    from policyspark.streaming import gates as sg
+    from policyspark.streaming.ordered import Ordered
+
+    values = []
+    waiting = SimpleNamespace(appendValue=values.append)
+    handle = SimpleNamespace(getListState=lambda *a: waiting, getValueState=lambda *a: None, listTimers=lambda: iter([]), registerTimer=lambda t: None)
+    o = Ordered(sg.BURST_GATE, T.StructType([T.StructField("at_ms", T.LongType()), T.StructField("seq", T.LongType())]), 1)
+    o.init(handle)
+    list(o.handleInputRows(("d",), (Row(device="d", seq=i, at_ms=i * 7) for i in range(2500)), None))
+    assert len(values) == 3 and [r for v in values for r in pickle.loads(v[0])] == [(i * 7, i) for i in range(2500)]
