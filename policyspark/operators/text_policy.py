@@ -193,12 +193,14 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     return j.where(phrase & seeded & ends).select("doc_id", "term_id", "mode", "surface", "start", stop.alias("stop")).distinct()
 
 
-def term_hits(found: DataFrame) -> DataFrame:
-    """Per doc_id and term_id: best mode (greatest share, then first) and occurrences (most of any one mode)."""
+def term_hits(found: DataFrame, spans: bool = False) -> DataFrame:
+    """Per doc_id and term_id: best mode (greatest share, then first) and occurrences (most of any one mode); span, if wanted: start
+    and stop of the best mode's first match."""
     share = F.create_map(*[F.lit(x) for m, s in MODES.items() for x in (m, float(s))])
     order = F.create_map(*[F.lit(x) for i, m in enumerate(MODES) for x in (m, -i)])
-    by_mode = found.groupBy("doc_id", "term_id", "mode").agg(F.count("*").alias("n"))
-    return by_mode.groupBy("doc_id", "term_id").agg(F.max_by("mode", F.struct(share[F.col("mode")], order[F.col("mode")])).alias("best_mode"), F.max("n").alias("occurrences"))
+    rank = F.struct(share[F.col("mode")], order[F.col("mode")])
+    by_mode = found.groupBy("doc_id", "term_id", "mode").agg(F.count("*").alias("n"), *([F.min(F.struct("start", "stop")).alias("span")] if spans else []))
+    return by_mode.groupBy("doc_id", "term_id").agg(F.max_by("mode", rank).alias("best_mode"), F.max("n").alias("occurrences"), *([F.max_by("span", rank).alias("span")] if spans else []))
 
 
 def evidence(found: DataFrame, lexicon: DataFrame, source_multiplier: str = "1.00") -> DataFrame:
@@ -207,10 +209,9 @@ def evidence(found: DataFrame, lexicon: DataFrame, source_multiplier: str = "1.0
     doc_id, term_id, rule_id (dictionary:phrase), category, severity, best_mode, start and stop (of the best mode's first match),
     base, multiplier (of mode and source), occurrences.
     """
-    first = found.groupBy("doc_id", "term_id", "mode").agg(F.min(F.struct("start", "stop")).alias("span")).withColumnRenamed("mode", "best_mode")
     base = F.create_map(*[F.lit(x) for k, v in BASE.items() for x in (k, v)])
     share = F.create_map(*[F.lit(x) for k, v in MODES.items() for x in (F.lit(k), F.lit(v).cast("decimal(3,2)"))])
-    hits = term_hits(found).join(first.hint("merge"), ["doc_id", "term_id", "best_mode"])
+    hits = term_hits(found, spans=True)
     known = hits.join(_broadcast_terms(lexicon.select("term_id", F.concat_ws(":", "dictionary", "phrase").alias("rule_id"), "category", "severity")), "term_id").where(~F.col("category").isin(*EXCEPTIONS))
     return known.select("doc_id", "term_id", "rule_id", "category", "severity", "best_mode", "span.start", "span.stop", base[F.col("severity")].alias("base"), (share[F.col("best_mode")] * F.lit(source_multiplier).cast("decimal(3,2)")).alias("multiplier"), "occurrences")
 

@@ -191,3 +191,9 @@ def test_nfkc_leaves_stable_characters_to_the_jvm(spark):
     texts = ["plain", "Grün, «été» – naïve…", "ﬁn ｆｕｌｌ", "e\u0301", "\u1112\u1161\u11ab", None, "Ω Å ½ ① İ ß", "中文和\u3000空"]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fx.nfkc(F.col("t")).alias("n")).collect()
     assert {r.i: r.n for r in got} == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+
+
+def test_evidence_works_the_matches_out_once(spark):
+    lex = tp.lexicon_table(spark, [(1, "bad", "x", "low", ALL)])
+    e = tp.evidence(tp.matches(spark.createDataFrame([(1, "bad", "en")], TEXTS), lex), lex)
+    assert e._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
