@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 #: Reserved top-level names, extended DNS error codes of filtering resolvers.
@@ -11,6 +11,13 @@ FILTERING_ERRORS = (4, 6, 13, 15, 16, 17, 18, 19)
 MOST_LABEL, MOST_NAME = 63, 253
 _DENIED = r"[\x00-\x20\x7F%#/:<>?@\[\\\]^|]"
 _V4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
+#: IPv6 by its groups: eight, or fewer around one ``::``, the last two perhaps written as IPv4; then perhaps a scope.
+_GROUP, _FOUR = "[0-9A-Fa-f]{1,4}", _V4[1:-1]
+_LAST = f"({_GROUP}:{_GROUP}|{_FOUR})"
+_GROUPS = [f"({_GROUP}:){{6}}{_LAST}", f"::({_GROUP}:){{5}}{_LAST}", f"({_GROUP})?::({_GROUP}:){{4}}{_LAST}"]
+_GROUPS += [f"(({_GROUP}:){{0,{4 - n}}}{_GROUP})?::({_GROUP}:){{{n}}}{_LAST}" for n in (3, 2, 1, 0)]
+_GROUPS += [f"(({_GROUP}:){{0,5}}{_GROUP})?::{_GROUP}", f"(({_GROUP}:){{0,6}}{_GROUP})?::"]
+_V6 = rf"\A({'|'.join(_GROUPS)})(%[^%/]+)?\z"
 
 
 def _punycode(name: str | None) -> str | None:
@@ -29,9 +36,9 @@ def _punycode(name: str | None) -> str | None:
 def normalize_domain(domain: Column) -> Column:
     """Comparison key of a domain, or null: one trailing dot off, lower case, labels of 1 to 63, 253 in all."""
 
-    @F.pandas_udf("string")
-    def encoded(s: pd.Series) -> pd.Series:
-        return s.map(_punycode)
+    @F.arrow_udf("string")
+    def encoded(names: pa.Array) -> pa.Array:
+        return pa.array([_punycode(x) for x in names.to_pylist()], pa.string())
 
     bare = F.regexp_replace(domain, r"\.$", "")
     beyond = bare.rlike(r"[^\x00-\x7F]")
@@ -46,22 +53,8 @@ def valid_key(key: Column) -> Column:
 
 
 def is_ip_literal(name: Column) -> Column:
-    """IPv4 with plain octets, or anything with a colon that parses as IPv6."""
-
-    @F.pandas_udf("boolean")
-    def v6(s: pd.Series) -> pd.Series:
-        import ipaddress
-
-        def ok(x):
-            try:
-                return ipaddress.ip_address(x) is not None
-            except ValueError:
-                return False
-
-        return s.map(lambda x: x is not None and ok(x))
-
-    colon = F.contains(name, F.lit(":"))
-    return F.coalesce(name.rlike(_V4), F.lit(False)) | F.coalesce(F.when(colon, v6(F.when(colon, name))), F.lit(False))
+    """IPv4 with plain octets, or anything with a colon that is IPv6."""
+    return F.coalesce(name.rlike(_V4) | (F.contains(name, F.lit(":")) & name.rlike(_V6)), F.lit(False))
 
 
 def reversed_labels(domain: Column) -> Column:

@@ -9,7 +9,7 @@ from ..operators import domains as dm, hosts as hs, liveness as lv
 from ..sources import lists as ls
 from ..sources.state_tables import Published
 from ..streaming import gates as sg
-from .tables import scratch_dir, table
+from .tables import local_table, scratch_dir, table
 
 SUFFIXES = ["com", "net", "org", "co.uk", "blogspot.com"]
 DENIED = ["Blog.ththan.example.net."]
@@ -47,7 +47,7 @@ def list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _param(spark: SparkSession, values: list[str], name: str = "value") -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+    return local_table(spark, [(v,) for v in values], f"{name} string")
 
 
 def done(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def build_gates(spark, sf_dir):
     old = hosted(spark, sf_dir).where("page_id % 2 = 0").select(F.col("host").alias("domain")).distinct()
     control = hosted(spark, sf_dir).where("page_id % 5 = 0").select(F.col("host").alias("value"))
     counts = m.agg(F.count("*").alias("current")).crossJoin(old.agg(F.count("*").alias("previous")))  # one row each
-    snaps = spark.createDataFrame([("src0", "MIT"), ("src1", " mit "), ("src2", "GPL-3.0")], "source string, license string")
+    snaps = local_table(spark, [("src0", "MIT"), ("src1", " mit "), ("src2", "GPL-3.0")], "source string, license string")
     gates = [
         dm.shrinkage_gate(counts, 0.1, 5), dm.growth_gate(m, old, 0.1), dm.false_positive_gate(m, control, _param(spark, ["nothing.example"]), 0.005, 10),
         dm.license_gate(m, snaps, _param(spark, ["MIT"])),
@@ -127,7 +127,7 @@ OVERLAY = [("m.ththth.example.net", "remove"), ("therha.example.com", "add")]
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "seq int, domain string, action string")
+    return local_table(spark, RULES, "seq int, domain string, action string")
 
 
 def host_rules(spark, sf_dir):
@@ -148,7 +148,7 @@ def host_list(spark, sf_dir):
 def host_policy(spark, sf_dir):
     allow = _param(spark, ALLOWED, "domain")
     few = rules(spark).where("seq in (2, 3)")
-    overlay = spark.createDataFrame(OVERLAY, "domain string, change string")
+    overlay = local_table(spark, OVERLAY, "domain string, change string")
     return hs.resolve(hosted(spark, sf_dir), allow, few, merged(spark, sf_dir), overlay)
 
 
@@ -169,7 +169,7 @@ def stream_host_policy(spark, sf_dir):
     """host_policy of a stream of pages, by a policy that has been published."""
     root = scratch_dir(spark)
     policy = Published(spark, f"{root}/policy")
-    overlay = spark.createDataFrame(OVERLAY, "domain string, change string")
+    overlay = local_table(spark, OVERLAY, "domain string, change string")
     policy.publish(hs.policy_rows(_param(spark, ALLOWED, "domain"), rules(spark).where("seq in (2, 3)"), merged(spark, sf_dir), overlay), 1)
     pages = spark.readStream.schema(table(spark, sf_dir, "pages").schema).parquet(f"{sf_dir}/pages.parque[t]")
     flows = pages.select("page_id", host_of_url(F.col("url")).alias("host"))
@@ -198,7 +198,7 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cidr_policy(spark, sf_dir):
-    return hs.longest_prefix(addresses(spark, sf_dir), spark.createDataFrame(CIDRS, "seq int, cidr string, action string"))
+    return hs.longest_prefix(addresses(spark, sf_dir), local_table(spark, CIDRS, "seq int, cidr string, action string"))
 
 
 CIDR_SQL = f"""WITH a AS (SELECT DISTINCT {_IP.format(s='varchar')} AS address, event_id % 5 AS b, event_id % 29 AS c, event_id % 7 AS d FROM events),

@@ -9,7 +9,7 @@ from ..operators import domains as dm, evaluation as ev, hosts as hs, incrementa
 from ..sources import lists as ls
 from ..sources.state_tables import Published
 from . import lists
-from .tables import events, scratch_dir, stored, table
+from .tables import events, local_table, scratch_dir, stored, table
 
 _HOSTED = lists._HOSTED_SQL
 
@@ -203,7 +203,7 @@ def flow_actions(spark, sf_dir):
     """A flow an event: every third without a host, ports of three kinds."""
     address = F.expr(lists._IP.format(s="string"))
     e = events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 3 > 0, F.concat(F.col("event_type"), F.lit(".example.com"))).alias("host"), address.alias("address"), F.get(F.array(F.lit(443), F.lit(80), F.lit(53)), (F.col("event_id") % 3).cast("int")).alias("port"))
-    by_host = spark.createDataFrame([("click.example.com", "block"), ("view.example.com", "allow")], "host string, action string")
+    by_host = local_table(spark, [("click.example.com", "block"), ("view.example.com", "allow")], "host string, action string")
     return hs.flow_actions(e, by_host, lists.cidr_policy(spark, sf_dir)).select("event_id", "action")
 
 

@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.joins import side
+from ..functions.tables import local_table
 
 DELETED, SEGMENT, MONTH, BUCKET = "__deleted", "__segment", "__month", "__bucket"
 
@@ -141,7 +142,7 @@ class KeyedTable:
     def _load(self, version: int | None, only: Column) -> DataFrame:
         segments = self._segments(self.version() if version is None else version)
         if not segments:
-            return self.spark.createDataFrame([], self.schema)
+            return local_table(self.spark, [], self.schema)
         base = self._read(segments[0]).where(only & ~F.col(DELETED)).select(*self.schema.names)
         if len(segments) == 1:
             return base
@@ -162,7 +163,7 @@ class KeyedTable:
         before, now = self._segments(since), self._segments(self.version())
         if now[: len(before)] != before:
             raise ValueError(f"{self.log.root} has been compacted since version {since}")
-        found = self.spark.createDataFrame([], self.schema).select(self.key)
+        found = local_table(self.spark, [], self.schema).select(self.key)
         for folder in now[len(before) :]:
             found = found.unionAll(self._read(folder).select(self.key))
         return found.distinct()
@@ -171,7 +172,7 @@ class KeyedTable:
         """Rows whose month column is at most ``until`` (seconds), from the months up to its; later deltas are asked for keys alone."""
         segments = self._segments(self.version() if version is None else version)
         if not segments:
-            return self.spark.createDataFrame([], self.schema)
+            return local_table(self.spark, [], self.schema)
         last = F.date_format(F.timestamp_seconds(F.lit(until)), "yyyy-MM")
         found = None
         for i, folder in enumerate(segments):

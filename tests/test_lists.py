@@ -1,5 +1,7 @@
 """List parsing, domain keys, scope, merge, gates: golden cases and invariance to order."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,43 @@ def test_admission(spark):
     e = spark.createDataFrame([("b", "1", "GPL"), ("c", "1", "MIT")], "source string, revision string, license string")
     got = {r.source: r.admission for r in ls.admission(s, e, spark.createDataFrame([("mit ",), ("gpl",)], "value string")).collect()}
     assert got == {"a": "admitted", "b": "revision_mismatch", "c": "license_changed", "d": "license_not_allowed"}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_addresses_are_told_without_python(spark):
+    names = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::", "1::3:4:5:6:7:8", "1::2:3:4:5:6:7:8", "1::2::3", ":1::", "1:::2", "::ffff:10.0.0.1", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3", "::01.2.3.4", "::256.1.1.1", "::12345", "::g", "::%e0", "::%", "::%a%b", "::/64", "::%a/64", "::1\n", "a:b", ":", "FE80::aB%e", "1:2:3:4::5:6:7:8"]
+    df = spark.createDataFrame([(x,) for x in names], "n string").select("n", fd.is_ip_literal(F.col("n")).alias("ip"))
+    assert {r.n: r.ip for r in df.collect()} == {x: _parses(x) for x in names} and "EvalPython" not in _plan(df)
+    few = spark.createDataFrame([("10.1.2.3", True), ("10.1.2.256", False), (None, False), ("x.com", False)], "n string, want boolean")
+    assert few.where(fd.is_ip_literal(F.col("n")) != F.col("want")).count() == 0
+
+
+def _parses(x):
+    import ipaddress
+
+    try:
+        return ipaddress.ip_address(x) is not None
+    except ValueError:
+        return False
+
+
+def test_python_of_a_task_of_lists_is_one_worker(spark):
+    """Names beyond ASCII alone go to Python, once a task; small tables of the driver are part of the plan."""
+    from policyspark.plans import lists
+
+    plan = _plan(lists.done(spark, "/root/testdata/sf0.001"))
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+    assert set(re.findall(r"\w*EvalPython \[(\w+)", plan)) == {"encoded"}
+
+
+def test_local_tables(spark):
+    from policyspark.functions.tables import local_table
+
+    schema = "a int, b string, c array<string>, d array<struct<e:string,f:bigint>>"
+    rows = [(1, None, [], [("x", 2)]), (None, "é", ["p", None], [])]
+    got = local_table(spark, [(a, b, c, [dict(zip("ef", x, strict=True)) for x in d]) for a, b, c, d in rows], schema)
+    assert [tuple(r) for r in got.collect()] == rows and got.schema == spark.createDataFrame([], schema).schema
+    assert local_table(spark, [], schema).collect() == [] and local_table(spark, [], schema).schema == got.schema
