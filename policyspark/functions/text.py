@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .fence import fenced
+
 #: What counts as alphanumeric, inside a character class.
 ALNUM = r"\p{IsAlphabetic}\p{N}"
+#: Texts of an Arrow batch that are strings of Python's at a time.
+FEW = 64
 
 
 #: Letters and marks, inside a character class, that NFKC leaves alone and that compose with nothing before them: ASCII, and of
@@ -22,11 +26,12 @@ NFKC_STABLE = (
 def nfkc(text: Column) -> Column:
     """NFKC form.  Only texts with a character that it may change go to Python; Spark has no such function."""
 
-    @F.pandas_udf("string")
-    def normalised(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def normalised(texts: pa.Array) -> pa.Array:
         import unicodedata
 
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+        forms = lambda part: pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in part.to_pylist()], pa.string())
+        return pa.concat_arrays([forms(texts.slice(i, FEW)) for i in range(0, max(len(texts), 1), FEW)])
 
     beyond = text.rlike(r"[^\x00-\x7F]") & text.rlike(f"[^{NFKC_STABLE}]")  # the second, dearer, of few texts
     return F.coalesce(normalised(F.when(beyond, text)), text)
@@ -98,7 +103,7 @@ def views(df: DataFrame, text: str = "text", lang: str = "lang", with_nfkc: bool
         normalized = F.col("raw")
         for step in steps:
             normalized = step(normalized)
-    df = df.withColumn("normalized", normalized)
+    df = fenced(df, normalized=normalized)  # filters on what follows would repeat it
     df = df.withColumn("separator_tokens", separator_tokens(F.col("normalized"))).withColumn("compact", compact(F.col("normalized")))
     return df.withColumn("leet_compact", F.when(english, leet_fold(F.col("compact"))).otherwise(F.col("compact")))
 

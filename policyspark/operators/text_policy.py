@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.fence import fenced, once
 from ..functions.joins import side
 from ..functions.places import SPAN, known as known_places, places
-from ..functions.tables import stored
+from ..functions.tables import local_table, stored
 from ..functions.text import ALNUM, ENGLISH, compact, leet_fold, normalized_text, separator_tokens, url_token_streams, views
 
 #: Points by severity, shares by match mode (ordinal order), by source, and exceptions.
@@ -33,7 +33,7 @@ _HIT = "struct<kind:string,start:int,stop:int,gram:string,spelled:string,before:
 def lexicon_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Rows of (term_id, phrase, category, severity, modes) and, if wanted, dictionary and surfaces."""
     full = [(r[0], r[5] if len(r) > 5 else "core", *r[1:5], list(r[6]) if len(r) > 6 else []) for r in rows]
-    return spark.createDataFrame(full, "term_id int, dictionary string, phrase string, category string, severity string, modes array<string>, surfaces array<string>")
+    return local_table(spark, full, "term_id int, dictionary string, phrase string, category string, severity string, modes array<string>, surfaces array<string>")
 
 
 def lexicon_errors(lexicon: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     rows = terms.limit(INLINE + 1).collect()
     inline = len(rows) <= INLINE
     if inline:  # a small lexicon is worked out once
-        terms = docs.sparkSession.createDataFrame(rows, terms.schema)
+        terms = local_table(docs.sparkSession, rows, terms.schema)
         sizes = [(*k, c) for k, c in Counter((r.kind, r.n, r["mode"] == "exact_phrase") for r in rows).items()]
     else:
         terms = stored(terms)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
 from ..operators import text_policy as tp
-from .tables import stored, table
+from .tables import local_table, stored, table
 
 #: Terms that the test documents hold: id, phrase, category, severity, modes, dictionary, other surfaces.
 LEXICON = [
@@ -225,7 +225,7 @@ def text_amplifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All context amplifiers; images, high-risk categories and risky contexts are derived from the documents' numbers."""
     lexicon, d = tp.lexicon_table(spark, LEXICON), table(spark, sf_dir, "documents")
     images = d.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "insult").otherwise("prose").alias("category"))
-    high = spark.createDataFrame([("mockery",), ("insult",)], "category string")
+    high = local_table(spark, [("mockery",), ("insult",)], "category string")
     return tp.amplifiers(tp.matches(d, lexicon), lexicon, 4, images, high, d.where("doc_id % 5 = 0").select("doc_id"))
 
 

@@ -197,3 +197,22 @@ def test_evidence_works_the_matches_out_once(spark):
     lex = tp.lexicon_table(spark, [(1, "bad", "x", "low", ALL)])
     e = tp.evidence(tp.matches(spark.createDataFrame([(1, "bad", "en")], TEXTS), lex), lex)
     assert e._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_nfkc_of_batches_of_any_size(spark):
+    """More texts than are normalised at a time, with nulls; of no texts, none."""
+    rows = [(i, None if i % 7 == 0 else "ﬁne ①" * (i % 5)) for i in range(2 * fx.FEW + 3)]
+    df = spark.createDataFrame(rows, "i int, t string").repartition(1)
+    assert sorted(tuple(r) for r in df.select("i", fx.nfkc(F.col("t"))).collect()) == [(i, t and t.replace("ﬁ", "fi").replace("①", "1")) for i, t in rows]
+    assert df.where("i < 0").select(fx.nfkc(F.col("t"))).collect() == []
+
+
+def test_python_of_a_task_of_texts_is_one_worker(spark):
+    """Normalisation is worked out once a row, of lexicons too, and small lexicons are part of the plan."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    lex = tp.lexicon_table(spark, [(1, "bad word", "x", "low", ALL, "core", ["ﬁne"])])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for df in (tp.patterns(lex), tp.matches(docs, lex)):
+        assert plan(df).count("EvalPython") == 1 and "ExistingRDD" not in plan(df)
+    v = fx.views(docs.select("doc_id", "text", "lang")).where("size(separator_tokens) > 3 and compact <> ''")
+    assert plan(v).count("EvalPython") == 1
