@@ -70,3 +70,27 @@ def test_blocks_give_what_brute_force_gives(spark, monkeypatch, block, base):
     for r in hx.nearest_vectors(df.where("id % 10 = 0"), df, 4).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.neighbour_id, r.similarity))
     assert got == brute(rows, queries, 4)
+
+
+@pytest.mark.parametrize(("block", "base"), [(4_096, 16_384), (7, 50)])
+def test_blocks_meet_in_any_number_of_partitions(spark, monkeypatch, block, base):
+    """As with tables too large for their partitions to be put together: both sides of a pair of blocks go to the same one."""
+    from policyspark.operators import hashes as hx
+
+    monkeypatch.setattr(hx, "BLOCK", block)
+    monkeypatch.setattr(hx, "BASE_BLOCK", base)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6)) for i in range(200)]
+    df = table(spark, rows)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {}
+        for r in hx.nearest_vectors(df.where("id % 10 = 0"), df, 4).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.neighbour_id, r.similarity))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows, [i for i, _ in rows if i % 10 == 0], 4)
