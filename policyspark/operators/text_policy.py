@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.fence import fenced, once
 from ..functions.joins import side
-from ..functions.places import SPAN, known as known_places, places
+from ..functions.places import SPAN, keys_placed, known as known_places, places
 from ..functions.tables import local_table, stored
 from ..functions.text import ALNUM, ENGLISH, compact, leet_fold, normalized_text, separator_tokens, url_token_streams, views
 
@@ -25,8 +25,9 @@ SOURCES = {"browser_title": "1.00", "browser_url": "1.00", "accessibility_tree":
 EXCEPTIONS = ("education_exception", "medical_exception", "safety_exception")
 EXCEPTION_POINTS, MOST_POINTS, BLOCK_AT, WARN_AT = 40, 100, 80, 50
 #: Surfaces (one for each mode and language form) up to which keys are looked up within a text's row, compact ones up to which
-#: each is searched for by itself, and all up to which they are broadcast.  Characters of a phrase of marks that a join looks up.
-INLINE, INLINE_COMPACT, BROADCAST_TERMS, SEED = 2_000, 200, 400_000, 4
+#: each is searched for by itself, and all up to which they are broadcast, with all their columns or with key, term and mode alone
+#: (some 150 MB either way).  Characters of a phrase of marks that a join looks up.
+INLINE, INLINE_COMPACT, BROADCAST_TERMS, BROADCAST_KEYS, SEED = 2_000, 200, 400_000, 1_200_000, 4
 _HIT = "struct<kind:string,start:int,stop:int,gram:string,spelled:string,before:string,after:string,last:boolean>"
 
 
@@ -193,6 +194,34 @@ def matches(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> Data
     return j.where(phrase & seeded & ends).select("doc_id", "term_id", "mode", "surface", "start", stop.alias("stop")).distinct()
 
 
+def matched_terms(docs: DataFrame, lexicon: DataFrame, with_nfkc: bool = True) -> DataFrame:
+    """doc_id, term_id, mode of :func:`matches`, each once.
+
+    Of a large lexicon whose terms' keys decide by themselves (tokens but no exact phrases, and compact ones), a key becomes one
+    row of a text however often it stands there, and no places are kept.
+    """
+    terms = patterns(lexicon, with_nfkc)
+    if terms.limit(INLINE + 1).count() <= INLINE:
+        return matches(docs, lexicon, with_nfkc).select("doc_id", "term_id", "mode").distinct()
+    terms = stored(terms)
+    counts = {r.kind: r for r in terms.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("mode") == "exact_phrase").alias("exact")).collect()}  # a row a kind
+    if not set(counts) <= {"t", "c"} or ("t" in counts and counts["t"].exact):
+        return matches(docs, lexicon, with_nfkc).select("doc_id", "term_id", "mode").distinct()
+    own = F.when(F.col("lang") == ENGLISH, ENGLISH).otherwise("").alias("form")
+    base = fenced(docs.select("doc_id", "text", own), normalized=normalized_text(F.col("text"), F.col("form") == ENGLISH, with_nfkc))
+    base = fenced(base, bare=compact(F.col("normalized")))
+    looked = {"t": (F.array_join(separator_tokens(F.col("normalized")), "\x00"), "\x00"), "c": (F.when(F.col("form") == ENGLISH, leet_fold(F.col("bare"))).otherwise(F.col("bare")), "")}
+    share = lambda k: docs.sparkSession.sparkContext.broadcast(known_places(terms.where(F.col("kind") == k).select("key"), counts[k].n, looked[k][1]))
+    found = keys_placed(base.select("doc_id", "form", *[looked[k][0].alias(k) for k in counts]), {k: (share(k), looked[k][1]) for k in counts})
+    tagged = F.concat("kind", "form", F.lit(" "), "key").alias("key")
+    t = terms.select(tagged, "term_id", "mode")
+    few = sum(r.n for r in counts.values()) <= BROADCAST_KEYS
+    j = found.select("doc_id", tagged).join(F.broadcast(t) if few else t.hint("merge"), "key").select("doc_id", "term_id", "mode")
+    # where no term has two keys and no document two rows, none comes twice, and so many rows needn't be shuffled to find that out
+    twice = lambda df, *key: df.groupBy(*key).count().where("count > 1").limit(1).count() > 0
+    return j.distinct() if twice(terms, "term_id", "mode", "form") or twice(docs, "doc_id") else j
+
+
 def term_hits(found: DataFrame, spans: bool = False) -> DataFrame:
     """Per doc_id and term_id: best mode (greatest share, then first) and occurrences (most of any one mode); span, if wanted: start
     and stop of the best mode's first match."""

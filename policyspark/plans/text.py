@@ -241,8 +241,7 @@ def text_large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = fx.separator_tokens(F.col("text"))
     phrases = d.select(F.concat_ws(" ", F.get(w, 0), F.get(w, 1)).alias("phrase")).where(F.col("phrase").contains(" ")).distinct()
     lexicon = phrases.select(F.xxhash64("phrase").alias("term_id"), F.lit("made").alias("dictionary"), "phrase", F.lit("c").alias("category"), F.lit("low").alias("severity"), F.array(F.lit("token_sequence"), F.lit("compact")).alias("modes"), F.lit(None).cast("array<string>").alias("surfaces"))
-    found = tp.matches(d, stored(lexicon))
-    return found.groupBy("doc_id", "mode").agg(F.countDistinct("term_id").alias("terms"))
+    return tp.matched_terms(d, stored(lexicon)).groupBy("doc_id", "mode").agg(F.count("*").alias("terms"))
 
 
 LARGE_LEXICON_SQL = rf"""
