@@ -26,7 +26,7 @@ EXCEPTIONS = ("education_exception", "medical_exception", "safety_exception")
 EXCEPTION_POINTS, MOST_POINTS, BLOCK_AT, WARN_AT = 40, 100, 80, 50
 #: Surfaces (one for each mode and language form) up to which keys are looked up within a text's row, compact ones up to which
 #: each is searched for by itself, and all up to which they are broadcast, with all their columns or with key, term and mode alone
-#: (some 150 MB either way).  Characters of a phrase of marks that a join looks up.
+#: (166 bytes a key, 200 MB at most).  Characters of a phrase of marks that a join looks up.
 INLINE, INLINE_COMPACT, BROADCAST_TERMS, BROADCAST_KEYS, SEED = 2_000, 200, 400_000, 1_200_000, 4
 _HIT = "struct<kind:string,start:int,stop:int,gram:string,spelled:string,before:string,after:string,last:boolean>"
 
